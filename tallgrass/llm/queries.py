@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import balanced_mix, shard_table
+from tallgrass.llm import balanced_mix, decontaminate, shard_table, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,48 @@ def op1_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP3_SQL = r"""
+WITH low AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+dw AS (SELECT doc_id, r, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(len(w), 10) AS k FROM iw WHERE len(w) > 0),
+items AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM iw, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS u(i) WHERE len(w) > 0),
+docs AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM dw, sizes, unnest(generate_series(1, len(w) - k + 1)) AS u(i)),
+found AS (SELECT docs.r, docs.k, docs.i, items.item_id FROM docs JOIN items USING (k, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM found, unnest(generate_series(i, i + k - 1)) AS u(p) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
+def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return window_dedup.dedup(docs, with_text=False)
+
+
+OP5_SQL = r"""
+WITH dw AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM dw, unnest(generate_series(1, len(w) - 12)) AS u(i)),
+least AS (SELECT g, min(doc_id) AS d FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT r, p FROM windows JOIN least USING (g), unnest(generate_series(i, i + 12)) AS u(p) WHERE d < doc_id),
+places AS (SELECT r, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM dw),
+kept AS (SELECT places.r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM places ANTI JOIN gone USING (r, p) GROUP BY places.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM dw LEFT JOIN kept USING (r)
+"""
+
+
 def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table.place(_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
 
@@ -33,5 +75,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_decontaminate": OP3_SQL,
+        "op5_window_dedup": OP5_SQL,
         "op8_shard_table": OP8_SQL.format(table=shard_table.fill(shard_table.shard_names(shard_table.SHARDS))),
     }

@@ -146,3 +146,10 @@ def text_hashes(w: Words) -> np.ndarray:
     out = np.zeros(len(size), dtype=np.uint64)
     out[full] = _hashes(w.data, w.text_at[:-1][full], w.text_at[1:][full], _letter_values(21, False))
     return out
+
+
+def hashes_of(raw: bytes, letters: Alphabet) -> np.ndarray:
+    """Word hashes of one text."""
+    inside = letters.in_word[np.frombuffer(raw, np.uint8)].view(np.int8)
+    bound = np.diff(np.concatenate((np.zeros(1, np.int8), inside, np.zeros(1, np.int8))))
+    return _hashes(np.frombuffer(raw, np.uint8), np.flatnonzero(bound == 1), np.flatnonzero(bound == -1), letters.values)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import balanced_mix, decontaminate, shard_table, window_dedup
+from tallgrass.llm import balanced_mix, decontaminate, kneser_ney, shard_table, window_dedup
+from tallgrass.llm.shared import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,13 @@ FROM (SELECT doc_id, source, n_chars, (('0x' || substr(md5(coalesce(doc_id::VARC
 """
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(5) == 1).alias("held_out"))
+    model = kneser_ney.train(docs.filter(~F.col("held_out")))
+    scored = kneser_ney.score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

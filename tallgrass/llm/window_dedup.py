@@ -92,7 +92,7 @@ def _pack(k: int, m: int, buckets: int, hot: np.ndarray):
             raw, a, b = bytes(w.data), w.start[first].tolist(), w.end[first + count + k - 2].tolist()
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             out = []
-            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
+            for lo, hi in zip(at.tolist(), [*at.tolist(), len(bucket)][1:], strict=True):
                 numbers = np.concatenate((doc[lo:hi], place[lo:hi], count[lo:hi])).astype(np.int64)
                 out.append((int(bucket[lo]), hi - lo, squeeze(numbers.tobytes()), squeeze(b"\n".join([raw[x:y] for x, y in zip(a[lo:hi], b[lo:hi], strict=True)]))))
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]

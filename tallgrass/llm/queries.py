@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import balanced_mix, decontaminate, kneser_ney, shard_table, window_dedup
+from tallgrass.llm import balanced_mix, decontaminate, kneser_ney, ngram_join, shard_table, window_dedup
 from tallgrass.llm.shared import crc_mod
 
 
@@ -59,6 +59,23 @@ FROM dw LEFT JOIN kept USING (r)
 """
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, row_number() OVER () AS r,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM dw, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+met AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT r AS a, r AS b FROM dw UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT reach.a AS r, min(doc_id) AS component_id FROM reach JOIN dw ON dw.r = reach.b GROUP BY reach.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM dw JOIN least USING (r) LEFT JOIN sizes USING (r)
+"""
+
+
 def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table.place(_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
 
@@ -85,5 +102,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": OP3_SQL,
         "op5_window_dedup": OP5_SQL,
+        "op6_ngram_join": OP6_SQL,
         "op8_shard_table": OP8_SQL.format(table=shard_table.fill(shard_table.shard_names(shard_table.SHARDS))),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import balanced_mix, decontaminate, kneser_ney, ngram_join, shard_table, window_dedup
+from tallgrass.llm import balanced_mix, decontaminate, kneser_ney, language_id, ngram_join, quality_model, shard_table, window_dedup
 from tallgrass.llm.shared import crc_mod
 
 
@@ -42,6 +42,13 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod(3) == 1).alias("held_out"))
+    dictionaries = language_id.fit(docs.filter(~F.col("held_out")))
+    found = language_id.predict(docs.drop("lang"), dictionaries)
+    return found.select("doc_id", "held_out", F.col("best").alias("lang_pred"), "score", "margin", F.col("lang").isNull().alias("rejected"))
+
+
 def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return window_dedup.dedup(docs, with_text=False)
@@ -87,6 +94,12 @@ FROM (SELECT doc_id, source, n_chars, (('0x' || substr(md5(coalesce(doc_id::VARC
 """
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(5) == 0).alias("held_out"))
+    scored = quality_model.classify(docs, _table(spark, sf_dir, "labels"), learn=~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(5) == 1).alias("held_out"))
     model = kneser_ney.train(docs.filter(~F.col("held_out")))

@@ -27,13 +27,18 @@ BLOCK_ROWS = 2000
 #: Probabilities this close to 0 or 1 count as decided.
 EPS = 1e-9
 
-_FLIGHT_SCHEMA = "doc_id long, source string, size long, whole long, p double, rank long"
+_FLIGHT_SCHEMA = "doc_id long, text_key long, source string, size long, whole long, p double, rank long"
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_key() -> Column:
+    """Tells apart rows of one id with different texts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def source_targets(sizes: DataFrame, weights: DataFrame | None = None, ceiling: float = 3.0) -> DataFrame:
     """One row a source: source, source_size, target. Without weights, sources weigh 1, 2, 3, repeating, by code point, null last.
 
@@ -121,7 +126,7 @@ def landing(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> np.ndarray:
 def _decide(last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # equal rows may change places: they are the same in every column that is returned
-        rows = rows.sort_values(["size", "rank", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["size", "rank", "doc_id", "text_key"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         size, p = rows["size"].to_numpy(float), rows["p"].to_numpy(float)
         draws = np.random.Generator(np.random.PCG64(int(np.bitwise_xor.reduce(rows["rank"].to_numpy(np.int64))) & 0x7FFFFFFF)).random(len(rows) + 8)
         p = flight(size, p, draws)
@@ -132,17 +137,17 @@ def _decide(last: bool):
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, ceiling: float = 3.0, seed: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every document of docs(doc_id, text, source).
+    """doc_id, text_key, source, size, source_size, target, copies, taken of every document of docs(doc_id, text, source).
 
     weights(source, weight) replaces the default 1, 2, 3. copies is how often the mix takes the document, taken = size * copies.
     """
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
+    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
     targets = stored(source_targets(sized, weights, ceiling), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = join_small(sized, targets, ["source"]).withColumn("copies", ratio)
     whole = F.floor(F.col("copies") + EPS)
     rows = rows.select(
-        "doc_id", "source", "size", whole.alias("whole"), F.greatest(F.lit(0.0), F.col("copies") - whole).alias("p"),
+        "doc_id", "text_key", "source", "size", whole.alias("whole"), F.greatest(F.lit(0.0), F.col("copies") - whole).alias("p"),
         F.xxhash64(F.lit(seed), "doc_id", "size").alias("rank"),
     )
     largest = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
@@ -161,4 +166,4 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, ceiling: float = 3.0,
     for part in done[1:]:
         out = out.unionByName(part)
     out = join_small(out, targets, ["source"]).withColumn("copies", (F.col("whole") + F.col("p").cast("long")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "text_key", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

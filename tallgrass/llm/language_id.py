@@ -1,11 +1,11 @@
 """Language ID by compression: a text belongs to the language whose dictionary compresses it best.
 
-Each language has a zstandard raw-content dictionary: texts of that language, reduced to their letters. A text, reduced likewise, is
+Each language has a zstandard raw-content dictionary: words of that language's texts, reduced to their letters, out of order. A text, reduced likewise, is
 cut into pieces of PIECE characters (all of it, so a long text does not become its own dictionary), each piece is compressed with
 each dictionary, and the sizes are added up. The smallest total wins. `lang` is null where the runner-up is closer than `margin`
 (a share of its size); `best` is the winner in any case.
 
-Dictionaries are fitted on a bounded sample: about SAMPLE_TEXTS labelled texts a language by a hash of the id, of which the first
+Dictionaries are fitted on a bounded sample: about SAMPLE_TEXTS labelled texts a language by a hash of the id, of whose words
 DICTIONARY_BYTES are used. All languages of the labelled rows are learned; with many, dictionaries shrink to TOTAL_BYTES together.
 
 Defined results: best is `und`, lang null and score 0 where the text is null or has no letter, or no language was learned; ties go
@@ -14,9 +14,11 @@ to the language first in code point order; further columns are kept; an empty ta
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -28,7 +30,7 @@ SAMPLE_TEXTS = 400
 DICTIONARY_BYTES = 96 << 10
 TOTAL_BYTES = 64 << 20
 PIECE = 2000
-LEVEL = 3
+LEVEL = 6
 UNDETERMINED = "und"
 
 _NO_LETTERS = regex.compile(r"[\W\d_]+")
@@ -49,21 +51,16 @@ def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dictionary_bytes:
     # a language's share of hash values that holds sample_texts of its texts in expectation
     share = {lang: min(1.0, sample_texts / n) for lang, n in counts.items()}
     limit = F.element_at(F.create_map(*(x for lang, s in share.items() for x in (F.lit(lang), F.lit(int(s * (1 << 32)))))), F.col("lang"))
-    # sampled texts go out whole, but no more of each than a dictionary holds
-    sample = rows.filter(F.pmod("__at", F.lit(1 << 32)) < limit).select("lang", "__at", F.substring("text", 1, room).alias("text"))
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for r in sample.toLocalIterator():
-        texts.setdefault(r.lang, []).append((r["__at"], r.text))
-    out = {}
-    for lang, found in sorted(texts.items()):
-        parts, size = [], 0
-        for _, text in sorted(found):
-            part = letters_of(text[: room // 8]).encode()
-            if size < room and part:
-                parts.append(part)
-                size += len(part) + 1
-        out[lang] = b" ".join(parts)[:room]
-    return {lang: d for lang, d in out.items() if len(d) >= 8}
+    sample = rows.filter(F.pmod("__at", F.lit(1 << 32)) < limit)
+
+    def one(found: pd.DataFrame) -> pd.DataFrame:
+        # words out of order: a passage that a text shares with the sample must not count as its language
+        words = [w for text in found.sort_values(["__at", "text"])["text"] for w in letters_of(text).split()]
+        random.Random(1).shuffle(words)
+        return pd.DataFrame({"lang": [found["lang"].iloc[0]], "dictionary": [" ".join(words).encode()[:room]]})
+
+    made = sample.groupBy("lang").applyInPandas(one, "lang string, dictionary binary")
+    return {r.lang: bytes(r.dictionary) for r in made.orderBy("lang").toLocalIterator() if len(r.dictionary) >= 8}
 
 
 def _predict(dictionaries: dict[str, bytes], at: int, margin: float):

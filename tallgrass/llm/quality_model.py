@@ -213,10 +213,27 @@ def score(rows: DataFrame, model: Trees) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs(doc_id, text, ...) without the text, with score. labels(doc_id, <label>); learn picks the documents whose labels may be used."""
-    stats = stored(with_statistics(docs), "statistics")
+def learned(stats: DataFrame, labels: DataFrame, learn: Column | None = None, label_column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Trees:
+    """Fits on stats(doc_id, stats, ...) and labels(doc_id, <label>); learn picks the rows of stats whose labels may be used."""
     usable = stats if learn is None else stats.filter(learn)
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label_column).alias("label")).filter("label IS NOT NULL").distinct()
     labelled = usable.select("doc_id", "stats").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "stats", "label")
-    return score(stats, fit(labelled, sample_rows))
+    return fit(labelled, sample_rows)
+
+
+def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """docs(doc_id, text, ...) without the text, with score. Texts are read once; their statistics are a table of their own."""
+    stats = stored(with_statistics(docs), "statistics")
+    return score(stats, learned(stats, labels, learn, label_column, sample_rows))
+
+
+def score_texts(docs: DataFrame, model: Trees, text_column: str = "text") -> DataFrame:
+    """docs, text and all, with score."""
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(statistics(batch.column(at))), pa.float64())], names=[*batch.schema.names, "score"])
+
+    docs = docs.drop("score")
+    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField("score", T.DoubleType())]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import balanced_mix, decontaminate, kneser_ney, language_id, ngram_join, quality_model, shard_table, window_dedup
+from tallgrass.llm import balanced_mix, decontaminate, kneser_ney, language_id, license_scan, ngram_join, quality_model, robust_outliers, shard_table, window_dedup
 from tallgrass.llm.shared import crc_mod
 
 
@@ -17,6 +17,10 @@ def op1_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers.judge(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return marked.select(
@@ -83,6 +87,13 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM dw JOIN l
 """
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its best license match, null if it has none, and the number of matches."""
+    found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.get("matches", 0)
+    return found.select("doc_id", best["name"].alias("license"), best["matched"].alias("matched"), best["coverage"].alias("coverage"), best["first_word"].alias("first_word"), best["last_word"].alias("last_word"), best["span"].alias("span"), F.size("matches").cast("long").alias("n_matches"))
+
+
 def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table.place(_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
 

@@ -9,8 +9,9 @@ A document's set holds its distinct N-word shingles (the whole sequence if it ha
    list and sends each at most once, so a shingle in very many documents is a few rows. Documents whose count stays below the
    bound have no partner and leave.
 3. The product itself, over what is left: postings of the rarest shingles of each set (frequent ones never lead, as the order is by
-   document frequency). Each posting list meets its pivot, the member that shares most of its shingles, and only lists
-   whose members are still in different components meet in full; the overlap of every such pair is counted exactly.
+   document frequency). Each posting list meets its pivot, the member that shares most of its shingles. In lists whose members are
+   then still in different components, those outside the largest one meet all others. Pairs whose sizes and shared shingles
+   rule a link out are dropped before; the overlap of every other pair is counted exactly.
 4. Links become components; each document gets the smallest id of its component.
 
 Shingles are compared by 64-bit hashes. Defined results: null, empty and blank texts have size 0, link with nothing and are their
@@ -37,6 +38,8 @@ PERCENT = 80
 #: Shingles of one block of columns, about.
 BLOCK_SHINGLES = 100_000
 PACK_BYTES = 8 << 20
+#: Up to this many bits (32 MB) the ids still of interest are broadcast as a bitmap; beyond, texts meet them in a join.
+MOST_BITS = 1 << 28
 
 
 def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +114,8 @@ def _survey(n: int, percent: int, blocks: int):
                 h, owner, many = h[head], owner[head], times > 1
                 block = (mixed(h) % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
-                h, owner, many, block = h[order], owner[order], many[order], block[order]
+                # 32 bits tell apart the about BLOCK_SHINGLES of a block; one mistaken for another only keeps a set for step 3
+                h, owner, many, block = (h[order] >> np.uint64(32)).astype(np.uint32), owner[order], many[order], block[order]
                 at = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
                 out = []
                 for a, b in zip(at, [*at, len(block)][1:], strict=True):
@@ -146,7 +150,7 @@ def _count_block(table: pa.Table) -> pa.Table:
     for packed, h, places in zip(*(table.column(x).to_pylist() for x in ("sets", "hashes", "places")), strict=True):
         doc, one = np.frombuffer(grow(packed), np.int64).reshape(2, -1)
         place = np.frombuffer(grow(places), np.int32).astype(np.int64)
-        docs.append(doc), ones.append(one), hashes.append(np.frombuffer(h, np.uint64))
+        docs.append(doc), ones.append(one), hashes.append(np.frombuffer(h, np.uint32))
         sets.append(np.where(place < 0, -1, place + base))
         base += len(doc)
     doc, one, h, owner = map(np.concatenate, (docs, ones, hashes, sets))
@@ -162,19 +166,51 @@ def _count_block(table: pa.Table) -> pa.Table:
     return pa.table({"doc": doc[near], "one": one[near], "n": n.astype(np.int64)})
 
 
-def _sets(n: int):
+def _sets(n: int, bitmap):
     def run(batches):
         for batch in batches:
+            if bitmap is not None:
+                at = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((bitmap.value[at >> 3] >> (at & 7) & 1).astype(bool)))
             for w in chunked(batch.column(1), BLANK_SPLIT_FOLDED):
                 owner, h = shingle_sets(w, n)
-                size, one, two = _set_keys(owner, h, len(w.lo))
+                size, one, _ = _set_keys(owner, h, len(w.lo))
                 ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[w.first : w.first + len(w.lo)], pa.array(one.view(np.int64)), pa.array(size.astype(np.int64)), sets], ["doc", "node", "size", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(size.astype(np.int64)), sets], ["node", "size", "shingles"])
 
     return run
 
 
+def _bitmap(ids: DataFrame, column: str, bits: int):
+    """A bit for each hash of an id modulo bits, put together from segments of 2^23 bits; the size is bounded by MOST_BITS."""
+    import pandas as pd
+
+    def segment(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(1 << 20, np.uint8)
+        at = rows["at"].to_numpy() & ((1 << 23) - 1)
+        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bytes": [out.tobytes()]})
+
+    places = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("at")).distinct().withColumn("segment", F.shiftright("at", 23))
+    whole = np.zeros(max(bits >> 3, 1 << 20), np.uint8)
+    for r in places.groupBy("segment").applyInPandas(segment, "segment long, bytes binary").toLocalIterator():
+        whole[r.segment << 20 : (r.segment + 1) << 20] = np.frombuffer(r.bytes, np.uint8)
+    return whole
+
+
+def sets_of(docs: DataFrame, alive: DataFrame, shingle: int) -> DataFrame:
+    """node, size, shingles of the documents alive, and of few more: those whose ids share a bit with theirs."""
+    n = alive.count()
+    bits = 1 << max(23, (12 * n).bit_length())
+    if bits <= MOST_BITS:
+        sent = docs.sparkSession.sparkContext.broadcast(_bitmap(alive, "doc", bits))
+        rows = docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(bits)).alias("at"))
+    else:
+        sent, rows = None, docs.join(alive.select("doc").distinct(), "doc", "left_semi").select("doc", "text")
+    return rows.mapInArrow(_sets(shingle, sent), "node long, size long, shingles array<long>")
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root of all nodes of links(a, b): root is the smallest node of the component. Large-star and small-star rounds."""
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -197,25 +233,29 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) those that link, with their overlap."""
+    """Of pairs(a, b) those that link, with their overlap. The sets move to the pairs at any size of these, so plans stay alike."""
     left = sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("shingles").alias("of_b"))
-    met = pairs.join(right, "b").join(left, "a")
+    met = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     overlap = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     met = met.select("a", "b", "size_a", "size_b", overlap.alias("overlap"))
     return met.filter(100 * F.col("overlap") >= percent * (F.col("size_a") + F.col("size_b") - F.col("overlap"))).select("a", "b", "overlap")
 
 
-def _fits(percent: int):
-    return (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (F.col("a") != F.col("b"))
+def _can_link(percent: int):
+    """Bounds from sizes: the overlap that two sets of these sizes need is at most what each shares with any set."""
+    total = F.col("size_a") + F.col("size_b")
+    shared = F.least("shared_a", "shared_b")
+    near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    return near & ((100 + percent) * shared >= percent * total) & (F.col("a") != F.col("b"))
 
 
 def survey(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """All documents (doc, size, one, two); and of the sets that may have a partner one document each (doc, one)."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars // (20 * block_shingles)) + 1  # about a listed shingle for 20 characters
-    seen = stored(docs.mapInArrow(_survey(shingle, percent, blocks), _SURVEY), "survey")
-    rows = seen.filter(F.col("block").isNull())
+    seen = docs.mapInArrow(_survey(shingle, percent, blocks), _SURVEY)  # two passes over the texts: cheaper than a copy of all lists
+    rows = stored(seen.filter(F.col("block").isNull()).select("doc", "size", "one", "two", "count", "first"), "survey")
     sent = seen.filter(F.col("block").isNotNull()).select("block", "sets", "hashes", "places")
     counts = sent.groupBy("block").applyInArrow(_count_block, "doc long, one long, n long").groupBy("doc", "one").agg(F.sum("n").alias("n"))
     size = F.col("size")
@@ -228,29 +268,37 @@ def survey(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bloc
 
 def links(docs: DataFrame, alive: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """a, b, overlap: links that join the same sets as all links do. docs(doc, text); alive(doc, one)."""
-    texts = docs.join(alive.select("doc").distinct(), "doc", "left_semi")
-    sets = texts.mapInArrow(_sets(shingle), "doc long, node long, size long, shingles array<long>")
-    sets = stored(sets.join(alive.select(F.col("doc"), F.col("one").alias("node")), ["doc", "node"], "left_semi").select("node", "size", "shingles"), "sets")
+    sets = stored(sets_of(docs, alive, shingle), "sets")
     entries = sets.select("node", "size", F.explode("shingles").alias("shingle"))
     often = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = entries.join(often, "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("own"))
+    own = entries.join(often.hint("merge"), "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("own"))
     kept = F.size("own") - (F.floor((percent * F.col("size") + 99) / 100)) + 1
-    lead = shared.filter(kept > 0).select("node", "size", F.size("own").alias("n"), F.explode(F.slice("own", F.lit(1), kept.cast("int"))).alias("x"))
-    postings = stored(lead.select(F.col("x.shingle").alias("shingle"), "node", "size", (F.col("n") / F.col("size")).alias("share")), "postings")
-
-    pivot = postings.groupBy("shingle").agg(F.max(F.struct("share", F.struct("size", "node"))).alias("p")).select("shingle", F.col("p.col2.node").alias("a"), F.col("p.col2.size").alias("size_a"))
-    stars = postings.withColumnRenamed("node", "b").withColumnRenamed("size", "size_b").join(pivot, "shingle").filter(_fits(percent))
+    lead = own.filter(kept > 0).select("node", "size", F.size("own").cast("long").alias("shared"), F.explode(F.slice("own", F.lit(1), kept.cast("int"))).alias("x"))
+    lead = stored(lead.select(F.col("x.shingle").alias("shingle"), "node", "size", "shared"), "lead")
+    # a set too poor in shared shingles for even the smallest set of a list leaves that list
+    least = lead.groupBy("shingle").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    useful = (100 + percent) * F.col("shared") >= percent * (F.col("size") + F.greatest("least", F.floor((percent * F.col("size") + 99) / 100)))
+    postings = stored(lead.join(least, "shingle").filter(useful).select("shingle", "node", "size", "shared"), "postings")
+
+    as_a = {"node": "a", "size": "size_a", "shared": "shared_a"}
+    as_b = {"node": "b", "size": "size_b", "shared": "shared_b"}
+    rank = F.struct((F.col("shared") / F.col("size")).alias("part"), "size", "node", "shared")
+    pivot = postings.groupBy("shingle").agg(F.max(rank).alias("p")).select("shingle", "p.node", "p.size", "p.shared").withColumnsRenamed(as_a)
+    stars = postings.withColumnsRenamed(as_b).join(pivot, "shingle").filter(_can_link(percent))
     tried = stored(stars.select("a", "b").distinct(), "stars")
     found = stored(_counted(tried, sets, percent), "links")
 
+    # what may still join two components: in each list, the members outside its largest component against all others
     roots = components(found)
-    placed = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_lists = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    rest = stored(placed.join(open_lists, "shingle", "left_semi"), "open-postings")
-    left = rest.select("shingle", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    right = rest.select("shingle", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    more = left.join(right, "shingle").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _fits(percent)).select("a", "b").distinct()
-    done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    placed = stored(postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    parts = placed.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("p"), F.count(F.lit(1)).alias("parts"))
+    split = parts.filter("parts > 1").select("shingle", F.col("p.root").alias("main"))
+    rest = stored(placed.join(split, "shingle"), "open-postings")
+    few = rest.filter("root <> main").drop("main").withColumnsRenamed(as_a | {"root": "root_a"})
+    all_of = rest.drop("main").withColumnsRenamed(as_b | {"root": "root_b"})
+    more = few.join(all_of, "shingle").filter((F.col("root_a") != F.col("root_b")) & _can_link(percent))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.unionByName(_counted(more.join(done, ["a", "b"], "left_anti"), sets, percent))
 
 

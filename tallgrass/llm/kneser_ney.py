@@ -45,7 +45,7 @@ from tallgrass.llm.words import BLANK_SPLIT_FOLDED, Words, chunked
 COUNT_BYTES = 8 << 20
 #: Tokens for each shard of pairs, and distinct tokens for each shard of the vocabulary, about.
 PAIR_SHARD_TOKENS = 2_000_000
-VOCABULARY_SHARD = 1 << 20
+VOCABULARY_SHARD = 1 << 17
 #: Stands for the end of a text in the vocabulary, and for its start as a context.
 END_HASH = np.uint64(0x5DEECE66D1234567)
 _START = 0xFFFFFFFF
@@ -143,10 +143,6 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
-def _unsigned(column: str):
-    """Orders a signed 64-bit hash as unsigned."""
-    return F.col(column).bitwiseXOR(F.lit(-(1 << 63)))
-
 
 @dataclass(frozen=True)
 class Model:

@@ -1,8 +1,8 @@
 """The registered queries: name, query, and its DuckDB counterpart where SQL can express it."""
 
-from tallgrass.plans import analytics, detection
+from tallgrass.plans import analytics, detection, streams
 
-_REGISTRIES = (detection.registry, analytics.registry)
+_REGISTRIES = (detection.registry, analytics.registry, streams.registry)
 
 
 def all_queries() -> dict:

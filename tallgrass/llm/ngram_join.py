@@ -9,9 +9,9 @@ A document's set holds its distinct N-word shingles (the whole sequence if it ha
    list and sends each at most once, so a shingle in very many documents is a few rows. Documents whose count stays below the
    bound have no partner and leave.
 3. The product itself, over what is left: postings of the rarest shingles of each set (frequent ones never lead, as the order is by
-   document frequency). Each posting list meets its pivot, the member that shares most of its shingles. In lists whose members are
-   then still in different components, those outside the largest one meet all others. Pairs whose sizes and shared shingles
-   rule a link out are dropped before; the overlap of every other pair is counted exactly.
+   document frequency), each with the largest size of a set it can still link with. Each posting list meets its pivot, the member
+   with the most frequent shingles. In lists whose members are then still in different components, those outside the largest one
+   meet all others. The overlap of every pair that the sizes allow is counted exactly.
 4. Links become components; each document gets the smallest id of its component.
 
 Shingles are compared by 64-bit hashes. Defined results: null, empty and blank texts have size 0, link with nothing and are their
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.llm.shared import NO_ID, stored
@@ -242,12 +242,9 @@ def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(100 * F.col("overlap") >= percent * (F.col("size_a") + F.col("size_b") - F.col("overlap"))).select("a", "b", "overlap")
 
 
-def _can_link(percent: int):
-    """Bounds from sizes: the overlap that two sets of these sizes need is at most what each shares with any set."""
-    total = F.col("size_a") + F.col("size_b")
-    shared = F.least("shared_a", "shared_b")
-    near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    return near & ((100 + percent) * shared >= percent * total) & (F.col("a") != F.col("b"))
+def _can_link() -> Column:
+    """Each is within the reach of the other's posting, and not itself."""
+    return (F.col("size_a") <= F.col("reach_b")) & (F.col("size_b") <= F.col("reach_a")) & (F.col("a") != F.col("b"))
 
 
 def survey(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
@@ -272,19 +269,23 @@ def links(docs: DataFrame, alive: DataFrame, shingle: int = SHINGLE, percent: in
     entries = sets.select("node", "size", F.explode("shingles").alias("shingle"))
     often = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = entries.join(often.hint("merge"), "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("own"))
-    kept = F.size("own") - (F.floor((percent * F.col("size") + 99) / 100)) + 1
-    lead = own.filter(kept > 0).select("node", "size", F.size("own").cast("long").alias("shared"), F.explode(F.slice("own", F.lit(1), kept.cast("int"))).alias("x"))
-    lead = stored(lead.select(F.col("x.shingle").alias("shingle"), "node", "size", "shared"), "lead")
-    # a set too poor in shared shingles for even the smallest set of a list leaves that list
-    least = lead.groupBy("shingle").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    useful = (100 + percent) * F.col("shared") >= percent * (F.col("size") + F.greatest("least", F.floor((percent * F.col("size") + 99) / 100)))
-    postings = stored(lead.join(least, "shingle").filter(useful).select("shingle", "node", "size", "shared"), "postings")
-
-    as_a = {"node": "a", "size": "size_a", "shared": "shared_a"}
-    as_b = {"node": "b", "size": "size_b", "shared": "shared_b"}
-    rank = F.struct((F.col("shared") / F.col("size")).alias("part"), "size", "node", "shared")
-    pivot = postings.groupBy("shingle").agg(F.max(rank).alias("p")).select("shingle", "p.node", "p.size", "p.shared").withColumnsRenamed(as_a)
-    stars = postings.withColumnsRenamed(as_b).join(pivot, "shingle").filter(_can_link(percent))
+    # If the first shared shingle of two sets stands at place i of one of them, by document frequency, they share at most its size - i;
+    # linking takes percent / (100 + percent) of both sizes. So a posting reaches sets up to a certain size only, and less far the
+    # later it stands: frequent shingles, which come last, do not bring sets together that have much else besides them.
+    shared = F.size("own").cast("long")
+    weight = F.aggregate("own", F.lit(0.0), lambda w, x: w + F.log(x["df"])) / F.col("size")
+    lead = own.select("node", "size", shared.alias("shared"), weight.alias("weight"), F.posexplode("own").alias("at", "x"))
+    reach = F.call_function("div", (F.col("shared") - F.col("at")) * F.lit(100 + percent), F.lit(percent)) - F.col("size")
+    lead = lead.select(F.col("x.shingle").alias("shingle"), "node", "size", "weight", reach.cast("long").alias("reach"))
+    lead = stored(lead.filter(100 * F.col("reach") >= percent * F.col("size")), "lead")
+    # one that does not reach even the smallest set of a list leaves the list
+    least = lead.groupBy("shingle").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle", "least")
+    postings = stored(lead.join(least, "shingle").filter("least <= reach").drop("least"), "postings")
+
+    as_a = {"node": "a", "size": "size_a", "reach": "reach_a"}
+    as_b = {"node": "b", "size": "size_b", "reach": "reach_b"}
+    pivot = postings.groupBy("shingle").agg(F.max(F.struct("weight", "size", "node", "reach")).alias("p")).select("shingle", "p.node", "p.size", "p.reach").withColumnsRenamed(as_a)
+    stars = postings.withColumnsRenamed(as_b).join(pivot, "shingle").filter(_can_link())
     tried = stored(stars.select("a", "b").distinct(), "stars")
     found = stored(_counted(tried, sets, percent), "links")
 
@@ -296,7 +297,7 @@ def links(docs: DataFrame, alive: DataFrame, shingle: int = SHINGLE, percent: in
     rest = stored(placed.join(split, "shingle"), "open-postings")
     few = rest.filter("root <> main").drop("main").withColumnsRenamed(as_a | {"root": "root_a"})
     all_of = rest.drop("main").withColumnsRenamed(as_b | {"root": "root_b"})
-    more = few.join(all_of, "shingle").filter((F.col("root_a") != F.col("root_b")) & _can_link(percent))
+    more = few.join(all_of, "shingle").filter((F.col("root_a") != F.col("root_b")) & _can_link())
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.unionByName(_counted(more.join(done, ["a", "b"], "left_anti"), sets, percent))

@@ -13,23 +13,24 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-NULL = F.lit(None).cast("long")
+def null():
+    return F.lit(None).cast("long")
 
 
 def test_null_is_a_value(spark):
-    assert one(spark, t.eq(NULL, NULL)) is True
-    assert one(spark, t.ne(NULL, 0)) is True
-    assert one(spark, ~t.truthy(NULL, "number")) is True
-    assert one(spark, t.lt(NULL, 5)) is False
-    assert one(spark, t.is_in(NULL, [1, None])) is True
-    assert one(spark, t.is_in(NULL, [1])) is False
-    assert one(spark, t.not_in(NULL, [1])) is True
+    assert one(spark, t.eq(null(), null())) is True
+    assert one(spark, t.ne(null(), 0)) is True
+    assert one(spark, ~t.truthy(null(), "number")) is True
+    assert one(spark, t.lt(null(), 5)) is False
+    assert one(spark, t.is_in(null(), [1, None])) is True
+    assert one(spark, t.is_in(null(), [1])) is False
+    assert one(spark, t.not_in(null(), [1])) is True
 
 
 def test_order_by_dialect(spark):
-    assert one(spark, t.le(NULL, NULL)) is True
-    assert one(spark, t.le(NULL, NULL, "agent")) is False
-    assert one(spark, t.ge(NULL, 1)) is False
+    assert one(spark, t.le(null(), null())) is True
+    assert one(spark, t.le(null(), null(), "agent")) is False
+    assert one(spark, t.ge(null(), 1)) is False
 
 
 def test_nan_equals_nothing(spark):
@@ -60,7 +61,7 @@ def test_saturating(spark):
     assert one(spark, numeric.add(most, one_)) == (1 << 63) - 1
     assert one(spark, numeric.subtract(least, one_)) == -(1 << 63)
     assert one(spark, numeric.multiply(most, F.lit(-2).cast("long"))) == -(1 << 63)
-    assert one(spark, numeric.add(NULL, one_)) is None
+    assert one(spark, numeric.add(null(), one_)) is None
 
 
 def test_division(spark):
@@ -167,7 +168,7 @@ def test_network(spark):
 
 
 def test_clock(spark):
-    assert one(spark, clock.trusted_time(NULL, F.lit(10).cast("long"))) == 10
+    assert one(spark, clock.trusted_time(null(), F.lit(10).cast("long"))) == 10
     assert one(spark, clock.in_band(F.lit(0).cast("long"), F.lit(86_400_000).cast("long"))) is True
     ts = F.lit("2024-01-06 10:00:00").cast("timestamp")
     assert one(spark, clock.weekday(ts)) == "saturday" and one(spark, clock.is_business_hour(ts)) is False

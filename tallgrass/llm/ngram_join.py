@@ -268,13 +268,16 @@ def links(docs: DataFrame, alive: DataFrame, shingle: int = SHINGLE, percent: in
     sets = stored(sets_of(docs, alive, shingle), "sets")
     entries = sets.select("node", "size", F.explode("shingles").alias("shingle"))
     often = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    own = entries.join(often.hint("merge"), "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("own"))
+    of_node = [F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("own"), F.avg(F.log("df")).alias("often")]
+    own = entries.join(often.hint("merge"), "shingle").groupBy("node", "size").agg(*of_node)
     # If the first shared shingle of two sets stands at place i of one of them, by document frequency, they share at most its size - i;
     # linking takes percent / (100 + percent) of both sizes. So a posting reaches sets up to a certain size only, and less far the
     # later it stands: frequent shingles, which come last, do not bring sets together that have much else besides them.
     shared = F.size("own").cast("long")
-    weight = F.aggregate("own", F.lit(0.0), lambda w, x: w + F.log(x["df"])) / F.col("size")
-    lead = own.select("node", "size", shared.alias("shared"), weight.alias("weight"), F.posexplode("own").alias("at", "x"))
+    weight = F.col("often") * shared / F.col("size")
+    # places from shared - percent * size on fail the filter below
+    head = F.slice("own", F.lit(1), F.greatest(shared - F.floor(F.col("size") * percent / 100) + 1, F.lit(0)).cast("int"))
+    lead = own.select("node", "size", shared.alias("shared"), weight.alias("weight"), F.posexplode(head).alias("at", "x"))
     reach = F.call_function("div", (F.col("shared") - F.col("at")) * F.lit(100 + percent), F.lit(percent)) - F.col("size")
     lead = lead.select(F.col("x.shingle").alias("shingle"), "node", "size", "weight", reach.cast("long").alias("reach"))
     lead = stored(lead.filter(100 * F.col("reach") >= percent * F.col("size")), "lead")

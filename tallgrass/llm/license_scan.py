@@ -9,7 +9,7 @@ text repeats. Reported are alignments that cover enough of their template, with
 Templates come as a table; it is collected after its words are counted (MAX_TEMPLATE_WORDS), as a set of license texts has a fixed size.
 
 Defined results: null and empty texts and texts without a match have no rows in `scan` and nulls in `best`; a template shorter than GRAM
-words is compared word by word at each place of its first word; equal coverage goes to the longer match, then the name first in
+words is compared word by word at each place of its first word; copies of a longer one that start within BAND words of each other count once; equal coverage goes to the longer match, then the name first in
 order; repeated rows each get their results; an empty table of texts or templates gives no matches.
 """
 
@@ -113,14 +113,16 @@ class Index:
             found.sort()
             n, last = len(self.words[t]), None
             for offset, _ in found:
-                if last is None or offset > last + BAND:
+                if n < self.gram:
+                    yield t, offset, min(len(h), offset + n)
+                elif last is None or offset > last + BAND:
                     yield t, max(0, offset - BAND), min(len(h), offset + n + BAND)
                     last = offset
 
 
 def align(a: np.ndarray, b: np.ndarray, band: int = BAND) -> tuple[int, int, int]:
     """Most words of a that stand in b in order, within the band around the diagonals that the length of b allows; and the span of
-    these in b. Of the ways to match the most, the one that ends first and starts last."""
+    these in b. Of the ways to match the most, the one that starts last; of those, the one that ends first."""
     width, one = max(0, len(b) - len(a)) + 2 * band, 1 << 32
     best = np.zeros(len(b) + 1, np.int64)  # matched words, then the place in b where they start
     for i, word in enumerate(a):

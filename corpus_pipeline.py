@@ -21,9 +21,8 @@ def _id() -> Column:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects. It learns from labels of documents outside the fifth held out."""
-    rows = docs.select("doc_id", "text", (crc_mod(5) == 0).alias("held_out"))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality_model.learned(quality_model.with_statistics(rows), labels, learn=~F.col("held_out"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod(5) != 0)
+    model = quality_model.learned_from_texts(docs, labels)
     return quality_model.score_texts(docs, model).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
 
 

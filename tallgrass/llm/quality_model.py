@@ -107,6 +107,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """docs without the text, with stats: array<float>."""
+    docs = docs.drop("stats")
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +117,8 @@ def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, packed], names=[*(c for i, c in enumerate(batch.schema.names) if i != at), "stats"])
 
-    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name not in (text_column, "stats")]
-    return docs.drop("stats").mapInArrow(run, T.StructType([*fields, T.StructField("stats", T.ArrayType(T.FloatType()))]))
+    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name != text_column]
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("stats", T.ArrayType(T.FloatType()))]))
 
 
 @dataclass(frozen=True)
@@ -200,6 +201,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
 
 def score(rows: DataFrame, model: Trees) -> DataFrame:
     """rows(stats, ...) without stats, with score."""
+    rows = rows.drop("score")
     at = rows.columns.index("stats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +210,6 @@ def score(rows: DataFrame, model: Trees) -> DataFrame:
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(x), pa.float64())], names=[*(c for i, c in enumerate(batch.schema.names) if i != at), "score"])
 
-    rows = rows.drop("score")
     fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema if f.name != "stats"]
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
@@ -221,6 +222,19 @@ def learned(stats: DataFrame, labels: DataFrame, learn: Column | None = None, la
     return fit(labelled, sample_rows)
 
 
+def learned_from_texts(docs: DataFrame, labels: DataFrame, label_column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Trees:
+    """Fits on docs(doc_id, text) and labels(doc_id, <label>). The labels are sampled first, by a hash of the id: statistics are computed
+    of the sampled documents only, and no text moves. At most 2 * sample_rows ids are broadcast."""
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(label_column).alias("label"), F.xxhash64("doc_id").alias("at")).filter("label IS NOT NULL").distinct()
+    n = known.count()
+    if n > sample_rows:
+        known = known.filter(F.pmod("at", F.lit(1 << 32)) < F.lit(int(sample_rows / n * (1 << 32))))
+    known = stored(known.orderBy("at", "__id", "label").limit(2 * sample_rows), "labels")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
+    stats = stored(with_statistics(rows), "label-statistics")
+    return fit(stats.join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "stats", "label"), sample_rows)
+
+
 def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs(doc_id, text, ...) without the text, with score. Texts are read once; their statistics are a table of their own."""
     stats = stored(with_statistics(docs), "statistics")
@@ -229,11 +243,11 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None, la
 
 def score_texts(docs: DataFrame, model: Trees, text_column: str = "text") -> DataFrame:
     """docs, text and all, with score."""
+    docs = docs.drop("score")
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(statistics(batch.column(at))), pa.float64())], names=[*batch.schema.names, "score"])
 
-    docs = docs.drop("score")
     return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField("score", T.DoubleType())]))

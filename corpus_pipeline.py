@@ -27,19 +27,42 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 5-word shingles (Jaccard 0.8 or more) one stays: the one with the smallest id."""
-    groups = ngram_join.join(docs.select("doc_id", "text"))
-    # the group's smallest id is the own id of the row that stays; if rows share that id, the one with the least text stays
-    lead = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_id())
-    kept = docs.withColumn("__id", _id()).join(lead.distinct(), "__id", "left_semi")
-    again = stored(docs.select(_id()).groupBy("__id").count().filter("count > 1").select("__id"), "repeated-ids")
+    """Of each group of documents linked by 5-word shingles (Jaccard 0.8 or more) one stays: the one with the smallest id.
+
+    Rows without an id are documents of their own: one of a group that holds no id stays, and each of those without words. Rows that
+    share an id are one document: of those that lead their groups one stays, with the least text that has words.
+    """
+    groups = ngram_join.grouped(docs.select("doc_id", "text"))
+    named = docs.withColumn("__id", _id())
+    again = stored(named.groupBy("__id").count().filter("count > 1").select("__id"), "repeated-ids")
+    # the group's smallest id is the own id of the row that stays
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(again, "__id", "left_anti")
-    more = kept.join(again, "__id", "left_semi")
-    least = more.groupBy("__id").agg(F.min(F.struct(F.coalesce("text", F.lit("")), *(c for c in docs.columns if c != "text"))).alias("row"))
-    least = least.select(*(F.col("row.col1").alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns))
-    return once.select(*docs.columns).unionByName(least)
+        return named.join(groups.filter("doc = component").select(F.col("doc").alias("__id")), "__id", "left_semi").select(*docs.columns)
+    leads = stored(groups.filter("doc = component"), "leads")
+    without = F.col("__id") == F.lit(NO_ID)
+    repeated = again.filter(~without)
+    kept = named.filter(~without).join(leads.filter(F.col("doc") != F.lit(NO_ID)).select(F.col("doc").alias("__id")).distinct(), "__id", "left_semi")
+    rest = [c for c in docs.columns if c != "text"]
+
+    def least(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Of the rows with the same keys the one with the least text; with __size and the keys."""
+        row = F.min(F.struct((F.col("__size") == 0).alias("__blank"), F.coalesce("text", F.lit("")).alias("__least"), "text", *rest, "__size")).alias("__row")
+        found = rows.groupBy(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys))).agg(row)
+        return found.select(*(F.col("__row")[c].alias(c) for c in [*docs.columns, "__size"]), *(F.col(f"__key{i}").alias(k) for i, k in enumerate(keys)))
+
+    of_set = [F.col(c).alias(f"__{c}") for c in ("one", "two", "group", "group2")]
+    once = kept.join(repeated, "__id", "left_anti").select(*docs.columns)
+    # rows of one id that do not lead their own group go before one is taken
+    led = leads.filter("size > 0").join(repeated, F.col("doc") == F.col("__id"), "left_semi").select(F.col("doc").alias("__id"), *of_set[:2]).distinct()
+    more = ngram_join.with_set_keys(kept.join(repeated, "__id", "left_semi"))
+    words = more.filter("__size > 0").join(led, ["__id", "__one", "__two"], "left_semi")
+    shared = least(words.unionByName(more.filter("__size = 0")), ["__id"])
+    # rows without an id: equal sets first, so that the join meets each set once
+    keyed = ngram_join.with_set_keys(named.filter(without))
+    free = leads.filter((F.col("doc") == F.lit(NO_ID)) & (F.col("size") > 0)).select(*of_set).distinct()
+    single = least(least(keyed.filter("__size > 0"), ["__one", "__two"]).join(free, ["__one", "__two"]), ["__group", "__group2"])
+    blank = keyed.filter("__size = 0")
+    return once.unionByName(shared.select(*docs.columns)).unionByName(single.select(*docs.columns)).unionByName(blank.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

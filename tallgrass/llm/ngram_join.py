@@ -28,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallgrass.llm.shared import NO_ID, stored
 from tallgrass.llm.words import BLANK_SPLIT_FOLDED, Words, chunked, mixed, run_hashes
@@ -306,8 +307,24 @@ def links(docs: DataFrame, alive: DataFrame, shingle: int = SHINGLE, percent: in
     return found.unionByName(_counted(more.join(done, ["a", "b"], "left_anti"), sets, percent))
 
 
-def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
+def with_set_keys(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """docs(text, ...) with __size, __one and __two of each row's set, as `grouped` has them."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in chunked(batch.column(at), BLANK_SPLIT_FOLDED, PACK_BYTES):
+                size, one, two = _set_keys(*shingle_sets(w, shingle), len(w.lo))
+                keys = [pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(w.first, len(w.lo)).columns, *keys], names=[*batch.schema.names, "__size", "__one", "__two"])
+
+    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema]
+    return docs.mapInArrow(run, T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in ("__size", "__one", "__two"))]))
+
+
+def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc, size, one, two, component for every row of docs(doc_id, text), where NO_ID stands for null; and group, group2, which tell
+    components apart even if they hold null ids only (rows of size 0, each its own component, excepted)."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     seen, alive = survey(rows, shingle, percent, block_shingles)
     alive = stored(alive, "alive")
@@ -316,9 +333,15 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_
     classes = seen.filter("size > 0").groupBy("one", "two").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"))
     linked = classes.join(roots, F.col("one") == F.col("node")).select("one", "two", "root", "least", "copies")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    moved = linked.join(least, "root").select("one", "two", "component")
-    alone = classes.filter("copies > 1").join(moved, ["one", "two"], "left_anti").select("one", "two", F.col("least").alias("component"))
+    moved = linked.join(least, "root").select("one", "two", "component", "root")
+    alone = classes.filter("copies > 1").join(moved, ["one", "two"], "left_anti").select("one", "two", F.col("least").alias("component"), F.lit(None).cast("long").alias("root"))
     out = seen.join(moved.unionByName(alone), ["one", "two"], "left")
-    component = F.coalesce("component", "doc")
-    blank = lambda c: F.when(c != F.lit(NO_ID), c)
-    return out.select(blank(F.col("doc")).alias("doc_id"), F.col("size").alias("n_shingles"), blank(component).alias("component_id"))
+    own = F.when(F.col("root").isNull(), F.col("two"))
+    return out.select("doc", "size", "one", "two", F.coalesce("component", "doc").alias("component"), F.coalesce("root", "one").alias("group"), own.alias("group2"))
+
+
+def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
+    out = grouped(docs, shingle, percent, block_shingles)
+    blank = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
+    return out.select(blank("doc").alias("doc_id"), F.col("size").alias("n_shingles"), blank("component").alias("component_id"))

@@ -120,6 +120,17 @@ def test_near_duplicates_with_repeated_ids(spark, folder):
     assert [x[0] for x in found].count(1) == 1 and 2 not in [x[0] for x in found]
 
 
+def test_near_duplicates_without_ids(spark):
+    text = [prose(i, 40) for i in range(8)]
+    stay = [(1, text[0], "en", "s", 1), (None, text[1], "en", "s", 1), (None, text[2], "en", "s", 2), (None, text[3], "a", "s", 1)]
+    stay += [(None, None, None, None, None), (None, "", "en", "s", 0), (None, " ", "en", "s", 1), (2, text[4], "en", "s", 1), (3, text[5], "en", "s", 1)]
+    gone = [(None, text[0] + " tail", "en", "s", 1), (None, text[2] + " tail", "en", "s", 1), (None, text[3], "b", "s", 1), (None, text[4], "en", "s", 1)]
+    # of the rows with id 3 one is a near copy of id 1 and one has no words
+    gone += [(3, text[0] + " also", "en", "s", 1), (3, None, "en", "s", 1)]
+    found = collected(STAGE["n-gram Jaccard join"](spark, spark.createDataFrame(gone + stay, SCHEMA), ""))
+    assert found == sorted(stay, key=repr)
+
+
 def test_decontamination(spark, folder):
     rows = corpus()
     found = collected(STAGE["benchmark decontamination"](spark, spark.createDataFrame(rows, SCHEMA), folder))

@@ -28,13 +28,22 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared}/stream-{uuid.uuid4().hex[:12]}"
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the store that Spark reads; fails if nothing is there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(found).isDirectory()
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream, whether it is a file or a folder of part files: a stream's source is a folder."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema)
+    path = f"{sf_dir}/events.parquet"
+    rows = stream.parquet(path) if _is_folder(spark, path) else stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "user_id", (F.col("user_id") % 3).alias("tenant_id"), "event_type", "value")
 
 
-def _finished(rows: DataFrame, mode: str = "append") -> DataFrame:
+def _finished(sf_dir: str, rows: DataFrame, mode: str = "append") -> DataFrame:
     spark = rows.sparkSession
     folder = _folder(spark)
     out = f"{folder}/out"
@@ -44,6 +53,9 @@ def _finished(rows: DataFrame, mode: str = "append") -> DataFrame:
     else:
         query = writer.foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).start()
     query.awaitTermination()
+    met = any(s["endOffset"] and "logOffset" in str(s["endOffset"]) for p in query.recentProgress for s in p["sources"])  # a file at least
+    if not met and not spark.read.parquet(f"{sf_dir}/events.parquet").isEmpty():
+        raise ValueError(f"the stream read none of the rows of {sf_dir}/events.parquet")
     schema = rows.schema if mode == "append" else None
     return spark.read.schema(schema).parquet(out) if schema else spark.read.parquet(out)
 
@@ -52,7 +64,7 @@ def _finished(rows: DataFrame, mode: str = "append") -> DataFrame:
 def stream_dedupe_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all events of a user, taken as repetitions of one batch, the first."""
     rows = _events(spark, sf_dir).select(F.col("tenant_id"), F.lit("h").alias("host_id"), F.col("user_id").cast("string").alias("batch_id"), F.col("ts").alias("ingested_at"), "user_id")
-    return _finished(pipelines.once_per_batch(rows, lateness="60 days").select("user_id", "tenant_id"))
+    return _finished(sf_dir, pipelines.once_per_batch(rows, lateness="60 days").select("user_id", "tenant_id"))
 
 
 @add(f"WITH {EV} SELECT e.event_id AS error_event_id, p.event_id AS purchase_event_id FROM ev e JOIN ev p ON e.user_id = p.user_id AND p.ts BETWEEN e.ts - INTERVAL 1 HOUR AND e.ts + INTERVAL 1 HOUR WHERE e.event_type = 'error' AND p.event_type = 'purchase'")
@@ -60,29 +72,29 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _events(spark, sf_dir).filter("event_type = 'error'").select(F.col("event_id").alias("error_event_id"), F.col("user_id").alias("u"), F.col("ts").alias("error_ts"))
     right = _events(spark, sf_dir).filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase_event_id"), F.col("user_id").alias("v"), F.col("ts").alias("purchase_ts"))
     pairs = pipelines.interval_pairs(left, right, F.col("u") == F.col("v"), "error_ts", "purchase_ts", "1 HOUR")
-    return _finished(pairs.select("error_event_id", "purchase_event_id"))
+    return _finished(sf_dir, pairs.select("error_event_id", "purchase_event_id"))
 
 
 @add()
 def stream_tumbling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has closed."""
-    return _finished(pipelines.tumbling_metrics(_events(spark, sf_dir), "ts", "1 day", ["event_type"], "value").withColumn("mean", F.round("mean", 9)))
+    return _finished(sf_dir, pipelines.tumbling_metrics(_events(spark, sf_dir), "ts", "1 day", ["event_type"], "value").withColumn("mean", F.round("mean", 9)))
 
 
 @add("SELECT event_id, (70 + CASE WHEN value > 200 THEN 15 ELSE 0 END)::INTEGER AS score FROM ev WHERE event_type = 'error' AND value > 100")
 def stream_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = Rule("large_error", "Large error", (Source("e", "error"),), where=("e.value > 100",), base=70, modifiers=((15, "e.value > 200"),))
-    return _finished(pipelines.rule_stream(rule, _events(spark, sf_dir)).select("e.event_id", "score"))
+    return _finished(sf_dir, pipelines.rule_stream(rule, _events(spark, sf_dir)).select("e.event_id", "score"))
 
 
 @add("SELECT DISTINCT user_id, event_type FROM ev")
 def stream_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(pipelines.novelty(_events(spark, sf_dir), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"))
+    return _finished(sf_dir, pipelines.novelty(_events(spark, sf_dir), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"))
 
 
 @add("SELECT user_id, ts_ms, count(*) OVER (PARTITION BY user_id ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW)::BIGINT AS rate FROM ev")
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(pipelines.rates(_events(spark, sf_dir), "user_id", "ts_ms", 3_600_000))
+    return _finished(sf_dir, pipelines.rates(_events(spark, sf_dir), "user_id", "ts_ms", 3_600_000))
 
 
 @add()
@@ -90,5 +102,5 @@ def stream_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0)
     rows = _events(spark, sf_dir).withWatermark("ts", "1 day").select("user_id", "ts", "ts_ms", rank.alias("want"))
     states = pipelines.session_states(rows, "user_id", "want", "ts_ms", 3_600_000)
-    changed = _finished(states, "update")
+    changed = _finished(sf_dir, states, "update")
     return changed.groupBy("user_id").agg(F.max_by("state", "batch").alias("state"), F.max("changes").alias("changes"))

@@ -1,11 +1,11 @@
 """Substring dedup by super-k-mer partitioning (the partitioning of k-mer counters such as KMC and MSPKmerCounter).
 
 A window is K consecutive words. Its minimiser is the least hash among the M-word runs in it; consecutive windows of a text that
-share their minimiser travel as one packed string to the minimiser's bucket. There the words of all strings are hashed again, the
+share their minimiser travel as one packed string, of MOST_WINDOWS at most, to the minimiser's bucket. There the words of all strings are hashed again, the
 windows are sorted, and a window that also starts in a document with a smaller id is reported back to its document.
 
 Buckets are sized by the input's characters. Before anything travels, a pass counts what each bucket would get; the windows of a
-bucket beyond HOT_STRINGS (a passage that very many documents share) travel one by one instead, are reduced to their smallest id
+bucket beyond HOT_STRINGS or HOT_WINDOWS (a passage that very many documents share, or a phrase that texts repeat) travel one by one instead, are reduced to their smallest id
 with a map-side combine, and are joined back. Both ways give the same answer for every window.
 
 Windows count as equal if all their words' 64-bit hashes are. Defined results: null and empty texts have no words and lose none; a
@@ -32,6 +32,10 @@ K = 13
 M = 4
 BUCKET_CHARS = 1 << 20
 HOT_STRINGS = 200_000
+#: A task that judges a bucket holds about fifteen numbers for each window.
+HOT_WINDOWS = 2_000_000
+#: Windows of one string; more of them, as a repeated phrase makes, are cut.
+MOST_WINDOWS = 4096
 #: Text that one task packs before it writes a blob to each bucket.
 PACK_BYTES = 8 << 20
 
@@ -57,6 +61,15 @@ def super_kmers(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return first, count, least[first]
 
 
+def _cut(first: np.ndarray, count: np.ndarray, minimiser: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of more than `most` windows as several, which together have the same windows."""
+    parts = -(-count // most)
+    if not len(parts) or parts.max() == 1:
+        return first, count, minimiser
+    skip = most * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    return np.repeat(first, parts) + skip, np.minimum(np.repeat(count, parts) - skip, most), np.repeat(minimiser, parts)
+
+
 def _bucket(minimiser: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(minimiser) % np.uint64(buckets)).astype(np.int64)
 
@@ -65,15 +78,17 @@ def _rows(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for w in chunked(batch.column(1), BLANK_SPLIT, PACK_BYTES):
-            first, count, minimiser = super_kmers(w, k, m)
+            first, count, minimiser = _cut(*super_kmers(w, k, m), MOST_WINDOWS)
             yield ids, w, first, count, _bucket(minimiser, buckets)
 
 
 def _count(k: int, m: int, buckets: int):
     def run(batches):
-        for _, _, first, _, bucket in _rows(batches, k, m, buckets):
-            b, n = np.unique(bucket, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(n.astype(np.int64))], ["bucket", "n"])
+        for _, _, _, count, bucket in _rows(batches, k, m, buckets):
+            b, at, n = np.unique(bucket, return_inverse=True, return_counts=True)
+            windows = np.zeros(len(b), np.int64)
+            np.add.at(windows, at, count)
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(n.astype(np.int64)), pa.array(windows)], ["bucket", "n", "windows"])
 
     return run
 
@@ -170,14 +185,15 @@ def _single(k: int, m: int, buckets: int, hot: np.ndarray):
     return run
 
 
-def hits(docs: DataFrame, k: int = K, m: int = M, bucket_chars: int = BUCKET_CHARS, hot_strings: int = HOT_STRINGS) -> DataFrame:
+def hits(docs: DataFrame, k: int = K, m: int = M, bucket_chars: int = BUCKET_CHARS, hot_strings: int = HOT_STRINGS, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """doc, first, n, check: runs of n windows of document doc, from word `first` on, that also start in a document with a smaller id."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(chars // bucket_chars) + 1
-    loads = rows.mapInArrow(_count(k, m, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    # at most one bucket in (all strings / hot_strings): a few numbers
-    hot = np.array(sorted(r.bucket for r in loads.filter(F.col("n") > hot_strings).toLocalIterator()), np.int64)
+    loads = rows.mapInArrow(_count(k, m, buckets), "bucket long, n long, windows long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows"))
+    # at most (all strings / hot_strings) + (all windows / hot_windows) buckets: a few numbers
+    loads = loads.filter((F.col("n") > hot_strings) | (F.col("windows") > hot_windows))
+    hot = np.array(sorted(r.bucket for r in loads.toLocalIterator()), np.int64)
     packed = rows.mapInArrow(_pack(k, m, buckets, hot), "bucket long, n long, numbers binary, words binary")
     found = packed.groupBy("bucket").applyInArrow(_judge(k), _HITS)
     if len(hot):
@@ -227,10 +243,10 @@ def _apply(k: int, id_at: int, text_at: int, hits_at: int, with_text: bool):
     return run
 
 
-def dedup(docs: DataFrame, k: int = K, m: int = M, bucket_chars: int = BUCKET_CHARS, hot_strings: int = HOT_STRINGS, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, k: int = K, m: int = M, bucket_chars: int = BUCKET_CHARS, hot_strings: int = HOT_STRINGS, with_text: bool = True, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and, with_text, kept_text (kept words joined by one blank; else text goes too)."""
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
-    found = hits(docs, k, m, bucket_chars, hot_strings)
+    found = hits(docs, k, m, bucket_chars, hot_strings, hot_windows)
     mine = found.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "check")).alias("__hits"))
     joined = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(mine, F.col("__doc") == F.col("doc"), "left").drop("doc", "__doc")
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if with_text or f.name != "text"]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from helpers import BLANK, awkward, prose, sha
@@ -35,6 +36,21 @@ def test_random_texts(spark, ways):
     assert run(spark, rows, k=6, m=2, **ways) == brute(rows, 6)
 
 
+def test_repeated_phrases_count_by_their_windows(spark, monkeypatch):
+    """A text that repeats a short phrase is one string, but has as many windows as words."""
+    hot, single = [], wd._single
+    monkeypatch.setattr(wd, "_single", lambda k, m, buckets, which: hot.extend(which) or single(k, m, buckets, which))
+    rows = [(i, "buy it now at once " * 200) for i in (3, 1, 2)] + [(i, prose(i, 30)) for i in range(4, 8)]
+    assert run(spark, rows, hot_windows=2000, bucket_chars=2000) == brute(rows, 13)
+    assert len(hot) == 1
+    assert run(spark, rows, bucket_chars=2000) == brute(rows, 13) and len(hot) == 1
+
+
+def test_long_strings_are_cut():
+    first, count, minimiser = wd._cut(*(np.array(x) for x in ([0, 50, 90], [7, 25, 10], [1, 2, 3])), 10)
+    assert list(zip(first.tolist(), count.tolist(), minimiser.tolist(), strict=True)) == [(0, 7, 1), (50, 10, 2), (60, 10, 2), (70, 5, 2), (90, 10, 3)]
+
+
 def test_awkward(spark, docs):
     rows = [(i, t) for i, t, _, _ in awkward()]
     assert run(spark, rows) == brute(rows, 13)

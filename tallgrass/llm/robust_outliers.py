@@ -1,10 +1,10 @@
 """Quality rules: robust multivariate outliers by the minimum covariance determinant, in DataFrame operations only.
 
-Each document's base statistics become a vector of transformed ratios. For every language and source, the half of the vectors with the
-least covariance determinant is sought by concentration steps (Rousseeuw and Van Driessen, 1999): from a start at medians and
+Each document's base statistics become a vector of transformed ratios. For every language and source, the share COVER (0.75) of the
+vectors with the least covariance determinant is sought by concentration steps (Rousseeuw and Van Driessen, 1999): from a start at medians and
 scaled absolute deviations, mean and covariance of the nearest vectors are re-estimated STEPS times, which never raises the determinant.
 The final estimate is scaled to be consistent at the normal distribution. A document is rejected when its squared Mahalanobis
-distance is beyond `cut`. A ridge (FLOOR squared) bounds every variance from below, so a statistic that is 0 in most documents
+distance is beyond `cut`. If more than the rest, a quarter, of a group is bad, this shifts the estimate, and bad documents can hide. A ridge (FLOOR squared) bounds every variance from below, so a statistic that is 0 in most documents
 does not make the covariance singular, nor one symbol an outlier.
 
 A group with fewer than `least` vectors uses the estimate of its language, and one with fewer in its language that of all documents.

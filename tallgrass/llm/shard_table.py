@@ -5,8 +5,8 @@ shards take turns; each claims the first slot of its order that is still free, u
 most one, and taking a shard away moves few of the other shards' slots. A row's slot is a hash of its key; the table has a fixed
 number of rows whatever the data, and is broadcast.
 
-Defined results: a null key counts as empty text; equal keys meet in one shard; columns named like the working columns are kept,
-except `slot` and `shard`, which are replaced; an empty table gives an empty result.
+Defined results: a null key counts as empty text; equal keys meet in one shard; further columns are kept, those named `slot` or
+`shard` replaced (the key may have one of these names and is read before); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallgrass.llm.shared import shielded
+
 #: A prime, large against the number of shards.
 SLOTS = 65_537
 SHARDS = 256
@@ -60,13 +62,15 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int = SLOTS) ->
 
 def place(df: DataFrame, key: str = "doc_id", shards: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
     """df with slot and shard. One map-side join; no row moves."""
-    table = lookup_table(df.sparkSession, shards or shard_names(SHARDS), slots).withColumnRenamed("slot", "__slot")
-    placed = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
-    return placed.join(F.broadcast(table), F.col("slot") == F.col("__slot"), "inner").drop("__slot")
+    table = lookup_table(df.sparkSession, shards or shard_names(SHARDS), slots)
+    rows, restore = shielded(df, [])
+    placed = rows.withColumn("slot", slot_of(F.col(f"__c{df.columns.index(key)}"), slots))
+    return restore(placed.join(F.broadcast(table), "slot").select(*rows.columns, "slot", "shard"))
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: list[str] | None = None, slots: int = SLOTS, files_per_shard: int = 1) -> None:
     """One folder a shard, each with about files_per_shard files; rows of one key may be spread over these."""
-    placed = place(df, key, shards, slots).withColumn("__part", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_shard)))
+    placed = place(df, key, shards, slots)
     n = len(shards or shard_names(SHARDS)) * files_per_shard
-    placed.repartition(n, "shard", "__part").drop("__part", "slot").write.partitionBy("shard").parquet(path)
+    part = F.pmod(F.xxhash64(*(f"`{c}`" for c, t in placed.dtypes if "map<" not in t)), F.lit(files_per_shard))
+    placed.repartition(n, "shard", part).drop("slot").write.partitionBy("shard").parquet(path)

@@ -1,4 +1,4 @@
-"""Working tables in the cluster's shared folder, and joins with a side of checked size."""
+"""Working tables in the cluster's shared folder, joins with a side of checked size, and column names that cannot clash."""
 
 from __future__ import annotations
 
@@ -6,39 +6,85 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side (a few numbers a row) is broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 50_000
+#: A key is hot if it has more than this share of all rows; so there are at most 20,000 hot keys, whatever the data.
+HOT_SHARE = 1 / 20_000
 #: Stands in for a null doc_id inside an operator: no id is larger.
 NO_ID = (1 << 63) - 1
 
 _own_folder: dict[str, str] = {}
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of ours only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir, or the context's checkpoint folder; a temporary folder of ours only on a single machine, as in tests."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="tallgrass-")
         atexit.register(shutil.rmtree, _own_folder[app], ignore_errors=True)
     return f"file://{_own_folder[app]}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tallgrass-{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder for working files; it goes when the application ends, if `delete` has not taken it before."""
+    path = f"{shared_folder(spark)}/tallgrass-{name}-{uuid.uuid4().hex[:12]}"
+    system, at = _file_system(spark, path)
+    system.mkdirs(at)
+    system.deleteOnExit(at)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, at = _file_system(spark, path)
+    system.delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends here, and a lost executor costs nothing already computed."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing still to be computed reads."""
+    for df in tables:
+        if path := _path_of.pop(df, None):
+            delete(df.sparkSession, path)
+
+
+def shielded(df: DataFrame, uses: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with every column but `uses` under the name __c0, __c1, ..., so that no name of an operator's own can meet it; and what puts
+    the names back. A result column takes the place of an input column of its name."""
+    hidden = [c if c in uses else f"__c{i}" for i, c in enumerate(df.columns)]
+    names = {h: c for h, c in zip(hidden, df.columns, strict=True) if h != c}
+
+    def restore(out: DataFrame) -> DataFrame:
+        results = {c.lower() for c in out.columns if c not in names}
+        kept = [c for c in out.columns if c not in names or names[c].lower() not in results]
+        return out.select(*kept).toDF(*(names.get(c, c) for c in kept))
+
+    return df.toDF(*hidden), restore
 
 
 def id_text(column: str = "doc_id") -> Column:
@@ -64,3 +110,12 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], rows: int | No
         big = big.withColumn("__at", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
         joined = big.join(small, [*on, F.col("__at") == F.col("__salt")], "left").drop("__salt", "__at")
     return joined.drop(*[f"__{k}" for k in keys])
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, n: str, rows: int) -> DataFrame:
+    """Inner join of big, of `rows` rows, with small, which has one row a key and in column n how many rows of big the key has. The keys
+    with more than HOT_SHARE of the rows, at most 1 / HOT_SHARE of them, are broadcast, so no key gathers in one task."""
+    limit = F.lit(rows * HOT_SHARE)
+    hot = F.broadcast(small.filter(F.col(n) > limit))
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.filter(F.col(n) <= limit).hint("merge"), key)
+    return big.join(hot, key).unionByName(rest)

@@ -8,9 +8,13 @@ Buckets are sized by the input's characters. Before anything travels, a pass cou
 bucket beyond HOT_STRINGS or HOT_WINDOWS (a passage that very many documents share, or a phrase that texts repeat) travel one by one instead, are reduced to their smallest id
 with a map-side combine, and are joined back. Both ways give the same answer for every window.
 
+What is found goes back to (id, hash of the text), so rows that share an id, or have none, each get what was found in their own text,
+and no id gathers the finds of many texts. A find carries a sum over all its windows, which the text must match.
+
 Windows count as equal if all their words' 64-bit hashes are. Defined results: null and empty texts have no words and lose none; a
 null id is larger than any other, so it removes nothing elsewhere; rows of one id never remove each other's words, and each is
-judged by its own text; an empty table gives an empty result; further columns are kept by `dedup`.
+judged by its own text; an empty table gives an empty result; further columns are kept by `dedup`, those named like a result column
+replaced.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallgrass.llm.shared import NO_ID, stored
+from tallgrass.llm.shared import NO_ID, join_counted, shielded, stored
 from tallgrass.llm.words import BLANK_SPLIT, Words, chunked, hashes_of, mixed, run_hashes
 
 K = 13
@@ -76,15 +80,15 @@ def _bucket(minimiser: np.ndarray, buckets: int) -> np.ndarray:
 
 def _rows(batches: Iterator[pa.RecordBatch], k: int, m: int, buckets: int):
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
         for w in chunked(batch.column(1), BLANK_SPLIT, PACK_BYTES):
             first, count, minimiser = _cut(*super_kmers(w, k, m), MOST_WINDOWS)
-            yield ids, w, first, count, _bucket(minimiser, buckets)
+            yield ids, keys, w, first, count, _bucket(minimiser, buckets)
 
 
 def _count(k: int, m: int, buckets: int):
     def run(batches):
-        for _, _, _, count, bucket in _rows(batches, k, m, buckets):
+        for *_, count, bucket in _rows(batches, k, m, buckets):
             b, at, n = np.unique(bucket, return_inverse=True, return_counts=True)
             windows = np.zeros(len(b), np.int64)
             np.add.at(windows, at, count)
@@ -93,52 +97,69 @@ def _count(k: int, m: int, buckets: int):
     return run
 
 
+def _key() -> Column:
+    """32 bits of the text's hash: with the id they name a text well enough, as finds are checked against the text."""
+    return F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 32)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, byte planes apart: most planes are nearly empty."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.stack(columns).astype(np.int64).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes())
+
+
+def _unpacked(raw: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(columns, -1)
+
+
 def _pack(k: int, m: int, buckets: int, hot: np.ndarray):
-    squeeze = lambda x: zstandard.ZstdCompressor(level=1).compress(x)
+    squeeze = lambda x: zstandard.ZstdCompressor(level=3).compress(x)
 
     def run(batches):
-        for ids, w, first, count, bucket in _rows(batches, k, m, buckets):
+        for ids, keys, w, first, count, bucket in _rows(batches, k, m, buckets):
             use = ~np.isin(bucket, hot)
             first, count, bucket = first[use], count[use], bucket[use]
             order = np.argsort(bucket, kind="stable")
             first, count, bucket = first[order], count[order], bucket[order]
             text = np.searchsorted(w.hi, first, "right")
-            doc, place = ids[w.first + text], first - w.lo[text]
+            doc, place, key = ids[w.first + text].astype(np.int64), first - w.lo[text], keys[w.first + text]
             raw, a, b = bytes(w.data), w.start[first].tolist(), w.end[first + count + k - 2].tolist()
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             out = []
             for lo, hi in zip(at.tolist(), [*at.tolist(), len(bucket)][1:], strict=True):
-                numbers = np.concatenate((doc[lo:hi], place[lo:hi], count[lo:hi])).astype(np.int64)
-                out.append((int(bucket[lo]), hi - lo, squeeze(numbers.tobytes()), squeeze(b"\n".join([raw[x:y] for x, y in zip(a[lo:hi], b[lo:hi], strict=True)]))))
+                numbers = _packed(doc[lo:hi], key[lo:hi], place[lo:hi], count[lo:hi])
+                out.append((int(bucket[lo]), hi - lo, numbers, squeeze(b"\n".join([raw[x:y] for x, y in zip(a[lo:hi], b[lo:hi], strict=True)]))))
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "n", "numbers", "words"])
 
     return run
 
 
-def _runs(doc: np.ndarray, place: np.ndarray, check: np.ndarray, hit: np.ndarray, string: np.ndarray) -> pa.Table:
-    """Hit windows as runs of neighbours from one string: doc, first, n, check (hash of the first)."""
+def _running(check: np.ndarray) -> np.ndarray:
+    """Running sums of the windows' mixed hashes, from 0: the difference of two tells what stands between them."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(check), dtype=np.uint64)))
+
+
+def _runs(doc: np.ndarray, key: np.ndarray, place: np.ndarray, check: np.ndarray, hit: np.ndarray, string: np.ndarray) -> pa.Table:
+    """Hit windows as runs of neighbours from one string: doc, key, first, n, check (a sum over the windows)."""
     at = np.flatnonzero(hit)
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) > 1) | (string[at[1:]] != string[at[:-1]])
     head = np.flatnonzero(new)
     n = np.diff(np.append(head, len(at)))
-    at = at[head]
-    return pa.table({"doc": pa.array(doc[at]), "first": pa.array(place[at]), "n": pa.array(n), "check": pa.array(check[at].view(np.int64))})
+    at, running = at[head], _running(check)
+    return pa.table({"doc": pa.array(doc[at]), "key": pa.array(key[at]), "first": pa.array(place[at]), "n": pa.array(n), "check": pa.array((running[at + n] - running[at]).view(np.int64))})
 
 
-_HITS = "doc long, first long, n long, check long"
+_HITS = "doc long, key long, first long, n long, check long"
 
 
 def _judge(k: int):
     def run(table: pa.Table) -> pa.Table:
         grow = zstandard.ZstdDecompressor().decompress
-        docs, places, counts, hashes = [], [], [], []
-        for numbers, words in zip(table.column("numbers").to_pylist(), table.column("words").to_pylist(), strict=True):
-            doc, place, count = np.frombuffer(grow(numbers), np.int64).reshape(3, -1)
-            docs.append(doc), places.append(place), counts.append(count)
-            hashes.append(hashes_of(grow(words), BLANK_SPLIT))
-        doc, place, count, h = map(np.concatenate, (docs, places, counts, hashes))
+        numbers = np.concatenate([_unpacked(x, 4) for x in table.column("numbers").to_pylist()], axis=1)
+        h = np.concatenate([hashes_of(grow(x), BLANK_SPLIT) for x in table.column("words").to_pylist()])
+        doc, key, place, count = numbers
         string = np.repeat(np.arange(len(count)), count)
         step = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
         at = np.repeat(np.cumsum(count + k - 1) - (count + k - 1), count) + step
@@ -151,7 +172,7 @@ def _judge(k: int):
         many = size[group] > 1
         order, group = order[many], group[many]
         if not len(order):
-            return _runs(owner, place[string] + step, check, np.zeros(len(string), bool), string)
+            return _runs(owner, key[string], place[string] + step, check, np.zeros(len(string), bool), string)
         # windows with equal hashes are told apart by all their words
         lead = order[np.searchsorted(group, group)]
         same = np.ones(len(order), bool)
@@ -166,28 +187,29 @@ def _judge(k: int):
         least = np.repeat(np.minimum.reduceat(owner[order], head), np.diff(np.append(head, len(order))))
         hit = np.zeros(len(string), bool)
         hit[order] = owner[order] > least
-        return _runs(owner, place[string] + step, check, hit, string)
+        return _runs(owner, key[string], place[string] + step, check, hit, string)
 
     return run
 
 
 def _single(k: int, m: int, buckets: int, hot: np.ndarray):
     def run(batches):
-        for ids, w, first, count, bucket in _rows(batches, k, m, buckets):
+        for ids, keys, w, first, count, bucket in _rows(batches, k, m, buckets):
             use = np.isin(bucket, hot)
             first, count = first[use], count[use]
             at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             text = np.searchsorted(w.hi, at, "right")
             one, two = run_hashes(w.hash, k)[at], run_hashes(w.hash, k, salt=1)[at]
-            columns = [ids[w.first + text], at - w.lo[text], one.view(np.int64), two.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in columns], ["doc", "first", "check", "check2"])
+            columns = [ids[w.first + text], keys[w.first + text], at - w.lo[text], one.view(np.int64), two.view(np.int64), mixed(one).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in columns], ["doc", "key", "first", "one", "two", "check"])
 
     return run
 
 
 def hits(docs: DataFrame, k: int = K, m: int = M, bucket_chars: int = BUCKET_CHARS, hot_strings: int = HOT_STRINGS, hot_windows: int = HOT_WINDOWS) -> DataFrame:
-    """doc, first, n, check: runs of n windows of document doc, from word `first` on, that also start in a document with a smaller id."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text"))
+    """doc, key, first, n, check: runs of n windows of text `key` of document doc, from word `first` on, that also start in a document
+    with a smaller id."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text"), _key().alias("key"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(chars // bucket_chars) + 1
     loads = rows.mapInArrow(_count(k, m, buckets), "bucket long, n long, windows long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows"))
@@ -197,10 +219,11 @@ def hits(docs: DataFrame, k: int = K, m: int = M, bucket_chars: int = BUCKET_CHA
     packed = rows.mapInArrow(_pack(k, m, buckets, hot), "bucket long, n long, numbers binary, words binary")
     found = packed.groupBy("bucket").applyInArrow(_judge(k), _HITS)
     if len(hot):
-        windows = stored(rows.mapInArrow(_single(k, m, buckets, hot), "doc long, first long, check long, check2 long"), "hot-windows")
-        least = windows.groupBy("check", "check2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter(F.col("least") < F.col("most"))
-        again = windows.join(least, ["check", "check2"]).filter(F.col("doc") > F.col("least"))
-        found = found.unionByName(again.select("doc", "first", F.lit(1).cast("long").alias("n"), "check"))
+        windows = stored(rows.mapInArrow(_single(k, m, buckets, hot), "doc long, key long, first long, one long, two long, check long"), "hot-windows")
+        sums = windows.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).filter(F.col("least") < F.col("most"))
+        least = stored(sums.select(F.struct("one", "two").alias("window"), "least", "n"), "hot-least")
+        again = join_counted(windows.withColumn("window", F.struct("one", "two")), least, "window", "n", windows.count()).filter(F.col("doc") > F.col("least"))
+        found = found.unionByName(again.select("doc", "key", "first", F.lit(1).cast("long").alias("n"), "check"))
     return found
 
 
@@ -211,17 +234,19 @@ def _apply(k: int, id_at: int, text_at: int, hits_at: int, with_text: bool):
             raw_hits = batch.column(hits_at)
             n_words, n_removed, kept_texts, digests = [], [], [], []
             for w in chunked(texts, BLANK_SPLIT):
-                check = None
+                running = None
                 for i in range(len(w.lo)):
                     words = bytes(w.data[w.text_at[i] : w.text_at[i + 1]]).split()
                     n = len(words)
                     n_words.append(n)
                     removed = np.zeros(n + 1, np.int64)
                     if raw_hits[w.first + i].is_valid:
-                        check = run_hashes(w.hash, k).view(np.int64) if check is None else check
+                        running = _running(run_hashes(w.hash, k)) if running is None else running
                         for hit in raw_hits[w.first + i].values.to_pylist():
                             a, b = hit["first"], hit["first"] + hit["n"] + k - 1
-                            if b <= n and check[w.lo[i] + a] == hit["check"]:  # else it is of another row with this id
+                            at = w.lo[i] + a
+                            # else it is of another text with this id and key
+                            if b <= n and (running[at + hit["n"]] - running[at]).view(np.int64) == hit["check"]:
                                 removed[a] += 1
                                 removed[b] -= 1
                         gone = np.cumsum(removed[:n]) > 0
@@ -245,12 +270,13 @@ def _apply(k: int, id_at: int, text_at: int, hits_at: int, with_text: bool):
 
 def dedup(docs: DataFrame, k: int = K, m: int = M, bucket_chars: int = BUCKET_CHARS, hot_strings: int = HOT_STRINGS, with_text: bool = True, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and, with_text, kept_text (kept words joined by one blank; else text goes too)."""
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
-    found = hits(docs, k, m, bucket_chars, hot_strings, hot_windows)
-    mine = found.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "check")).alias("__hits"))
-    joined = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(mine, F.col("__doc") == F.col("doc"), "left").drop("doc", "__doc")
-    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if with_text or f.name != "text"]
+    rows, restore = shielded(docs, ["doc_id", "text"])
+    found = hits(rows, k, m, bucket_chars, hot_strings, hot_windows)
+    mine = found.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "n", "check")).alias("hits"))
+    keyed = rows.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "key": _key()})
+    joined = keyed.join(mine, ["doc", "key"], "left").select(*rows.columns, "hits")
+    fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema if with_text or f.name != "text"]
     fields += [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept_text", T.StringType())] * with_text
     names = joined.columns
-    return joined.mapInArrow(_apply(k, names.index("doc_id"), names.index("text"), names.index("__hits"), with_text), T.StructType(fields))
+    return restore(joined.mapInArrow(_apply(k, names.index("doc_id"), names.index("text"), names.index("hits"), with_text), T.StructType(fields)))

@@ -36,6 +36,15 @@ def test_random_texts(spark, ways):
     assert run(spark, rows, k=6, m=2, **ways) == brute(rows, 6)
 
 
+@pytest.mark.parametrize("ways", [{}, {"hot_strings": 0, "bucket_chars": 200}])
+def test_texts_of_one_id_are_judged_apart(spark, ways):
+    shared = prose(1, 13)
+    rows = [(0, f"{shared} x"), (1, f"{shared} x"), (1, f"{shared} y z q"), (1, f"v {shared} x"), (1, f"{shared} x")]
+    rows += [(None, f"{shared} {prose(i, 20)}" if i % 2 else prose(i, 30)) for i in range(300)]
+    assert run(spark, rows, **ways) == brute(rows, 13)
+    assert (1, 16, 13, sha("y z q")) in run(spark, rows, **ways)
+
+
 def test_repeated_phrases_count_by_their_windows(spark, monkeypatch):
     """A text that repeats a short phrase is one string, but has as many windows as words."""
     hot, single = [], wd._single

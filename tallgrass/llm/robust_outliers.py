@@ -1,15 +1,20 @@
 """Quality rules: robust multivariate outliers by the minimum covariance determinant, in DataFrame operations only.
 
-Each document's base statistics become a vector of transformed ratios. For every language and source, the share COVER (0.75) of the
-vectors with the least covariance determinant is sought by concentration steps (Rousseeuw and Van Driessen, 1999): from a start at medians and
-scaled absolute deviations, mean and covariance of the nearest vectors are re-estimated STEPS times, which never raises the determinant.
-The final estimate is scaled to be consistent at the normal distribution. A document is rejected when its squared Mahalanobis
-distance is beyond `cut`. If more than the rest, a quarter, of a group is bad, this shifts the estimate, and bad documents can hide. A ridge (FLOOR squared) bounds every variance from below, so a statistic that is 0 in most documents
-does not make the covariance singular, nor one symbol an outlier.
+Each document's base statistics become a vector of transformed ratios. For every language and source, the share COVER of the vectors
+with the least covariance determinant is sought (Rousseeuw and Van Driessen, 1999). Several deterministic starts (after Hubert,
+Rousseeuw and Verdonck, 2012) go through concentration steps: mean and covariance of the h nearest vectors are estimated again, until
+the determinant stops falling. The start with the least one wins; it is scaled to be consistent at the normal distribution, and the
+vectors within RIM of it give the final, reweighted estimate. A document is rejected when its squared Mahalanobis distance is beyond
+`cut`. If more than the rest, a quarter, of a group is bad, this shifts the estimate, and bad documents can hide. A ridge (FLOOR
+squared) bounds every variance from below, so a statistic that is 0 in most documents does not make the covariance singular, nor one
+symbol an outlier.
 
-A group with fewer than `least` vectors uses the estimate of its language, and one with fewer in its language that of all documents.
-All three levels are estimated together by one grouping, so each step is one pass over a narrow table; quantiles and moments
-are mergeable aggregates, and a group that holds a third of all rows is combined before the shuffle.
+A step is one pass over a narrow table: distances are cut into BINS bins to the octave, each bin's count and sums of vectors are
+mergeable, and the nearest h are whole bins and the needed share of one bin. So a group that holds a third of all rows is combined
+before the shuffle, and no estimate depends on how rows are partitioned. Groups whose determinant no longer falls leave the passes.
+
+A group with fewer than `least` vectors uses the estimate of its language, and one with fewer in its language that of all documents;
+column `estimate` says which was used. All three levels are estimated together.
 
 Defined results: a null or empty text has no words and zero statistics, fails the base rules and is not kept; null languages and sources
 are groups of their own; repeated rows count each; if all texts fail the base rules no estimate is made; columns with clashing names do
@@ -20,17 +25,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.shared import join_small, stored
+from tallgrass.llm.shared import discard, join_small, stored
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _BLANKS = r"[\x20\x09-\x0D]+"
 #: These characters count as symbols: a fixed set.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-STEPS = 4
 #: Share of a group's vectors that an estimate covers.
 COVER = 0.75
 #: Least standard deviation of each entry of the vector: bounds of ridge, in the units of the transformed statistics.
@@ -38,6 +42,15 @@ FLOOR = (0.05, 0.03, 0.10, 0.03)
 #: Squared distance beyond which a vector is an outlier; chi2(4) exceeds it once in about 10^9.
 CUT = 48.0
 LEAST = 200
+#: Bins to the octave of squared distance, and of one unit of a statistic where medians are taken.
+BINS = 64
+MEDIAN_BINS = 1024
+#: Vectors within this squared distance of the best start make the reweighted estimate: the 0.975 quantile of chi2(4).
+RIM, RIM_COVER = 11.1433, 0.975
+#: Smaller falls of the logarithm of the determinant count as none. Steps stop by themselves; this many would be a fault.
+STILL, MOST_STEPS = 1e-6, 200
+#: The starts: scaled deviations, squashed vectors, directions only, the half nearest to the median.
+STARTS = ("scale", "tanh", "sign", "half")
 _VECTOR = ("x0", "x1", "x2", "x3")
 _GROUP = ("level", "lang", "source")
 
@@ -107,62 +120,133 @@ def _leveled(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(spread).alias("g"), *_VECTOR).select("g.*", *_VECTOR)
 
 
+def _median(rows: DataFrame, values: list[str], name: str) -> DataFrame:
+    """A row a group: n and the medians of the values as <name>0, <name>1, ..., to the width of a bin."""
+    cells = ", ".join(f"struct({i} AS i, floor(({v}) * {MEDIAN_BINS}) AS bin)" for i, v in enumerate(values))
+    counts = rows.selectExpr(*_GROUP, f"explode(array({cells})) AS c").groupBy(*_GROUP, "c.i", "c.bin").agg(F.count(F.lit(1)).alias("n"))
+    # as many rows as a group has bins
+    part = f"PARTITION BY {', '.join(_GROUP)}, i"
+    placed = counts.selectExpr("*", f"sum(n) OVER ({part} ORDER BY bin) AS to", f"sum(n) OVER ({part}) AS all").filter("2 * to >= all")
+    middle = placed.groupBy(*_GROUP, "i").agg(F.min("bin").alias("bin"), F.first("all").alias("n"))
+    at = [F.expr(f"max(CASE WHEN i = {i} THEN (bin + 0.5D) / {MEDIAN_BINS} END) AS {name}{i}") for i in range(len(values))]
+    return middle.groupBy(*_GROUP).agg(F.max("n").alias("n"), *at)
+
+
+_D = range(len(_VECTOR))
+#: The entries of a symmetric matrix, row by row.
+_ENTRIES = [(i, j) for i in _D for j in range(i + 1)]
+_MEANS = [f"m{i}" for i in _D]
+_COVS = [f"c{i}{j}" for i, j in _ENTRIES]
+_ROOTS = [f"l{i}{j}" for i, j in _ENTRIES]
+
+
 def _factor(estimates: DataFrame) -> DataFrame:
-    """Adds l00 .. l33, the Cholesky factor of the covariance plus ridge, one entry after the other."""
-    for i in range(len(_VECTOR)):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            value = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}")
-            estimates = estimates.withColumn(f"l{i}{j}", value)
-    keep = [c for c in estimates.columns if c[0] != "c" or c == "count"]
-    return estimates.select(*keep)
+    """Puts l00 .. l33 in the place of c00 .. c33: the Cholesky factor of the covariance plus ridge, one entry from those before it."""
+    entries = []
+    for i, j in _ENTRIES:
+        rest = f"c{i}{j}" + (f" + {FLOOR[i] ** 2!r}D" if i == j else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        entries.append((f"sqrt(greatest({rest}, 1e-12D))" if i == j else f"({rest}) / l{j}{j}") + f" AS l{i}{j}")
+    return estimates.selectExpr("*", *entries).drop(*_COVS)
 
 
 def _with_distance(rows: DataFrame) -> DataFrame:
     """d2: forward substitution through the factor."""
-    for i in range(len(_VECTOR)):
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
-        rows = rows.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-    total = F.col("z0") * F.col("z0")
-    for i in range(1, len(_VECTOR)):
-        total = total + F.col(f"z{i}") * F.col(f"z{i}")
-    return rows.withColumn("d2", total).drop(*(f"z{i}" for i in range(len(_VECTOR))))
+    steps = [f"(x{i} - m{i}{''.join(f' - l{i}{k} * z{k}' for k in range(i))}) / l{i}{i} AS z{i}" for i in _D]
+    return rows.selectExpr("*", *steps, " + ".join(f"z{i} * z{i}" for i in _D) + " AS d2").drop(*(f"z{i}" for i in _D))
+
+
+def _moments(rows: DataFrame, weight: str, scale: float) -> DataFrame:
+    """m0.. and l00.. of each group and start, from rows with a count n and sums y0.., y00.. of deviations from m0.., each with a weight."""
+    mean = lambda y: f"sum(({weight}) * {y}) / sum(({weight}) * n)"
+    sums = [f"{mean(f'y{i}')} AS a{i}" for i in _D] + [f"{mean(f'y{i}{j}')} AS a{i}{j}" for i, j in _ENTRIES]
+    out = rows.groupBy(*_GROUP, "start").agg(*(F.first(m).alias(m) for m in _MEANS), *map(F.expr, sums))
+    # the last digits depend on the order of adding
+    covs = [f"round((a{i}{j} - a{i} * a{j}) * {scale!r}D, 11) AS c{i}{j}" for i, j in _ENTRIES]
+    return _factor(out.selectExpr(*_GROUP, "start", *(f"round(m{i} + a{i}, 11) AS m{i}" for i in _D), *covs))
+
+
+_LOG_DET = "2 * (" + " + ".join(f"ln(l{i}{i})" for i in _D) + ")"
+
 
+def _binned(rows: DataFrame, bin_of: str) -> DataFrame:
+    """Counts and sums of deviations by group, start and bin."""
+    sums = [f"sum(x{i} - m{i}) AS y{i}" for i in _D] + [f"sum((x{i} - m{i}) * (x{j} - m{j})) AS y{i}{j}" for i, j in _ENTRIES]
+    keep = [F.first(m).alias(m) for m in _MEANS]
+    return rows.selectExpr("*", f"{bin_of} AS bin").groupBy(*_GROUP, "start", "bin").agg(F.count(F.lit(1)).alias("n"), *keep, *map(F.expr, sums))
 
-def _moments(rows: DataFrame, scale: float) -> DataFrame:
-    d = len(_VECTOR)
-    means = [F.avg(f"x{i}").alias(f"m{i}") for i in range(d)]
-    covs = [(F.covar_pop(f"x{i}", f"x{j}") * F.lit(scale)).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)]
-    return _factor(rows.groupBy(*_GROUP).agg(*means, *covs))
 
+def _distances(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
+    """rows with each start's estimate of their group and the distance from it; groups without an estimate are left out."""
+    packed = estimates.groupBy(*_GROUP).agg(F.collect_list(F.struct("start", *_MEANS, *_ROOTS)).alias("of"))  # a few starts
+    met = join_small(rows, packed, list(_GROUP), groups)
+    return _with_distance(met.select(*_GROUP, *_VECTOR, F.inline("of")))
 
-def estimate(stats: DataFrame, steps: int = STEPS, cover: float = COVER) -> DataFrame:
+
+def _nearest(far: DataFrame, cover: float) -> DataFrame:
+    """The estimate from the share `cover` of each group and start with the least d2: whole bins, and of one bin a share."""
+    bins = _binned(far, f"floor(log2(d2 + {2.0**-20!r}D) * {BINS})")
+    part = f"PARTITION BY {', '.join(_GROUP)}, start"
+    bins = bins.selectExpr("*", f"sum(n) OVER ({part} ORDER BY bin) - n AS before", f"sum(n) OVER ({part}) AS all")
+    return _moments(bins, f"greatest(0D, least(1D, (ceil(all * {cover!r}D) - before) / n))", 1.0)
+
+
+def _starts(rows: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
+    """The size of each group, and its first estimates. All are of z, the vector from the median in units of the scaled absolute
+    deviations: the identity, the covariance of tanh(z), that of z / |z|, and that of the half with the least |z|."""
+    sizes = stored(_median(rows, list(_VECTOR), "m"), "medians")
+    off = _median(join_small(rows, sizes, list(_GROUP), groups), [f"abs(x{i} - m{i})" for i in _D], "s")
+    unit = join_small(sizes, off.drop("n"), list(_GROUP), groups)
+    unit = stored(unit.selectExpr(*_GROUP, "n", *_MEANS, *(f"sqrt(pow(1.4826D * s{i}, 2) + {FLOOR[i] ** 2!r}D) AS s{i}" for i in _D)), "units")
+    z = join_small(rows, unit.drop("n"), list(_GROUP), groups).selectExpr("*", *(f"(x{i} - m{i}) / s{i} AS z{i}" for i in _D))
+    z = z.selectExpr("*", "sqrt(greatest(" + " + ".join(f"z{i} * z{i}" for i in _D) + ", 1e-24D)) AS size")
+    tanh = [f"avg(tanh(z{i}) * tanh(z{j})) AS tanh{i}{j}" for i, j in _ENTRIES]
+    sign = [f"avg(z{i} * z{j} / (size * size)) * {len(_VECTOR)} AS sign{i}{j}" for i, j in _ENTRIES]
+    met = join_small(unit, z.groupBy(*_GROUP).agg(*map(F.expr, tanh + sign)), list(_GROUP), groups)
+    kinds = []
+    for name in STARTS[:3]:
+        covs = [f"round({f'{name}{i}{j}' if name != 'scale' else float(i == j)} * s{i} * s{j}, 11) AS c{i}{j}" for i, j in _ENTRIES]
+        kinds.append(f"struct('{name}' AS start, {', '.join(covs)})")
+    found = met.selectExpr(*_GROUP, *_MEANS, f"inline(array({', '.join(kinds)}))").select(*_GROUP, "start", *_MEANS, *_COVS)
+    half = _nearest(z.selectExpr(*_GROUP, "'half' AS start", *_VECTOR, *_MEANS, "size * size AS d2"), 0.5)
+    return sizes.select(*_GROUP, "n"), _factor(found).unionByName(half)
+
+
+def raw_estimate(rows: DataFrame, groups: int, first: DataFrame, cover: float = COVER) -> DataFrame:
+    """level, lang, source, start, m0.., l00.., log_det: each start's estimate when its determinant no longer falls."""
+    key, values = [*_GROUP, "start"], [*_MEANS, *_ROOTS, "log_det"]
+    now = stored(first.selectExpr(*key, *_MEANS, *_ROOTS, "double('inf') AS log_det", "false AS still"), "estimates")
+    for _ in range(MOST_STEPS):
+        new = _nearest(_distances(rows, now.filter("NOT still"), groups), cover).selectExpr(*key, *_MEANS, *_ROOTS, f"{_LOG_DET} AS log_det")
+        both = now.alias("old").join(new.alias("new"), F.expr(" AND ".join(f"old.{c} <=> new.{c}" for c in key)), "left")
+        fell = f"coalesce(new.log_det < old.log_det - {STILL!r}D, false)"
+        step = both.selectExpr(*(f"old.{c}" for c in key), *(f"CASE WHEN {fell} THEN new.{c} ELSE old.{c} END AS {c}" for c in values), f"NOT {fell} AS still")
+        before, now = now, stored(step, "estimates")
+        discard(before)
+        if now.filter("NOT still").isEmpty():
+            return now.drop("still")
+    raise ValueError(f"determinants still fall after {MOST_STEPS} steps")
+
+
+def estimate(stats: DataFrame, cover: float = COVER) -> DataFrame:
     """level, lang, source, n, m0.. and l00..: one row a group. stats(lang, source, x0..x3): the rows to estimate from."""
     rows = stored(_leveled(stats), "leveled")
-    sizes = stored(rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(_VECTOR))), "medians")
-    groups = sizes.count()
-    spread = join_small(rows, sizes, list(_GROUP), groups).groupBy(*_GROUP).agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, x in enumerate(_VECTOR)))
-    start = join_small(sizes, spread, list(_GROUP), groups)
-    for i in range(len(_VECTOR)):
-        for j in range(i + 1):
-            start = start.withColumn(f"c{i}{j}", F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0))
-    now = stored(_factor(start.drop(*(f"s{i}" for i in range(len(_VECTOR))))), "estimates").drop("n")
-    for step in range(steps):
-        far = _with_distance(join_small(rows, now, list(_GROUP), groups)).select(*_GROUP, *_VECTOR, "d2")
-        radius = far.groupBy(*_GROUP).agg(F.percentile_approx("d2", cover, 2000).alias("radius"))
-        near = join_small(far, stored(radius, "radius"), list(_GROUP), groups).filter(F.col("d2") <= F.col("radius"))
-        now = stored(_moments(near, consistency(cover) if step == steps - 1 else 1.0), "estimates")
-    return join_small(now, sizes.select(*_GROUP, "n"), list(_GROUP), groups)
-
-
-def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST, steps: int = STEPS) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2 (null where base_failed)."""
+    groups = rows.select(*_GROUP).distinct().count()
+    sizes, first = _starts(rows, groups)
+    found = raw_estimate(rows, groups, first, cover)
+    w = Window.partitionBy(*_GROUP).orderBy(F.round("log_det", 4), "start")
+    best = found.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place", "log_det")
+    # the raw estimate made consistent: its factor grows by a root
+    grown = best.selectExpr(*_GROUP, "start", *_MEANS, *(f"{c} * {consistency(cover) ** 0.5!r}D AS {c}" for c in _ROOTS))
+    near = _distances(rows, stored(grown, "raw"), groups).filter(F.col("d2") <= RIM)
+    final = _moments(_binned(near, "0"), "1D", consistency(RIM_COVER)).drop("start")
+    return join_small(final, sizes, list(_GROUP), groups)
+
+
+def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2 and estimate: 'language and
+    source', 'language' or 'all' (both null where base_failed)."""
     stats = stored(vectors(base_statistics(docs)), "statistics")
-    found = stored(estimate(stats.filter(~F.col("base_failed")), steps), "group-estimates")
+    found = stored(estimate(stats.filter(~F.col("base_failed"))), "group-estimates")
     fields = F.struct(*(c for c in found.columns if c not in _GROUP)).alias("own")
     levels = [found.filter(F.col("level") == k).select("lang", "source", fields) for k in (0, 1)]
     rows = join_small(stats, levels[0], ["lang", "source"])
@@ -170,10 +254,11 @@ def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST, steps: int = ST
     all_rows = found.filter("level = 2").select("level", fields.alias("of_all"))
     rows = join_small(rows.withColumn("level", F.lit(2)), all_rows, ["level"])
     used = F.when(F.col("own.n") >= least, F.col("own")).when(F.col("of_lang.n") >= least, F.col("of_lang")).otherwise(F.col("of_all"))
-    rows = rows.withColumn("used", used).select(*stats.columns, "used.*")
+    name = F.when(F.col("own.n") >= least, "language and source").when(F.col("of_lang.n") >= least, "language").otherwise("all")
+    rows = rows.withColumn("used", used).select(*stats.columns, name.alias("estimate"), "used.*")
     rows = _with_distance(rows)
     kept = ~F.col("base_failed") & (F.col("d2") <= cut)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"),
-        F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"),
+        F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"), F.when(~F.col("base_failed"), F.col("estimate")).alias("estimate"),
     )

@@ -1,13 +1,22 @@
 import math
+import random
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import BLANK, awkward, prose
 from tallgrass.llm import robust_outliers as ro
 
 
+def plain(seed, words=80):
+    """Prose without repeated windows: it passes the base rules."""
+    r = random.Random(seed)
+    return " ".join("".join(r.choices("abcdefghijklmnop", k=r.randint(3, 8))) for _ in range(words))
+
+
 def base(text):
     w = BLANK.findall(text or "")
     runs = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -17,11 +26,32 @@ def base(text):
     return (*out, out[0] < 10 or 100 * out[4] > 20 * out[0])
 
 
+BASE_SQL = r"""
+WITH dw AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM dw, unnest(generate_series(1, len(w) - 4)) AS u(i)),
+again AS (SELECT r, i FROM places QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM again, unnest(generate_series(i, i + 4)) AS u(p) GROUP BY r),
+counts AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(list_filter(str_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(str_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+  coalesce(n, 0)::BIGINT AS n_repeat_words FROM dw LEFT JOIN covered USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
+"""
+BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
 def test_base_statistics(docs):
-    found = ro.base_statistics(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+    found = ro.base_statistics(docs).select(*BASE).collect()
     assert sorted(map(tuple, found), key=repr) == sorted(((i, *base(t)) for i, t, _, _ in awkward()), key=repr)
 
 
+def test_base_statistics_in_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    found = ro.base_statistics(spark.read.parquet(f"{folder}/documents.parquet")).select(*BASE).collect()
+    assert sorted(map(tuple, found)) == sorted(db.execute(BASE_SQL).fetchall())
+
+
 def test_repeats_and_lines(spark):
     texts = ["a b c d e f a b c d e", "x\nx\n \ny\nx", "a a a a a a a a", "\n\n", "p q r s t " * 3 + "u", "a b c d"]
     rows = spark.createDataFrame([(i, t, "l", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
@@ -30,17 +60,62 @@ def test_repeats_and_lines(spark):
 
 
 def test_verdicts(spark, docs):
-    rows = {(r.doc_id, r.n_words): r for r in ro.judge(docs).collect()}
-    assert len(ro.judge(docs).collect()) == len(awkward())
-    assert not rows[20, 0].kept and rows[20, 0].base_failed and rows[20, 0].distance2 is None
-    assert all(rows[i, 60].kept for i in range(12))
+    found = ro.judge(docs).collect()
+    assert len(found) == len(awkward())
+    failed = {(i, base(t)[0]): base(t)[-1] for i, t, _, _ in awkward()}
+    assert all(r.base_failed == failed[r.doc_id, r.n_words] for r in found)
+    assert all(not r.kept and r.distance2 is None and r.estimate is None for r in found if r.base_failed)
+    # too few rows for a group of their own
+    assert all(r.estimate == "all" and r.kept == (r.distance2 <= ro.CUT) for r in found if not r.base_failed)
 
 
 def test_outliers_go_and_common_rows_stay(spark):
-    good = [(i, prose(i, 80), "en", "s") for i in range(400)]
-    bad = [(1000 + i, " ".join(f"{x}$$$###" for x in prose(i, 40).split()), "en", "s") for i in range(40)]
-    found = {r.doc_id: r.kept for r in ro.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(found[i] for i, *_ in good) and not any(found[i] for i, *_ in bad)
+    good = [(i, plain(i), "en", "s") for i in range(400)]
+    bad = [(1000 + i, " ".join(f"{x}$$$###" for x in plain(i, 40).split()), "en", "s") for i in range(40)]
+    table = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")
+    once, again = ({r.doc_id: (r.kept, r.distance2) for r in ro.judge(x).collect()} for x in (table, table.repartition(7, "text")))
+    assert all(once[i][0] for i, *_ in good) and not any(once[i][0] for i, *_ in bad)
+    assert {i: k for i, (k, _) in once.items()} == {i: k for i, (k, _) in again.items()}
+    assert all(math.isclose(once[i][1], again[i][1], rel_tol=1e-6) for i in once)
+
+
+@pytest.mark.parametrize(("own", "used"), [(199, "language"), (200, "language and source")])
+def test_small_groups_use_a_larger_one(spark, own, used):
+    rows = [(i, plain(i, 30), "en", "a" if i < own else "b") for i in range(own + 210)]
+    found = ro.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).groupBy("estimate").count().collect()
+    assert Counter({r.estimate: r["count"] for r in found}) == Counter([used] * own) + Counter(["language and source"] * 210)
+
+
+def plain_mcd(x, h, starts=300, seed=5):
+    """Least log determinant (with the ridge) over concentration steps from many random starts, with exactly h rows."""
+    r, ridge, best = np.random.default_rng(seed), np.diag(np.square(ro.FLOOR)), np.inf
+    for _ in range(starts):
+        use = r.choice(len(x), 6, replace=False)
+        last = np.inf
+        while True:
+            cov = np.cov(x[use].T, bias=True) + ridge
+            det = np.linalg.slogdet(cov)[1]
+            if len(use) == h and det > last - 1e-9:
+                break
+            last = det if len(use) == h else np.inf
+            y = x - x[use].mean(axis=0)
+            use = np.argsort((y * np.linalg.solve(cov, y.T).T).sum(axis=1), kind="stable")[:h]
+        best = min(best, last)
+    return best
+
+
+@pytest.mark.parametrize("shape", ["cloud", "cluster", "line"])
+def test_determinant_is_the_least_found_by_many_random_starts(spark, shape):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(400, 4)) @ r.normal(size=(4, 4)) * 0.3
+    if shape == "cluster":  # a fifth of the rows, close together
+        x[:80] = 3 + 0.05 * r.normal(size=(80, 4))
+    if shape == "line":
+        x[:70] = np.outer(r.normal(size=70) * 3, [1, -1, 1, 1])
+    rows = spark.createDataFrame([("l", "s", *map(float, v)) for v in x], "lang string, source string, x0 double, x1 double, x2 double, x3 double")
+    leveled = ro._leveled(rows)
+    found = ro.raw_estimate(leveled, 3, ro._starts(leveled, 3)[1]).filter("level = 0").agg(F.min("log_det")).first()[0]
+    assert found <= plain_mcd(x, math.ceil(0.75 * len(x))) + 0.02
 
 
 def test_distance_is_that_of_the_matrix(spark):
@@ -53,10 +128,11 @@ def test_distance_is_that_of_the_matrix(spark):
     assert math.isclose(ro._with_distance(one).first().d2, float((x - mean) @ np.linalg.solve(full, x - mean)), rel_tol=1e-9)
 
 
-def test_consistency():
+@pytest.mark.parametrize("cover", [0.75, 0.975])
+def test_consistency(cover):
     r = np.random.default_rng(4).normal(size=(200_000, 4))
     d = (r * r).sum(axis=1)
-    assert math.isclose(ro.consistency(0.75) * r[d <= np.quantile(d, 0.75)].var(), 1, rel_tol=0.01)
+    assert math.isclose(ro.consistency(cover) * r[d <= np.quantile(d, cover)].var(), 1, rel_tol=0.01)
 
 
 def test_empty(nothing):

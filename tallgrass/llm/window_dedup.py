@@ -33,7 +33,7 @@ from tallgrass.llm.shared import NO_ID, join_counted, shielded, stored
 from tallgrass.llm.words import BLANK_SPLIT, Words, chunked, hashes_of, mixed, run_hashes
 
 K = 13
-M = 4
+M = 2
 BUCKET_CHARS = 1 << 20
 HOT_STRINGS = 200_000
 #: A task that judges a bucket holds about fifteen numbers for each window.

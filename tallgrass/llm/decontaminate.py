@@ -1,14 +1,15 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of the test items.
 
 Items are cut into segments of a bounded number of words that overlap by one word less than a window, so no window is lost; the
-segments are dealt to parts of a bounded number of words, and each part's automaton is built in a task of its own. A pass streams
-every text's words through one automaton (sent to the workers, its size bounded by PART_WORDS) and tracks the longest match that
+segments are dealt to parts of a bounded number of words, and each part's automaton is built in a task of its own and written to the
+shared folder. One pass streams every text's words through the automata, one after the other, and tracks the longest match that
 ends at each word. Where it reaches the window's length, the words of the window are hit, and the state that holds the window
-names its items. Further parts are further passes over the same rows: nothing is shuffled.
+names its items. A worker gathers GATHER_BYTES of texts for each round of the automata and holds one automaton at a time, whose size
+PART_WORDS bounds; nothing is shuffled, and nothing of the items passes through the driver.
 
 Words are compared by 64-bit hashes of their letters. Defined results: null and empty texts have no words and no hits; an item
 without words matches nothing; an item shorter than a window is one window; repeated items count by item_id, once; an empty table
-of items leaves every document clean; other columns are kept (those named like a result column are replaced).
+of items leaves every document clean; further columns are kept (by `scan` those named like a result column are replaced).
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallgrass.llm.shared import stored
+from tallgrass.llm.shared import discard, file_of, new_folder, save, shielded, stored
 from tallgrass.llm.words import ALNUM_FOLDED, chunked
 
 WINDOW = 10
 #: Words of one automaton (some hundred bytes each in a worker), and of one segment of an item.
 PART_WORDS = 400_000
 SEGMENT_WORDS = 50_000
+GATHER_BYTES = 64 << 20
 
 
 class Automaton:
@@ -125,17 +127,14 @@ def build(items: list[tuple[str, list[int], int]], window: int) -> Automaton:
     """items: name, word numbers of a segment, and the words of its whole item."""
     made, names, segments, sizes = Automaton(window), {}, [], {}
     for name, words, whole in items:
-        x = names.setdefault(name, len(names))
-        sizes[x] = whole if x not in sizes else min(sizes[x], whole)
-        # one item_id with several texts: each text is an item of that name
-        if sizes[x] != whole:
-            x = names.setdefault(f"{name}\0{whole}", len(names))
-            sizes[x] = whole
+        # one item_id with several texts: those of another length are items of their own, of that name
+        x = names.setdefault((name, whole), len(names))
+        sizes[x] = whole
         segments.append((x, words))
         last = 0
         for word in words:
             last = made.extend(last, word)
-    made.names = [n.split("\0")[0] for n in names]
+    made.names = [name for name, _ in names]
     made.finish(segments, sizes)
     return made
 
@@ -154,61 +153,103 @@ def _segments(window: int):
     return run
 
 
-def automata(items: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """One row a part: vocabulary (sorted word hashes) and the pickled automaton over word numbers. items(item_id, text)."""
+def automata(items: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> tuple[str, int]:
+    """A folder with a file for each part, pickled: vocabulary (sorted word hashes) and the automaton over word numbers; and how many
+    parts there are. items(item_id, text)."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     cut = stored(rows.mapInArrow(_segments(window), "item string, words array<bigint>, whole bigint").distinct(), "segments")
     total = cut.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = max(1, -(-2 * total // part_words)) if total > part_words else 1
+    folder = new_folder(items.sparkSession, "automata")
 
     def one(rows):
         import pandas as pd
 
+        part = int(rows["part"].iloc[0])
         vocabulary = np.unique(np.concatenate([np.asarray(w, np.int64) for w in rows["words"]])).view(np.uint64)
         vocabulary.sort()
         rows = rows.sort_values(["item", "whole"])
         number = lambda w: (np.searchsorted(vocabulary, np.asarray(w, np.int64).view(np.uint64)) + 1).tolist()
         made = build([(r.item, number(r.words), int(r.whole)) for r in rows.itertuples()], window)
-        return pd.DataFrame({"vocabulary": [vocabulary.tobytes()], "automaton": [pickle.dumps(made, 5)]})
+        save(folder, f"part-{part}", pickle.dumps((vocabulary, made), 5))
+        return pd.DataFrame({"part": [part]})
 
     dealt = cut.withColumn("part", F.pmod(F.xxhash64("item", "whole", "words"), F.lit(parts)))
-    return stored(dealt.groupBy("part").applyInPandas(one, "vocabulary binary, automaton binary"), "automata")
+    dealt.groupBy("part").applyInPandas(one, "part long").write.format("noop").mode("overwrite").save()
+    discard(cut)
+    return folder, parts
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about GATHER_BYTES of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(at).nbytes
+        if size >= GATHER_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+_MARKS = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.binary())]
+
+
+class _Marks:
+    """What is found in each text of a batch; hits has a bit a word."""
+
+    def __init__(self, texts: int) -> None:
+        self.n_words, self.n_hit, self.longest, self.items, self.hits = np.zeros(texts, np.int64), [0] * texts, [0] * texts, [[] for _ in range(texts)], [None] * texts
+
+    def add(self, texts: pa.Array, vocabulary: np.ndarray, made: Automaton) -> None:
+        for w in chunked(texts, ALNUM_FOLDED):
+            self.n_words[w.first : w.first + len(w.lo)] = w.hi - w.lo
+            if not len(vocabulary) or not len(w.hash):
+                continue
+            place = np.searchsorted(vocabulary, w.hash)
+            known = place < len(vocabulary)
+            known[known] = vocabulary[place[known]] == w.hash[known]
+            known_to = np.flatnonzero(np.diff(np.concatenate(([0], known.view(np.int8), [0]))))
+            # runs of known words inside one text
+            bounds = np.unique(np.concatenate((known_to, w.lo, w.hi)))
+            run_lo, run_hi = bounds[:-1], bounds[1:]
+            use = (run_hi - run_lo >= made.least) & known[np.minimum(run_lo, len(known) - 1)]
+            run_lo, run_hi = run_lo[use], run_hi[use]
+            text = np.searchsorted(w.hi, run_lo, "right")
+            for a, b, t in zip(run_lo.tolist(), run_hi.tolist(), text.tolist(), strict=True):
+                lo, n, row = int(w.lo[t]), int(w.hi[t] - w.lo[t]), w.first + t
+                mine: set[str] = set()
+                hit = np.zeros(b - a, bool)
+                self.longest[row] = max(self.longest[row], made.scan((place[a:b] + 1).tolist(), hit, 0, mine))
+                if mine:
+                    whole = np.unpackbits(np.frombuffer(self.hits[row], np.uint8), count=n).astype(bool) if self.hits[row] else np.zeros(n, bool)
+                    whole[a - lo : b - lo] |= hit
+                    self.hits[row], self.n_hit[row] = np.packbits(whole).tobytes(), int(whole.sum())
+                    self.items[row] = sorted(mine | set(self.items[row]))
+
+    def columns(self) -> list[pa.Array]:
+        return [pa.array(getattr(self, name), kind) for name, kind in _MARKS]
+
+
+def _pass(folder: str, parts: int, at: int):
+    def load(part: int) -> tuple[np.ndarray, Automaton]:
+        path = file_of(folder, f"part-{part}")  # a part may be empty
+        if path is None:
+            return np.zeros(0, np.uint64), Automaton(1)
+        with open(path, "rb") as f:
+            return pickle.load(f)
 
-
-def _pass(sent, text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob = sent.value
-        vocabulary, made = np.frombuffer(blob[0], np.uint64), pickle.loads(blob[1])
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_column))
-            # results so far come last: n_words, n_hit, longest, items, hits (a bit a word)
-            n_hit, longest, items, hits = (batch.column(batch.num_columns - k).to_pylist() for k in (4, 3, 2, 1))
-            n_words = []
-            for w in chunked(texts, ALNUM_FOLDED):
-                place = np.searchsorted(vocabulary, w.hash)
-                known = place < len(vocabulary)
-                known[known] = vocabulary[place[known]] == w.hash[known]
-                known_to = np.flatnonzero(np.diff(np.concatenate(([0], known.view(np.int8), [0]))))
-                # runs of known words inside one text
-                bounds = np.unique(np.concatenate((known_to, w.lo, w.hi)))
-                run_lo, run_hi = bounds[:-1], bounds[1:]
-                use = (run_hi - run_lo >= made.least) & known[np.minimum(run_lo, max(len(known) - 1, 0))] if len(known) else np.zeros(len(run_lo), bool)
-                run_lo, run_hi = run_lo[use], run_hi[use]
-                text = np.searchsorted(w.hi, run_lo, "right")
-                n_words.append(w.hi - w.lo)
-                for a, b, t in zip(run_lo.tolist(), run_hi.tolist(), text.tolist(), strict=True):
-                    lo, n, row = int(w.lo[t]), int(w.hi[t] - w.lo[t]), w.first + t
-                    mine: set[str] = set()
-                    hit = np.zeros(b - a, bool)
-                    longest[row] = max(longest[row], made.scan((place[a:b] + 1).tolist(), hit, 0, mine))
-                    if mine:
-                        whole = np.unpackbits(np.frombuffer(hits[row], np.uint8), count=n).astype(bool) if hits[row] else np.zeros(n, bool)
-                        whole[a - lo : b - lo] |= hit
-                        hits[row], n_hit[row] = np.packbits(whole).tobytes(), int(whole.sum())
-                        items[row] = sorted(mine | set(items[row]))
-            counts = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-            columns = batch.columns[:-5] + [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(longest, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(hits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        loaded = None
+        for batch in _gathered(batches, at):
+            marks = _Marks(batch.num_rows)
+            for part in range(parts):
+                if loaded is None or parts > 1:
+                    loaded = None  # the one before goes first
+                    loaded = load(part)
+                marks.add(batch.column(at), *loaded)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *marks.columns()], names=[*batch.schema.names, *(name for name, _ in _MARKS)])
 
     return run
 
@@ -221,20 +262,14 @@ def _spans(hits: bytes | None, n: int) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate(([0], bit, [0])))).reshape(-1, 2)
 
 
-def scan(docs: DataFrame, items: DataFrame, text_column: str = "text", window: int = WINDOW) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, text_column: str = "text", window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """docs with n_words, n_hit, longest (words of the longest match), items (array, sorted) and hits (a bit for each word)."""
-    spark = docs.sparkSession
-    df = docs.drop("n_words", "n_hit", "longest", "items", "hits")
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("binary")
-    df = df.withColumns({"n_words": zero, "n_hit": zero, "longest": zero, "items": F.array().cast("array<string>"), "hits": none})
-    parts = automata(items, window)
-    # an automaton's size is bounded by PART_WORDS; the driver passes one at a time on to the workers
-    blobs = ((bytes(r.vocabulary), bytes(r.automaton)) for r in parts.toLocalIterator())
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    nothing = (b"", pickle.dumps(build([], window), 5))
-    for blob in [*blobs] or [nothing]:
-        df = df.mapInArrow(_pass(spark.sparkContext.broadcast(blob), text_column), schema)
-    return df
+    rows, restore = shielded(docs, [text_column])
+    folder, parts = automata(items, window, part_words)
+    number = T.LongType()
+    found = [("n_words", number), ("n_hit", number), ("longest", number), ("items", T.ArrayType(T.StringType())), ("hits", T.BinaryType())]
+    schema = T.StructType([T.StructField(n, t, True) for n, t in [*((f.name, f.dataType) for f in rows.schema), *found]])
+    return restore(rows.mapInArrow(_pass(folder, parts, rows.columns.index(text_column)), schema))
 
 
 def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", window: int = WINDOW, coverage_limit: float = 1.0) -> DataFrame:
@@ -242,7 +277,8 @@ def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", window:
 
     A span goes from the first letter of its first word to the last of its last; what stands around it is joined by one blank.
     """
-    marked = scan(docs, items, text_column, window)
+    rows, restore = shielded(docs, [text_column])
+    marked = scan(rows, items, text_column, window)
     kept = marked.filter(F.col("n_hit") <= F.lit(coverage_limit) * F.col("n_words"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,4 +301,4 @@ def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", window:
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in kept.schema])
-    return kept.mapInArrow(cut, schema).drop("n_words", "n_hit", "longest", "items", "hits")
+    return restore(kept.mapInArrow(cut, schema).drop("n_words", "n_hit", "longest", "items", "hits"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,44 @@ def shielded(df: DataFrame, uses: list[str]) -> tuple[DataFrame, Callable[[DataF
     return df.toDF(*hidden), restore
 
 
+def _on_mount(folder: str) -> str | None:
+    """The folder as a path if it is on a mount, else None."""
+    return folder.removeprefix("file://") if folder.startswith("file:") else None if "://" in folder else folder
+
+
+def save(folder: str, name: str, data: bytes | memoryview) -> None:
+    """Writes a file of the shared folder, in a task: under a name of its own, then renamed, so a task may run twice."""
+    path = _on_mount(folder)
+    if path:
+        os.makedirs(path, exist_ok=True)
+        with open(temporary := f"{path}/.{name}-{uuid.uuid4().hex}", "wb") as out:
+            out.write(data)
+        os.replace(temporary, f"{path}/{name}")
+        return
+    system, at = fs.FileSystem.from_uri(folder)
+    system.create_dir(at, recursive=True)
+    with system.open_output_stream(f"{at}/{name}") as out:
+        out.write(data)
+
+
+_fetched: dict[str, str] = {}
+
+
+def file_of(folder: str, name: str) -> str | None:
+    """The path of a file that `save` wrote, in a task: in place on a mount, else a copy that goes when the worker ends; None if there is
+    no such file."""
+    path = _on_mount(folder)
+    if path is None:
+        if folder not in _fetched:
+            _fetched[folder] = tempfile.mkdtemp()
+            atexit.register(shutil.rmtree, _fetched[folder], ignore_errors=True)
+        path = _fetched[folder]
+        system, at = fs.FileSystem.from_uri(folder)
+        if not os.path.exists(f"{path}/{name}") and system.get_file_info(f"{at}/{name}").type == fs.FileType.File:
+            fs.copy_files(f"{at}/{name}", f"{path}/{name}", source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
+    return f"{path}/{name}" if os.path.exists(f"{path}/{name}") else None
+
+
 def id_text(column: str = "doc_id") -> Column:
     """The id as text; null counts as empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

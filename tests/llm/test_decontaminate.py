@@ -33,14 +33,21 @@ def test_random_texts(spark, window):
     items = [(i % 20, " ".join(word() for _ in range(r.randint(0, 7)))) for i in range(25)]
     texts = [" ".join(word() if r.random() < 0.8 else "zz" for _ in range(r.randint(0, 30))) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for part_words in (10_000, 20):
-        automata = dc.automata
-        dc.automata = lambda i, w, n=part_words: automata(i, w, n)  # several parts, several passes
-        try:
-            found = dc.scan(docs, spark.createDataFrame(items, "item_id long, text string"), window=window).orderBy("doc_id").collect()
-        finally:
-            dc.automata = automata
-        assert [(x.n_words, x.n_hit, sorted(x["items"])) for x in found] == brute(texts, items, window)
+    for part_words in (10_000, 20):  # one part, and several
+        found = dc.scan(docs, spark.createDataFrame(items, "item_id long, text string"), window=window, part_words=part_words)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert [(x.n_words, x.n_hit, sorted(x["items"])) for x in found.orderBy("doc_id").collect()] == brute(texts, items, window)
+
+
+def test_small_gatherings_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(dc, "GATHER_BYTES", 50)
+    items = [(f"x\0{i}", prose(i, 14, 40)) for i in range(8)] + [("x", prose(20, 3)), ("x", prose(21, 12))]
+    texts = [f"{prose(100 + i, 5)} {prose(i % 8, 14, 40)} {prose(20 + i % 2, 12)}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    rows = spark.createDataFrame(items, "item_id string, text string")
+    assert dc.automata(rows, 10, 30)[1] >= 5
+    found = dc.scan(docs, rows, part_words=30).orderBy("doc_id").collect()
+    assert [(x.n_words, x.n_hit, sorted(x["items"])) for x in found] == [(a, b, sorted(set(c))) for a, b, c in brute(texts, items, 10)]
 
 
 def test_awkward(spark, docs):

@@ -14,6 +14,8 @@ source without words gets target 0.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,29 +41,40 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def _places(totals: DataFrame) -> DataFrame:
+    """totals with the place of each source by code point, null last, from 0. Sorted in ranges, so sources may be many."""
+    order = [F.col("source").isNull(), F.col("source").cast("binary")]
+    ranged = stored(totals.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sources")
+    sizes = sorted((r.part, r["count"]) for r in ranged.groupBy("part").count().toLocalIterator())  # one a partition
+    before = dict(zip((p for p, _ in sizes), [0, *accumulate(n for _, n in sizes)], strict=False))
+    first = totals.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return join_small(ranged, first, ["part"], len(before)).withColumn("place", F.col("before") + own).drop("part", "before")
+
+
 def source_targets(sizes: DataFrame, weights: DataFrame | None = None, ceiling: float = 3.0) -> DataFrame:
     """One row a source: source, source_size, target. Without weights, sources weigh 1, 2, 3, repeating, by code point, null last.
 
     Targets share the total of all sizes by weight; one above ceiling * source_size stops there and its excess goes to the others by
-    weight, until none is above. Sorted by ceiling * size / weight, the stopped sources are a prefix, so running sums find the level.
+    weight, until none is above. Each round is one sum over the sources; there are at most as many as distinct ceiling / weight.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
-        order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-        totals = totals.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("double"))
+        totals = _places(totals).withColumn("weight", (F.col("place") % 3 + 1).cast("double")).drop("place")
     else:
         totals = join_small(totals, weights.select("source", F.col("weight").cast("double")), ["source"])
-    cap = F.col("source_size") * F.lit(float(ceiling))
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source").cast("binary"))
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_level.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(F.lit(0))
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    ranked = totals.withColumn("cap", cap).withColumn("total", F.sum("source_size").over(everything)).withColumn("level", level)
-    # the first source in this order that its share does not lift above its cap sets the level for all after it
-    found = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(everything)
-    ranked = ranked.withColumn("final", found.getField("level"))
-    return ranked.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("final")), "cap").alias("target"))
+    totals = stored(totals.withColumn("cap", F.col("source_size") * F.lit(float(ceiling))), "caps")
+    everything = totals.agg(F.sum("source_size")).first()[0] or 0
+    level = -1.0
+    while True:
+        # sources whose share at this level is above their ceiling have stopped
+        stopped = F.col("cap") < F.col("weight") * F.lit(level) - F.lit(1e-9)
+        fixed, free = totals.agg(F.sum(F.when(stopped, F.col("cap"))), F.sum(F.when(~stopped, F.col("weight")))).first()
+        now = (everything - (fixed or 0.0)) / free if free else level
+        if now <= level:
+            break
+        level = now
+    return totals.select("source", "source_size", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
 
 
 def flight(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> np.ndarray:

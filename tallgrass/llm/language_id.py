@@ -6,10 +6,12 @@ each dictionary, and the sizes are added up. The smallest total wins. `lang` is
 (a share of its size); `best` is the winner in any case.
 
 Dictionaries are fitted on a bounded sample: about SAMPLE_TEXTS labelled texts a language by a hash of the id, of whose words
-DICTIONARY_BYTES are used. All languages of the labelled rows are learned; with many, dictionaries shrink to TOTAL_BYTES together.
+DICTIONARY_BYTES are used. All languages of the labelled rows that have a letter in their sample are learned; with many, dictionaries
+shrink to TOTAL_BYTES together, but not below LEAST_BYTES each.
 
-Defined results: best is `und`, lang null and score 0 where the text is null or has no letter, or no language was learned; ties go
-to the language first in code point order; further columns are kept; an empty table gives an empty result.
+Defined results: best is `und`, lang null and score 0 where the text is null or has no letter (marks and joiners are none), or no
+language was learned; ties go to the language first in code point order; further columns are kept, those named like a result column
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,41 +28,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallgrass.llm.shared import join_small, shielded, stored
+
 SAMPLE_TEXTS = 400
 DICTIONARY_BYTES = 96 << 10
-TOTAL_BYTES = 64 << 20
+TOTAL_BYTES, LEAST_BYTES = 64 << 20, 4 << 10
 PIECE = 2000
 LEVEL = 6
 UNDETERMINED = "und"
 
-_NO_LETTERS = regex.compile(r"[\W\d_]+")
+_NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letters_of(text: str | None) -> str:
-    """Lower-cased runs of letters, one blank between them."""
-    return _NO_LETTERS.sub(" ", text or "").strip().lower()
+    """Lower-cased runs of letters and their marks, one blank between them; empty without a letter."""
+    return _NO_LETTERS.sub(" ", text).strip().lower() if text and _LETTER.search(text) else ""
 
 
 def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language, from labelled(doc_id, text, lang). The sample depends on ids and texts only."""
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("__at")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    if not counts:
+    # a row a language, with the share of hash values that holds sample_texts of its texts in expectation
+    share = F.least(F.lit(1.0), F.lit(float(sample_texts)) / F.count(F.lit(1)))
+    limits = stored(rows.groupBy("lang").agg((share * (1 << 32)).cast("long").alias("limit")), "language-shares")
+    languages = limits.count()
+    if not languages:
         return {}
-    room = min(dictionary_bytes, TOTAL_BYTES // len(counts))
-    # a language's share of hash values that holds sample_texts of its texts in expectation
-    share = {lang: min(1.0, sample_texts / n) for lang, n in counts.items()}
-    limit = F.element_at(F.create_map(*(x for lang, s in share.items() for x in (F.lit(lang), F.lit(int(s * (1 << 32)))))), F.col("lang"))
-    sample = rows.filter(F.pmod("__at", F.lit(1 << 32)) < limit)
+    room = min(dictionary_bytes, max(TOTAL_BYTES // languages, LEAST_BYTES))
+    sample = join_small(rows, limits, ["lang"], languages).filter(F.pmod("__at", F.lit(1 << 32)) < F.col("limit"))
 
     def one(found: pd.DataFrame) -> pd.DataFrame:
         # words out of order: a passage that a text shares with the sample must not count as its language
         words = [w for text in found.sort_values(["__at", "text"])["text"] for w in letters_of(text).split()]
         random.Random(1).shuffle(words)
-        return pd.DataFrame({"lang": [found["lang"].iloc[0]], "dictionary": [" ".join(words).encode()[:room]]})
+        # zstandard takes no fewer than 8 bytes
+        return pd.DataFrame({"lang": [found["lang"].iloc[0]], "dictionary": [" ".join(words).encode()[:room].rjust(8) if words else b""]})
 
     made = sample.groupBy("lang").applyInPandas(one, "lang string, dictionary binary")
-    return {r.lang: bytes(r.dictionary) for r in made.orderBy("lang").toLocalIterator() if len(r.dictionary) >= 8}
+    return {r.lang: bytes(r.dictionary) for r in made.orderBy("lang").toLocalIterator() if r.dictionary}
 
 
 def _predict(dictionaries: dict[str, bytes], at: int, margin: float):
@@ -100,7 +106,7 @@ def _predict(dictionaries: dict[str, bytes], at: int, margin: float):
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_column: str = "text", margin: float = 0.02) -> DataFrame:
     """docs without the text, with best, lang (null: rejected), score (0 to 1) and margin."""
-    docs = docs.drop("best", "lang", "score", "margin")
-    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name != text_column]
+    rows, restore = shielded(docs, [text_column])
+    fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema if f.name != text_column]
     fields += [T.StructField("best", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType())]
-    return docs.mapInArrow(_predict(dictionaries, docs.columns.index(text_column), margin), T.StructType(fields))
+    return restore(rows.mapInArrow(_predict(dictionaries, rows.columns.index(text_column), margin), T.StructType(fields)))

@@ -5,7 +5,8 @@ numbers) with logistic loss: features are cut into BINS quantile bins, each leve
 gradients by bin. The fitted model is six small arrays, and scoring walks all rows of a batch down all trees at once in numpy.
 
 Defined results: null and empty texts have zero statistics and are scored like any text; ids labelled with both classes count once for
-each; without labels every score is 0.5; further columns are kept; an empty table gives an empty result.
+each; without labels every score is 0.5; further columns are kept, those named like the result column replaced; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallgrass.llm.shared import stored
+from tallgrass.llm.shared import shielded, stored
 from tallgrass.llm.words import BLANK_SPLIT_FOLDED, alphabet, chunked, run_hashes
 
 SAMPLE_ROWS = 20_000
@@ -106,7 +107,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs without the text, with stats: array<float>."""
+    """docs without the text, with stats: array<float>, in the place of a column of that name."""
     docs = docs.drop("stats")
     at = docs.columns.index(text_column)
 
@@ -237,17 +238,19 @@ def learned_from_texts(docs: DataFrame, labels: DataFrame, label_column: str = "
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs(doc_id, text, ...) without the text, with score. Texts are read once; their statistics are a table of their own."""
-    stats = stored(with_statistics(docs), "statistics")
-    return score(stats, learned(stats, labels, learn, label_column, sample_rows))
+    rows, restore = shielded(docs, ["doc_id", "text"])
+    marked = docs.select("*", (F.lit(True) if learn is None else learn).alias("learn")).toDF(*rows.columns, "learn")
+    stats = stored(with_statistics(marked), "statistics")
+    return restore(score(stats.drop("learn"), learned(stats, labels, F.col("learn"), label_column, sample_rows)))
 
 
 def score_texts(docs: DataFrame, model: Trees, text_column: str = "text") -> DataFrame:
     """docs, text and all, with score."""
-    docs = docs.drop("score")
-    at = docs.columns.index(text_column)
+    rows, restore = shielded(docs, [text_column])
+    at = rows.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(statistics(batch.column(at))), pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField("score", T.DoubleType())]))
+    return restore(rows.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in rows.schema), T.StructField("score", T.DoubleType())])))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+import zstandard
 from helpers import awkward
 from tallgrass.llm import language_id
 
@@ -22,6 +24,51 @@ def test_held_out_accuracy(spark):
     assert made == language_id.fit(frame.filter("doc_id < 40"))
 
 
+def plain_sizes(text, made):
+    """The size of a text under each dictionary, by the library's own plain call."""
+    letters = "".join(c if c.isalpha() else " " for c in text).lower()
+    raw = " ".join(letters.split()).encode()
+    out = {}
+    for lang, words in made.items():
+        packer = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(words, zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        out[lang] = sum(len(packer.compress(raw[i : i + language_id.PIECE])) for i in range(0, len(raw), language_id.PIECE))
+    return out
+
+
+def test_brute_force_over_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    made = language_id.fit(docs)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    seen = 0
+    for r in language_id.predict(docs.drop("lang"), made, margin=0.05).collect():
+        size = plain_sizes(text[r.doc_id] or "", made) if any(c.isalpha() for c in text[r.doc_id] or "") else None
+        if size is None:
+            assert r.best == "und" and r.lang is None
+            continue
+        order = sorted(size, key=lambda x: (size[x], x))
+        gap = (size[order[1]] - size[order[0]]) / size[order[1]]
+        assert r.best == order[0] and r.margin == pytest.approx(gap) and r.lang == (r.best if gap >= 0.05 else None)
+        seen += 1
+    assert seen > 150
+
+
+def test_texts_without_letters_and_small_languages(spark):
+    rows = [(i, sentence("aa", i), "aa") for i in range(20)] + [(30, "qx", "tiny"), (31, "123", "digits"), (32, None, "nothing")]
+    made = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(made) == ["aa", "tiny"]
+    texts = ["\u0301", "\u200d", "12 _ 3", "", None, "qx qx qx", "é"]
+    found = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), made).orderBy("doc_id").collect()
+    assert [r.best for r in found[:5]] == ["und"] * 5 and all(r.best in made for r in found[5:])
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TOTAL_BYTES", 100)
+    monkeypatch.setattr(language_id, "LEAST_BYTES", 32)
+    rows = [(i, sentence("aa", i), f"l{i % 60}") for i in range(120)]
+    made = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(made) == 60 and {len(d) for d in made.values()} == {32}
+
+
 def test_narrow_margins_are_rejected(spark):
     frame = spark.createDataFrame([(i, sentence(lang, i), lang) for i, lang in enumerate(("aa", "bb") * 20)], "doc_id long, text string, lang string")
     made = language_id.fit(frame)

@@ -8,11 +8,16 @@ A document's set holds its distinct N-word shingles (the whole sequence if it ha
    counts, for each document, its listed shingles that another set lists too. A batch settles the shingles that two of its own sets
    list and sends each at most once, so a shingle in very many documents is a few rows. Documents whose count stays below the
    bound have no partner and leave.
-3. The product itself, over what is left: postings of the rarest shingles of each set (frequent ones never lead, as the order is by
+3. Which entries of the product to compute: postings of the rarest shingles of each set (frequent ones never lead, as the order is by
    document frequency), each with the largest size of a set it can still link with. Each posting list meets its pivot, the member
    with the most frequent shingles. In lists whose members are then still in different components, those outside the largest one
-   meet all others. The overlap of every pair that the sizes allow is counted exactly.
-4. Links become components; each document gets the smallest id of its component.
+   meet all others that the sizes allow.
+4. The product at these entries. Sets are cut into PRODUCT_BLOCKS ranges of hashes; block after block, the overlaps of a pair within the
+   block are added to its count, and pairs leave once the count and all that the blocks to come can add stay below the bound
+   that the two sizes set. What is left after the last block are the links, with their exact overlaps.
+5. Links become components; each document gets the smallest id of its component.
+
+A shingle with more than HOT_SHARE of all entries is broadcast instead of shuffled, so no shingle gathers its documents in one task.
 
 Shingles are compared by 64-bit hashes. Defined results: null, empty and blank texts have size 0, link with nothing and are their
 own component; repeated rows and equal sets are one component; a null id counts as larger than any other, and a component
@@ -30,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallgrass.llm.shared import NO_ID, stored
+from tallgrass.llm.shared import NO_ID, discard, join_counted, stored
 from tallgrass.llm.words import BLANK_SPLIT_FOLDED, Words, chunked, mixed, run_hashes
 
 SHINGLE = 5
@@ -38,6 +43,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles of one block of columns, about.
 BLOCK_SHINGLES = 100_000
+#: Blocks of columns in which overlaps add up.
+PRODUCT_BLOCKS = 3
 PACK_BYTES = 8 << 20
 #: Up to this many bits (32 MB) the ids still of interest are broadcast as a bitmap; beyond, texts meet them in a join.
 MOST_BITS = 1 << 28
@@ -176,9 +183,16 @@ def _sets(n: int, bitmap):
             for w in chunked(batch.column(1), BLANK_SPLIT_FOLDED):
                 owner, h = shingle_sets(w, n)
                 size, one, _ = _set_keys(owner, h, len(w.lo))
-                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(size.astype(np.int64)), sets], ["node", "size", "shingles"])
+                # hashes are sorted within a set, so a block of them is a slice of each
+                block = (h >> np.uint64(32)) * np.uint64(PRODUCT_BLOCKS) >> np.uint64(32)
+                lists, lengths = [], []
+                for b in range(PRODUCT_BLOCKS):
+                    mine = block == b
+                    length = np.bincount(owner[mine], minlength=len(w.lo))
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(h[mine].view(np.int64))))
+                    lengths.append(pa.array(length.astype(np.int64)))
+                names = ["node", "size", *(f"n{b}" for b in range(PRODUCT_BLOCKS)), *(f"shingles{b}" for b in range(PRODUCT_BLOCKS))]
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(size.astype(np.int64)), *lengths, *lists], names)
 
     return run
 
@@ -201,7 +215,8 @@ def _bitmap(ids: DataFrame, column: str, bits: int):
 
 
 def sets_of(docs: DataFrame, alive: DataFrame, shingle: int) -> DataFrame:
-    """node, size, shingles of the documents alive, and of few more: those whose ids share a bit with theirs."""
+    """node, size and, for each block, how many shingles it has and which, of the documents alive and of few more: those whose ids share
+    a bit with theirs."""
     n = alive.count()
     bits = 1 << max(23, (12 * n).bit_length())
     if bits <= MOST_BITS:
@@ -209,22 +224,26 @@ def sets_of(docs: DataFrame, alive: DataFrame, shingle: int) -> DataFrame:
         rows = docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(bits)).alias("at"))
     else:
         sent, rows = None, docs.join(alive.select("doc").distinct(), "doc", "left_semi").select("doc", "text")
-    return rows.mapInArrow(_sets(shingle, sent), "node long, size long, shingles array<long>")
+    blocks = range(PRODUCT_BLOCKS)
+    return rows.mapInArrow(_sets(shingle, sent), ", ".join(["node long, size long", *(f"n{b} long" for b in blocks), *(f"shingles{b} array<long>" for b in blocks)]))
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root of all nodes of links(a, b): root is the smallest node of the component. Large-star and small-star rounds."""
+def components(links: DataFrame) -> DataFrame:
+    """node, root of all nodes of links(a, b): root is the smallest node of the component. Large-star and small-star rounds until nothing
+    changes."""
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         near = both(edges)
         least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = near.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.filter("a <> b").distinct(), "edges")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = stored(small.filter("a <> b").distinct(), "edges")
+        now = stored(small.filter("a <> b").distinct(), "edges")
+        discard(edges, large)
+        edges = now
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -234,13 +253,22 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) those that link, with their overlap. The sets move to the pairs at any size of these, so plans stay alike."""
-    left = sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("shingles").alias("of_b"))
-    met = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    overlap = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    met = met.select("a", "b", "size_a", "size_b", overlap.alias("overlap"))
-    return met.filter(100 * F.col("overlap") >= percent * (F.col("size_a") + F.col("size_b") - F.col("overlap"))).select("a", "b", "overlap")
+    """Of pairs(a, b) those that link, with their overlap: the product's entries, added up block by block. The sets move to the pairs at
+    any size of these, so plans stay alike."""
+    done, now = [], pairs.withColumn("overlap", F.lit(0).cast("long"))
+    for b in range(PRODUCT_BLOCKS):
+        later = [f"n{x}" for x in range(b + 1, PRODUCT_BLOCKS)]
+        rest = sum((F.col(x) for x in later), F.lit(0).cast("long"))
+        side = lambda name, b=b, rest=rest: sets.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), rest.alias(f"rest_{name}"), F.col(f"shingles{b}").alias(f"of_{name}"))
+        met = now.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+        met = met.withColumn("overlap", F.col("overlap") + F.size(F.array_intersect("of_a", "of_b")))
+        most = F.col("overlap") + F.least("rest_a", "rest_b")
+        met = met.filter(100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)).select("a", "b", "overlap")
+        if later:
+            done.append(now := stored(met, "overlaps"))
+    found = stored(met, "links")
+    discard(*done)
+    return found
 
 
 def _can_link() -> Column:
@@ -267,10 +295,11 @@ def survey(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bloc
 def links(docs: DataFrame, alive: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """a, b, overlap: links that join the same sets as all links do. docs(doc, text); alive(doc, one)."""
     sets = stored(sets_of(docs, alive, shingle), "sets")
-    entries = sets.select("node", "size", F.explode("shingles").alias("shingle"))
-    often = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    entries = sets.select("node", "size", F.explode(F.concat(*(f"shingles{b}" for b in range(PRODUCT_BLOCKS)))).alias("shingle"))
+    often = stored(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequencies")
+    n = sets.agg(F.sum("size")).first()[0] or 0
     of_node = [F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("own"), F.avg(F.log("df")).alias("often")]
-    own = entries.join(often.hint("merge"), "shingle").groupBy("node", "size").agg(*of_node)
+    own = join_counted(entries, often, "shingle", "df", n).groupBy("node", "size").agg(*of_node)
     # If the first shared shingle of two sets stands at place i of one of them, by document frequency, they share at most its size - i;
     # linking takes percent / (100 + percent) of both sizes. So a posting reaches sets up to a certain size only, and less far the
     # later it stands: frequent shingles, which come last, do not bring sets together that have much else besides them.
@@ -283,24 +312,25 @@ def links(docs: DataFrame, alive: DataFrame, shingle: int = SHINGLE, percent: in
     lead = lead.select(F.col("x.shingle").alias("shingle"), "node", "size", "weight", reach.cast("long").alias("reach"))
     lead = stored(lead.filter(100 * F.col("reach") >= percent * F.col("size")), "lead")
     # one that does not reach even the smallest set of a list leaves the list
-    least = lead.groupBy("shingle").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle", "least")
-    postings = stored(lead.join(least, "shingle").filter("least <= reach").drop("least"), "postings")
+    least = lead.groupBy("shingle").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    postings = stored(join_counted(lead, least, "shingle", "n", lead.count()).filter("least <= reach").drop("least", "n"), "postings")
+    n = postings.count()
 
     as_a = {"node": "a", "size": "size_a", "reach": "reach_a"}
     as_b = {"node": "b", "size": "size_b", "reach": "reach_b"}
-    pivot = postings.groupBy("shingle").agg(F.max(F.struct("weight", "size", "node", "reach")).alias("p")).select("shingle", "p.node", "p.size", "p.reach").withColumnsRenamed(as_a)
-    stars = postings.withColumnsRenamed(as_b).join(pivot, "shingle").filter(_can_link())
+    pivot = postings.groupBy("shingle").agg(F.max(F.struct("weight", "size", "node", "reach")).alias("p"), F.count(F.lit(1)).alias("n")).select("shingle", "p.node", "p.size", "p.reach", "n").withColumnsRenamed(as_a)
+    stars = join_counted(postings.withColumnsRenamed(as_b), pivot, "shingle", "n", n).filter(_can_link())
     tried = stored(stars.select("a", "b").distinct(), "stars")
-    found = stored(_counted(tried, sets, percent), "links")
+    found = _counted(tried, sets, percent)
 
     # what may still join two components: in each list, the members outside its largest component against all others
     roots = components(found)
     placed = stored(postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    parts = placed.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("p"), F.count(F.lit(1)).alias("parts"))
-    split = parts.filter("parts > 1").select("shingle", F.col("p.root").alias("main"))
-    rest = stored(placed.join(split, "shingle"), "open-postings")
-    few = rest.filter("root <> main").drop("main").withColumnsRenamed(as_a | {"root": "root_a"})
-    all_of = rest.drop("main").withColumnsRenamed(as_b | {"root": "root_b"})
+    parts = placed.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("p"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"))
+    split = parts.filter("parts > 1").select("shingle", F.col("p.root").alias("main"), "n")
+    rest = stored(join_counted(placed, split, "shingle", "n", n), "open-postings")
+    few = rest.filter("root <> main").drop("main", "n").withColumnsRenamed(as_a | {"root": "root_a"})
+    all_of = rest.drop("main", "n").withColumnsRenamed(as_b | {"root": "root_b"})
     more = few.join(all_of, "shingle").filter((F.col("root_a") != F.col("root_b")) & _can_link())
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -57,6 +57,24 @@ def test_families(spark, seed):
     assert run(spark, rows, block_shingles=50) == brute(rows)
 
 
+def test_overlaps_add_up_by_blocks(spark):
+    r = random.Random(5)
+    sets = [{r.getrandbits(63) - (1 << 62) for _ in range(3)} | {x - 50 for x in r.sample(range(100), 40)} for _ in range(30)]
+    blocks = range(ngram_join.PRODUCT_BLOCKS)
+    part = lambda s, b: sorted(x for x in s if x % len(blocks) == b)
+    rows = [(i, len(s), *(len(part(s, b)) for b in blocks), *(part(s, b) for b in blocks)) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, ", ".join(["node long, size long", *(f"n{b} long" for b in blocks), *(f"shingles{b} array<long>" for b in blocks)]))
+    pairs = [(i, j) for i in range(30) for j in range(i)]
+    found = ngram_join._counted(spark.createDataFrame(pairs, "a long, b long"), table, 25)
+    both = {(i, j): len(sets[i] & sets[j]) for i, j in pairs}
+    assert {(x.a, x.b): x.overlap for x in found.collect()} == {p: n for p, n in both.items() if 100 * n >= 25 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+
+
+def test_components_of_a_long_path(spark):
+    edges = [(i * 7919 % 3000, (i + 1) * 7919 % 3000) for i in range(2999)]
+    assert {r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {0}
+
+
 def test_chain(spark):
     words = prose(1, 400, 10**6).split()
     rows = [(50 - i, " ".join(words[i * 4 : i * 4 + 120])) for i in range(50)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallgrass.llm.shared import discard, file_of, new_folder, save, shielded, stored
+from tallgrass.llm.shared import discard, file_of, gathered, new_folder, save, shielded, stored
 from tallgrass.llm.words import ALNUM_FOLDED, chunked
 
 WINDOW = 10
@@ -180,19 +180,6 @@ def automata(items: DataFrame, window: int = WINDOW, part_words: int = PART_WORD
     return folder, parts
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about GATHER_BYTES of text."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.column(at).nbytes
-        if size >= GATHER_BYTES:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 _MARKS = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.binary())]
 
 
@@ -242,7 +229,7 @@ def _pass(folder: str, parts: int, at: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = None
-        for batch in _gathered(batches, at):
+        for batch in gathered(batches, at, GATHER_BYTES):
             marks = _Marks(batch.num_rows)
             for part in range(parts):
                 if loaded is None or parts > 1:

@@ -7,9 +7,10 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +128,19 @@ def file_of(folder: str, name: str) -> str | None:
     return f"{path}/{name}" if os.path.exists(f"{path}/{name}") else None
 
 
+def gathered(batches: Iterator[pa.RecordBatch], at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """In a task: the same rows in batches of about `size` bytes in column `at`."""
+    held, now = [], 0
+    for batch in batches:
+        held.append(batch)
+        now += batch.column(at).nbytes
+        if now >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, now = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def id_text(column: str = "doc_id") -> Column:
     """The id as text; null counts as empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

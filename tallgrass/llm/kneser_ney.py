@@ -1,91 +1,72 @@
-"""Interpolated modified Kneser-Ney bigram model (Chen and Goodman, 1999), counted in Spark.
+"""Interpolated modified Kneser-Ney model of any order from 2 on (Chen and Goodman, 1999), counted in Spark.
 
 The model is a set of sorted arrays in files of the shared folder, which workers map into memory to score texts:
 
-* vocabulary: 64-bit hashes of the training tokens, sorted, in shards by the hash's leading bits; a token's number is its place.
-  Beside it lie its count and a running total of counts.
-* followers: for each context token how many distinct tokens follow it once, twice, and three times or more; and for each token how
-  many distinct contexts it follows.
-* pairs: context number << 32 | token number, sorted, in shards by key range, with their counts. A range is where the pair would stand
-  if its two tokens were independent, so the pairs of a very frequent token are spread over as many shards as they need.
+* vocabulary: 64-bit hashes of the training tokens, sorted, in shards by the hash's leading bits; a token's number is its place. Beside
+  it lie its count and, once the pairs are counted, how many distinct contexts it follows.
+* for each order k from 2: sorted 64-bit hashes of the k-grams, and their counts: how often they occur at the highest order, how many
+  distinct tokens stand before them at the others.
+* for each order: sorted hashes of the contexts, with the sum of their k-grams' counts and how many of these are 1, 2, or more.
 
-Every count covers all training texts; the model grows with the corpus. Each text is a sequence of tokens and one end token, and
-starts in a context of its own. p(w|v) = (c(vw) - D) / c(v) + g(v) * p(w), where p(w) has continuation counts in place of counts
-and is itself interpolated with 1 / (V + 1), one share being left to tokens outside the vocabulary. A context outside it gives p(w).
+K-grams are counted as rows of 64-bit token numbers, so no bound on the vocabulary is built in; the files hold their hashes, where two that
+collide would count as one. A k-gram lies in the shard of its context; a context that, by its rarest token's count, may have very many
+followers is split over several, and its sums are added up afterwards.
+
+Every count covers all training texts; the model grows with the corpus. Each text is a sequence of tokens and one end token, preceded by
+order - 1 start tokens. p(w|h) = (c(hw) - D) / c(h) + g(h) * p(w|h'), h' being h without its first token; p(w) is interpolated with
+1 / (V + 1), one share being left to tokens outside the vocabulary. A context that was never seen leaves p(w|h').
 
 Where the shared folder is a path on a shared mount, files are mapped in place; elsewhere a worker first fetches them to a folder of
 its own, which goes when the worker ends. Files are written under a task's own name and then renamed, so a task may run twice.
 
 Defined results: null and empty texts are one end token; repeated rows count each time; without training texts every score is
-log10 of 1 / (V + 1) for each token, with V = 0; further columns are kept.
+log10 of 1 / (V + 1) for each token, with V = 0; further columns are kept, those named like a result column replaced.
 """
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallgrass.llm.shared import new_folder, stored
-from tallgrass.llm.words import BLANK_SPLIT_FOLDED, Words, chunked
+from tallgrass.llm.shared import delete, discard, file_of, new_folder, save, shielded, stored
+from tallgrass.llm.words import BLANK_SPLIT_FOLDED, Words, chunked, mixed
 
+ORDER = 3
 #: Text that a task counts before it writes what it has.
 COUNT_BYTES = 8 << 20
-#: Tokens for each shard of pairs, and distinct tokens for each shard of the vocabulary, about.
-PAIR_SHARD_TOKENS = 2_000_000
+#: Tokens for each shard of k-grams, and distinct tokens for each shard of the vocabulary, about.
+SHARD_TOKENS = 2_000_000
 VOCABULARY_SHARD = 1 << 17
-#: Stands for the end of a text in the vocabulary, and for its start as a context.
+#: Shards that a worker keeps mapped.
+MOST_MAPPED = 4096
+#: Stands for the end of a text in the vocabulary.
 END_HASH = np.uint64(0x5DEECE66D1234567)
-_START = 0xFFFFFFFF
-_UNKNOWN = -1
+#: Numbers in k-grams: tokens of the vocabulary count from 1.
+_START, _UNKNOWN = 0, -1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _on_mount(folder: str) -> str | None:
-    """The folder as a path if it is on a mount, else None."""
-    return folder.removeprefix("file://") if folder.startswith("file:") else None if "://" in folder else folder
+def _save(folder: str, name: str, array: np.ndarray) -> None:
+    np.save(out := io.BytesIO(), array)
+    save(folder, f"{name}.npy", out.getbuffer())
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    path = _on_mount(folder)
-    if path:
-        os.makedirs(path, exist_ok=True)
-        array.tofile(temporary := f"{path}/.{name}-{uuid.uuid4().hex}")
-        os.replace(temporary, f"{path}/{name}")
-        return
-    system, at = fs.FileSystem.from_uri(folder)
-    system.create_dir(at, recursive=True)
-    with system.open_output_stream(f"{at}/{name}") as out:
-        out.write(array.tobytes())
-
-
-def _mapped(folder: str, name: str, dtype) -> np.ndarray:
-    path = _on_mount(folder)
-    if path is None:
-        if not (here := _fetched.get(folder)):
-            here = _fetched[folder] = tempfile.mkdtemp()
-            atexit.register(shutil.rmtree, here, ignore_errors=True)
-        path = here
-        if not os.path.exists(f"{path}/{name}"):
-            system, at = fs.FileSystem.from_uri(folder)
-            fs.copy_files(f"{at}/{name}", f"{path}/{name}", source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-    if not os.path.exists(f"{path}/{name}"):
-        return np.zeros(0, dtype)
-    return np.memmap(f"{path}/{name}", dtype=dtype, mode="r") if os.path.getsize(f"{path}/{name}") else np.zeros(0, dtype)
-
-
-_fetched: dict[str, str] = {}
+def _small(x: np.ndarray) -> np.ndarray:
+    """In the least unsigned type that holds all values."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if x.size else x.astype(np.uint8)
+
+
+def _mapped(folder: str, name: str) -> np.ndarray | None:
+    path = file_of(folder, f"{name}.npy")
+    return None if path is None else np.load(path, mmap_mode="r")
 
 
 def _leading(h: np.ndarray, bits: int) -> np.ndarray:
@@ -93,34 +74,69 @@ def _leading(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Vocabulary:
-    """Numbers of tokens, read from mapped files."""
+    """Numbers of tokens and their values, read from mapped files."""
+
+    def __init__(self, folder: str, bits: int, base: list[int], texts: int) -> None:
+        self.folder, self.bits, self.base, self.texts = folder, bits, np.array(base, np.int64), texts
+        self.files: dict[tuple[str, int], np.ndarray | None] = {}
 
-    def __init__(self, folder: str, bits: int, base: list[int]) -> None:
-        self.folder, self.bits, self.base = folder, bits, np.array(base, np.int64)
-        self.hashes = [_mapped(folder, f"hash-{i}", np.uint64) for i in range(1 << bits)]
-        self.values: dict[str, list[np.ndarray]] = {}
+    def _file(self, name: str, shard: int) -> np.ndarray | None:
+        if (name, shard) not in self.files:
+            self.files[name, shard] = _mapped(self.folder, f"{name}-{shard}")
+        return self.files[name, shard]
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), _UNKNOWN, np.int64)
         shard = _leading(h, self.bits)
-        for i in np.unique(shard):
-            rows, known = np.flatnonzero(shard == i), self.hashes[i]
-            if len(known):
+        for i in np.unique(shard).tolist():
+            rows, known = np.flatnonzero(shard == i), self._file("hash", i)
+            if known is not None and len(known):
                 at = np.minimum(np.searchsorted(known, h[rows]), len(known) - 1)
-                out[rows] = np.where(known[at] == h[rows], at + self.base[i], _UNKNOWN)
+                out[rows] = np.where(known[at] == h[rows], at + self.base[i] + 1, _UNKNOWN)
         return out
 
-    def value(self, name: str, dtype, number: np.ndarray) -> np.ndarray:
-        """The named value of each number; 0 for unknown ones."""
-        files = self.values.get(name) or self.values.setdefault(name, [_mapped(self.folder, f"{name}-{i}", dtype) for i in range(1 << self.bits)])
-        out = np.zeros(len(number), dtype)
-        shard = np.searchsorted(self.base, number, "right") - 1
-        shard[number < 0] = -1
-        for i in np.unique(shard[shard >= 0]):
-            rows = np.flatnonzero(shard == i)
-            out[rows] = files[i][number[rows] - self.base[i]]
+    def shard_of(self, number: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, number - 1, "right") - 1
+
+    def value(self, name: str, number: np.ndarray) -> np.ndarray:
+        """The named value of each number; 0 for start and unknown ones."""
+        out = np.zeros(len(number), np.int64)
+        shard = np.where(number > 0, self.shard_of(number), -1)
+        for i in np.unique(shard[shard >= 0]).tolist():
+            rows, values = np.flatnonzero(shard == i), self._file(name, i)
+            if values is not None:
+                out[rows] = values[number[rows] - 1 - self.base[i]]
         return out
 
+    def counts(self, number: np.ndarray) -> np.ndarray:
+        """How often the token occurs; a start token once a text."""
+        return np.where(number == _START, self.texts, self.value("count", number))
+
+
+def _hash(grams: np.ndarray) -> np.ndarray:
+    """A hash of each row of numbers (columns x rows)."""
+    out = np.zeros(grams.shape[1], np.uint64)
+    for column in grams:
+        out = mixed(out * _STEP + column.astype(np.uint64))
+    return out
+
+
+def _pieces(grams: np.ndarray, vocabulary: Vocabulary, part: int) -> np.ndarray:
+    """Over how many shards the context of each k-gram is spread: one for each `part` times that its rarest token occurs, about."""
+    least = None
+    for column in grams[:-1]:
+        kinds, place = np.unique(column, return_inverse=True)
+        n = vocabulary.counts(kinds)[place]
+        least = n if least is None else np.minimum(least, n)
+    return least // part + 1
+
+
+def _shards(grams: np.ndarray, vocabulary: Vocabulary, part: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shard, hash of the context, and whether that is split, of each k-gram."""
+    context, pieces = _hash(grams[:-1]), _pieces(grams, vocabulary, part)
+    own = np.where(pieces > 1, mixed(grams[-1].astype(np.uint64)) % pieces.astype(np.uint64), 0).astype(np.uint64)
+    return ((context + own * _STEP) % np.uint64(shards)).astype(np.int64), context, pieces > 1
+
 
 def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, an end token after each text; and the number of tokens of each text."""
@@ -130,199 +146,210 @@ def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, and for every element its place among them; and their counts."""
-    values, place, counts = np.unique(x, return_inverse=True, return_counts=True)
-    return values, place, counts
+def _grams(h: np.ndarray, n: np.ndarray, vocabulary: Vocabulary, order: int) -> np.ndarray:
+    """The k-gram that ends at every place, as order x places numbers."""
+    kinds, place = np.unique(h, return_inverse=True)
+    number = vocabulary.numbers(kinds)[place]
+    at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.full((order, len(h)), _START, np.int64)
+    out[-1] = number
+    for back in range(1, order):
+        out[-1 - back, back:] = np.where(at[back:] >= back, number[:-back], _START)
+    return out
 
 
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for w in chunked(batch.column(0), BLANK_SPLIT_FOLDED, COUNT_BYTES):
-            h, n = np.unique(_tokens(w)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+def _merged(grams: np.ndarray, counts: np.ndarray, lead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct k-grams in order (after `lead`, which depends on the k-gram), with the sums of their counts."""
+    order = np.lexsort((*grams[::-1], lead) if lead is not None else grams[::-1])
+    grams = grams[:, order]
+    new = np.ones(grams.shape[1], bool)
+    new[1:] = (grams[:, 1:] != grams[:, :-1]).any(axis=0)
+    head = np.flatnonzero(new)
+    total = np.add.reduceat(counts[order], head) if len(head) else counts[:0]
+    return grams[:, head], total, None if lead is None else lead[order][head]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Columns of numbers, the first as differences, byte planes apart: most planes are nearly empty."""
+    x = x.copy()
+    x[0, 1:] -= x[0, :-1].copy()
+    planes = x.astype(np.int64).view(np.uint8).reshape(len(x), -1, 8).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
-@dataclass(frozen=True)
-class Model:
-    folder: str
-    bits: int
-    base: tuple[int, ...]
-    tokens: int  # N
-    types: int  # V
-    texts: int
-    pairs: int  # distinct pairs
-    shards: int
-    discount: tuple[float, float, float]  # of pairs seen once, twice, more often
-    low_discount: tuple[float, float, float]  # of tokens by their continuation counts
-    low_counts: tuple[int, int, int]  # tokens with continuation count 1, 2, more
 
+def _unpacked(raw: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(columns, 8, -1)
+    x = planes.transpose(0, 2, 1).copy(order="C").view(np.int64).reshape(columns, -1)
+    x[0] = np.cumsum(x[0])
+    return x
 
-def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """D1, D2, D3+ from how many have count 1 to 4; where a class is empty, what keeps them in bounds."""
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    d = [k - (k + 1) * y * up / n if n else k * y for k, n, up in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return tuple(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))
+
+_PARTS = "kind int, shard long, grams binary, h long, a long, b long, c long, d long"
+_PART_TYPES = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+_NAMES = ["kind", "shard", "grams", "h", "a", "b", "c", "d"]
+#: Kinds of parts: packed k-grams for a shard; sums of a split context; how many k-grams have count 1 to 4.
+_PACKED, _SPLIT, _CLASSES = 0, 1, 2
+
+
+def _part(kind: int, n: int, **columns) -> pa.Table:
+    columns |= {"kind": np.full(n, kind, np.int32)}
+    return pa.table([pa.array(columns[x], t) if x in columns else pa.nulls(n, t) for x, t in zip(_NAMES, _PART_TYPES, strict=True)], names=_NAMES)
+
+
+def _packed_parts(grams: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.Table:
+    """grams in order of shard."""
+    at = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+    both = np.concatenate((grams, counts[None]))
+    blobs = [_packed(both[:, a:b]) for a, b in zip(at, [*at, len(shard)][1:], strict=True)]
+    return _part(_PACKED, len(at), shard=shard[at], grams=blobs)
 
 
-def _write_vocabulary(folder: str, bits: int):
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for w in chunked(batch.column(0), BLANK_SPLIT_FOLDED, COUNT_BYTES):
+            h, n = np.unique(_tokens(w)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+
+def _write_vocabulary(folder: str):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         h = table.column("h").to_numpy().view(np.uint64)
         n = table.column("n").to_numpy()
         order = np.argsort(h)
         _save(folder, f"hash-{shard}", h[order])
-        _save(folder, f"count-{shard}", n[order].astype(np.int64))
+        _save(folder, f"count-{shard}", _small(n[order]))
         return pa.table({"shard": [shard], "types": [len(h)], "tokens": [int(n.sum())]})
 
     return run
 
 
-def _add_running(folder: str, before: dict[int, int]):
+def _count_grams(order: int, part: int, shards: int, *vocabulary_of):
     def run(batches):
+        vocabulary = Vocabulary(*vocabulary_of)
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                n = np.asarray(_mapped(folder, f"count-{shard}", np.int64))
-                _save(folder, f"running-{shard}", before[shard] + np.cumsum(n) - n)
-            yield batch
+            for words in chunked(batch.column(0), BLANK_SPLIT_FOLDED, COUNT_BYTES):
+                grams = _grams(*_tokens(words), vocabulary, order)
+                shard, _, _ = _shards(grams, vocabulary, part, shards)
+                yield from _packed_parts(*_merged(grams, np.ones(grams.shape[1], np.int64), shard)).to_batches()
 
     return run
 
 
-def _pair_shard(v: np.ndarray, w: np.ndarray, vocabulary: Vocabulary, tokens: int, texts: int, shards: int) -> np.ndarray:
-    """Where the pair stands, from 0 to 1, were tokens independent of their contexts: a shard holds a range of keys."""
-    start = v == _START
-    inner = np.where(start, 0, v)
-    before = np.where(start, tokens, vocabulary.value("running", np.int64, inner)).astype(float)
-    width = np.where(start, texts, vocabulary.value("count", np.int64, inner))
-    share = vocabulary.value("running", np.int64, w) / max(tokens, 1)
-    return np.minimum(((before + width * share) / (tokens + texts) * shards).astype(np.int64), shards - 1)
-
-
-def _pairs_of(h: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Token and context numbers at every place."""
-    values, place, _ = _distinct(h)
-    token = vocabulary.numbers(values)[place]
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[np.cumsum(n) - n] = _START
-    return token, context
-
+def _write_grams(k: int, part: int, shards: int, *vocabulary_of):
+    """Writes a shard of k-grams; gives what the next order counts, the sums of split contexts, and the classes of counts."""
+    folder = vocabulary_of[0]
 
-def _count_pairs(folder: str, bits: int, base: list[int], tokens: int, texts: int, shards: int):
-    squeeze = lambda x: zstandard.ZstdCompressor(level=1).compress(x)
-
-    def run(batches):
-        vocabulary = Vocabulary(folder, bits, base)
-        for batch in batches:
-            for words in chunked(batch.column(0), BLANK_SPLIT_FOLDED, COUNT_BYTES):
-                w, v = _pairs_of(*_tokens(words), vocabulary)
-                key, count = np.unique((v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), return_counts=True)
-                shard = _pair_shard((key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), vocabulary, tokens, texts, shards)
-                cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else [0]
-                out = []
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    # differences of sorted keys, byte planes apart: most planes are nearly empty
-                    steps = np.diff(key[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-                    out.append((int(shard[a]), b - a, squeeze(np.ascontiguousarray(steps).tobytes()), squeeze(count[a:b].astype(np.uint32).tobytes())))
-                columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "n", "keys", "counts"])
+    def run(table: pa.Table) -> pa.Table:
+        vocabulary, name = Vocabulary(*vocabulary_of), table.column("shard")[0].as_py()
+        both = np.concatenate([_unpacked(x, k + 1) for x in table.column("grams").to_pylist()], axis=1)
+        grams, count, _ = _merged(both[:-1], both[-1])
+        h = _hash(grams)
+        order = np.argsort(h)
+        _save(folder, f"gram{k}-{name}", h[order])
+        _save(folder, f"count{k}-{name}", _small(count[order]))
+        _, context, split = _shards(grams, vocabulary, part, shards)
+        head = np.flatnonzero((np.diff(grams[:-1], prepend=-2, axis=1) != 0).any(axis=0))
+        sums = np.stack([np.add.reduceat(x.astype(np.int64), head) for x in (count, count == 1, count == 2, count >= 3)])
+        context, split = context[head], split[head]
+        own = np.flatnonzero(~split)
+        own = own[np.argsort(context[own])]
+        _save(folder, f"context{k}-{name}", context[own])
+        _save(folder, f"sums{k}-{name}", _small(sums[:, own]))
+        out = [_part(_SPLIT, int(split.sum()), h=context[split].view(np.int64), **dict(zip("abcd", sums[:, split], strict=True)))]
+        out.append(_part(_CLASSES, 1, **{x: [int((count == i).sum())] for i, x in enumerate("abcd", 1)}))
+        shorter = grams[1:]
+        shard = _shards(shorter, vocabulary, part, shards)[0] if k > 2 else vocabulary.shard_of(shorter[0])
+        out.append(_packed_parts(*_merged(shorter, np.ones(shorter.shape[1], np.int64), shard)))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[head], np.add.reduceat(counts[order].astype(np.int64), head) if len(keys) else counts.astype(np.int64)
+def _write_split(folder: str):
+    def run(table: pa.Table) -> pa.Table:
+        k, shard = table.column("k")[0].as_py(), table.column("shard")[0].as_py()
+        h = table.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        _save(folder, f"split{k}-{shard}", h[order])
+        _save(folder, f"splitsums{k}-{shard}", _small(np.stack([table.column(x).to_numpy() for x in "abcd"])[:, order]))
+        return table.select(["shard"]).slice(0, 1)
 
+    return run
 
-_PARTS = "kind int, number long, a long, b long, c long, d long"
 
+def _write_after(folder: str, base: list[int], sizes: list[int]):
+    """How many distinct contexts each token of a shard of the vocabulary follows; gives their sum, and how many follow 1 to 4 and 3 or more."""
 
-def _write_pairs(folder: str):
     def run(table: pa.Table) -> pa.Table:
-        grow = zstandard.ZstdDecompressor().decompress
         shard = table.column("shard")[0].as_py()
-        keys, counts = [], []
-        for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            planes = np.frombuffer(grow(k), np.uint8).reshape(8, -1)
-            keys.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64))
-            counts.append(np.frombuffer(grow(c), np.uint32))
-        key, count = _merge(np.concatenate(keys), np.concatenate(counts))
-        _save(folder, f"pair-{shard}", key)
-        _save(folder, f"pairs-{shard}", np.minimum(count, 0xFFFFFFFF).astype(np.uint32))
-        context, token = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        head = np.flatnonzero(np.diff(context, prepend=-1))
-        classes = [np.add.reduceat((count == 1).astype(np.int64), head), np.add.reduceat((count == 2).astype(np.int64), head), np.add.reduceat((count >= 3).astype(np.int64), head)]
-        follows, n = np.unique(token, return_counts=True)
-        zero = lambda k: np.zeros(k, np.int64)
-        # kind 0: followers of a context; 1: contexts of a token; 2: pairs seen 1 to 4 times
-        kind = np.concatenate((np.zeros(len(head), np.int32), np.ones(len(n), np.int32), np.full(1, 2, np.int32)))
-        number = np.concatenate((context[head], follows, [shard]))
-        seen = [np.array([(count == k).sum()]) for k in (1, 2, 3, 4)]
-        a, b, c, d = (np.concatenate(x) for x in ((classes[0], n, seen[0]), (classes[1], zero(len(n)), seen[1]), (classes[2], zero(len(n)), seen[2]), (zero(len(head)), zero(len(n)), seen[3])))
-        return pa.table({"kind": pa.array(kind), "number": number, "a": a, "b": b, "c": c, "d": d})
+        number, count = np.concatenate([_unpacked(x, 2) for x in table.column("grams").to_pylist()], axis=1)
+        out = np.bincount(number - 1 - base[shard], weights=count, minlength=sizes[shard]).astype(np.int64)
+        _save(folder, f"after-{shard}", _small(out))
+        return pa.table({"total": [int(out.sum())], **{f"n{i}": [int((out == i).sum())] for i in (1, 2, 3, 4)}, "more": [int((out >= 3).sum())]})
 
     return run
 
 
-def _write_values(folder: str, base: list[int], sizes: list[int], start: int):
-    def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        kind, number = table.column("kind").to_numpy(), table.column("number").to_numpy()
-        a, b, c = (table.column(x).to_numpy() for x in "abc")
-        if shard == start:
-            _save(folder, "start", np.stack([a, b, c], axis=1).astype(np.int64)[:1])
-            return pa.table({"shard": [shard]})
-        for k, name, values in ((0, "one", a), (0, "two", b), (0, "more", c), (1, "after", a)):
-            out = np.zeros(sizes[shard], np.uint32)
-            out[number[kind == k] - base[shard]] = np.minimum(values[kind == k], 0xFFFFFFFF)
-            _save(folder, f"{name}-{shard}", out)
-        return pa.table({"shard": [shard]})
+@dataclass(frozen=True)
+class Model:
+    folder: str
+    order: int
+    bits: int
+    base: tuple[int, ...]
+    tokens: int  # N
+    types: int  # V
+    texts: int
+    pairs: int  # distinct pairs
+    shards: int
+    part: int
+    discounts: tuple[tuple[float, float, float], ...]  # of k-grams with count 1, 2, more, from order 2 on
+    low_discount: tuple[float, float, float]  # of tokens by their continuation counts
+    low_counts: tuple[int, int, int]  # tokens with continuation count 1, 2, more
 
-    return run
+
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """D1, D2, D3+ from how many have count 1 to 4; where a class is empty, what keeps them in bounds."""
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    d = [k - (k + 1) * y * up / n if n else k * y for k, n, up in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return tuple(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))
 
 
-def train(texts: DataFrame, pair_shard_tokens: int = PAIR_SHARD_TOKENS, vocabulary_shard: int = VOCABULARY_SHARD) -> Model:
-    """The model of all rows of texts(text)."""
-    spark = texts.sparkSession
-    folder = new_folder(spark, "kneser-ney")
+def train(texts: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS, vocabulary_shard: int = VOCABULARY_SHARD, folder: str | None = None) -> Model:
+    """The model of all rows of texts(text). Its files go with the application, unless a folder of the caller's is given."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
+    folder = folder or new_folder(texts.sparkSession, "kneser-ney")
     rows = texts.select(F.col("text").cast("string").alias("text"))
     counted = stored(rows.mapInArrow(_count_tokens, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "tokens")
     distinct = counted.count()
     bits = max(0, (distinct // vocabulary_shard).bit_length())
     shard = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    listed = stored(counted.withColumn("shard", shard).groupBy("shard").applyInArrow(_write_vocabulary(folder, bits), "shard long, types long, tokens long"), "shards")
+    listed = stored(counted.withColumn("shard", shard).groupBy("shard").applyInArrow(_write_vocabulary(folder), "shard long, types long, tokens long"), "shards")
+    ends = counted.filter(F.col("h") == F.lit(int(END_HASH.view(np.int64)))).agg(F.sum("n")).first()[0] or 0
+    discard(counted)
     # a few numbers for each shard of about a million tokens
     found = {r.shard: r for r in listed.toLocalIterator()}
-    base, sizes, before, total = [], [], {}, 0
+    base, sizes, total = [], [], 0
     for i in range(1 << bits):
         base.append(sum(sizes))
         sizes.append(found[i].types if i in found else 0)
-        before[i] = total
         total += found[i].tokens if i in found else 0
-    listed.select("shard").mapInArrow(_add_running(folder, before), "shard long").write.format("noop").mode("overwrite").save()
-    ends = counted.filter(F.col("h") == F.lit(int(END_HASH.view(np.int64)))).agg(F.sum("n")).first()[0] or 0
-    shards = int(total // pair_shard_tokens) + 1
-    packed = rows.mapInArrow(_count_pairs(folder, bits, base, total, ends, shards), "shard long, n long, keys binary, counts binary")
-    parts = stored(packed.groupBy("shard").applyInArrow(_write_pairs(folder), _PARTS), "pair-parts")
-    sums = parts.filter("kind < 2").groupBy("kind", "number").agg(*(F.sum(x).alias(x) for x in "abc"))
-    sums = stored(sums, "followers")
-    edges = F.lit(0).cast("long")
-    for i, b in enumerate(base):
-        if i and sizes[i]:
-            edges = F.when(F.col("number") >= b, F.lit(i).cast("long")).otherwise(edges)
-    if len(base) > 64:  # many shards: look the place up instead of a chain of conditions
-        edges = F.size(F.filter(F.array(*(F.lit(b) for b in base[1:])), lambda b: b <= F.col("number"))).cast("long")
-    start = len(base)
-    placed = sums.withColumn("shard", F.when(F.col("number") == F.lit(_START), F.lit(start).cast("long")).otherwise(edges))
-    placed.groupBy("shard").applyInArrow(_write_values(folder, base, sizes, start), "shard long").write.format("noop").mode("overwrite").save()
-    seen = parts.filter("kind = 2").agg(*(F.sum(x) for x in "abcd")).first()
-    low = sums.filter("kind = 1").agg(F.sum("a"), *(F.count_if(F.col("a") == k) for k in (1, 2, 3, 4)), F.count_if(F.col("a") >= 3)).first()
-    return Model(folder, bits, tuple(base), total, distinct, ends, low[0] or 0, shards, _discounts(*(x or 0 for x in seen)), _discounts(*low[1:5]), (low[1], low[2], low[5]))
+    shards, part = int(total // shard_tokens) + 1, max(1, shard_tokens // 4)
+    vocabulary_of = (folder, bits, base, ends)
+    packed, discounts, levels = rows.mapInArrow(_count_grams(order, part, shards, *vocabulary_of), _PARTS), [], []
+    for k in range(order, 1, -1):
+        parts = stored(packed.groupBy("shard").applyInArrow(_write_grams(k, part, shards, *vocabulary_of), _PARTS), f"grams{k}")
+        discounts.insert(0, _discounts(*(x or 0 for x in parts.filter(F.col("kind") == _CLASSES).agg(*(F.sum(x) for x in "abcd")).first())))
+        packed = parts.filter(F.col("kind") == _PACKED)
+        levels.append(parts)
+        split = parts.filter(F.col("kind") == _SPLIT).groupBy("h").agg(*(F.sum(x).alias(x) for x in "abcd"))
+        split = split.withColumns({"k": F.lit(k), "shard": F.pmod("h", F.lit(shards))})
+        split.groupBy("k", "shard").applyInArrow(_write_split(folder), "shard long").write.format("noop").mode("overwrite").save()
+    after = stored(packed.groupBy("shard").applyInArrow(_write_after(folder, base, sizes), "total long, n1 long, n2 long, n3 long, n4 long, more long"), "after")
+    low = [x or 0 for x in after.agg(*(F.sum(x) for x in after.columns)).first()]
+    discard(listed, after, *levels)
+    return Model(folder, order, bits, tuple(base), total, distinct, ends, low[0], shards, part, tuple(discounts), _discounts(*low[1:5]), (low[1], low[2], low[5]))
 
 
 def _sum_by_text(x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -334,51 +361,72 @@ def _pick(number: np.ndarray, by: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *by])[np.minimum(number, 3)]
 
 
+class _Arrays:
+    """Values of hashes in the sharded arrays of a model."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.files = folder, {}
+
+    def look_up(self, keys: str, values: str, h: np.ndarray, shard: np.ndarray, rows: int) -> np.ndarray:
+        """rows x hashes; 0 where a hash is not known."""
+        out = np.zeros((rows, len(h)), np.int64)
+        order = np.lexsort((h, shard))
+        cut = np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist()
+        for a, b in zip(cut, [*cut, len(h)][1:], strict=True):
+            mine, s = order[a:b], int(shard[order[a]])
+            if len(self.files) > 2 * MOST_MAPPED:
+                self.files.clear()
+            if (keys, s) not in self.files:
+                self.files[keys, s] = (_mapped(self.folder, f"{keys}-{s}"), _mapped(self.folder, f"{values}-{s}"))
+            known, found = self.files[keys, s]
+            if known is not None and len(known):
+                at = np.minimum(np.searchsorted(known, h[mine]), len(known) - 1)
+                out[:, mine] = np.where(known[at] == h[mine], np.atleast_2d(found)[:, at], 0)
+        return out
+
+
+def _probabilities(model: Model, grams: np.ndarray, vocabulary: Vocabulary, arrays: _Arrays, low: np.ndarray) -> np.ndarray:
+    """p of the last token of each k-gram, from its p without a context."""
+    p = low
+    for k in range(2, model.order + 1):
+        use = np.flatnonzero((grams[-k:-1] != _UNKNOWN).all(axis=0))
+        mine = grams[-k:, use]
+        shard, context, split = _shards(mine, vocabulary, model.part, model.shards)
+        known = mine[-1] != _UNKNOWN
+        count = np.zeros(len(use), np.int64)
+        count[known] = arrays.look_up(f"gram{k}", f"count{k}", _hash(mine[:, known]), shard[known], 1)[0]
+        # each context once
+        kinds, first, place = np.unique(context, return_index=True, return_inverse=True)
+        sums, apart = np.zeros((4, len(kinds)), np.int64), split[first]
+        sums[:, ~apart] = arrays.look_up(f"context{k}", f"sums{k}", kinds[~apart], shard[first][~apart], 4)
+        sums[:, apart] = arrays.look_up(f"split{k}", f"splitsums{k}", kinds[apart], np.mod(kinds[apart].view(np.int64), model.shards), 4)
+        total, *classes = sums[:, place]
+        d = model.discounts[k - 2]
+        mass = sum(x * n for x, n in zip(d, classes, strict=True))
+        seen = total > 0
+        p = p.copy()
+        p[use[seen]] = (count[seen] - _pick(count[seen], d) + mass[seen] * p[use[seen]]) / total[seen]
+    return p
+
+
 def _score(model: Model, at: int):
     def run(batches):
-        vocabulary = Vocabulary(model.folder, model.bits, list(model.base))
-        keys: dict[int, tuple] = {}
-        start = np.asarray(_mapped(model.folder, "start", np.int64)).reshape(-1, 3)
+        vocabulary, arrays = Vocabulary(model.folder, model.bits, list(model.base), model.texts), _Arrays(model.folder)
         uniform = 1.0 / (model.types + 1)
         left = sum(d * n for d, n in zip(model.low_discount, model.low_counts, strict=True))
         for batch in batches:
             results = [[], [], [], []]
             for words in chunked(batch.column(at), BLANK_SPLIT_FOLDED):
                 h, n = _tokens(words)
-                token, context = _pairs_of(h, n, vocabulary)
-                value = lambda name, x: vocabulary.value(name, np.uint32, x).astype(np.int64)
+                grams = _grams(h, n, vocabulary, model.order)
                 # by distinct token first: each is looked up once
-                kinds, place, _ = _distinct(token)
-                count = vocabulary.value("count", np.int64, kinds)
-                after = value("after", kinds)
+                kinds, place = np.unique(grams[-1], return_inverse=True)
+                count, after = vocabulary.value("count", kinds), vocabulary.value("after", kinds)
                 low = (np.maximum(after - _pick(after, model.low_discount), 0) + left * uniform) / model.pairs if model.pairs else np.full(len(kinds), uniform)
-                one, two, more = (value(x, kinds) for x in ("one", "two", "more"))
-                mass = model.discount[0] * one + model.discount[1] * two + model.discount[2] * more
                 base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
-                c_token, low = count[place], low[place]
-                before = np.searchsorted(kinds, np.where(context == _START, kinds[0], context)) if len(kinds) else context
-                total, mass = np.where(context == _START, model.texts, count[before]), np.where(context == _START, sum(d * x for d, x in zip(model.discount, start[0], strict=True)) if len(start) else 0.0, mass[before])
-                seen = np.zeros(len(token), np.int64)
-                both = np.flatnonzero((token >= 0) & (context >= 0))
-                if len(both) and model.pairs:
-                    key, back, _ = _distinct((context[both].astype(np.uint64) << np.uint64(32)) | token[both].astype(np.uint64))
-                    shard = _pair_shard((key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), vocabulary, model.tokens, model.texts, model.shards)
-                    got = np.zeros(len(key), np.int64)
-                    cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-                    for a, b in zip(cut[:-1], cut[1:], strict=True):
-                        s = int(shard[a])
-                        if s not in keys:
-                            keys[s] = (_mapped(model.folder, f"pair-{s}", np.uint64), _mapped(model.folder, f"pairs-{s}", np.uint32))
-                        known, counts = keys[s]
-                        if len(known):
-                            i = np.minimum(np.searchsorted(known, key[a:b]), len(known) - 1)
-                            got[a:b] = np.where(known[i] == key[a:b], counts[i], 0)
-                    seen[both] = got[back]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    high = (seen - _pick(seen, model.discount) + mass * low) / total
-                p = np.where(total > 0, high, low)
+                p = _probabilities(model, grams, vocabulary, arrays, low[place])
                 results[0].append(n)
-                results[1].append(_sum_by_text((c_token > 0).astype(np.int64), n))
+                results[1].append(_sum_by_text((count > 0).astype(np.int64)[place], n))
                 results[2].append(_sum_by_text(base[place], n))
                 results[3].append(_sum_by_text(np.log10(p), n))
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -392,14 +440,13 @@ def _score(model: Model, at: int):
 
 def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """docs without the text, with n_tokens, n_known, base_score, score (log10) and perplexity."""
-    docs = docs.drop("n_tokens", "n_known", "base_score", "score", "perplexity")
-    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name != text_column]
+    rows, restore = shielded(docs, [text_column])
+    fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema if f.name != text_column]
     fields += [T.StructField(x, t) for x, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]
-    scored = docs.mapInArrow(_score(model, docs.columns.index(text_column)), T.StructType(fields))
-    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    scored = rows.mapInArrow(_score(model, rows.columns.index(text_column)), T.StructType(fields))
+    return restore(scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
 
 
 def forget(spark: SparkSession, model: Model) -> None:
     """Deletes the model's files."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(model.folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, model.folder)

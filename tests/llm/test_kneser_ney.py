@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from helpers import BLANK, awkward, crc, lower, prose
@@ -22,34 +23,39 @@ def discounts(counts):
     return lambda c: 0.0 if c == 0 else d[min(c, 3) - 1]
 
 
-def brute(train, texts):
+def brute(train, texts, order=3):
     """n_tokens, n_known, base score and score of each text under dictionaries of all training texts."""
-    count, pair, total = Counter(), Counter(), Counter()
+    grams = lambda seen, k: zip(*([*([START] * (order - 1)), *seen][i : i + len(seen) + order - k] for i in range(k)), strict=False)
+    ends = lambda seen, k: list(grams(seen, k))[order - k :]
+    count, by_order = Counter(), {order: Counter()}
     for t in train:
         seen = tokens(t)
         count.update(seen)
-        for v, w in zip([START, *seen], seen, strict=False):
-            pair[v, w] += 1
-            total[v] += 1
-    after = Counter(w for _, w in pair)
-    d, low_d = discounts(pair.values()), discounts(after.values())
-    mass, left = Counter(), sum(low_d(c) for c in after.values())
-    for (v, _), c in pair.items():
-        mass[v] += d(c)
+        by_order[order].update(ends(seen, order))
+    for k in range(order - 1, 0, -1):  # distinct tokens before each
+        by_order[k] = Counter(g[1:] for g in by_order[k + 1])
+    d = {k: discounts(c.values()) for k, c in by_order.items()}
+    total, mass = Counter(), Counter()
+    for k in range(2, order + 1):
+        for g, c in by_order[k].items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += d[k](c)
+    left, pairs = sum(d[1](c) for c in by_order[1].values()), sum(by_order[1].values())
     n, v_size = sum(count.values()), len(count)
     uniform = 1 / (v_size + 1)
 
-    def low(w):
-        return (max(after[w] - low_d(after[w]), 0) + left * uniform) / len(pair) if pair else uniform
-
-    def p(v, w):
-        return (pair[v, w] - d(pair[v, w]) + mass[v] * low(w)) / total[v] if total[v] else low(w)
+    def p(g):
+        c = by_order[len(g)][g]
+        if len(g) == 1:
+            return (max(c - d[1](c), 0) + left * uniform) / pairs if pairs else uniform
+        low = p(g[1:])
+        return (c - d[len(g)](c) + mass[g[:-1]] * low) / total[g[:-1]] if total[g[:-1]] else low
 
     out = []
     for t in texts:
         seen = tokens(t)
         base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v_size + 1))) for w in seen)
-        out.append((len(seen), sum(count[w] > 0 for w in seen), base, sum(math.log10(p(v, w)) for v, w in zip([START, *seen], seen, strict=False))))
+        out.append((len(seen), sum(count[w] > 0 for w in seen), base, sum(math.log10(p(g)) for g in ends(seen, order))))
     return n, out
 
 
@@ -59,17 +65,16 @@ def same(found, expected):
     assert [y for x in found for y in x[2:]] == pytest.approx([y for x in expected for y in x[2:]], rel=1e-9)
 
 
-@pytest.mark.parametrize("shards", [{}, {"pair_shard_tokens": 300, "vocabulary_shard": 16}])
+@pytest.mark.parametrize("shards", [{}, {"order": 2, "shard_tokens": 300, "vocabulary_shard": 16}, {"order": 3, "shard_tokens": 300, "vocabulary_shard": 16}, {"order": 4, "shard_tokens": 900}])
 def test_against_dictionaries(spark, shards):
     texts = [t for _, t, _, _ in awkward()] + [prose(i, 50 + i, 90) for i in range(60)] + ["A b a B a b", "unseen words only"]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     train = [t for i, t in rows if crc(i) % 5 != 1]
     model = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"), **shards)
-    n, expected = brute(train, texts)
+    n, expected = brute(train, texts, shards.get("order", 3))
     assert model.tokens == n
-    if shards:
-        assert model.shards > 3 and model.bits > 1
+    assert not shards or model.shards > 3 and (model.bits > 1 or "vocabulary_shard" not in shards)
     scored = kneser_ney.score(docs, model).collect()
     same([(r.n_tokens, r.n_known, r.base_score, r.score) for r in scored], expected)
     assert all(r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in scored)
@@ -88,6 +93,21 @@ def test_each_context_sums_to_one(spark):
         same([(r.n_tokens, r.n_known, r.base_score, r.score) for r in scored], expected)
 
 
+def test_numbers_and_counts_of_more_than_32_bits():
+    grams = np.array([[0, 1, 1 << 40, (1 << 40) + 1], [5, 1 << 35, 7, 7]])
+    both = np.concatenate((grams, [[1 << 36, 3, 9, 1 << 50]]))
+    assert (kneser_ney._unpacked(kneser_ney._packed(both), 3) == both).all()
+    assert len(set(kneser_ney._hash(grams).tolist())) == 4
+    merged, count, _ = kneser_ney._merged(np.concatenate((grams, grams), axis=1), np.concatenate((both[2], both[2])))
+    assert (merged == grams).all() and (count == 2 * both[2]).all()
+    assert kneser_ney._small(count).dtype == np.uint64 and (kneser_ney._small(count) == count).all()
+
+
+def test_orders_below_two(nothing):
+    with pytest.raises(ValueError, match="2 or more"):
+        kneser_ney.train(nothing, order=1)
+
+
 def test_without_training_texts(spark, docs, nothing):
     model = kneser_ney.train(nothing)
     scored = kneser_ney.score(docs, model).collect()

@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as a table and read again as the next one's input.
 
-Every stage gets (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage gets (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever their names: a
+stage hides those that it does not use while it works.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrass.llm import balanced_mix, decontaminate, ngram_join, quality_model, shard_table
-from tallgrass.llm.shared import NO_ID, crc_mod, stored
+from tallgrass.llm.shared import NO_ID, crc_mod, shielded, stored
 
 #: A document below this score goes.
 LEAST_QUALITY = 0.3
@@ -22,8 +23,9 @@ def _id() -> Column:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects. It learns from labels of documents outside the fifth held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod(5) != 0)
-    model = quality_model.learned_from_texts(docs, labels)
-    return quality_model.score_texts(docs, model).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    rows, restore = shielded(docs, ["doc_id", "text"])
+    model = quality_model.learned_from_texts(rows, labels)
+    return restore(quality_model.score_texts(rows, model).filter(F.col("score") >= LEAST_QUALITY).select(*rows.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id are documents of their own: one of a group that holds no id stays, and each of those without words. Rows that
     share an id are one document: of those that lead their groups one stays, with the least text that has words.
     """
+    rows, restore = shielded(docs, ["doc_id", "text"])
+    return restore(_led(rows))
+
+
+def _led(docs: DataFrame) -> DataFrame:
     groups = ngram_join.grouped(docs.select("doc_id", "text"))
     named = docs.withColumn("__id", _id())
     again = stored(named.groupBy("__id").count().filter("count > 1").select("__id"), "repeated-ids")
@@ -43,10 +50,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = again.filter(~without)
     kept = named.filter(~without).join(leads.filter(F.col("doc") != F.lit(NO_ID)).select(F.col("doc").alias("__id")).distinct(), "__id", "left_semi")
     rest = [c for c in docs.columns if c != "text"]
+    # maps have no order
+    ordered = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema if f.name != "text"]
 
     def least(rows: DataFrame, keys: list[str]) -> DataFrame:
         """Of the rows with the same keys the one with the least text; with __size and the keys."""
-        row = F.min(F.struct((F.col("__size") == 0).alias("__blank"), F.coalesce("text", F.lit("")).alias("__least"), "text", *rest, "__size")).alias("__row")
+        order = F.struct(F.col("__size") == 0, F.coalesce("text", F.lit("")), F.col("text"), *ordered)
+        row = F.min_by(F.struct("text", *rest, "__size"), order).alias("__row")
         found = rows.groupBy(*(F.col(k).alias(f"__key{i}") for i, k in enumerate(keys))).agg(row)
         return found.select(*(F.col("__row")[c].alias(c) for c in [*docs.columns, "__size"]), *(F.col(f"__key{i}").alias(k) for i, k in enumerate(keys)))
 
@@ -68,22 +78,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item: one such passage is enough."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.scan(docs, items).filter(F.col("n_hit") == 0).select(*docs.columns)
+    rows, restore = shielded(docs, ["text"])
+    return restore(decontaminate.scan(rows, items).filter(F.col("n_hit") == 0).select(*rows.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source to its target weight: a document is repeated as often as the mix takes it, or goes."""
-    taken = balanced_mix.mix(docs).groupBy("doc_id", "text_key").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    taken = stored(taken.filter("__copies > 0").withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (balanced_mix.text_key() == F.col("__key"))
-    rows = docs.join(taken.filter("__rows = 1"), same)
+    named, restore = shielded(docs, ["doc_id", "text", "source"])
+    keys = {"doc_id": "__id", "text_key": "__key", "source": "__source"}
+    taken = balanced_mix.mix(named).groupBy(*keys).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    taken = stored(taken.filter("__copies > 0").withColumnsRenamed(keys), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (balanced_mix.text_key() == F.col("__key")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
+    rows = named.join(taken.filter("__rows = 1"), same)
     again = taken.filter("__rows > 1")
     if not again.isEmpty():
-        # rows with the same id and text share their copies
-        place = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__rows"))
-        shared = docs.join(again, same).withColumn("__copies", F.floor((F.col("__copies") + F.col("__rows") - place) / F.col("__rows")))
+        # rows with the same id, text and source share their copies
+        place = F.row_number().over(Window.partitionBy(*keys.values()).orderBy("__rows"))
+        shared = named.join(again, same).withColumn("__copies", F.floor((F.col("__copies") + F.col("__rows") - place) / F.col("__rows")))
         rows = rows.unionByName(shared.filter("__copies > 0"))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__n")).drop("__n")
+    return restore(rows.select(*named.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__n")).drop("__n"))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

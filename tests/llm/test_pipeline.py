@@ -144,6 +144,25 @@ def test_mixture(spark, folder):
     assert once == again
 
 
+def test_mixture_keeps_sources_apart(spark, folder):
+    rows = [(1, prose(1, 30), "en", "a", 1), (1, prose(1, 30), "en", "b", 1), *((10 + i, prose(10 + i, 30), "en", "ab"[i % 2], 1) for i in range(20))]
+    found = collected(STAGE["mixing sources to target weights"](spark, spark.createDataFrame(rows, SCHEMA), folder))
+    check_mixture(rows, found)
+
+
+def test_columns_of_any_name_come_through(spark, folder):
+    """Each stage keeps columns named like its working and result columns, maps among them, also where ids repeat."""
+    names = ["score", "stats", "n_words", "n_hit", "items", "hits", "longest", "__id", "__size", "__one", "key", "doc", "size", "copies", "source_size", "__copies", "component", "group", "__c9"]
+    rows = [(i % 40, prose(i, 40), "en", f"s{i % 3}", 1, {"a": i}, *(f"{n} {i}" for n in names)) for i in range(60)] + [(None, prose(70, 40), None, None, 1, None, *names)]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, tags map<string,long>, " + ", ".join(f"`{n}` string" for n in names))
+    given = {(r[0], r[1]): (r[5], *r[6:]) for r in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        found = out.collect()
+        assert found and all((r.tags, *(r[n] for n in names)) == given[r.doc_id, r.text] for r in found), name
+
+
 def test_all_stages(spark, folder):
     rows = after_decontamination(after_near_duplicates(after_quality(spark, corpus(), folder)))
     found = corpus_pipeline.run(spark, folder).collect()

@@ -22,13 +22,20 @@ def value(x: Operand) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def is_nan(x: Operand) -> Column:
+    """Whether it is the floating-point value NaN; false for text, whatever it says."""
+    x = value(x)
+    return _sure(F.typeof(x).isin("double", "float") & (x.cast("string") == "NaN"))
+
+
 def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
 def eq(a: Operand, b: Operand) -> Column:
     """Null equals null. NaN equals nothing."""
-    return value(a).eqNullSafe(value(b))
+    a, b = value(a), value(b)
+    return a.eqNullSafe(b) & ~is_nan(a)
 
 
 def eq_float(a: Operand, b: Operand) -> Column:
@@ -41,20 +48,25 @@ def ne(a: Operand, b: Operand) -> Column:
     return ~eq(a, b)
 
 
+def _ordered(c: Column, a: Operand, b: Operand) -> Column:
+    """An order in which NaN, which Spark puts last, has no place."""
+    return _sure(c) & ~is_nan(a) & ~is_nan(b)
+
+
 def lt(a: Operand, b: Operand) -> Column:
-    return _sure(value(a) < value(b))
+    return _ordered(value(a) < value(b), a, b)
 
 
 def gt(a: Operand, b: Operand) -> Column:
-    return _sure(value(a) > value(b))
+    return _ordered(value(a) > value(b), a, b)
 
 
 def le(a: Operand, b: Operand, dialect: str = "central") -> Column:
-    return lt(a, b) | eq(a, b) if dialect == "central" else _sure(value(a) <= value(b))
+    return lt(a, b) | eq(a, b) if dialect == "central" else _ordered(value(a) <= value(b), a, b)
 
 
 def ge(a: Operand, b: Operand, dialect: str = "central") -> Column:
-    return gt(a, b) | eq(a, b) if dialect == "central" else _sure(value(a) >= value(b))
+    return gt(a, b) | eq(a, b) if dialect == "central" else _ordered(value(a) >= value(b), a, b)
 
 
 def between(x: Operand, lo: Operand, hi: Operand) -> Column:

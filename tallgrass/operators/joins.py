@@ -53,6 +53,12 @@ def in_set(rows: DataFrame, item: Column, entries: DataFrame, negate: bool = Fal
     return rows.join(known, F.lower(item) == F.col("__entry"), "left_anti" if negate else "left_semi")
 
 
+def marked_in_set(rows: DataFrame, item: Column, entries: DataFrame, name: str) -> DataFrame:
+    """rows with a column that says whether the item, lower-cased, is among entries(entry)."""
+    known = _reference(entries.select(F.lower("entry").alias("__entry")).filter("__entry IS NOT NULL").distinct())
+    return rows.join(known, F.lower(item.cast("string")) == F.col("__entry"), "left").withColumn(name, F.col("__entry").isNotNull()).drop("__entry")
+
+
 def with_baseline(rows: DataFrame, key: Column, baseline: DataFrame, name: str = "baseline") -> DataFrame:
     """Left join with baseline(entity, values): an array of the values known of each entity, null if it is unknown."""
     known = _reference(baseline.select(F.col("entity").alias("__entity"), F.col("values").alias(name)))
@@ -71,10 +77,21 @@ def fact_exists(rows: DataFrame, facts: DataFrame, tenant: Column, target: Colum
     return rows.join(named, (tenant == F.col("__tenant")) & (target.cast("string") == F.col("__arg")) & valid, "left_semi")
 
 
+def marked_with_fact(rows: DataFrame, facts: DataFrame, tenant: Column, target: Column, now_ms: Column, name: str) -> DataFrame:
+    """rows with a column that says whether fact_exists keeps them."""
+    keyed = rows.withColumns({f"{name}_tenant": tenant, f"{name}_target": target.cast("string"), f"{name}_ms": now_ms})
+    at = [F.col(f"{name}_{x}") for x in ("tenant", "target", "ms")]
+    # each asked (tenant, target, time) once, so a row that many facts speak for stays one row
+    asked = fact_exists(keyed.select(*at).distinct(), facts, *at).select(*(c.alias(f"__{i}") for i, c in enumerate(at)), F.lit(True).alias(name))
+    on = _all([c.eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(at)])
+    return keyed.join(asked, on, "left").withColumn(name, F.col(name).isNotNull()).select(*rows.columns, name)
+
+
 def first_policy(rows: DataFrame, policies: DataFrame, group: str, pid: str) -> DataFrame:
     """The verdict of the closest policy: for (group, pid), then (0, pid), (group, 0), (0, 0). policies(group_id, pid, verdict)."""
     out, found = rows, []
-    known = _reference(policies.dropDuplicates(["group_id", "pid"]))
+    # of a (group, pid) listed more than once the least verdict holds, so reruns agree
+    known = _reference(policies.groupBy("group_id", "pid").agg(F.min("verdict").alias("verdict")))
     for n, (g, p) in enumerate(((F.col(group), F.col(pid)), (F.lit(0), F.col(pid)), (F.col(group), F.lit(0)), (F.lit(0), F.lit(0)))):
         table = known.select(F.col("group_id").alias(f"__g{n}"), F.col("pid").alias(f"__p{n}"), F.col("verdict").alias(f"__v{n}"))
         out = out.join(table, (g == F.col(f"__g{n}")) & (p == F.col(f"__p{n}")), "left")

@@ -1,7 +1,8 @@
 """Detection rules as DataFrame pipelines: sources, correlation, filters, derived values, score, facts and responses.
 
-A rule's expressions are Spark SQL over its aliases (`e.value > 100`), so Catalyst pushes the parts on one alias below the join, prunes
-columns and compiles the rest. `run` works on a table and, for one source, on a stream.
+A rule's conditions and values are expressions over its aliases (`field("e.value") > 100`, see conditions), which become Columns, so
+Catalyst pushes the parts on one alias below the join, prunes columns and compiles the rest. `run` works on a table; for streams see
+streaming.pipelines.rule_stream.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallgrass.functions import numeric
 from tallgrass.functions.numeric import duration_ms
 from tallgrass.functions.text import fnv1a64
+from tallgrass.operators.conditions import Condition, Context, Expression, with_calls
 from tallgrass.operators.joins import aliased, interval_join, within_of_last
 
 #: The window of a rule that names none, in milliseconds: a fixed value.
@@ -26,21 +29,21 @@ SEVERITY_BY_SCORE = ((80, "critical"), (60, "high"))
 class Source:
     alias: str
     kind: str
-    filter: str = "true"
+    filter: Condition | None = None
 
 
 @dataclass(frozen=True)
 class Branch:
     """actions that apply if the condition holds; an action is a name and its argument."""
 
-    condition: str | None
+    condition: Condition | None
     actions: tuple[tuple[str, str], ...]
 
 
 @dataclass(frozen=True)
 class Fact:
     name: str
-    args: tuple[str, ...]
+    args: tuple[Expression, ...]
     expires: str | None = None
 
 
@@ -53,11 +56,11 @@ class Rule:
     on: tuple[tuple[str, str], ...] = ()
     within: str | None = None
     ordered: bool = False
-    where: tuple[str, ...] = ()
-    let: tuple[tuple[str, str], ...] = ()
+    where: tuple[Condition, ...] = ()
+    let: tuple[tuple[str, Expression], ...] = ()
     base: int = 0
-    modifiers: tuple[tuple[int, str], ...] = ()
-    require: tuple[str, ...] = ()
+    modifiers: tuple[tuple[int, Condition], ...] = ()
+    require: tuple[Condition, ...] = ()
     emit: tuple[Fact, ...] = ()
     respond: tuple[Branch, ...] = ()
     #: Paths that a rule wants verified; reported, never evaluated.
@@ -71,18 +74,31 @@ class Fields:
     kind: str = "event_type"
     time_ms: str = "ts_ms"
     arrival: str = "event_id"
-    entity: str = "user_id"
+    #: Fields that are equal where a rule names none, such as host and process.
+    entities: tuple[str, ...] = ("user_id",)
     tenant: str = "tenant_id"
 
 
-def _truth(expression: str) -> Column:
-    return F.coalesce(F.expr(expression), F.lit(False))
+def _truth(condition: Condition) -> Column:
+    if not isinstance(condition, Condition):
+        raise TypeError(f"{condition!r} is no condition: write it with conditions.field")
+    return condition.column()
+
+
+def _rendered(key: Column) -> Column:
+    """A key as it is compared: as text, null as a mark of its own, so that two nulls meet."""
+    return F.coalesce(key.cast("string"), F.lit("\0null"))
 
 
 def correlated(rule: Rule, events: DataFrame, fields: Fields = Fields(), include_self: bool = False) -> DataFrame:
     """One struct column an alias. Tuples are of one tenant; without `on`, of one entity; of two sources at most the window apart, of
     more each within the window of the last to arrive. An event does not pair with itself, unless include_self."""
-    side = lambda s: aliased(events.filter((F.col(fields.kind) == s.kind) & _truth(s.filter)), s.alias)
+
+    def side(s: Source) -> DataFrame:
+        # a source's own filter speaks of its alias
+        own = aliased(events.filter(F.col(fields.kind) == s.kind), s.alias)
+        return own if s.filter is None else own.filter(_truth(s.filter))
+
     rows = side(rule.sources[0])
     window = duration_ms(rule.within) if rule.within else DEFAULT_WINDOW_MS
     joined = [rule.sources[0].alias]
@@ -90,9 +106,9 @@ def correlated(rule: Rule, events: DataFrame, fields: Fields = Fields(), include
     for s in rule.sources[1:]:
         keys = [(F.col(f"{joined[0]}.{fields.tenant}"), F.col(f"{s.alias}.{fields.tenant}"))]
         given = [(a, b) if b.split(".")[0] == s.alias else (b, a) for a, b in rule.on if s.alias in (a.split(".")[0], b.split(".")[0]) and {a.split(".")[0], b.split(".")[0]} <= {*joined, s.alias}]
-        keys += [(F.col(a), F.col(b)) for a, b in given] or [(F.col(f"{joined[0]}.{fields.entity}"), F.col(f"{s.alias}.{fields.entity}"))]
+        keys += [(F.col(a), F.col(b)) for a, b in given] or [(F.col(f"{joined[0]}.{e}"), F.col(f"{s.alias}.{e}")) for e in fields.entities]
         anchor = given[0][0].split(".")[0] if given else joined[0]
-        rows = interval_join(rows, side(s), keys, F.col(f"{anchor}.{fields.time_ms}"), F.col(f"{s.alias}.{fields.time_ms}"), reach, rule.ordered)
+        rows = interval_join(rows, side(s), [(_rendered(a), _rendered(b)) for a, b in keys], F.col(f"{anchor}.{fields.time_ms}"), F.col(f"{s.alias}.{fields.time_ms}"), reach, rule.ordered)
         if not include_self:
             for other in joined:
                 rows = rows.filter(F.col(f"{other}.{fields.arrival}") != F.col(f"{s.alias}.{fields.arrival}"))
@@ -102,16 +118,36 @@ def correlated(rule: Rule, events: DataFrame, fields: Fields = Fields(), include
     return rows
 
 
-def scored(rule: Rule, rows: DataFrame) -> DataFrame:
-    """where, then let by let, score and require. A null condition is false; what `where` says cannot see lets."""
+def context_of(rule: Rule, fields: Fields = Fields(), sets: dict[str, DataFrame] | None = None, baselines: dict[str, DataFrame] | None = None, facts: DataFrame | None = None) -> Context:
+    """What the calls of a rule ask for. A tuple's time is the latest of its events, its arrival that of the last to arrive."""
+    of = lambda name: [F.col(f"{s.alias}.{name}") for s in rule.sources]
+    most = lambda name: reduce(F.greatest, of(name)) if len(rule.sources) > 1 else of(name)[0]
+    arrival = F.struct(most(fields.arrival), *(c.alias(f"_{i}") for i, c in enumerate(of(fields.arrival))))
+    return Context(F.col(f"{rule.sources[0].alias}.{fields.tenant}"), most(fields.time_ms), arrival, sets or {}, baselines or {}, facts)
+
+
+def scored(rule: Rule, rows: DataFrame, context: Context | None = None) -> DataFrame:
+    """where, then let by let, score and require; what `where` says cannot see lets. A call is evaluated over the rows that have passed the
+    conditions before it. The score stops at the ends of 32 bits."""
+    context = context or context_of(rule)
+
+    def filtered(rows: DataFrame, condition: Condition) -> DataFrame:
+        holds = _truth(condition)
+        return with_calls(rows, condition, context).filter(holds)
+
     for condition in rule.where:
-        rows = rows.filter(_truth(condition))
+        rows = filtered(rows, condition)
     for name, expression in rule.let:
-        rows = rows.withColumn(name, F.expr(expression))
-    score = reduce(lambda a, m: a + F.when(_truth(m[1]), m[0]).otherwise(0), rule.modifiers, F.lit(rule.base))
+        rows = with_calls(rows, expression, context).withColumn(name, expression.column())
+    for _, condition in rule.modifiers:
+        rows = with_calls(rows, condition, context)
+    low, high = F.lit(-(1 << 31)), F.lit((1 << 31) - 1)
+    score = F.lit(rule.base).cast("long")
+    for delta, condition in rule.modifiers:
+        score = F.greatest(low, F.least(high, score + F.when(_truth(condition), F.lit(delta)).otherwise(F.lit(0))))
     rows = rows.withColumn("score", score.cast("int"))
     for condition in rule.require:
-        rows = rows.filter(_truth(condition))
+        rows = filtered(rows, condition)
     return rows
 
 
@@ -132,7 +168,7 @@ def answered(rule: Rule, rows: DataFrame) -> DataFrame:
     actions = none
     for b in reversed(rule.respond):
         own = F.array(*(F.struct(F.lit(a).alias("action"), F.lit(x).alias("argument")) for a, x in b.actions)).cast(_ACTION) if b.actions else none
-        actions = F.when(_truth(b.condition) if b.condition else F.lit(True), own).otherwise(actions)
+        actions = F.when(F.lit(True) if b.condition is None else _truth(b.condition), own).otherwise(actions)
     rows = rows.withColumn("actions", actions)
     alert = F.get(F.filter("actions", lambda a: a["action"] == "alert"), 0)["argument"]
     severity = F.when(F.size("actions") == 0, severity_of(F.col("score"))).otherwise(F.coalesce(alert, F.lit("high")))
@@ -149,31 +185,42 @@ def alert_id(rule_id: str, tenant: Column, identities: list[Column]) -> Column:
 
 def facts(rule: Rule, rows: DataFrame, fields: Fields = Fields(), keep: tuple[str, ...] = ()) -> DataFrame:
     """tenant_id, fact, args, emitted_ms, expires_ms of every fact that the alerts of rows emit, beside the expressions in keep."""
-    first = rule.sources[0].alias
-    now = reduce(lambda a, b: F.greatest(a, b), (F.col(f"{s.alias}.{fields.time_ms}") for s in rule.sources)) if len(rule.sources) > 1 else F.col(f"{first}.{fields.time_ms}")
+    context = context_of(rule, fields)
     out = []
+    if not rule.emit:
+        none = F.lit(None).cast("string")
+        return rows.filter("false").select(*map(F.expr, keep), context.tenant.alias("tenant_id"), none.alias("fact"), F.array(none).alias("args"), context.now_ms.alias("emitted_ms"), context.now_ms.alias("expires_ms"))
     for f in rule.emit:
-        expires = now + duration_ms(f.expires) if f.expires else F.lit(None).cast("long")
-        args = F.array(*(F.expr(a).cast("string") for a in f.args))
-        out.append(rows.select(*map(F.expr, keep), F.col(f"{first}.{fields.tenant}").alias("tenant_id"), F.lit(f.name).alias("fact"), args.alias("args"), now.alias("emitted_ms"), expires.alias("expires_ms")))
+        now = context.now_ms
+        expires = numeric.add(now, F.lit(duration_ms(f.expires)).cast("long")) if f.expires else F.lit(None).cast("long")
+        args = F.array(*(a.column().cast("string") for a in f.args))
+        out.append(rows.select(*map(F.expr, keep), context.tenant.alias("tenant_id"), F.lit(f.name).alias("fact"), args.alias("args"), now.alias("emitted_ms"), expires.alias("expires_ms")))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-def run(rule: Rule, events: DataFrame, fields: Fields = Fields(), include_self: bool = False) -> DataFrame:
-    """The rule's alerts: alert_id, rule_id, tenant_id, score, severity, actions, flags, let values and the matched events."""
-    rows = answered(rule, scored(rule, correlated(rule, events, fields, include_self)))
-    tenant = F.col(f"{rule.sources[0].alias}.{fields.tenant}")
+def run(rule: Rule, events: DataFrame, fields: Fields = Fields(), include_self: bool = False, sets: dict[str, DataFrame] | None = None, baselines: dict[str, DataFrame] | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """The rule's alerts: alert_id, rule_id, tenant_id, score, severity, actions, flags, message, let values and the matched events."""
+    context = context_of(rule, fields, sets, baselines, facts)
+    rows = scored(rule, correlated(rule, events, fields, include_self), context)
+    for b in rule.respond:
+        rows = rows if b.condition is None else with_calls(rows, b.condition, context)
+    rows = answered(rule, rows)
     identities = [F.col(f"{s.alias}.{fields.arrival}").cast("string") for s in rule.sources]
-    return rows.withColumns({"rule_id": F.lit(rule.rule_id), "tenant_id": tenant, "alert_id": alert_id(rule.rule_id, tenant, identities)})
+    message = F.concat(F.lit(f"{rule.name}: score "), F.col("score").cast("string"))
+    return rows.withColumns({"rule_id": F.lit(rule.rule_id), "tenant_id": context.tenant, "alert_id": alert_id(rule.rule_id, context.tenant, identities), "message": message})
 
 
-def run_all(rules: list[Rule], events: DataFrame, fields: Fields = Fields()) -> DataFrame:
-    """Alerts of several rules, with the matched events as JSON."""
-    parts = []
+def run_all(rules: list[Rule], events: DataFrame, fields: Fields = Fields(), sets: dict[str, DataFrame] | None = None, baselines: dict[str, DataFrame] | None = None, facts_before: DataFrame | None = None) -> DataFrame:
+    """Alerts of several rules, in their order, with the matched events as JSON. A rule sees the facts that are given and those that the
+    rules before it emit."""
+    parts, known = [], facts_before
     for rule in rules:
-        rows = run(rule, events, fields)
+        rows = run(rule, events, fields, sets=sets, baselines=baselines, facts=known)
+        if rule.emit:
+            emitted = facts(rule, rows, fields)
+            known = emitted if known is None else known.unionByName(emitted)
         matched = F.to_json(F.struct(*(s.alias for s in rule.sources)))
-        parts.append(rows.select("alert_id", "rule_id", "tenant_id", "score", "severity", "actions", "block_egress", "block_query", matched.alias("matched")))
+        parts.append(rows.select("alert_id", "rule_id", "tenant_id", "score", "severity", "message", "actions", "block_egress", "block_query", matched.alias("matched")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -181,7 +228,7 @@ def explain(rule: Rule) -> list[tuple[str, str]]:
     """The steps of the rule, in order; DataFrame.explain() shows what Spark makes of them."""
     steps = [("subscribe", f"{s.kind} as {s.alias}") for s in rule.sources]
     steps += [("correlate", " and ".join(f"{a} = {b}" for a, b in rule.on) or "same entity"), ("window", rule.within or f"{DEFAULT_WINDOW_MS} ms")] if len(rule.sources) > 1 else []
-    steps += [("filter", w) for w in rule.where] + [("let", f"{n} = {e}") for n, e in rule.let]
-    steps += [("score", f"{rule.base}" + "".join(f" {d:+d} if {c}" for d, c in rule.modifiers))] + [("require", r) for r in rule.require]
-    steps += [("emit", f"{f.name}({', '.join(f.args)})") for f in rule.emit] + [("verify", v) for v in rule.verify]
+    steps += [("filter", str(w)) for w in rule.where] + [("let", f"{n} = {e}") for n, e in rule.let]
+    steps += [("score", f"{rule.base}" + "".join(f" {d:+d} if {c}" for d, c in rule.modifiers))] + [("require", str(r)) for r in rule.require]
+    steps += [("emit", f"{f.name}({', '.join(map(str, f.args))})") for f in rule.emit] + [("verify", v) for v in rule.verify]
     return steps + [("respond", f"{b.condition or 'otherwise'}: {', '.join(a for a, _ in b.actions)}") for b in rule.respond]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import numeric, text, twovalued
 from tallgrass.operators import joins, rules, stateful, tables
+from tallgrass.operators.conditions import attribute, field, first_seen, has_fact, rare, rate
 from tallgrass.operators.rules import Branch, Fact, Rule, Source
 from tallgrass.plans.common import EV, Registry, events, table
 from tallgrass.sources import events as source
@@ -20,15 +21,15 @@ FLAGSHIP = Rule(
     sources=(Source("e", "error"), Source("p", "purchase")),
     on=(("e.user_id", "p.user_id"),),
     within="1h",
-    where=("p.value > 0",),
-    let=(("big", "p.value > 100"), ("quick", "abs(p.ts_ms - e.ts_ms) <= 600000")),
+    where=(field("p.value") > 0,),
+    let=(("big", field("p.value") > 100), ("quick", abs(field("p.ts_ms") - field("e.ts_ms")) <= 600000)),
     base=50,
-    modifiers=((20, "big"), (15, "quick")),
-    require=("score >= 50",),
-    emit=(Fact("user.risky_purchase", ("e.user_id",), "6h"),),
+    modifiers=((20, field("big").is_true()), (15, field("quick").is_true())),
+    require=(field("score") >= 50,),
+    emit=(Fact("user.risky_purchase", (field("e.user_id"),), "6h"),),
     respond=(
-        Branch("score >= 80", (("alert", "critical"), ("block_egress", "p.user_id"), ("open_case", "Purchase after error"))),
-        Branch("score >= 60", (("alert", "high"), ("snapshot", "e, p"))),
+        Branch(field("score") >= 80, (("alert", "critical"), ("block_egress", "p.user_id"), ("open_case", "Purchase after error"))),
+        Branch(field("score") >= 60, (("alert", "high"), ("snapshot", "e, p"))),
         Branch(None, (("alert", "medium"),)),
     ),
 )
@@ -56,7 +57,7 @@ def emit_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.facts(FLAGSHIP, rows, keep=("e.event_id AS e_id", "p.event_id AS p_id")).select("e_id", "p_id", "tenant_id", "fact", F.get("args", 0).alias("arg"), "emitted_ms", "expires_ms")
 
 
-_SINGLE = Rule("large_error", "Large error", (Source("e", "error"),), where=("e.value > 100",), base=70, modifiers=((15, "e.value > 200"), (-20, "e.attrs['k'] % 2 = 0")))
+_SINGLE = Rule("large_error", "Large error", (Source("e", "error"),), where=(field("e.value") > 100,), base=70, modifiers=((15, field("e.value") > 200), (-20, attribute("e.attrs", "k", "long") % 2 == 0)))
 
 
 @add("""SELECT event_id, (70 + CASE WHEN value > 200 THEN 15 ELSE 0 END - CASE WHEN k::BIGINT % 2 = 0 THEN 20 ELSE 0 END)::INTEGER AS score
@@ -73,7 +74,7 @@ def default_action_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("""SELECT event_id, CASE WHEN value > 200 THEN 'critical' WHEN value > 100 THEN 'high' ELSE 'informational' END AS severity FROM ev WHERE event_type = 'error'""")
 def respond_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = Rule("branches", "Branches", (Source("e", "error"),), respond=(Branch("e.value > 200", (("alert", "critical"), ("isolate", "host"))), Branch("e.value > 100", (("alert", "high"),)), Branch(None, (("alert", "informational"),))))
+    rule = Rule("branches", "Branches", (Source("e", "error"),), respond=(Branch(field("e.value") > 200, (("alert", "critical"), ("isolate", "host"))), Branch(field("e.value") > 100, (("alert", "high"),)), Branch(None, (("alert", "informational"),))))
     return rules.run(rule, events(spark, sf_dir)).select("e.event_id", "severity")
 
 
@@ -368,3 +369,69 @@ def recent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("""SELECT event_id, value FROM ev WHERE least(value / 100, 1) >= 0.95""")
 def fallback_risk_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).filter(F.least(F.col("value") / 100, F.lit(1.0)) >= 0.95).select("event_id", "value")
+
+
+# --- rules that ask for other rows, sets, baselines and facts ------------------------------------------------------------
+
+
+def _ids_of(rows: DataFrame) -> DataFrame:
+    return rows.select("e.event_id", "score")
+
+
+@add("SELECT event_id, CASE WHEN k IS DISTINCT FROM '3' THEN 10 ELSE 0 END + CASE WHEN NOT coalesce(n > 50, false) THEN 5 ELSE 0 END + CASE WHEN coalesce(n <= 50, false) THEN 1 ELSE 0 END AS score"
+     f" FROM (WITH {EV} {_NULLED}) x WHERE event_type = 'error' AND k IS DISTINCT FROM '7' AND NOT coalesce(n > 90, false)")
+def rule_null_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null differs from a value, and what is not known to hold counts as false, so that its opposite holds."""
+    k, n = field("e.k"), field("e.n")
+    rows = _nulled(spark, sf_dir).select("*", F.lit(0).cast("long").alias("ts_ms"), F.lit(0).alias("tenant_id"))
+    rule = Rule("nulls", "Nulls", (Source("e", "error"),), where=(k != "7", ~(n > 90)), modifiers=((10, k != "3"), (5, ~(n > 50)), (1, n <= 50)))
+    return _ids_of(rules.scored(rule, rules.correlated(rule, rows)))
+
+
+@add(f"""WITH {EV}, f AS (SELECT *, count(*) OVER (PARTITION BY tenant_id, user_id ORDER BY ts_ms RANGE BETWEEN 7200000 PRECEDING AND CURRENT ROW) AS r FROM ev WHERE event_type = 'click' AND value > 20)
+  SELECT event_id, 30 + CASE WHEN r > 2 THEN 40 ELSE 0 END AS score FROM f WHERE r >= 2""")
+def rule_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate counts only the rows that pass what stands to its left."""
+    r = rate(field("e.user_id"), "2h")
+    rule = Rule("burst", "Burst", (Source("e", "click"),), where=((field("e.value") > 20) & (r >= 2),), base=30, modifiers=((40, r > 2),))
+    return _ids_of(rules.run(rule, events(spark, sf_dir)))
+
+
+@add(f"""WITH {EV}, f AS (SELECT * FROM ev WHERE event_type = 'view' AND value > 5), g AS (SELECT *, value <= 40 AND row_number() OVER (PARTITION BY tenant_id, k, value > 40 ORDER BY ts_ms, event_id) <= 3 AS x FROM f),
+  h AS (SELECT * FROM g WHERE value > 40 OR x) SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY tenant_id, user_id, k ORDER BY ts_ms, event_id) = 1 THEN 25 ELSE 0 END AS score FROM h""")
+def rule_rare_and_unusual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Behind `|`, a call sees the rows for which the left side is false; a modifier's call those that passed the filter."""
+    v, k = field("e.value"), attribute("e.attrs", "k")
+    rule = Rule("unusual", "Unusual", (Source("e", "view"),), where=(v > 5, (v > 40) | rare(k)), modifiers=((25, first_seen(field("e.user_id"), k)),))
+    return _ids_of(rules.run(rule, events(spark, sf_dir)))
+
+
+@add(f"""WITH {EV}, base AS (SELECT user_id, list(DISTINCT k) AS known FROM ev WHERE ts < TIMESTAMP '2024-01-08' AND user_id % 4 <> 0 GROUP BY user_id)
+  SELECT event_id, 20 + CASE WHEN k IN ('1', '2', '30') THEN 50 ELSE 0 END AS score FROM ev LEFT JOIN base USING (user_id) WHERE event_type = 'error' AND NOT coalesce(list_contains(known, k), true)""")
+def rule_sets_and_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attribute that the user's baseline lacks, scored by a named set."""
+    rows, k = events(spark, sf_dir), attribute("e.attrs", "k")
+    first_week = rows.filter((F.col("ts") < F.lit("2024-01-08").cast("timestamp")) & (F.col("user_id") % 4 != 0))
+    base = first_week.groupBy(F.col("user_id").alias("entity")).agg(F.collect_set(source.attribute(F.col("attrs"), "k")).alias("values"))
+    feed = spark.createDataFrame([("1",), ("2",), ("30",)], "entry string")
+    rule = Rule("unknown", "Unknown attribute", (Source("e", "error"),), where=(~k.known_to("users", field("e.user_id")),), base=20, modifiers=((50, k.in_set("org.watched")),))
+    return _ids_of(rules.run(rule, rows, sets={"org.watched": feed}, baselines={"users": base}))
+
+
+@add(f"""WITH {EV}, facts AS (SELECT tenant_id, user_id, ts_ms AS t0 FROM ev WHERE event_type = 'error' AND value > 50)
+  SELECT event_id, 70 AS score FROM ev WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM facts f WHERE f.tenant_id = ev.tenant_id AND f.user_id = ev.user_id AND t0 <= ts_ms AND t0 + 3600000 > ts_ms)""")
+def rule_consumes_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule sees the facts that a rule before it emits, while they last."""
+    user = field("e.user_id")
+    first = Rule("marks", "Marks", (Source("e", "error"),), where=(field("e.value") > 50,), emit=(Fact("user.failed", (user,), "1h"),))
+    then = Rule("uses", "Uses", (Source("e", "purchase"),), where=(has_fact("user.failed", user),), base=70)
+    alerts = rules.run_all([first, then], events(spark, sf_dir)).filter("rule_id = 'uses'")
+    return alerts.select(F.get_json_object("matched", "$.e.event_id").cast("long").alias("event_id"), "score")
+
+
+@add(f"""WITH {EV}, n AS (SELECT *, CASE WHEN event_id % 3 <> 0 THEN user_id END AS host FROM ev)
+  SELECT a.event_id AS a, b.event_id AS b FROM n a JOIN n b ON a.tenant_id = b.tenant_id AND a.host IS NOT DISTINCT FROM b.host AND a.k IS NOT DISTINCT FROM b.k AND abs(a.ts_ms - b.ts_ms) <= 1800000 WHERE a.event_type = 'signup' AND b.event_type = 'click'""")
+def join_fallback_key_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a rule names no key, host and process must agree; null agrees with null."""
+    rows = events(spark, sf_dir).withColumns({"host": F.when(F.col("event_id") % 3 != 0, F.col("user_id")), "process": source.attribute(F.col("attrs"), "k")})
+    return _ids(rules.correlated(_pair_rule(), rows, rules.Fields(entities=("host", "process"))), "a", "b")

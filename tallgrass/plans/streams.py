@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallgrass.operators.conditions import field
 from tallgrass.operators.rules import Rule, Source
 from tallgrass.plans.common import EV, Registry
 from tallgrass.streaming import pipelines
@@ -83,7 +84,7 @@ def stream_tumbling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("SELECT event_id, (70 + CASE WHEN value > 200 THEN 15 ELSE 0 END)::INTEGER AS score FROM ev WHERE event_type = 'error' AND value > 100")
 def stream_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = Rule("large_error", "Large error", (Source("e", "error"),), where=("e.value > 100",), base=70, modifiers=((15, "e.value > 200"),))
+    rule = Rule("large_error", "Large error", (Source("e", "error"),), where=(field("e.value") > 100,), base=70, modifiers=((15, field("e.value") > 200),))
     return _finished(sf_dir, pipelines.rule_stream(rule, _events(spark, sf_dir)).select("e.event_id", "score"))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.operators import graph, joins, rules, selection, stateful, tables
+from tallgrass.operators.conditions import as_expression, field, has_fact, rare, rate
 from tallgrass.operators.rules import Branch, Fact, Rule, Source
 from tallgrass.sources import events as source
 
@@ -44,13 +45,13 @@ def test_ordered_and_self(events):
 
 
 def test_score_require_and_default_answer(events):
-    rule = Rule("r", "r", (Source("p", "exec"),), let=(("small", "p.value < 5"),), base=60, modifiers=((20, "small"),), require=("score >= 60",))
+    rule = Rule("r", "r", (Source("p", "exec"),), let=(("small", field("p.value") < 5),), base=60, modifiers=((20, field("small").is_true()),), require=(field("score") >= 60,))
     rows = {r.id: (r.score, r.severity) for r in rules.run(rule, events).select(F.col("p.event_id").alias("id"), "score", "severity").collect()}
     assert rows == {1: (80, "critical"), 5: (60, "high")}  # a null comparison adds nothing
 
 
 def test_answer_branches_and_flags(events):
-    rule = Rule("r", "r", (Source("n", "net"),), respond=(Branch("n.value > 8.5", (("alert", "critical"), ("block_egress", "n"))), Branch("n.value > 7.5", (("notify", "x"),))))
+    rule = Rule("r", "r", (Source("n", "net"),), respond=(Branch(field("n.value") > 8.5, (("alert", "critical"), ("block_egress", "n"))), Branch(field("n.value") > 7.5, (("notify", "x"),))))
     rows = {r.id: (r.severity, r.block_egress) for r in rules.run(rule, events).select(F.col("n.event_id").alias("id"), "severity", "block_egress").collect()}
     assert rows == {2: ("critical", True), 3: ("high", False), 4: ("medium", False)}
 
@@ -62,15 +63,57 @@ def test_alert_ids_are_stable(spark, events):
 
 
 def test_facts(events):
-    rule = Rule("r", "r", (Source("p", "exec"),), emit=(Fact("seen", ("p.user_id", "'x'"), "1s"), Fact("always", ("p.user_id",))))
+    rule = Rule("r", "r", (Source("p", "exec"),), emit=(Fact("seen", (field("p.user_id"), as_expression("x")), "1s"), Fact("always", (field("p.user_id"),))))
     rows = rules.facts(rule, rules.run(rule, events)).orderBy("fact", "emitted_ms").collect()
     assert [(r.fact, r.args, r.emitted_ms, r.expires_ms) for r in rows] == [("always", ["7"], 0, None), ("always", ["8"], 1, None), ("seen", ["7", "x"], 0, 1000), ("seen", ["8", "x"], 1, 1001)]
     live = joins.fact_exists(events, rules.facts(rule, rules.run(rule, events)).filter("fact = 'seen'"), F.col("tenant_id"), F.col("user_id"), F.col("ts_ms"))
     assert [r.event_id for r in live.orderBy("event_id").collect()] == [1, 5]
 
 
+def found(rule, events, **more):
+    return sorted(r[0] for r in rules.run(rule, events, **more).select("e.event_id").collect())
+
+
+def test_conditions_are_two_valued(spark):
+    rows = spark.createDataFrame([(1, 0, 7, 1, "x", None), (2, 0, 7, 1, "x", 5.0), (3, 0, 7, 1, "x", 0.0), (4, 0, 7, 1, "x", float("nan"))], "event_id long, ts_ms long, user_id long, tenant_id long, event_type string, uid double")
+    uid = field("e.uid")
+    one = lambda c: found(Rule("r", "r", (Source("e", "x"),), where=(c,)), rows)
+    assert one(uid != 0) == [1, 2, 4] and one(~(uid > 3)) == [1, 3, 4] and one(uid == None) == [1]  # noqa: E711
+    assert one(uid > 3) == [2] and one(uid == float("nan")) == [] and one(uid <= 5) == [2, 3]
+    assert one((uid != 0) & ~uid.is_in([5.0])) == [1, 4] and one(uid.between(0, 5)) == [2, 3]
+    with pytest.raises(TypeError, match="no condition"):
+        one("e.uid != 0")
+    branch = Rule("r", "r", (Source("e", "x"),), base=1, modifiers=((5, uid != 0),), respond=(Branch(~(uid > 3), (("alert", "low"),)), Branch(None, (("alert", "high"),))))
+    assert {r.event_id: (r.score, r.severity) for r in rules.run(branch, rows).select("e.event_id", "score", "severity").collect()} == {1: (6, "low"), 2: (6, "high"), 3: (1, "low"), 4: (6, "low")}
+
+
+def test_null_keys_meet_and_the_score_saturates(spark):
+    rows = spark.createDataFrame([(1, 0, None, 1, "a"), (2, 1, None, 1, "b"), (3, 1, 5, 1, "b")], "event_id long, ts_ms long, user_id long, tenant_id long, event_type string")
+    rule = Rule("r", "r", (Source("a", "a"), Source("b", "b")), base=2**31 - 10, modifiers=((100, field("a.event_id") == 1),))
+    assert [tuple(r) for r in rules.run(rule, rows).select("a.event_id", "b.event_id", "score").collect()] == [(1, 2, 2**31 - 1)]
+
+
+def test_calls_see_only_rows_that_came_so_far(spark):
+    rows = [(i, i * 1000, 1, 1, "x", "k", float(i)) for i in range(8)]
+    events = spark.createDataFrame(rows, "event_id long, ts_ms long, user_id long, tenant_id long, event_type string, key string, value double")
+    v, key = field("e.value"), field("e.key")
+    one = lambda *c: found(Rule("r", "r", (Source("e", "x"),), where=c), events)
+    assert one(v > 3, rate(key, "10s") >= 3) == one((v > 3) & (rate(key, "10s") >= 3)) == [6, 7]
+    assert one(rate(key, "10s") >= 3, v > 3) == [4, 5, 6, 7]
+    assert one((v < 4) | rare(key, 2)) == [0, 1, 2, 3, 4, 5]
+    assert one(~rare(key, 2)) == [2, 3, 4, 5, 6, 7]
+
+
+def test_rules_see_facts_of_rules_before_them(events):
+    rule = Rule("a", "a", (Source("e", "exec"),), emit=(Fact("ran", (field("e.user_id"),), "6m"),))
+    uses = Rule("b", "b", (Source("e", "net"),), where=(has_fact("ran", field("e.user_id")),))
+    after = lambda order: sorted(r.matched for r in rules.run_all(order, events).filter("rule_id = 'b'").selectExpr("get_json_object(matched, '$.e.event_id') AS matched").collect())
+    assert after([rule, uses]) == ["2", "3"] and after([uses, rule]) == []
+    assert rules.facts(uses, rules.run(uses, events)).collect() == []
+
+
 def test_explain():
-    rule = Rule("r", "r", (Source("p", "exec"), Source("n", "net")), where=("n.value > 1",))
+    rule = Rule("r", "r", (Source("p", "exec"), Source("n", "net")), where=(field("n.value") > 1,))
     assert [s for s, _ in rules.explain(rule)] == ["subscribe", "subscribe", "correlate", "window", "filter", "score"]
 
 

@@ -52,11 +52,40 @@ def fnv1a64(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the bytes, in bits; 0 for the empty text."""
-    xs = _bytes(text)
-    n = F.size(xs).cast("double")
-    share = lambda b: F.size(F.filter(xs, lambda x: x == b)) / n
-    return F.aggregate(F.array_sort(F.array_distinct(xs)), F.lit(0.0), lambda a, b: a - share(b) * F.log2(share(b)))
+    """Shannon entropy of the bytes, in bits; 0 for the empty text.
+
+    With equal bytes side by side, one walk adds up k * log2(k) of each run's k; a last item that is no byte ends the last run.
+    """
+    sorted_bytes = F.concat(F.array_sort(_bytes(text)), F.array(F.lit(-1).cast("long")))
+    start = F.struct(F.lit(-1).cast("long").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("n"))
+
+    def step(a: Column, b: Column) -> Column:
+        same = a["last"] == b
+        done = F.when(same | (a["run"] < 1), a["sum"]).otherwise(a["sum"] + a["run"] * F.log2(a["run"]))
+        return F.struct(b.alias("last"), F.when(same, a["run"] + 1).otherwise(F.lit(1.0)).alias("run"), done.alias("sum"), (a["n"] + 1).alias("n"))
+
+    def finish(a: Column) -> Column:
+        n = a["n"] - 1
+        return F.when(n > 0, F.greatest(F.log2(n) - a["sum"] / n, F.lit(0.0))).otherwise(F.lit(0.0))
+
+    return F.aggregate(sorted_bytes, start, step, finish)
+
+
+def djb2(text: Column) -> Column:
+    """The hash that starts at 5381 and takes 33 times itself plus each byte, modulo 2^64, as a signed number."""
+    low = F.lit((1 << 32) - 1)
+
+    def step(h: Column, b: Column) -> Column:
+        lo = h["lo"] * 33 + b
+        return F.struct((h["hi"] * 33 + F.shiftright(lo, 32)).bitwiseAND(low).alias("hi"), lo.bitwiseAND(low).alias("lo"))
+
+    start = F.struct(F.lit(0).cast("long").alias("hi"), F.lit(5381).cast("long").alias("lo"))
+    return F.aggregate(_bytes(text), start, step, lambda h: F.shiftleft(h["hi"], 32).bitwiseOR(h["lo"]))
+
+
+def djb2_shard(text: Column, shards: int = 32) -> Column:
+    """The shard, of a power of two, of a key by djb2."""
+    return F.pmod(djb2(text), F.lit(shards)).cast("int")
 
 
 def key_values(line: Column) -> Column:
@@ -67,6 +96,12 @@ def key_values(line: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def log_parts(line: Column) -> Column:
+    """date, time, source and message of 'date time source message', null where a part is missing."""
+    parts = F.split(F.trim(line), r"\s+", 4)
+    return F.struct(*(F.get(parts, i).alias(name) for i, name in enumerate(("date", "time", "source", "message"))))
+
+
 def log_level(line: Column) -> Column:
     """error, warn, debug or info by the first of these words that the line holds."""
     upper = F.upper(line)
@@ -158,19 +193,17 @@ def statement_kind(redacted: Column) -> Column:
     return out
 
 
-def tables_of(redacted: Column) -> Column:
-    """The tables a redacted statement names, each once, in order: what stands after FROM, JOIN, INTO, UPDATE or TABLE."""
-    words = F.split(F.trim(redacted), r"\s+")
+#: The words that a table's name follows: fixed values.
+TABLE_INTRODUCERS = ["FROM", "JOIN", "INTO", "UPDATE", "TABLE"]
+#: An introducer, a conditional clause as DDL has it, and a name that may be qualified, bracketed or quoted.
+_NAMED_TABLE = rf"(?i)(?<!\S)[^\p{{L}}\p{{N}}\s]*(?:{'|'.join(TABLE_INTRODUCERS)})[^\p{{L}}\p{{N}}\s]*(?=\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?[(),;\"`]*([\p{{L}}\p{{N}}_.$]+)[(),;\"`]*(?!\S))"
 
-    def after(w: Column, i: Column) -> Column:
-        following = F.get(words, i + 1)
-        following = F.when(F.upper(following) == "IF", F.get(words, i + 4)).otherwise(following)
-        name = F.regexp_replace(following, r"^[(),;\"`]+|[(),;\"`]+$", "")
-        named = F.regexp_replace(F.upper(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").isin("FROM", "JOIN", "INTO", "UPDATE", "TABLE")
-        fits = name.rlike(r"^[\p{L}\p{N}_.$]+$") & ~name.rlike(r"^[0-9]+$") & (F.upper(name) != "SELECT")
-        return F.when(named & fits, name)
 
-    return F.array_distinct(F.filter(F.transform(words, after), lambda x: x.isNotNull()))
+def tables_of(redacted: Column) -> Column:
+    """The tables that a redacted statement names, each once, in order: the name that stands after an introducer, neither a number nor a
+    nested SELECT."""
+    names = F.regexp_extract_all(redacted, F.lit(_NAMED_TABLE), F.lit(1))
+    return F.array_distinct(F.filter(names, lambda x: ~x.rlike(r"^[0-9]+$") & (F.upper(x) != "SELECT")))
 
 
 def pack_tables(tables: Column, room: int = 64) -> Column:
@@ -181,6 +214,15 @@ def pack_tables(tables: Column, room: int = 64) -> Column:
     return F.aggregate(bare, zero, lambda acc, t: F.when(F.octet_length(joined(acc, t)) <= room, joined(acc, t)).otherwise(acc))
 
 
+def unpack_tables(packed: Column) -> Column:
+    """database and tables of names joined by commas: the database where all qualified names agree on it, and the bare names."""
+    names = F.filter(F.split(packed, ","), lambda x: x != "")
+    qualified = r"^(.+)\.([^.]+)$"
+    qualifiers = F.array_distinct(F.filter(F.transform(names, lambda x: F.regexp_extract(x, qualified, 1)), lambda q: q != ""))
+    tables = F.transform(names, lambda x: F.when(x.rlike(qualified), F.regexp_extract(x, qualified, 2)).otherwise(x))
+    return F.struct(F.when(F.size(qualifiers) == 1, F.get(qualifiers, 0)).alias("database"), tables.alias("tables"))
+
+
 def database_of(tables: Column) -> Column:
     """The qualifier, if all names have the same one."""
     quals = F.array_distinct(F.transform(tables, lambda t: F.when(t.contains("."), F.regexp_extract(t, r"^(.*)\.[^.]*$", 1)).otherwise(F.lit(""))))

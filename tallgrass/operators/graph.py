@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallgrass.functions.network import is_internal
+
 
 def latest_edges(edges: DataFrame, order: list[str]) -> DataFrame:
     """Of the edges between two vertices the latest, whatever their kinds. A running maximum is combined before the shuffle."""
@@ -13,6 +15,42 @@ def latest_edges(edges: DataFrame, order: list[str]) -> DataFrame:
     return best.select("src", "dst", *(F.col(f"e.{c}").alias(c) for c in [*order, *rest]))
 
 
+#: What an event's kind makes of its edge, and the label of the vertex it leads to: fixed values.
+EDGE_KIND = {"process_exec": "spawned", "file": "read_file", "net": "connected_to", "sql": "data_flow", "ssl": "connected_to", "dns": "resolved_dns", "tc": "data_flow"}
+TARGET_LABEL = {"process_exec": "process", "file": "file", "net": "endpoint", "ssl": "endpoint", "tc": "endpoint", "sql": "host", "dns": "domain"}
+
+
+def edges_of(events: DataFrame) -> DataFrame:
+    """src, src_label, dst, dst_label, kind, ts, risk, is_internal of events(kind, pid, ts, risk, vertex, address, statement_hash, domain_hash).
+
+    An endpoint's key is its address, a database's the statement's hash, a domain's its hash; 0 or null leaves the event's own vertex.
+    """
+    by = lambda values: F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v))))
+    some = lambda c: F.coalesce(F.col(c) != 0, F.lit(False))
+    endpoint = F.col("kind").isin("net", "ssl", "tc") & some("address")
+    dst = F.when(endpoint, F.col("address")).when((F.col("kind") == "sql") & some("statement_hash"), F.col("statement_hash")).when((F.col("kind") == "dns") & some("domain_hash"), F.col("domain_hash")).otherwise(F.col("vertex"))
+    label = lambda values, other: F.coalesce(F.try_element_at(by(values), F.col("kind")), F.lit(other))
+    return events.select(
+        F.col("pid").alias("src"), F.lit("process").alias("src_label"), dst.alias("dst"), label(TARGET_LABEL, "host").alias("dst_label"), label(EDGE_KIND, "data_flow").alias("kind"), "ts",
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("risk"))).alias("risk"), F.when(endpoint, is_internal(F.col("address"))).otherwise(F.lit(True)).alias("is_internal"),
+    )
+
+
+def merged(edges: DataFrame, new_edges: DataFrame, vertices: DataFrame, new_vertices: DataFrame, risks: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Edges and vertices after a delta. Of parallel edges the latest stays. vertices(id, label, risk, last_seen, is_canary): a new row takes
+    an old one's place; risks(id, risk, at) set the risk, the latest last, and move last_seen on, for vertices that are not new."""
+    all_edges = latest_edges(edges.unionByName(new_edges), order)
+    update = risks.groupBy("id").agg(F.max_by("risk", "at").alias("__risk"), F.max("at").alias("__at"))
+    kept = vertices.join(new_vertices.select("id"), "id", "left_anti").join(update, "id", "left")
+    kept = kept.withColumns({"risk": F.coalesce("__risk", "risk"), "last_seen": F.greatest("last_seen", "__at")}).select(*vertices.columns)
+    return all_edges, kept.unionByName(new_vertices.select(*vertices.columns))
+
+
+def canaries(vertices: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids(id) with is_canary; unknown vertices are none."""
+    return ids.join(vertices.select("id", "is_canary"), "id", "left").withColumn("is_canary", F.coalesce("is_canary", F.lit(False)))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
 

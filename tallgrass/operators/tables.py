@@ -52,11 +52,27 @@ def best_per(rows: DataFrame, keys: list[Column], order: list) -> DataFrame:
 
 
 def lowest_free(taken: DataFrame, slot: str, first: int, last: int, keys: list[str]) -> DataFrame:
-    """For each key the least number from first to last that is not taken, null if all are.
+    """For each key of taken the least number from first to last that is not taken, null if all are; a key whose slots are null or outside
+    gets the first.
 
     In order, the taken numbers equal their place as long as there is no gap; the first that does not shows where one is.
     """
-    used = taken.filter(F.col(slot).between(first, last)).select(*keys, slot).distinct()
+    inside = F.col(slot).between(first, last)
+    used = taken.filter(inside).select(*keys, slot).distinct()
     placed = used.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(slot)) + F.lit(first - 1))
     gap = F.coalesce(F.min(F.when(F.col(slot) != F.col("__place"), F.col("__place"))), F.max(slot) + 1)
-    return placed.groupBy(*keys).agg(F.when(gap <= last, gap).alias("free"))
+    found = placed.groupBy(*keys).agg(F.when(gap <= last, gap).alias("free"))
+    # keys without a slot inside
+    empty = taken.groupBy(*keys).agg(F.count_if(inside).alias("__n")).filter("__n = 0").select(*keys, F.lit(first).cast(taken.schema[slot].dataType).alias("free"))
+    return found.unionByName(empty)
+
+
+def filtered_alerts(alerts: DataFrame, tenant=None, severity: str | None = None, rule: str | None = None, text: str | None = None) -> DataFrame:
+    """alerts(tenant_id, severity, rule_id, ...) that have the given values; text is looked for in all columns, whatever the case."""
+    for column, wanted in (("tenant_id", tenant), ("severity", severity), ("rule_id", rule)):
+        if wanted is not None:
+            alerts = alerts.filter(F.col(column) == wanted)
+    if text:
+        shown = F.lower(F.concat_ws(" ", *(F.to_json(F.struct(c)) if "<" in t else F.col(c).cast("string") for c, t in alerts.dtypes)))
+        alerts = alerts.filter(shown.contains(text.lower()))
+    return alerts

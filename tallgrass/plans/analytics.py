@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.functions import clock, network, numeric, text
-from tallgrass.operators import aggregates, graph, selection, tables
+from tallgrass.operators import aggregates, derive, graph, selection, tables
 from tallgrass.plans.common import EV, Registry, events, table
 from tallgrass.sources import events as source
 
@@ -304,11 +304,11 @@ def sql_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graphs --------------------------------------------------------------------------------------------------------------
 
-_EDGES = "e AS (SELECT o_custkey AS src, 1000000 + l_suppkey AS dst, o_orderpriority AS kind, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45)"
+_EDGES = "e AS (SELECT o_custkey AS src, 1000000 + l_suppkey AS dst, o_orderpriority AS kind, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
+    lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
     return lines.join(orders, "l_orderkey").select(F.col("o_custkey").alias("src"), (F.lit(1000000) + F.col("l_suppkey")).alias("dst"), F.col("o_orderpriority").alias("kind"), F.col("l_shipdate").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
 
@@ -323,13 +323,15 @@ def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(_edges(spark, sf_dir))
 
 
-#: A graph with cycles: a purchase, view or click of a user leads to that user's next ones, by attribute.
-_LINKS = "l AS (SELECT user_id AS src, (user_id * 7 + k::BIGINT) % 150 AS dst FROM ev WHERE event_type = 'error')"
+#: A graph with cycles: each event of a user leads to another user, by its attribute.
+_LINKS = "l AS (SELECT DISTINCT user_id AS src, (user_id * 7 + k::BIGINT) % (SELECT max(user_id) + 1 FROM ev) AS dst FROM ev)"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = source.attribute(F.col("attrs"), "k", "long")
-    return events(spark, sf_dir).filter("event_type = 'error'").select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + k) % 150).alias("dst"))
+    rows = events(spark, sf_dir)
+    users = F.broadcast(rows.agg((F.max("user_id") + 1).alias("users")))  # one row
+    return rows.select(F.col("user_id").alias("src"), (F.col("user_id") * 7 + k).alias("to")).join(users).select("src", (F.col("to") % F.col("users")).alias("dst")).distinct()
 
 
 _BFS = f"WITH RECURSIVE {EV}, {_LINKS}, r AS (SELECT 3::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN l ON src = id WHERE depth < 3), b AS (SELECT id, min(depth)::INTEGER AS depth FROM r GROUP BY id)"
@@ -345,10 +347,10 @@ def khop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.k_hop(_links(spark, sf_dir), spark.range(3, 4), 2)[1]
 
 
-@add(f"WITH {_EDGES} SELECT DISTINCT src, dst FROM e JOIN supplier ON dst = 1000000 + s_suppkey WHERE src < 200 AND s_nationkey >= 10")
+@add(f"WITH {_EDGES} SELECT DISTINCT src, dst FROM e JOIN supplier ON dst = 1000000 + s_suppkey WHERE s_nationkey >= 10")
 def external_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices = table(spark, sf_dir, "supplier").select((F.lit(1000000) + F.col("s_suppkey")).alias("id"), F.lit("endpoint").alias("label"), (F.col("s_nationkey") < 10).alias("is_internal"))
-    return graph.external_neighbors(_edges(spark, sf_dir), vertices, spark.range(0, 200))
+    return graph.external_neighbors(_edges(spark, sf_dir), vertices, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
 
 
 @add("SELECT event_id, xor((user_id * 65536)::BIGINT, event_id) AS vertex FROM ev")
@@ -371,11 +373,26 @@ def knapsack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.greedy(_items(spark, sf_dir), "user_id", "event_id", _BUDGET).select("user_id", "event_id", F.round("efficiency", 9).alias("efficiency"))
 
 
+_WINDOWED = "concat_ws('-', user_id, floor(ts_ms / 86400000))"
+
+
 @add()
 def knapsack_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    few = _items(spark, sf_dir).withColumn("n", place).filter("n <= 14").drop("n")
-    return selection.exact(few, "user_id", "event_id", _BUDGET).select("user_id", "event_id")
+    """A window is a user's day; every event is in one. A window that is too large for an exact answer is solved greedily, as the tiers say."""
+    items = _items(spark, sf_dir).join(events(spark, sf_dir).select("event_id", F.expr(_WINDOWED).alias("window")), "event_id")
+    return selection.selected(items, "window", "event_id", _BUDGET, F.lit(0.5), F.lit(True)).select("window", "event_id", "tier")
+
+
+@add()
+def knapsack_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.relaxed(_items(spark, sf_dir), "user_id", "event_id", _BUDGET).select("user_id", "event_id")
+
+
+@add("SELECT event_id, round((value / 200 - 0.1 * c) / c, 9) AS e FROM (SELECT event_id, value, 0.2 * 0.5 / 2 + 0.15 * 0.3 + 0.15 * 0.1 / 4 + 0.2 * 0.4 / 0.5 + 0.3 * ((event_id % 17 + 1) / 20) / (user_id % 5 + 1) AS c FROM ev)")
+def efficiency_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    costs = [F.lit(0.5), F.lit(0.3), F.lit(0.1), F.lit(0.4), (F.col("event_id") % 17 + 1) / 20]
+    left = [2.0, 1.0, 4.0, 0.5, (F.col("user_id") % 5 + 1).cast("double")]
+    return events(spark, sf_dir).select("event_id", F.round(selection.relative_efficiency(F.col("value") / 200, costs, left), 9).alias("e"))
 
 
 @add("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size * 15 <= 64 THEN 'exact' WHEN p_size * 15 > 512 OR p_partkey % 10 / 10 < 0.3 THEN 'greedy' WHEN p_partkey % 10 / 10 > 0.8 THEN 'relaxed' ELSE 'greedy' END AS tier FROM part")
@@ -388,3 +405,86 @@ def knapsack_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def efficiency_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     costs = [F.lit(0.5), F.lit(0.3), F.lit(0.1), F.lit(0.4), (F.col("event_id") % 17 + 1) / 20]
     return events(spark, sf_dir).select("event_id", F.round(selection.penalised_efficiency(F.col("value") / 200, selection.composite_cost(costs)), 9).alias("e"))
+
+
+# --- what is derived of single events ------------------------------------------------------------------------------------
+
+_KIND = "(CASE event_id % 8 WHEN 1 THEN 'process_exec' WHEN 2 THEN 'file' WHEN 3 THEN 'net' WHEN 4 THEN 'sql' WHEN 5 THEN 'ssl' WHEN 6 THEN 'dns' WHEN 7 THEN 'tc' ELSE 'other' END)"
+
+
+@add(f"""SELECT event_id, {_KIND} AS kind, CASE event_id % 8 WHEN 1 THEN 0.5 WHEN 2 THEN CASE WHEN value > 50 THEN 0.6 ELSE 0.35 END WHEN 3 THEN 0.7 WHEN 4 THEN CASE user_id % 5 WHEN 3 THEN 0.85 WHEN 4 THEN 0.9 ELSE 0.4 END
+  WHEN 5 THEN CASE WHEN value * 100000 > 1048576 THEN 0.85 ELSE 0.55 END WHEN 6 THEN CASE WHEN user_id % 60 > 40 THEN 0.7 ELSE 0.45 END WHEN 7 THEN CASE WHEN value > 100 THEN 0.95 ELSE 0.5 END ELSE 0.0 END::DOUBLE AS risk FROM ev""")
+def base_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).withColumn("kind", derive.kind_name(F.col("event_id") % 8))
+    domain = F.repeat(F.lit("x"), (F.col("user_id") % 60).cast("int"))
+    risk = derive.base_risk(F.col("kind"), F.col("value") > 50, F.col("user_id") % 5, F.col("value") * 100000, domain, F.col("value") > 100)
+    return rows.select("event_id", "kind", risk.alias("risk"))
+
+
+@add(f"""SELECT event_id, CASE {_KIND} WHEN 'process_exec' THEN 'process_exec' WHEN 'file' THEN 'file' WHEN 'sql' THEN 'db_query' WHEN 'other' THEN 'agent_heartbeat' ELSE 'net' END AS family,
+  CASE event_id % 8 WHEN 3 THEN 'tcp' WHEN 5 THEN 'tls' WHEN 6 THEN 'dns' WHEN 7 THEN 'tc' END AS protocol, CASE WHEN event_id % 8 = 6 THEN 53 ELSE user_id % 100 END::INTEGER AS port,
+  CASE user_id % 3 WHEN 0 THEN 'mysql' WHEN 1 THEN 'postgresql' ELSE 'unknown' END AS engine, CASE user_id % 5 WHEN 1 THEN 'select' WHEN 2 THEN 'dml' WHEN 3 THEN 'ddl' WHEN 4 THEN 'admin' ELSE 'other' END AS operation FROM ev""")
+def wire_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, port = derive.kind_name(F.col("event_id") % 8), F.col("user_id") % 100
+    database = F.element_at(F.array(F.lit(3306), F.lit(5432), F.lit(9)), (F.col("user_id") % 3 + 1).cast("int"))
+    return events(spark, sf_dir).select("event_id", derive.wire_family(kind).alias("family"), derive.wire_protocol(kind).alias("protocol"), derive.wire_port(kind, port).alias("port"), derive.engine_of(database).alias("engine"), derive.operation_of(F.col("user_id") % 5).alias("operation"))
+
+
+@add("""SELECT event_id, CASE WHEN rule <> '' THEN CASE WHEN value / 200 >= 0.8 THEN 'crit' WHEN value / 200 >= 0.4 THEN 'high' ELSE 'med' END WHEN kind = 'net' THEN 'med' WHEN kind = 'file' THEN CASE WHEN target = '/etc/Shadow' THEN 'high' ELSE 'low' END
+  WHEN kind = 'db_query' THEN CASE WHEN op = 'ddl' THEN 'high' ELSE 'med' END ELSE 'low' END AS severity,
+  CASE WHEN rule <> '' THEN 'rule r matched (pid=' || user_id || ')' WHEN kind = 'net' THEN 'proc ' || op || ' ' || target WHEN kind = 'file' THEN 'proc ' || op || ' ' || target WHEN kind = 'db_query' THEN 'proc ' || op || ' ' || target ELSE 'proc exec ' || target END AS description
+  FROM (SELECT *, CASE event_type WHEN 'click' THEN 'net' WHEN 'error' THEN 'file' WHEN 'view' THEN 'db_query' ELSE 'process_exec' END AS kind, CASE WHEN event_id % 10 = 0 THEN 'r' ELSE '' END AS rule,
+  CASE WHEN event_id % 3 = 0 THEN 'ddl' ELSE 'read' END AS op, CASE WHEN event_id % 2 = 0 THEN '/etc/Shadow' ELSE '/x' END AS target FROM ev)""")
+def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, i = F.col("event_type"), F.col("event_id")
+    kind = F.when(t == "click", "net").when(t == "error", "file").when(t == "view", "db_query").otherwise("process_exec")
+    rule, op, target = F.when(i % 10 == 0, "r").otherwise(""), F.when(i % 3 == 0, "ddl").otherwise("read"), F.when(i % 2 == 0, "/etc/Shadow").otherwise("/x")
+    severity = derive.console_severity(kind, rule, F.col("value") / 200, target, op)
+    return events(spark, sf_dir).select("event_id", severity.alias("severity"), derive.console_description(kind, rule, F.col("user_id"), F.lit(None).cast("string"), op, target).alias("description"))
+
+
+@add("SELECT event_id, CASE WHEN value > 50 AND user_id % 2 = 0 THEN 'block' WHEN value > 50 THEN 'would_block' ELSE 'allow' END AS verdict FROM ev")
+def policy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", derive.policy_verdict(F.col("value") > 50, F.col("user_id") % 2 == 0).alias("verdict"))
+
+
+@add("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'unreported' WHEN p_partkey % 5 = 0 OR p_size > 40 THEN 'stale' WHEN p_partkey % 3 = 0 THEN 'no_probes' WHEN p_size > 20 THEN 'degraded' ELSE 'healthy' END AS health FROM part")
+def probe_health_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    probes = F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("exec")))
+    return table(spark, sf_dir, "part").select("p_partkey", derive.probe_health(key % 7 != 0, key % 5 != 0, size, 40, probes, F.lit(20), size).alias("health"))
+
+
+@add(f"""SELECT src, dst, dst_label, kind, n, risk FROM (SELECT user_id AS src, CASE WHEN event_id % 8 IN (3, 5, 7) THEN 167772160 + event_id % 9 WHEN event_id % 8 = 4 THEN 7000 + user_id WHEN event_id % 8 = 6 AND user_id % 2 = 1 THEN 9000 ELSE event_id % 100 END AS dst,
+  CASE event_id % 8 WHEN 1 THEN 'process' WHEN 2 THEN 'file' WHEN 6 THEN 'domain' WHEN 3 THEN 'endpoint' WHEN 5 THEN 'endpoint' WHEN 7 THEN 'endpoint' ELSE 'host' END AS dst_label,
+  CASE event_id % 8 WHEN 1 THEN 'spawned' WHEN 2 THEN 'read_file' WHEN 3 THEN 'connected_to' WHEN 5 THEN 'connected_to' WHEN 6 THEN 'resolved_dns' ELSE 'data_flow' END AS kind, count(*) AS n, max(least(value / 100, 1)) AS risk FROM ev GROUP BY ALL)""")
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, u = F.col("event_id"), F.col("user_id")
+    rows = events(spark, sf_dir).select(derive.kind_name(i % 8).alias("kind"), u.alias("pid"), F.col("ts_ms").alias("ts"), (F.col("value") / 100).alias("risk"), (i % 100).alias("vertex"), (F.lit(167772160) + i % 9).alias("address"), (u + 7000).alias("statement_hash"), F.when(u % 2 == 1, F.lit(9000)).alias("domain_hash"))
+    return graph.edges_of(rows).groupBy("src", "dst", "dst_label", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("risk").alias("risk"))
+
+
+@add(f"""WITH {EV}, v AS (SELECT user_id AS id, max(value) AS risk, max(ts_ms) AS last_seen FROM ev WHERE event_type = 'view' GROUP BY 1), n AS (SELECT user_id AS id, 0.5::DOUBLE AS risk, max(ts_ms) AS last_seen FROM ev WHERE event_type = 'signup' AND user_id % 3 = 0 GROUP BY 1),
+  r AS (SELECT user_id AS id, arg_max(value, ts_ms * 1000000 + event_id) AS risk, max(ts_ms * 1000000 + event_id) AS latest FROM ev WHERE event_type = 'error' GROUP BY 1)
+  SELECT id, risk, last_seen FROM n UNION ALL SELECT v.id, coalesce(r.risk, v.risk), greatest(last_seen, coalesce(latest, last_seen)) FROM v LEFT JOIN r ON v.id = r.id WHERE v.id NOT IN (SELECT id FROM n)""")
+def graph_delta_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices after a delta: new ones take an old one's place, the others take the latest risk."""
+    rows, at = events(spark, sf_dir), F.col("ts_ms") * 1000000 + F.col("event_id")
+    common = [F.lit("process").alias("label"), F.lit(False).alias("is_canary")]
+    old = rows.filter("event_type = 'view'").groupBy(F.col("user_id").alias("id")).agg(F.max("value").alias("risk"), F.max("ts_ms").alias("last_seen")).select("*", *common)
+    new = rows.filter("event_type = 'signup' AND user_id % 3 = 0").groupBy(F.col("user_id").alias("id")).agg(F.lit(0.5).alias("risk"), F.max("ts_ms").alias("last_seen")).select("*", *common)
+    risks = rows.filter("event_type = 'error'").select(F.col("user_id").alias("id"), F.col("value").alias("risk"), at.alias("at"))
+    none = _edges(spark, sf_dir)
+    return graph.merged(none, none, old, new, risks, ["ts", "seq"])[1].select("id", "risk", "last_seen")
+
+
+@add("SELECT p_partkey, 'sales' AS database, 'a,' || replace(p_brand, '#', '_') AS tables FROM part WHERE p_size > 20 UNION ALL SELECT p_partkey, NULL, 'a,b' FROM part WHERE p_size <= 20")
+def sql_unpack_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = F.when(F.col("p_size") > 20, F.concat(F.lit("sales.a,,"), F.regexp_replace("p_brand", "#", "_"))).otherwise("x.a,y.b")
+    found = text.unpack_tables(packed)
+    return table(spark, sf_dir, "part").select("p_partkey", found["database"].alias("database"), F.array_join(found["tables"], ",").alias("tables"))
+
+
+@add(f"SELECT p_partkey, (list_reduce(list_prepend(5381::HUGEINT, {_BYTES}::HUGEINT[]), lambda h, b: (h * 33 + b) % 18446744073709551616) % 32)::INTEGER AS shard FROM (SELECT p_partkey, p_name || 'é' || p_type AS t FROM part)")
+def djb2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.djb2_shard(F.concat("p_name", F.lit("é"), "p_type")).alias("shard"))

@@ -85,7 +85,7 @@ def _truth(condition: Condition) -> Column:
     return condition.column()
 
 
-def _rendered(key: Column) -> Column:
+def rendered(key: Column) -> Column:
     """A key as it is compared: as text, null as a mark of its own, so that two nulls meet."""
     return F.coalesce(key.cast("string"), F.lit("\0null"))
 
@@ -108,7 +108,7 @@ def correlated(rule: Rule, events: DataFrame, fields: Fields = Fields(), include
         given = [(a, b) if b.split(".")[0] == s.alias else (b, a) for a, b in rule.on if s.alias in (a.split(".")[0], b.split(".")[0]) and {a.split(".")[0], b.split(".")[0]} <= {*joined, s.alias}]
         keys += [(F.col(a), F.col(b)) for a, b in given] or [(F.col(f"{joined[0]}.{e}"), F.col(f"{s.alias}.{e}")) for e in fields.entities]
         anchor = given[0][0].split(".")[0] if given else joined[0]
-        rows = interval_join(rows, side(s), [(_rendered(a), _rendered(b)) for a, b in keys], F.col(f"{anchor}.{fields.time_ms}"), F.col(f"{s.alias}.{fields.time_ms}"), reach, rule.ordered)
+        rows = interval_join(rows, side(s), [(rendered(a), rendered(b)) for a, b in keys], F.col(f"{anchor}.{fields.time_ms}"), F.col(f"{s.alias}.{fields.time_ms}"), reach, rule.ordered)
         if not include_self:
             for other in joined:
                 rows = rows.filter(F.col(f"{other}.{fields.arrival}") != F.col(f"{s.alias}.{fields.arrival}"))

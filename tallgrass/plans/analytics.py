@@ -368,7 +368,15 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("user_id", "event_id", F.round(F.least(F.col("value") / 200, F.lit(1.0)), 6).alias("relevance"), *(cost(m).alias(r) for m, r in zip((3, 5, 7, 11, 13), selection.RESOURCES, strict=True)))
 
 
-@add()
+_COSTS = ", ".join(f"((event_id * {m}) % 17 + 1) / 20.0::DOUBLE AS {r}" for m, r in zip((3, 5, 7, 11, 13), selection.RESOURCES, strict=True))
+_FITS = " AND ".join(f"i.{r} <= s.{r} + 1e-9" for r in selection.RESOURCES)
+
+
+@add(f"""WITH RECURSIVE {EV}, x AS (SELECT user_id, event_id, round(least(value / 200, 1.0), 6) AS relevance, {_COSTS} FROM ev), y AS (SELECT *, relevance / (cpu * 0.20 + mem * 0.15 + io * 0.15 + net * 0.20 + bw * 0.30) AS e FROM x),
+  i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY e DESC, event_id) AS n FROM y WHERE e > 0),
+  s AS (SELECT DISTINCT user_id, 0::BIGINT AS event_id, 0.0::DOUBLE AS e, 0::BIGINT AS n, false AS taken, {", ".join(f"{v}::DOUBLE AS {r}" for r, v in _BUDGET.items())} FROM i
+  UNION ALL SELECT i.user_id, i.event_id, i.e, i.n, {_FITS}, {", ".join(f"CASE WHEN {_FITS} THEN s.{r} - i.{r} ELSE s.{r} END" for r in selection.RESOURCES)} FROM s JOIN i ON i.user_id = s.user_id AND i.n = s.n + 1)
+  SELECT user_id, event_id, round(e, 9) AS efficiency FROM s WHERE taken""")
 def knapsack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.greedy(_items(spark, sf_dir), "user_id", "event_id", _BUDGET).select("user_id", "event_id", F.round("efficiency", 9).alias("efficiency"))
 

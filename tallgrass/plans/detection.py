@@ -320,7 +320,10 @@ def span_parent_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.parent_span(events(spark, sf_dir), ["user_id"], "event_id", _ORDER).select("event_id", "parent_span")
 
 
-@add()
+@add(f"""WITH RECURSIVE {EV}, e AS (SELECT event_id, user_id, ts_ms, greatest(0, least(1, value / 200)) AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, event_id) AS i FROM ev),
+  s AS (SELECT event_id, user_id, ts_ms, i, r AS last_risk, 1.0::DOUBLE AS change, 0::BIGINT AS age, r, true AS passes FROM e WHERE i = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.ts_ms, e.i, CASE WHEN abs(e.r - s.last_risk) >= 0.05 THEN e.r ELSE s.last_risk END, least(abs(e.r - s.last_risk), 1.0), e.ts_ms - s.ts_ms, e.r, abs(e.r - s.last_risk) >= 0.05 FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+  SELECT event_id, user_id, round(change, 9) AS change, age AS age_ms, round(greatest(0, least(1, 0.30 * r + 0.40 * pow(change, 0.7) + 0.20 * pow(2, -age / 5000.0))), 9) AS relevance FROM s WHERE passes""")
 def risk_deadband_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_id", "user_id", "ts_ms", (F.col("value") / 200).alias("risk"))
     return stateful.dead_band(rows, "user_id", "risk", "ts_ms", _ORDER).select("event_id", "user_id", F.round("change", 9).alias("change"), "age_ms", F.round("relevance", 9).alias("relevance"))
@@ -332,7 +335,9 @@ def relevance_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.round(stateful.quick_relevance(v / 200, v / 100, (F.col("event_id") % 1000).cast("double"), F.lit(0.5)), 9).alias("relevance"))
 
 
-@add()
+@add(f"""WITH RECURSIVE {EV}, h AS (SELECT tenant_id, ts_ms // 3600000 AS hour, count(*)::DOUBLE AS n FROM ev GROUP BY ALL), e AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY hour) AS i FROM h),
+  s AS (SELECT tenant_id, hour, i, n AS smooth FROM e WHERE i = 1 UNION ALL SELECT e.tenant_id, e.hour, e.i, 0.28 * e.n + 0.72 * s.smooth FROM s JOIN e ON e.tenant_id = s.tenant_id AND e.i = s.i + 1)
+  SELECT tenant_id, hour, round(smooth, 9) AS smooth FROM s""")
 def eps_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_hour = events(spark, sf_dir).groupBy("tenant_id", F.floor(F.col("ts_ms") / 3_600_000).alias("hour")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     return stateful.smoothed(per_hour, "tenant_id", ["hour"], "n").select("tenant_id", "hour", F.round("smooth", 9).alias("smooth"))

@@ -88,14 +88,36 @@ def stream_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(sf_dir, pipelines.rule_stream(rule, _events(spark, sf_dir)).select("e.event_id", "score"))
 
 
+@add(f"""WITH {EV} SELECT e.event_id AS error_event_id, p.event_id AS purchase_event_id, (50 + CASE WHEN p.value > 100 THEN 20 ELSE 0 END)::INTEGER AS score FROM ev e JOIN ev p ON e.tenant_id = p.tenant_id AND e.user_id = p.user_id
+  AND abs(p.ts_ms - e.ts_ms) <= 3600000 WHERE e.event_type = 'error' AND p.event_type = 'purchase' AND p.value > 0""")
+def stream_rule_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = Rule("pair", "Pair", (Source("e", "error"), Source("p", "purchase")), within="1h", where=(field("p.value") > 0,), base=50, modifiers=((20, field("p.value") > 100),))
+    alerts = pipelines.rule_stream(rule, _events(spark, sf_dir))
+    return _finished(sf_dir, alerts.select(F.col("e.event_id").alias("error_event_id"), F.col("p.event_id").alias("purchase_event_id"), "score"))
+
+
+@add(f"""WITH {EV}, f AS (SELECT tenant_id, user_id, ts AS t0 FROM ev WHERE event_type = 'error' AND value > 50)
+  SELECT event_id FROM ev WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM f WHERE f.tenant_id = ev.tenant_id AND f.user_id = ev.user_id AND t0 <= ts AND ts < t0 + INTERVAL 1 HOUR)""")
+def stream_facts_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = _events(spark, sf_dir).filter("event_type = 'error' AND value > 50")
+    facts = marks.select("tenant_id", F.col("user_id").cast("string").alias("arg"), F.col("ts").alias("emitted"), F.expr("ts + INTERVAL 1 HOUR").alias("expires"))
+    live = pipelines.with_live_facts(_events(spark, sf_dir).filter("event_type = 'purchase'"), facts, F.col("user_id"), "ts", "1 HOUR", "1 day")
+    return _finished(sf_dir, live.select("event_id"))
+
+
+@add()
+def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finished(sf_dir, pipelines.token_bucket(_events(spark, sf_dir), ["user_id"], "ts_ms", "event_id", 3, 1 / 86_400))
+
+
 @add("SELECT DISTINCT user_id, event_type FROM ev")
 def stream_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(sf_dir, pipelines.novelty(_events(spark, sf_dir), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"))
+    return _finished(sf_dir, pipelines.novelty(_events(spark, sf_dir), ["user_id", "event_type"], "ts").select("user_id", "event_type"))
 
 
 @add("SELECT user_id, ts_ms, count(*) OVER (PARTITION BY user_id ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW)::BIGINT AS rate FROM ev")
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(sf_dir, pipelines.rates(_events(spark, sf_dir), "user_id", "ts_ms", 3_600_000))
+    return _finished(sf_dir, pipelines.rates(_events(spark, sf_dir), "user_id", "ts", "ts_ms", 3_600_000, "60 days"))
 
 
 @add()

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallgrass.functions.numeric import duration_ms
 from tallgrass.operators import aggregates
-from tallgrass.operators.rules import Fields, Rule, answered, correlated, scored
+from tallgrass.operators.joins import within_of_last
+from tallgrass.operators.rules import DEFAULT_WINDOW_MS, Fields, Rule, Source, answered, correlated, scored
+from tallgrass.operators.rules import rendered as _rendered
 from tallgrass.sources.events import BATCH_SCHEMA
 
 #: How late an event may be: the width of the band in which its own time is trusted.
@@ -44,11 +48,73 @@ def interval_pairs(left: DataFrame, right: DataFrame, on: Column, left_ts: str,
     return left.join(right, on & gap, "inner")
 
 
-def rule_stream(rule: Rule, events: DataFrame, fields: Fields = Fields()) -> DataFrame:
-    """A rule of one source over a stream."""
-    if len(rule.sources) != 1:
-        raise ValueError("correlate streams with interval_pairs, then score and answer the pairs")
-    return answered(rule, scored(rule, correlated(rule, events, fields)))
+def _correlated_streams(rule: Rule, events: DataFrame, fields: Fields, time: str, lateness: str) -> DataFrame:
+    """Tuples of a rule's sources, one struct column an alias. Each join's state ends with the watermark of the time column."""
+    window = duration_ms(rule.within) if rule.within else DEFAULT_WINDOW_MS
+    reach = window if len(rule.sources) == 2 else 2 * window
+    name = lambda alias, column: f"{alias}__{column}"
+    field_of = lambda path: F.col(name(*path.split(".", 1)))
+
+    def side(s: Source) -> DataFrame:
+        rows = events.filter(F.col(fields.kind) == s.kind)
+        if s.filter is not None:
+            rows = rows.withColumn(s.alias, F.struct(*events.columns)).filter(s.filter.column()).drop(s.alias)
+        return rows.toDF(*(name(s.alias, c) for c in events.columns)).withWatermark(name(s.alias, time), lateness)
+
+    first, *others = rule.sources
+    rows, joined = side(first), [first.alias]
+    for s in others:
+        given = [(a, b) if b.split(".")[0] == s.alias else (b, a) for a, b in rule.on if {a.split(".")[0], b.split(".")[0]} <= {*joined, s.alias} and s.alias in (a.split(".")[0], b.split(".")[0])]
+        keys = [(f"{joined[0]}.{fields.tenant}", f"{s.alias}.{fields.tenant}"), *(given or [(f"{joined[0]}.{e}", f"{s.alias}.{e}") for e in fields.entities])]
+        anchor, own = name(given[0][0].split(".")[0] if given else joined[0], time), name(s.alias, time)
+        gap = f"INTERVAL {reach} MILLISECONDS"
+        on = F.expr(f"{own} BETWEEN {anchor} - {'INTERVAL 0 SECONDS' if rule.ordered else gap} AND {anchor} + {gap}")
+        for a, b in keys:
+            on = on & (_rendered(field_of(a)) == _rendered(field_of(b)))
+        for other in joined:
+            on = on & (field_of(f"{other}.{fields.arrival}") != field_of(f"{s.alias}.{fields.arrival}"))
+        rows, joined = rows.join(side(s), on), [*joined, s.alias]
+    rows = rows.select(*(F.struct(*(F.col(name(a, c)).alias(c) for c in events.columns)).alias(a) for a in joined))
+    if len(joined) > 2:
+        rows = rows.filter(within_of_last([(F.col(f"{a}.{fields.time_ms}"), F.col(f"{a}.{fields.arrival}")) for a in joined], window))
+    return rows
+
+
+def rule_stream(rule: Rule, events: DataFrame, fields: Fields = Fields(), time: str = "ts", lateness: str = LATENESS) -> DataFrame:
+    """A rule over a stream, of one source or of several that are joined as they come. Calls need the rows before them, which a stream has
+    not: give such a rule the columns that novelty, rates or with_live_facts add."""
+    if any(c.calls for c in (*rule.where, *(e for _, e in rule.let), *(c for _, c in rule.modifiers), *rule.require)):
+        raise ValueError("a rule over a stream cannot call rate, rare, first_seen, sets, baselines or facts")
+    rows = correlated(rule, events, fields) if len(rule.sources) == 1 else _correlated_streams(rule, events, fields, time, lateness)
+    return answered(rule, scored(rule, rows))
+
+
+def with_live_facts(events: DataFrame, facts: DataFrame, target: Column, ts: str, longest: str, lateness: str = LATENESS) -> DataFrame:
+    """events(tenant_id, ...) for which a fact of the tenant names the target and has not expired; facts(tenant_id, arg, emitted, expires) is a
+    stream too. No fact lasts longer than `longest`, so both sides' state ends with the watermark."""
+    named = facts.select(F.col("tenant_id").alias("__tenant"), F.col("arg").alias("__arg"), F.col("emitted").alias("__from"), F.col("expires").alias("__to")).withWatermark("__from", lateness)
+    live = F.expr(f"{ts} >= __from AND {ts} < __to AND {ts} <= __from + INTERVAL {longest}")
+    return events.withWatermark(ts, lateness).join(named, (F.col("tenant_id") == F.col("__tenant")) & (target.cast("string") == F.col("__arg")) & live, "left_semi")
+
+
+def token_bucket(events: DataFrame, keys: list[str], time_ms: str, arrival: str, capacity: float, per_second: float) -> DataFrame:
+    """keys, time, arrival and allowed: each key has a bucket of `capacity` tokens that fills up by per_second; an event takes one, or is refused.
+    State is a row of two numbers for each key, for good."""
+    names = [*keys, time_ms, arrival]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values([time_ms, arrival])
+        tokens, last = state.get if state.exists else (float(capacity), int(rows[time_ms].iloc[0]))
+        allowed = []
+        for at in rows[time_ms].tolist():
+            tokens, last = min(float(capacity), tokens + max(at - last, 0) * per_second / 1000), max(at, last)
+            allowed.append(tokens >= 1)
+            tokens -= allowed[-1]
+        state.update((tokens, last))
+        yield rows[names].assign(allowed=allowed)
+
+    kinds = ", ".join(f"{n} {events.schema[n].dataType.simpleString()}" for n in names)
+    return events.select(*names).groupBy(*keys).applyInPandasWithState(step, f"{kinds}, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def tumbling_metrics(events: DataFrame, time: str, width: str, keys: list[str], value: str, lateness: str = "1 hour") -> DataFrame:
@@ -61,10 +127,13 @@ def sessions(events: DataFrame, entity: str, time: str, gap: str, lateness: str
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(entity, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def novelty(events: DataFrame, keys: list[str], time: str, lateness: str = LATENESS) -> DataFrame:
-    """The first event of each key within the watermark's memory."""
-    return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
+def novelty(events: DataFrame, keys: list[str], time: str, remember: str | None = None) -> DataFrame:
+    """The first event of each key. A key is remembered for good, a row of state a key; or for `remember` after it was last new."""
+    return events.dropDuplicates(keys) if remember is None else events.withWatermark(time, remember).dropDuplicatesWithinWatermark(keys)
+
 
+#: Windows in one time slice of the state of `rates`.
+SLICE_WINDOWS = 24
 
 #: Session states from free to closed; a session only moves up by itself: fixed values.
 STATES = ("ACTIVE", "CHALLENGED", "RESTRICTED", "TERMINATED")
@@ -96,24 +165,32 @@ def session_states(events: DataFrame, session: str, rank: str, time_ms: str, coo
     return events.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, state string, changes long", "now int, since long, changes long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def rates(events: DataFrame, key: str, time_ms: str, window_ms: int, most: int = 1_000_000) -> DataFrame:
-    """Each event with the number of events of its key in the window up to it, across micro-batches.
+def rates(events: DataFrame, key: str, time: str, time_ms: str, window_ms: int, lateness: str = LATENESS) -> DataFrame:
+    """Each event with the number of events of its key that have come so far in the window up to its time, across micro-batches.
 
-    State holds the times inside the window; a key beyond `most` times in one window stops the query instead of counting wrongly.
+    State holds a key's times, sorted, from a window before the watermark on, so an event that is late counts what its own window holds;
+    later ones are dropped. A key is forgotten once the watermark has passed its last window. A hot key's state is split by time slices of
+    `SLICE_WINDOWS` windows: an event is counted in its own slice and only remembered in the next.
     """
+    width = window_ms * SLICE_WINDOWS
+    own = F.floor(F.col(time_ms) / width)
+    spread = events.withWatermark(time, lateness).select(key, time, time_ms, F.explode(F.array(F.struct(own.alias("slice"), F.lit(True).alias("own")), F.struct((own + 1).alias("slice"), F.lit(False).alias("own")))).alias("__s"))
+    spread = spread.select(key, time, time_ms, F.col("__s.slice").alias("__slice"), F.col("__s.own").alias("__own"))
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(time_ms)
-        out = []
-        for at in rows[time_ms].tolist():
-            times.append(int(at))
-            times = [t for t in times if t >= at - window_ms]
-            out.append(sum(t <= at for t in times))
-        if len(times) > most:
-            raise ValueError(f"{len(times)} events of one key in a window")
-        state.update((times,))
-        yield pd.DataFrame({key: name[0], time_ms: rows[time_ms], "rate": out})
+        at = rows[time_ms].to_numpy(np.int64)
+        before = np.array(state.get[0] if state.exists else [], np.int64)
+        times = np.sort(np.concatenate((before, at)))
+        count = np.searchsorted(times, at, "right") - np.searchsorted(times, at - window_ms, "left")
+        keep = times[times >= max(state.getCurrentWatermarkMs() - window_ms, name[1] * width - window_ms)]
+        state.update((keep.tolist(),))
+        state.setTimeoutTimestamp(max(int(times[-1]) + window_ms, state.getCurrentWatermarkMs()) + 1)
+        mine = rows["__own"].to_numpy(bool)
+        yield pd.DataFrame({key: name[0], time_ms: at[mine], "rate": count[mine]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, time_ms).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time_ms} long, rate long", "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return spread.groupBy(key, "__slice").applyInPandasWithState(step, f"{key} {kind}, {time_ms} long, rate long", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

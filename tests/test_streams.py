@@ -1,8 +1,15 @@
 """Streams over an event table that is a folder of part files."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from tallgrass.operators import rules
+from tallgrass.operators.conditions import field, rate
+from tallgrass.operators.rules import Rule, Source
 from tallgrass.plans import all_queries, streams
+from tallgrass.streaming import pipelines
 from test_queries import SF, plain
 
 STREAMS = sorted(q for q in all_queries() if q.startswith("stream_"))
@@ -35,3 +42,53 @@ def test_unread_table_fails(spark, parts, monkeypatch):
     monkeypatch.setattr(streams, "_is_folder", lambda spark, path: False)
     with pytest.raises(ValueError, match="none of the rows"):
         all_queries()["stream_rule"](spark, parts)
+
+
+def files(spark, path, batches, schema):
+    """A stream that reads one file a micro-batch, in this order."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+        time.sleep(1.1)  # files are taken by their time, which counts in seconds
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def finished(stream, tmp_path):
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()
+
+
+def test_rates_of_late_events(spark, tmp_path):
+    """An event that comes in a later micro-batch than younger ones counts what its own window holds."""
+    batches = [[("a", 10_000), ("a", 50_000)], [("a", 12_000), ("b", 12_000)], [("a", 50_000), ("a", 55_000)]]
+    rows = files(spark, tmp_path / "in", batches, "k string, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    found = finished(pipelines.rates(rows, "k", "ts", "ms", 5_000, "10 minutes"), tmp_path)
+    assert sorted((r.k, r.ms, r.rate) for r in found) == [("a", 10_000, 1), ("a", 12_000, 2), ("a", 50_000, 1), ("a", 50_000, 2), ("a", 55_000, 3), ("b", 12_000, 1)]
+
+
+def test_rates_over_time_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipelines, "SLICE_WINDOWS", 1)
+    at = [1_000 + i * 700 for i in range(40)]
+    rows = files(spark, tmp_path / "in", [[("a", ms) for ms in at]], "k string, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    found = finished(pipelines.rates(rows, "k", "ts", "ms", 3_000, "10 minutes"), tmp_path)
+    assert sorted((r.ms, r.rate) for r in found) == [(x, sum(x - 3_000 <= y <= x for y in at)) for x in at]
+
+
+def test_token_bucket(spark, tmp_path):
+    batches = [[("a", 0, 1), ("a", 0, 2), ("a", 0, 3), ("b", 0, 4)], [("a", 1_000, 5), ("a", 1_000, 6)]]
+    rows = files(spark, tmp_path / "in", batches, "k string, ms long, id long")
+    found = finished(pipelines.token_bucket(rows, ["k"], "ms", "id", 2, 1.0), tmp_path)
+    assert {r.id: r.allowed for r in found} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False}
+
+
+def test_rule_of_three_sources_as_on_a_table(spark, tmp_path):
+    kinds = ["a", "b", "c"]
+    rows = [(i, i * 40_000, 1 + i % 2, 1, kinds[i * 7 % 3], float(i)) for i in range(30)]
+    schema = "event_id long, ts_ms long, user_id long, tenant_id long, event_type string, value double"
+    rule = Rule("r", "r", tuple(Source(k, k) for k in kinds), within="3m", where=(field("c.value") > 4,))
+    stream = files(spark, tmp_path / "in", [rows], schema).withColumn("ts", F.timestamp_millis("ts_ms"))
+    ids = lambda df: df.select(*(F.col(f"{k}.event_id").alias(k) for k in kinds))
+    expected = ids(rules.run(rule, spark.createDataFrame(rows, schema))).collect()
+    assert expected and sorted(map(tuple, finished(ids(pipelines.rule_stream(rule, stream)), tmp_path))) == sorted(map(tuple, expected))
+    with pytest.raises(ValueError, match="cannot call"):
+        pipelines.rule_stream(Rule("r", "r", (Source("a", "a"),), where=(rate(field("a.user_id"), "1m") > 1,)), stream)

@@ -2,8 +2,9 @@
 
 The model is a set of sorted arrays in files of the shared folder, which workers map into memory to score texts:
 
-* vocabulary: 64-bit hashes of the training tokens, sorted, in shards by the hash's leading bits; a token's number is its place. Beside
-  it lie its count and, once the pairs are counted, how many distinct contexts it follows.
+* vocabulary: 64-bit hashes of the training tokens, sorted, in shards by the hash's leading bits. A token's number is made of its place in
+  its shard by falling count and of the shard, so frequent tokens have small numbers, which pack well. By number lie its count and, once
+  the pairs are counted, how many distinct contexts it follows.
 * for each order k from 2: sorted 64-bit hashes of the k-grams, and their counts: how often they occur at the highest order, how many
   distinct tokens stand before them at the others.
 * for each order: sorted hashes of the contexts, with the sum of their k-grams' counts and how many of these are 1, 2, or more.
@@ -76,11 +77,11 @@ def _leading(h: np.ndarray, bits: int) -> np.ndarray:
 class Vocabulary:
     """Numbers of tokens and their values, read from mapped files."""
 
-    def __init__(self, folder: str, bits: int, base: list[int], texts: int) -> None:
-        self.folder, self.bits, self.base, self.texts = folder, bits, np.array(base, np.int64), texts
+    def __init__(self, folder: str, bits: int, texts: int) -> None:
+        self.folder, self.bits, self.texts = folder, bits, texts
         self.files: dict[tuple[str, int], np.ndarray | None] = {}
 
-    def _file(self, name: str, shard: int) -> np.ndarray | None:
+    def file(self, name: str, shard: int) -> np.ndarray | None:
         if (name, shard) not in self.files:
             self.files[name, shard] = _mapped(self.folder, f"{name}-{shard}")
         return self.files[name, shard]
@@ -89,23 +90,27 @@ class Vocabulary:
         out = np.full(len(h), _UNKNOWN, np.int64)
         shard = _leading(h, self.bits)
         for i in np.unique(shard).tolist():
-            rows, known = np.flatnonzero(shard == i), self._file("hash", i)
+            rows, known = np.flatnonzero(shard == i), self.file("hash", i)
             if known is not None and len(known):
                 at = np.minimum(np.searchsorted(known, h[rows]), len(known) - 1)
-                out[rows] = np.where(known[at] == h[rows], at + self.base[i] + 1, _UNKNOWN)
+                number = (self.file("place", i)[at].astype(np.int64) << self.bits | i) + 1
+                out[rows] = np.where(known[at] == h[rows], number, _UNKNOWN)
         return out
 
     def shard_of(self, number: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.base, number - 1, "right") - 1
+        return (number - 1) & ((1 << self.bits) - 1)
+
+    def place_of(self, number: np.ndarray) -> np.ndarray:
+        return (number - 1) >> self.bits
 
     def value(self, name: str, number: np.ndarray) -> np.ndarray:
         """The named value of each number; 0 for start and unknown ones."""
         out = np.zeros(len(number), np.int64)
         shard = np.where(number > 0, self.shard_of(number), -1)
         for i in np.unique(shard[shard >= 0]).tolist():
-            rows, values = np.flatnonzero(shard == i), self._file(name, i)
+            rows, values = np.flatnonzero(shard == i), self.file(name, i)
             if values is not None:
-                out[rows] = values[number[rows] - 1 - self.base[i]]
+                out[rows] = values[self.place_of(number[rows])]
         return out
 
     def counts(self, number: np.ndarray) -> np.ndarray:
@@ -217,9 +222,14 @@ def _write_vocabulary(folder: str):
         h = table.column("h").to_numpy().view(np.uint64)
         n = table.column("n").to_numpy()
         order = np.argsort(h)
-        _save(folder, f"hash-{shard}", h[order])
-        _save(folder, f"count-{shard}", _small(n[order]))
-        return pa.table({"shard": [shard], "types": [len(h)], "tokens": [int(n.sum())]})
+        h, n = h[order], n[order]
+        often = np.argsort(-n, kind="stable")
+        place = np.empty(len(h), np.int64)
+        place[often] = np.arange(len(h))
+        _save(folder, f"hash-{shard}", h)
+        _save(folder, f"place-{shard}", _small(place))
+        _save(folder, f"count-{shard}", _small(n[often]))
+        return pa.table({"shard": [shard], "tokens": [int(n.sum())]})
 
     return run
 
@@ -278,14 +288,14 @@ def _write_split(folder: str):
     return run
 
 
-def _write_after(folder: str, base: list[int], sizes: list[int]):
+def _write_after(*vocabulary_of):
     """How many distinct contexts each token of a shard of the vocabulary follows; gives their sum, and how many follow 1 to 4 and 3 or more."""
 
     def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
+        vocabulary, shard = Vocabulary(*vocabulary_of), table.column("shard")[0].as_py()
         number, count = np.concatenate([_unpacked(x, 2) for x in table.column("grams").to_pylist()], axis=1)
-        out = np.bincount(number - 1 - base[shard], weights=count, minlength=sizes[shard]).astype(np.int64)
-        _save(folder, f"after-{shard}", _small(out))
+        out = np.bincount(vocabulary.place_of(number), weights=count, minlength=len(vocabulary.file("count", shard))).astype(np.int64)
+        _save(vocabulary.folder, f"after-{shard}", _small(out))
         return pa.table({"total": [int(out.sum())], **{f"n{i}": [int((out == i).sum())] for i in (1, 2, 3, 4)}, "more": [int((out >= 3).sum())]})
 
     return run
@@ -296,7 +306,6 @@ class Model:
     folder: str
     order: int
     bits: int
-    base: tuple[int, ...]
     tokens: int  # N
     types: int  # V
     texts: int
@@ -325,31 +334,26 @@ def train(texts: DataFrame, order: int = ORDER, shard_tokens: int = SHARD_TOKENS
     distinct = counted.count()
     bits = max(0, (distinct // vocabulary_shard).bit_length())
     shard = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    listed = stored(counted.withColumn("shard", shard).groupBy("shard").applyInArrow(_write_vocabulary(folder), "shard long, types long, tokens long"), "shards")
+    listed = stored(counted.withColumn("shard", shard).groupBy("shard").applyInArrow(_write_vocabulary(folder), "shard long, tokens long"), "shards")
     ends = counted.filter(F.col("h") == F.lit(int(END_HASH.view(np.int64)))).agg(F.sum("n")).first()[0] or 0
     discard(counted)
-    # a few numbers for each shard of about a million tokens
-    found = {r.shard: r for r in listed.toLocalIterator()}
-    base, sizes, total = [], [], 0
-    for i in range(1 << bits):
-        base.append(sum(sizes))
-        sizes.append(found[i].types if i in found else 0)
-        total += found[i].tokens if i in found else 0
+    total = listed.agg(F.sum("tokens")).first()[0] or 0
     shards, part = int(total // shard_tokens) + 1, max(1, shard_tokens // 4)
-    vocabulary_of = (folder, bits, base, ends)
-    packed, discounts, levels = rows.mapInArrow(_count_grams(order, part, shards, *vocabulary_of), _PARTS), [], []
+    vocabulary_of = (folder, bits, ends)
+    packed, discounts, before = rows.mapInArrow(_count_grams(order, part, shards, *vocabulary_of), _PARTS), [], [listed]
     for k in range(order, 1, -1):
         parts = stored(packed.groupBy("shard").applyInArrow(_write_grams(k, part, shards, *vocabulary_of), _PARTS), f"grams{k}")
         discounts.insert(0, _discounts(*(x or 0 for x in parts.filter(F.col("kind") == _CLASSES).agg(*(F.sum(x) for x in "abcd")).first())))
         packed = parts.filter(F.col("kind") == _PACKED)
-        levels.append(parts)
+        discard(*before)
+        before = [parts]
         split = parts.filter(F.col("kind") == _SPLIT).groupBy("h").agg(*(F.sum(x).alias(x) for x in "abcd"))
         split = split.withColumns({"k": F.lit(k), "shard": F.pmod("h", F.lit(shards))})
         split.groupBy("k", "shard").applyInArrow(_write_split(folder), "shard long").write.format("noop").mode("overwrite").save()
-    after = stored(packed.groupBy("shard").applyInArrow(_write_after(folder, base, sizes), "total long, n1 long, n2 long, n3 long, n4 long, more long"), "after")
+    after = stored(packed.groupBy("shard").applyInArrow(_write_after(*vocabulary_of), "total long, n1 long, n2 long, n3 long, n4 long, more long"), "after")
     low = [x or 0 for x in after.agg(*(F.sum(x) for x in after.columns)).first()]
-    discard(listed, after, *levels)
-    return Model(folder, order, bits, tuple(base), total, distinct, ends, low[0], shards, part, tuple(discounts), _discounts(*low[1:5]), (low[1], low[2], low[5]))
+    discard(after, *before)
+    return Model(folder, order, bits, total, distinct, ends, low[0], shards, part, tuple(discounts), _discounts(*low[1:5]), (low[1], low[2], low[5]))
 
 
 def _sum_by_text(x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -411,7 +415,7 @@ def _probabilities(model: Model, grams: np.ndarray, vocabulary: Vocabulary, arra
 
 def _score(model: Model, at: int):
     def run(batches):
-        vocabulary, arrays = Vocabulary(model.folder, model.bits, list(model.base), model.texts), _Arrays(model.folder)
+        vocabulary, arrays = Vocabulary(model.folder, model.bits, model.texts), _Arrays(model.folder)
         uniform = 1.0 / (model.types + 1)
         left = sum(d * n for d, n in zip(model.low_discount, model.low_counts, strict=True))
         for batch in batches:

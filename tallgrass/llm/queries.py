@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import balanced_mix, decontaminate, kneser_ney, language_id, license_scan, ngram_join, quality_model, robust_outliers, shard_table, window_dedup
+from tallgrass.llm import balanced_mix, ball_kmeans, blob_ledger, decontaminate, hard_negatives, kneser_ney, language_id, license_scan, ngram_join, quality_model, robust_outliers, shard_table, window_dedup
 from tallgrass.llm.shared import crc_mod
 
 
@@ -118,6 +118,73 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op11_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is the one version of a path of its own."""
+    scanned = blob_ledger.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in blob_ledger.RULES[:3]]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(blob_ledger.written(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256)
+    return scanned.select("doc_id", *map(count, base), digest.alias("base_sha256"), blob_ledger.written(F.col("spans")).alias("spans"))
+
+
+def _op11_sql() -> str:
+    quoted = [(n, r, r.pattern.replace("'", "''")) for n, r in enumerate(blob_ledger.RULES)]
+    matches = " UNION ALL ".join(
+        f"""SELECT r, {n} AS k, '{rule.kind}' AS kind, i, length(s[i]) AS gap, length(m[i]) AS size, length(v[i]) >= {rule.least} AS kept
+  FROM (SELECT r, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {rule.value}) AS v, regexp_split_to_array(t, '{p}') AS s FROM d), unnest(generate_series(1, len(m))) AS u(i)"""
+        for n, rule, p in quoted
+    )
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+matches AS ({matches}),
+placed AS (SELECT *, sum(gap + size) OVER (PARTITION BY r, k ORDER BY i) AS stop FROM matches),
+spans AS (SELECT r, k, kind, (stop - size)::BIGINT AS start, kind || ':' || (stop - size)::BIGINT || ':' || stop::BIGINT AS span FROM placed WHERE kept),
+found AS (SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
+  string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS every FROM spans GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM d LEFT JOIN found USING (r)
+"""
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(rounds: int = 3) -> str:
+    nearest = lambda c: f"""SELECT r, c, d FROM (SELECT v.r, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d,
+  row_number() OVER (PARTITION BY v.r ORDER BY d, c.c) AS n FROM v CROSS JOIN {c} c) WHERE n = 1"""
+    steps = ""
+    for n in range(rounds):
+        steps += f""", a{n} AS MATERIALIZED ({nearest(f'c{n}')}),
+m{n} AS (SELECT c, list(x ORDER BY j) AS v FROM (SELECT c, j, floor(sum(v[j]) / count(*))::BIGINT AS x FROM a{n} JOIN v USING (r), unnest(generate_series(1, 64)) AS u(j) GROUP BY c, j) GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{n} o LEFT JOIN m{n} m USING (c))"""
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v QUALIFY c < 16){steps},
+final AS MATERIALIZED ({nearest(f'c{rounds}')})
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM final JOIN v USING (r) JOIN c{rounds} k USING (c)
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+met AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.anchor_id, p.other AS positive_id, met.other AS negative_id, p.score AS positive_score, met.score AS negative_score,
+  row_number() OVER (PARTITION BY p.r, p.other ORDER BY met.score DESC, met.other)::INTEGER AS rank
+  FROM p JOIN met ON p.r = met.r AND NOT met.same AND 50 * p.score <= 100 * met.score AND 100 * met.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -127,5 +194,8 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": OP3_SQL,
         "op5_window_dedup": OP5_SQL,
         "op6_ngram_join": OP6_SQL,
+        "op11_blob_ledger": _op11_sql(),
+        "op12_ball_kmeans": _op12_sql(),
+        "op13_hard_negatives": OP13_SQL,
         "op8_shard_table": OP8_SQL.format(table=shard_table.fill(shard_table.shard_names(shard_table.SHARDS))),
     }

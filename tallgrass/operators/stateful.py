@@ -24,21 +24,33 @@ def first_seen(rows: DataFrame, keys: list[Column], order: list[str], name: str
     return rows.join(least, on, "left").withColumn(name, F.struct(*order) == F.col("__first")).drop("__first", *(f"__k{i}" for i in range(len(keys))))
 
 
+def among_first(rows: DataFrame, keys: list[Column], order: list[str], most: int, name: str) -> DataFrame:
+    """Marks the first `most` rows of each key. The order must tell all rows apart. A task hands on `most` rows of a key at most."""
+    if most == 1:
+        return first_seen(rows, keys, order, name)
+    named, count = [k.alias(f"__k{i}") for i, k in enumerate(keys)], range(len(keys))
+    own = [F.col(f"__k{i}") for i in count]
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("__o"))
+    first = rows.select(*named, F.struct(*order).alias("__o")).withColumn("__n", place).filter(F.col("__n") <= most)
+    last = first.groupBy(*own).agg(F.max("__o").alias("__last"))
+    on = [k.eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return rows.join(last, on, "left").withColumn(name, F.struct(*order) <= F.col("__last")).drop("__last", *(f"__k{i}" for i in count))
+
+
 def rare(rows: DataFrame, tenant: str, value: Column, order: list[str], most: int = 3, name: str = "is_rare") -> DataFrame:
     """Marks the first `most` rows of each value in a tenant."""
-    return rows.withColumn(name, seen_before([F.col(tenant), value], order) < most)
+    return among_first(rows, [F.col(tenant), value], order, most, name)
 
 
 def rate(rows: DataFrame, keys: list[Column], time_ms: str, window_ms: int, name: str = "rate") -> DataFrame:
     """How many rows of the key lie in the window_ms up to and including the row's time."""
-    w = Window.partitionBy(*keys).orderBy(time_ms).rangeBetween(-window_ms, 0)
-    return rows.withColumn(name, F.count(F.lit(1)).over(w).cast("long"))
+    return rate_sliced(rows, keys, time_ms, window_ms, name)
 
 
 def rate_sliced(rows: DataFrame, keys: list[Column], time_ms: str, window_ms: int, name: str = "rate") -> DataFrame:
-    """As rate, for hot keys: a row also visits the next time slice, where it is counted but not returned."""
+    """A key that holds a third of all rows is spread over its time slices: a row also visits the next one, where it is counted but not returned."""
     width = max(window_ms, 1)
-    own = F.floor(F.col(time_ms) / width)
+    own = F.coalesce(F.floor(F.col(time_ms) / width), F.lit(0))
     spread = rows.withColumn("__own", own).withColumn("__at", F.explode(F.array(own, own + 1)))
     w = Window.partitionBy(*keys, "__at").orderBy(time_ms).rangeBetween(-window_ms, 0)
     return spread.withColumn(name, F.count(F.lit(1)).over(w).cast("long")).filter("__at = __own").drop("__at", "__own")

@@ -13,8 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallgrass.functions.numeric import duration_ms
 from tallgrass.operators import aggregates
 from tallgrass.operators.joins import within_of_last
-from tallgrass.operators.rules import DEFAULT_WINDOW_MS, Fields, Rule, Source, answered, correlated, scored
-from tallgrass.operators.rules import rendered as _rendered
+from tallgrass.operators.conditions import Names
+from tallgrass.operators.rules import DEFAULT_WINDOW_MS, Fields, Rule, Source, answered, context_of, correlated, join_key, residue_at, scored, terms_between
 from tallgrass.sources.events import BATCH_SCHEMA
 
 #: How late an event may be: the width of the band in which its own time is trusted.
@@ -52,29 +52,45 @@ def _correlated_streams(rule: Rule, events: DataFrame, fields: Fields, time: str
     """Tuples of a rule's sources, one struct column an alias. Each join's state ends with the watermark of the time column."""
     window = duration_ms(rule.within) if rule.within else DEFAULT_WINDOW_MS
     reach = window if len(rule.sources) == 2 else 2 * window
+    sources = tuple((s.alias, s.kind) for s in rule.sources)
     name = lambda alias, column: f"{alias}__{column}"
-    field_of = lambda path: F.col(name(*path.split(".", 1)))
 
     def side(s: Source) -> DataFrame:
         rows = events.filter(F.col(fields.kind) == s.kind)
         if s.filter is not None:
-            rows = rows.withColumn(s.alias, F.struct(*events.columns)).filter(s.filter.column()).drop(s.alias)
+            marked = rows.withColumn(s.alias, F.struct(*events.columns))
+            rows = marked.filter(s.filter.column(Names(marked.select(s.alias), sources, fields.catalog, rule.dialect))).drop(s.alias)
         return rows.toDF(*(name(s.alias, c) for c in events.columns)).withWatermark(name(s.alias, time), lateness)
 
+    def packed(rows: DataFrame, aliases: list[str]) -> DataFrame:
+        return rows.select(*(F.struct(*(F.col(name(a, c)).alias(c) for c in events.columns)).alias(a) for a in aliases))
+
+    def keyed(rows: DataFrame, aliases: list[str], own: list, alias: str, key: str) -> DataFrame:
+        """rows with their join key; a bound name needs its alias as a struct, which goes again."""
+        marked = rows.withColumns({a: F.struct(*(F.col(name(a, c)).alias(c) for c in events.columns)) for a in aliases})
+        names = Names(marked.select(*aliases), sources, fields.catalog, rule.dialect)
+        column = join_key([f.typed(names) for f in own], F.col(f"{alias}.{fields.tenant}"), [F.col(f"{alias}.{e}") for e in fields.entities])
+        return marked.withColumn(key, column).drop(*aliases)
+
     first, *others = rule.sources
     rows, joined = side(first), [first.alias]
-    for s in others:
-        given = [(a, b) if b.split(".")[0] == s.alias else (b, a) for a, b in rule.on if {a.split(".")[0], b.split(".")[0]} <= {*joined, s.alias} and s.alias in (a.split(".")[0], b.split(".")[0])]
-        keys = [(f"{joined[0]}.{fields.tenant}", f"{s.alias}.{fields.tenant}"), *(given or [(f"{joined[0]}.{e}", f"{s.alias}.{e}") for e in fields.entities])]
-        anchor, own = name(given[0][0].split(".")[0] if given else joined[0], time), name(s.alias, time)
+    for n, s in enumerate(others):
+        given = terms_between(rule, joined, s.alias)
+        anchor_alias = given[0][0].alias if given else joined[0]
+        anchor, own = name(anchor_alias, time), name(s.alias, time)
         gap = f"INTERVAL {reach} MILLISECONDS"
         on = F.expr(f"{own} BETWEEN {anchor} - {'INTERVAL 0 SECONDS' if rule.ordered else gap} AND {anchor} + {gap}")
-        for a, b in keys:
-            on = on & (_rendered(field_of(a)) == _rendered(field_of(b)))
+        left = keyed(rows, joined, [a for a, _ in given], anchor_alias, f"__left{n}")
+        right = keyed(side(s), [s.alias], [b for _, b in given], s.alias, f"__right{n}")
+        on = on & (F.col(f"__left{n}") == F.col(f"__right{n}"))
         for other in joined:
-            on = on & (field_of(f"{other}.{fields.arrival}") != field_of(f"{s.alias}.{fields.arrival}"))
-        rows, joined = rows.join(side(s), on), [*joined, s.alias]
-    rows = rows.select(*(F.struct(*(F.col(name(a, c)).alias(c) for c in events.columns)).alias(a) for a in joined))
+            on = on & (F.col(name(other, fields.arrival)) != F.col(name(s.alias, fields.arrival)))
+        rows = left.join(right, on).drop(f"__left{n}", f"__right{n}")
+        rest, joined = residue_at(rule, joined, s.alias), [*joined, s.alias]
+        for condition in rest:
+            marked = rows.withColumns({a: F.struct(*(F.col(name(a, c)).alias(c) for c in events.columns)) for a in joined})
+            rows = marked.filter(condition.column(Names(marked.select(*joined), sources, fields.catalog, rule.dialect))).drop(*joined)
+    rows = packed(rows, joined)
     if len(joined) > 2:
         rows = rows.filter(within_of_last([(F.col(f"{a}.{fields.time_ms}"), F.col(f"{a}.{fields.arrival}")) for a in joined], window))
     return rows
@@ -83,10 +99,13 @@ def _correlated_streams(rule: Rule, events: DataFrame, fields: Fields, time: str
 def rule_stream(rule: Rule, events: DataFrame, fields: Fields = Fields(), time: str = "ts", lateness: str = LATENESS) -> DataFrame:
     """A rule over a stream, of one source or of several that are joined as they come. Calls need the rows before them, which a stream has
     not: give such a rule the columns that novelty, rates or with_live_facts add."""
-    if any(c.calls for c in (*rule.where, *(e for _, e in rule.let), *(c for _, c in rule.modifiers), *rule.require)):
+    filters = (s.filter for s in rule.sources if s.filter is not None)
+    answers = (b.condition for b in rule.respond if b.condition is not None)
+    if any(c.calls for c in (*filters, *rule.where, *(e for _, e in rule.let), *(c for _, c in rule.modifiers), *rule.require, *answers)):
         raise ValueError("a rule over a stream cannot call rate, rare, first_seen, sets, baselines or facts")
     rows = correlated(rule, events, fields) if len(rule.sources) == 1 else _correlated_streams(rule, events, fields, time, lateness)
-    return answered(rule, scored(rule, rows))
+    context = context_of(rule, fields)
+    return answered(rule, scored(rule, rows, context), context)
 
 
 def with_live_facts(events: DataFrame, facts: DataFrame, target: Column, ts: str, longest: str, lateness: str = LATENESS) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tallgrass.operators import rules
 from tallgrass.operators.conditions import field, rate
 from tallgrass.operators.rules import Rule, Source
-from tallgrass.plans import all_queries, streams
+from tallgrass.plans import all_queries, all_sql, streams
 from tallgrass.streaming import pipelines
-from test_queries import SF, plain
+from test_queries import SF, con, plain  # noqa: F401
 
 STREAMS = sorted(q for q in all_queries() if q.startswith("stream_"))
 
@@ -29,8 +29,21 @@ def test_folder_of_part_files(spark, parts, name):
 
 
 @pytest.mark.parametrize("name", STREAMS)
-def test_folder_gives_rows(spark, parts, name):
-    assert not all_queries()[name](spark, parts).isEmpty()
+def test_folder_gives_the_rows_of_the_table(spark, con, parts, name):  # noqa: F811
+    found = all_queries()[name](spark, parts)
+    if name in all_sql():
+        assert plain(found.toPandas()) == plain(con.sql(all_sql()[name]).df())
+    else:
+        assert not found.isEmpty()
+
+
+def test_facts_that_are_met(spark, tmp_path):
+    """The table at this scale has no fact that an event meets, so: of three purchases one lies within the hour."""
+    at = lambda minute: f"2024-01-01 00:{minute:02}:00" if minute < 60 else f"2024-01-01 01:{minute - 60:02}:00"
+    rows = [(1, at(10), 7, "error", 60.0), (2, at(30), 7, "purchase", 1.0), (3, at(30), 8, "purchase", 1.0), (4, at(71), 7, "purchase", 1.0), (5, at(5), 7, "purchase", 1.0)]
+    table = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double")
+    table.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "props": F.lit("{}")}).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in all_queries()["stream_facts_ttl"](spark, str(tmp_path)).collect()] == [(2,)]
 
 
 def test_no_row_that_matches(spark, tmp_path):

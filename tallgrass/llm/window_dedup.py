@@ -242,13 +242,14 @@ def _apply(k: int, id_at: int, text_at: int, hits_at: int, with_text: bool):
                     removed = np.zeros(n + 1, np.int64)
                     if raw_hits[w.first + i].is_valid:
                         running = _running(run_hashes(w.hash, k)) if running is None else running
-                        for hit in raw_hits[w.first + i].values.to_pylist():
-                            a, b = hit["first"], hit["first"] + hit["n"] + k - 1
-                            at = w.lo[i] + a
-                            # else it is of another text with this id and key
-                            if b <= n and (running[at + hit["n"]] - running[at]).view(np.int64) == hit["check"]:
-                                removed[a] += 1
-                                removed[b] -= 1
+                        first, runs, check = (f.to_numpy(zero_copy_only=False) for f in raw_hits[w.first + i].values.flatten())
+                        fits = first + runs + k - 1 <= n
+                        first, runs, check = first[fits], runs[fits], check[fits]
+                        at = w.lo[i] + first
+                        # else it is of another text with this id and key
+                        mine = (running[at + runs] - running[at]).view(np.int64) == check
+                        np.add.at(removed, first[mine], 1)
+                        np.add.at(removed, first[mine] + runs[mine] + k - 1, -1)
                         gone = np.cumsum(removed[:n]) > 0
                         n_removed.append(int(gone.sum()))
                         words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
@@ -272,7 +273,8 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, bucket_chars: int = BUCKET_CH
     """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and, with_text, kept_text (kept words joined by one blank; else text goes too)."""
     rows, restore = shielded(docs, ["doc_id", "text"])
     found = hits(rows, k, m, bucket_chars, hot_strings, hot_windows)
-    mine = found.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "n", "check")).alias("hits"))
+    # rows with the same id and text find the same: each find once
+    mine = found.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "n", "check")).alias("hits"))
     keyed = rows.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "key": _key()})
     joined = keyed.join(mine, ["doc", "key"], "left").select(*rows.columns, "hits")
     fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema if with_text or f.name != "text"]

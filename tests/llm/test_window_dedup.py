@@ -69,3 +69,11 @@ def test_awkward(spark, docs):
 
 def test_empty(spark, nothing):
     assert wd.dedup(nothing).count() == 0
+
+
+def test_many_equal_rows(spark):
+    """Rows that repeat an id and a text find the same: work grows with the rows, not with their square."""
+    text = prose(1, 60)
+    rows = [(1, text)] + [(2, f"x {text}")] * 10_000
+    found = wd.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, found)) == [(1, 60, 0, 1), (2, 61, 60, 10_000)]

@@ -13,8 +13,9 @@ A step is one pass over a narrow table: distances are cut into BINS bins to the
 mergeable, and the nearest h are whole bins and the needed share of one bin. So a group that holds a third of all rows is combined
 before the shuffle, and no estimate depends on how rows are partitioned. Groups whose determinant no longer falls leave the passes.
 
-A group with fewer than `least` vectors uses the estimate of its language, and one with fewer in its language that of all documents;
-column `estimate` says which was used. All three levels are estimated together.
+Every group has an estimate of its own. That of fewer than `enough` vectors is shrunk towards the estimate of its language, as that is
+towards the estimate of all: means and covariances are averaged with weight n / enough, which is 1 from `enough` on, so nothing jumps with
+the size of a group. Column `weight` is the weight of the document's own group. All three levels are estimated together.
 
 Defined results: a null or empty text has no words and zero statistics, fails the base rules and is not kept; null languages and sources
 are groups of their own; repeated rows count each; if all texts fail the base rules no estimate is made; columns with clashing names do
@@ -41,13 +42,15 @@ COVER = 0.75
 FLOOR = (0.05, 0.03, 0.10, 0.03)
 #: Squared distance beyond which a vector is an outlier; chi2(4) exceeds it once in about 10^9.
 CUT = 48.0
-LEAST = 200
+#: Vectors from which a group's own estimate stands alone: about twice the entries of mean and covariance.
+ENOUGH = 30
 #: Bins to the octave of squared distance, and of one unit of a statistic where medians are taken.
 BINS = 64
 MEDIAN_BINS = 1024
 #: Vectors within this squared distance of the best start make the reweighted estimate: the 0.975 quantile of chi2(4).
 RIM, RIM_COVER = 11.1433, 0.975
-#: Smaller falls of the logarithm of the determinant count as none. Steps stop by themselves; this many would be a fault.
+#: Smaller falls of the logarithm of the determinant count as none. Steps stop by themselves; a group that still falls after so many keeps
+#: its last estimate.
 STILL, MOST_STEPS = 1e-6, 200
 #: The starts: scaled deviations, squashed vectors, directions only, the half nearest to the median.
 STARTS = ("scale", "tanh", "sign", "half")
@@ -140,11 +143,11 @@ _COVS = [f"c{i}{j}" for i, j in _ENTRIES]
 _ROOTS = [f"l{i}{j}" for i, j in _ENTRIES]
 
 
-def _factor(estimates: DataFrame) -> DataFrame:
+def _factor(estimates: DataFrame, ridge: bool = True) -> DataFrame:
     """Puts l00 .. l33 in the place of c00 .. c33: the Cholesky factor of the covariance plus ridge, one entry from those before it."""
     entries = []
     for i, j in _ENTRIES:
-        rest = f"c{i}{j}" + (f" + {FLOOR[i] ** 2!r}D" if i == j else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        rest = f"c{i}{j}" + (f" + {FLOOR[i] ** 2!r}D" if i == j and ridge else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
         entries.append((f"sqrt(greatest({rest}, 1e-12D))" if i == j else f"({rest}) / l{j}{j}") + f" AS l{i}{j}")
     return estimates.selectExpr("*", *entries).drop(*_COVS)
 
@@ -223,8 +226,8 @@ def raw_estimate(rows: DataFrame, groups: int, first: DataFrame, cover: float =
         before, now = now, stored(step, "estimates")
         discard(before)
         if now.filter("NOT still").isEmpty():
-            return now.drop("still")
-    raise ValueError(f"determinants still fall after {MOST_STEPS} steps")
+            break
+    return now.drop("still")
 
 
 def estimate(stats: DataFrame, cover: float = COVER) -> DataFrame:
@@ -242,23 +245,30 @@ def estimate(stats: DataFrame, cover: float = COVER) -> DataFrame:
     return join_small(final, sizes, list(_GROUP), groups)
 
 
-def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2 and estimate: 'language and
-    source', 'language' or 'all' (both null where base_failed)."""
+def _shrunk(own: DataFrame, parent: DataFrame, keys: list[str], groups: int, enough: int) -> DataFrame:
+    """own(keys.., n, m0.., l00..) with the averages of mean and covariance of own and parent(keys.., m0.., l00..), by the weight n / enough."""
+    met = join_small(own.withColumn("w", F.least(F.lit(1.0), F.col("n") / F.lit(float(enough)))), parent.withColumnsRenamed({c: f"p_{c}" for c in (*_MEANS, *_ROOTS)}), keys, groups)
+    square = lambda p, i, j: " + ".join(f"{p}l{i}{k} * {p}l{j}{k}" for k in range(j + 1))
+    mean = [f"w * m{i} + (1 - w) * p_m{i} AS m{i}" for i in _D]
+    covs = [f"w * ({square('', i, j)}) + (1 - w) * ({square('p_', i, j)}) AS c{i}{j}" for i, j in _ENTRIES]  # both with their ridge
+    names = [c for c in own.columns if c not in (*_MEANS, *_ROOTS)]
+    return _factor(met.selectExpr(*names, "w AS weight", *mean, *covs), ridge=False)
+
+
+def judge(docs: DataFrame, cut: float = CUT, enough: int = ENOUGH) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2 and weight (both null where
+    base_failed): the squared distance from the estimate of the document's language and source, and that estimate's own part in it."""
     stats = stored(vectors(base_statistics(docs)), "statistics")
     found = stored(estimate(stats.filter(~F.col("base_failed"))), "group-estimates")
-    fields = F.struct(*(c for c in found.columns if c not in _GROUP)).alias("own")
-    levels = [found.filter(F.col("level") == k).select("lang", "source", fields) for k in (0, 1)]
-    rows = join_small(stats, levels[0], ["lang", "source"])
-    rows = join_small(rows, levels[1].select("lang", F.col("own").alias("of_lang")), ["lang"])
-    all_rows = found.filter("level = 2").select("level", fields.alias("of_all"))
-    rows = join_small(rows.withColumn("level", F.lit(2)), all_rows, ["level"])
-    used = F.when(F.col("own.n") >= least, F.col("own")).when(F.col("of_lang.n") >= least, F.col("of_lang")).otherwise(F.col("of_all"))
-    name = F.when(F.col("own.n") >= least, "language and source").when(F.col("of_lang.n") >= least, "language").otherwise("all")
-    rows = rows.withColumn("used", used).select(*stats.columns, name.alias("estimate"), "used.*")
-    rows = _with_distance(rows)
+    groups = found.count()
+    level = lambda k: found.filter(F.col("level") == k)
+    every = level(2).select(F.lit(0).alias("k"), *_MEANS, *_ROOTS)
+    by_lang = _shrunk(level(1).select("lang", F.lit(0).alias("k"), "n", *_MEANS, *_ROOTS), every, ["k"], 1, enough)
+    own = _shrunk(level(0).select("lang", "source", "n", *_MEANS, *_ROOTS), by_lang.select("lang", *_MEANS, *_ROOTS), ["lang"], groups, enough)
+    own = stored(own.select("lang", "source", "weight", *_MEANS, *_ROOTS), "shrunk-estimates")
+    rows = _with_distance(join_small(stats, own, ["lang", "source"]))
     kept = ~F.col("base_failed") & (F.col("d2") <= cut)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"),
-        F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"), F.when(~F.col("base_failed"), F.col("estimate")).alias("estimate"),
+        F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"), F.when(~F.col("base_failed"), F.col("weight")).alias("weight"),
     )

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -64,9 +65,8 @@ def test_verdicts(spark, docs):
     assert len(found) == len(awkward())
     failed = {(i, base(t)[0]): base(t)[-1] for i, t, _, _ in awkward()}
     assert all(r.base_failed == failed[r.doc_id, r.n_words] for r in found)
-    assert all(not r.kept and r.distance2 is None and r.estimate is None for r in found if r.base_failed)
-    # too few rows for a group of their own
-    assert all(r.estimate == "all" and r.kept == (r.distance2 <= ro.CUT) for r in found if not r.base_failed)
+    assert all(not r.kept and r.distance2 is None and r.weight is None for r in found if r.base_failed)
+    assert all(0 < r.weight < 1 and r.kept == (r.distance2 <= ro.CUT) for r in found if not r.base_failed)
 
 
 def test_outliers_go_and_common_rows_stay(spark):
@@ -79,11 +79,50 @@ def test_outliers_go_and_common_rows_stay(spark):
     assert all(math.isclose(once[i][1], again[i][1], rel_tol=1e-6) for i in once)
 
 
-@pytest.mark.parametrize(("own", "used"), [(199, "language"), (200, "language and source")])
-def test_small_groups_use_a_larger_one(spark, own, used):
-    rows = [(i, plain(i, 30), "en", "a" if i < own else "b") for i in range(own + 210)]
-    found = ro.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).groupBy("estimate").count().collect()
-    assert Counter({r.estimate: r["count"] for r in found}) == Counter([used] * own) + Counter(["language and source"] * 210)
+def test_every_row_is_judged_by_its_own_group(spark):
+    found = ro.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("NOT base_failed")
+    least, mean, kept = found.agg(F.min("weight"), F.avg("weight"), F.avg(F.col("kept").cast("double"))).first()
+    assert least > 0 and mean > 0.6 and kept > 0.85
+
+
+@pytest.mark.parametrize(("own", "weight"), [(15, 0.5), (30, 1.0), (45, 1.0)])
+def test_small_groups_lean_on_a_larger_one(spark, own, weight):
+    rows = [(i, plain(i, 30), "en", "a" if i < own else "b") for i in range(own + 60)]
+    found = ro.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).groupBy("weight").count().collect()
+    assert Counter({r.weight: r["count"] for r in found}) == Counter([weight] * own) + Counter([1.0] * 60)
+
+
+def exact_mcd(x, cover=0.75):
+    """Mean and covariance with ridge: of all subsets of the size asked for the one with the least determinant, made consistent and reweighted."""
+    ridge = np.diag(np.square(ro.FLOOR))
+    subsets = (list(c) for c in itertools.combinations(range(len(x)), math.ceil(cover * len(x))))
+    best = min(subsets, key=lambda c: np.linalg.slogdet(np.cov(x[c].T, bias=True) + ridge)[1])
+    mean, cov = x[best].mean(axis=0), (np.cov(x[best].T, bias=True) + ridge) * ro.consistency(cover)
+    near = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean) <= ro.RIM
+    return x[near].mean(axis=0), np.cov(x[near].T, bias=True) * ro.consistency(ro.RIM_COVER) + ridge
+
+
+def test_verdicts_are_those_of_a_plain_mcd(spark):
+    """Two small groups and their parents: the least determinant of all subsets, shrunk, gives the same verdicts."""
+    rows = [(i, plain(i, 25 + i % 5), "en", "a") for i in range(10)] + [(20 + i, plain(20 + i, 30), "en", "b") for i in range(4)]
+    rows += [(40, " ".join(f"{w}$$##" for w in plain(40, 30).split()), "en", "a"), (41, "\n".join([plain(41, 12)] + ["same line again here"] * 2 + [plain(42, 40)]), "en", "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = {r.doc_id: r for r in ro.vectors(ro.base_statistics(table)).collect() if not r.base_failed}
+    assert len(stats) == len(rows)
+    x = {i: np.array([r.x0, r.x1, r.x2, r.x3]) for i, r in stats.items()}
+    every = exact_mcd(np.array(list(x.values())))
+    want = {}
+    for source in "ab":
+        own = [i for i, _, _, s in rows if s == source]
+        n, (mean, cov) = len(own), exact_mcd(np.array([x[i] for i in own]))
+        lang = len(rows) / ro.ENOUGH
+        up = [lang * a + (1 - lang) * b for a, b in zip(every, every)]
+        w = n / ro.ENOUGH
+        mean, cov = w * mean + (1 - w) * up[0], w * cov + (1 - w) * up[1]
+        want |= {i: float((x[i] - mean) @ np.linalg.solve(cov, x[i] - mean)) for i in own}
+    found = {r.doc_id: r for r in ro.judge(table).collect()}
+    assert {i: r.kept for i, r in found.items()} == {i: d <= ro.CUT for i, d in want.items()}
+    assert not found[40].kept and all(found[i].kept for i, *_ in rows if i < 40)
 
 
 def plain_mcd(x, h, starts=300, seed=5):

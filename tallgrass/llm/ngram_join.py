@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallgrass.llm.shared import NO_ID, discard, join_counted, stored
+from tallgrass.llm.shared import NO_ID, discard, freed, join_counted, stored
 from tallgrass.llm.words import BLANK_SPLIT_FOLDED, Words, chunked, mixed, run_hashes
 
 SHINGLE = 5
@@ -353,7 +353,7 @@ def with_set_keys(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc, size, one, two, component for every row of docs(doc_id, text), where NO_ID stands for null; and group, group2, which tell
+    """doc, size, one, two, component for every row of docs(doc_id, text), where NO_ID, which no row may have, stands for null; and group, group2, which tell
     components apart even if they hold null ids only (rows of size 0, each its own component, excepted)."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     seen, alive = survey(rows, shingle, percent, block_shingles)
@@ -372,6 +372,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, blo
 
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
-    out = grouped(docs, shingle, percent, block_shingles)
-    blank = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
+    rows, back = freed(docs.select("doc_id", "text"))
+    out = grouped(rows, shingle, percent, block_shingles)
+    blank = lambda c: F.when(F.col(c) != F.lit(NO_ID), back(F.col(c)))
     return out.select(blank("doc").alias("doc_id"), F.col("size").alias("n_shingles"), blank("component").alias("component_id"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 #: A key is hot if it has more than this share of all rows; so there are at most 20,000 hot keys, whatever the data.
 HOT_SHARE = 1 / 20_000
-#: Stands in for a null doc_id inside an operator: no id is larger.
+#: Stands in for a null doc_id inside an operator: no id is larger. `freed` sees to it that no row has it as its own id.
 NO_ID = (1 << 63) - 1
 
 _own_folder: dict[str, str] = {}
@@ -90,6 +90,18 @@ def shielded(df: DataFrame, uses: list[str]) -> tuple[DataFrame, Callable[[DataF
     return df.toDF(*hidden), restore
 
 
+def freed(docs: DataFrame, id: str = "doc_id") -> tuple[DataFrame, Callable[[Column], Column]]:
+    """docs in which no row has NO_ID as its id, and what turns an id of them back. Only where one has it: n distinct ids leave one of the
+    values 0 .. n unused; the ids above that move down by one, in their order."""
+    own = F.col(id).cast("long")
+    if docs.filter(own == F.lit(NO_ID)).isEmpty():
+        return docs, lambda c: c
+    ids = docs.select(own.alias("id")).filter("id IS NOT NULL").distinct()
+    unused = docs.sparkSession.range(ids.count() + 1).join(ids, "id", "left_anti").agg(F.min("id")).first()[0]
+    moved = F.when(own > F.lit(unused), own - 1).otherwise(own)
+    return docs.withColumn(id, moved), lambda c: F.when(c >= F.lit(unused), c + 1).otherwise(c)
+
+
 def _on_mount(folder: str) -> str | None:
     """The folder as a path if it is on a mount, else None."""
     return folder.removeprefix("file://") if folder.startswith("file:") else None if "://" in folder else folder

@@ -94,3 +94,11 @@ def test_awkward(spark, docs):
 
 def test_empty(nothing):
     assert ngram_join.join(nothing).count() == 0
+
+
+@pytest.mark.parametrize("least", [None, -(1 << 63)])
+def test_the_largest_id_is_no_null(spark, least):
+    most = (1 << 63) - 1
+    rows = [(most, prose(1, 40)), (None, prose(1, 40)), (None, prose(2, 40)), (least, prose(3, 40)), (0, prose(4, 40)), (most - 1, prose(4, 40)), (1, None)]
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in found), key=repr) == sorted([(most, most), (None, most), (None, None), (least, least), (0, 0), (most - 1, 0), (1, 1)], key=repr)

@@ -15,6 +15,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ITEM = "what is the name of the tall bird that cannot fly but runs fast"
 SHORT = "zebra crossing twice"
 
+MOST = (1 << 63) - 1
+
 
 def corpus():
     r = random.Random(4)
@@ -115,9 +117,11 @@ def test_near_duplicates(spark, folder):
 
 
 def test_near_duplicates_with_repeated_ids(spark, folder):
-    rows = [(1, prose(1, 40), "en", "s", 1), (1, prose(2, 40), "en", "s", 1), (2, prose(1, 40), "en", "s", 1), (None, prose(3, 40), "en", "s", 1), (None, None, None, None, None)]
-    found = collected(STAGE["n-gram Jaccard join"](spark, spark.createDataFrame(rows, SCHEMA), folder))
-    assert [x[0] for x in found].count(1) == 1 and 2 not in [x[0] for x in found]
+    """No text is lost: of rows with one id each that leads its group stays."""
+    rows = [(1, prose(1, 40), "en", "s", 1), (1, prose(2, 40), "en", "s", 1), (None, prose(3, 40), "en", "s", 1), (None, None, None, None, None), (5, prose(7, 40), "en", "s", 1), (5, "", "en", "s", 1), (MOST, prose(8, 40), "en", "s", 1)]
+    gone = [(2, prose(2, 40), "en", "s", 1), (1, prose(1, 40) + " tail", "en", "s", 1), (5, prose(7, 40), "en", "s", 1), (5, "", "en", "s", 1), (None, prose(8, 40), "en", "s", 1), (5, prose(2, 40) + " tail", "en", "s", 1)]
+    found = collected(STAGE["n-gram Jaccard join"](spark, spark.createDataFrame(rows + gone, SCHEMA), folder))
+    assert found == sorted(rows, key=repr)
 
 
 def test_near_duplicates_without_ids(spark):
@@ -125,8 +129,9 @@ def test_near_duplicates_without_ids(spark):
     stay = [(1, text[0], "en", "s", 1), (None, text[1], "en", "s", 1), (None, text[2], "en", "s", 2), (None, text[3], "a", "s", 1)]
     stay += [(None, None, None, None, None), (None, "", "en", "s", 0), (None, " ", "en", "s", 1), (2, text[4], "en", "s", 1), (3, text[5], "en", "s", 1)]
     gone = [(None, text[0] + " tail", "en", "s", 1), (None, text[2] + " tail", "en", "s", 1), (None, text[3], "b", "s", 1), (None, text[4], "en", "s", 1)]
-    # of the rows with id 3 one is a near copy of id 1 and one has no words
-    gone += [(3, text[0] + " also", "en", "s", 1), (3, None, "en", "s", 1)]
+    # of the rows with id 3 one is a near copy of id 1, one has no words
+    gone += [(3, text[0] + " also", "en", "s", 1)]
+    stay += [(3, None, "en", "s", 1)]
     found = collected(STAGE["n-gram Jaccard join"](spark, spark.createDataFrame(gone + stay, SCHEMA), ""))
     assert found == sorted(stay, key=repr)
 

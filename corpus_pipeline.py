@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrass.llm import balanced_mix, decontaminate, ngram_join, quality_model, shard_table
-from tallgrass.llm.shared import NO_ID, crc_mod, shielded, stored
+from tallgrass.llm.shared import NO_ID, crc_mod, freed, shielded, stored
 
 #: A document below this score goes.
 LEAST_QUALITY = 0.3
@@ -32,10 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of documents linked by 5-word shingles (Jaccard 0.8 or more) one stays: the one with the smallest id.
 
     Rows without an id are documents of their own: one of a group that holds no id stays, and each of those without words. Rows that
-    share an id are one document: of those that lead their groups one stays, with the least text that has words.
+    share an id are documents by their texts: if several of a group have its smallest id, the one with the least text stays, and each of
+    them that leads a group of its own; of those without words one of each text.
     """
     rows, restore = shielded(docs, ["doc_id", "text"])
-    return restore(_led(rows))
+    rows, back = freed(rows)
+    return restore(_led(rows).withColumn("doc_id", back(F.col("doc_id"))))
 
 
 def _led(docs: DataFrame) -> DataFrame:
@@ -62,11 +64,12 @@ def _led(docs: DataFrame) -> DataFrame:
 
     of_set = [F.col(c).alias(f"__{c}") for c in ("one", "two", "group", "group2")]
     once = kept.join(repeated, "__id", "left_anti").select(*docs.columns)
-    # rows of one id that do not lead their own group go before one is taken
-    led = leads.filter("size > 0").join(repeated, F.col("doc") == F.col("__id"), "left_semi").select(F.col("doc").alias("__id"), *of_set[:2]).distinct()
+    # rows of one id that do not lead their own group go before one of each group is taken; those without words are told apart by their texts
+    led = leads.filter("size > 0").join(repeated, F.col("doc") == F.col("__id"), "left_semi").select(F.col("doc").alias("__id"), *of_set).distinct()
     more = ngram_join.with_set_keys(kept.join(repeated, "__id", "left_semi"))
-    words = more.filter("__size > 0").join(led, ["__id", "__one", "__two"], "left_semi")
-    shared = least(words.unionByName(more.filter("__size = 0")), ["__id"])
+    words = more.filter("__size > 0").join(led, ["__id", "__one", "__two"])
+    wordless = more.filter("__size = 0").withColumns({"__group": F.xxhash64("text"), "__group2": F.hash("text").cast("long")})
+    shared = least(words.unionByName(wordless), ["__id", "__group", "__group2"])
     # rows without an id: equal sets first, so that the join meets each set once
     keyed = ngram_join.with_set_keys(named.filter(without))
     free = leads.filter((F.col("doc") == F.lit(NO_ID)) & (F.col("size") > 0)).select(*of_set).distinct()

@@ -145,7 +145,9 @@ class Expression:
         return (self >= low) & (self <= high)
 
     def is_in(self, items) -> Condition:
-        """Among the items by ==: a list of values, or an expression that is a list; nothing is in a null list."""
+        """Among the items by ==: a list of values, an expression that is a list, or a feed; nothing is in a null list."""
+        if hasattr(items, "holds"):
+            return items.holds(self)
         if isinstance(items, Expression):
             return Condition(lambda n: (_in_list(*self.typed(n), *items.typed(n)), "bool"), f"{self} in {items}", (self, items))
 

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.functions import numeric, text, twovalued
-from tallgrass.operators import joins, rules, stateful, tables
+from tallgrass.operators import joins, rules, standard, stateful, tables
+from tallgrass.operators.callables import call
 from tallgrass.operators.conditions import attribute, field, first_seen, has_fact, rare, rate
 from tallgrass.operators.rules import Branch, Fact, Rule, Source
 from tallgrass.plans.common import EV, Registry, events, table
 from tallgrass.sources import events as source
+from tallgrass.sources.catalog import Catalog, Entry
 
 registry = Registry()
 add = registry.add
@@ -440,3 +442,133 @@ def join_fallback_key_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a rule names no key, host and process must agree; null agrees with null."""
     rows = events(spark, sf_dir).withColumns({"host": F.when(F.col("event_id") % 3 != 0, F.col("user_id")), "process": source.attribute(F.col("attrs"), "k")})
     return _ids(rules.correlated(_pair_rule(), rows, rules.Fields(entities=("host", "process"))), "a", "b")
+
+
+# --- conditions that are read: keys and residue, kinds, names, calls -------------------------------------------------------
+
+
+@add(f"""WITH {EV} SELECT a.event_id AS a, b.event_id AS b FROM ev a JOIN ev b ON a.tenant_id = b.tenant_id AND a.user_id = b.user_id AND b.value > a.value + 10 AND abs(a.ts_ms - b.ts_ms) <= 7200000
+  WHERE a.event_type = 'signup' AND b.event_type = 'click'""")
+def rule_on_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a rule joins on is a condition: its equality becomes the key, the rest is checked in the join."""
+    on = (field("b.user_id") == field("a.user_id")) & (field("b.value") > field("a.value") + 10)
+    rule = Rule("more", "More than before", (Source("a", "signup"), Source("b", "click")), on=on, within="2h")
+    return _ids(rules.correlated(rule, events(spark, sf_dir)), "a", "b")
+
+
+@add(f"""WITH {EV}, n AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN k END AS m FROM ev)
+  SELECT a.event_id AS a, b.event_id AS b FROM n a JOIN n b ON a.tenant_id = b.tenant_id AND (a.m = b.m OR (a.m IS NULL AND b.m IS NULL AND a.user_id = b.user_id)) AND abs(a.ts_ms - b.ts_ms) <= 1800000
+  WHERE a.event_type = 'signup' AND b.event_type = 'click'""")
+def join_key_or_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without any of the fields that a rule joins by are joined by entity, not with all others that lack them."""
+    rows = events(spark, sf_dir).withColumn("m", F.when(F.col("event_id") % 3 == 0, source.attribute(F.col("attrs"), "k")))
+    return _ids(rules.correlated(_pair_rule(on=(("a.m", "b.m"),)), rows), "a", "b")
+
+
+@add("""SELECT event_id, (k::BIGINT = event_id % 100) AS text_is_number, false AS type_is_number, true AS not_less, false AS less, k IN ('3', '5', '7') AS among, value < 100 AS small FROM ev""")
+def rule_kinds_central(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and numbers: equal if the text spells the number, in no order; other kinds differ."""
+    return _kinds(spark, sf_dir, "central")
+
+
+@add("""SELECT event_id, false AS text_is_number, false AS type_is_number, k::BIGINT >= 50 AS not_less, k::BIGINT < 50 AS less, k IN ('5') AS among, value < 100 AS small FROM ev""")
+def rule_kinds_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agent's reading: every order is one of numbers, text that spells a number is not that number."""
+    return _kinds(spark, sf_dir, "agent")
+
+
+def _kinds(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
+    rows = events(spark, sf_dir).withColumns({"k": source.attribute(F.col("attrs"), "k"), "n": F.col("event_id") % 100})
+    k = field("e.k")
+    tests = {"text_is_number": k == field("e.n"), "type_is_number": field("e.event_type") == 5, "not_less": ~(k < 50), "less": k < 50, "among": k.is_in([3, "5", 7]), "small": field("e.value") < 100}
+    rule = Rule("kinds", "Kinds", (Source("e", "any"),), let=tuple(tests.items()), dialect=dialect)
+    every = rows.withColumn("event_kind", F.lit("any"))
+    return rules.scored(rule, rules.correlated(rule, every, rules.Fields(kind="event_kind"))).select("e.event_id", *tests)
+
+
+@add("SELECT event_id FROM ev WHERE event_type = 'view' AND regexp_matches(k, '^([1-3])[0-9]$')")
+def rule_pattern_named_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = Rule("p", "p", (Source("e", "view"),), where=(attribute("e.attrs", "k").matches("^(?P<tens>[1-3])[0-9]$"),))
+    return rules.run(rule, events(spark, sf_dir)).select("e.event_id")
+
+
+@add(f"""WITH {EV}, f AS (SELECT *, count(*) OVER (PARTITION BY tenant_id, user_id ORDER BY ts_ms RANGE BETWEEN 7200000 PRECEDING AND CURRENT ROW) AS r FROM ev WHERE event_type = 'click')
+  SELECT a.event_id AS a, b.event_id AS b FROM f a JOIN ev b ON a.tenant_id = b.tenant_id AND a.user_id = b.user_id AND abs(a.ts_ms - b.ts_ms) <= 1800000 WHERE a.r >= 2 AND b.event_type = 'purchase'""")
+def rule_call_in_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's filter calls: the rate counts the source's own events."""
+    rule = Rule("f", "f", (Source("a", "click", rate(field("a.user_id"), "2h") >= 2), Source("b", "purchase")), within="30m")
+    return _ids(rules.correlated(rule, events(spark, sf_dir)), "a", "b")
+
+
+_OR_STEPS = "".join(
+    f""", g{i} AS (SELECT *, CASE WHEN NOT hit AND value >= {10 * i} THEN count(*) OVER (PARTITION BY tenant_id, user_id, NOT hit AND value >= {10 * i} ORDER BY ts_ms RANGE BETWEEN 14400000 PRECEDING AND CURRENT ROW) = {i} ELSE false END AS h{i} FROM s{i - 1}),
+  s{i} AS (SELECT * REPLACE (hit OR h{i} AS hit) FROM g{i})"""
+    for i in range(1, 6)
+)
+
+
+@add(f"WITH {EV}, s0 AS (SELECT *, value > 150 AS hit FROM ev WHERE event_type = 'view'){_OR_STEPS} SELECT event_id FROM s5 WHERE hit")
+def rule_calls_behind_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five calls, each over the rows for which all before it were false, in one pass over the events."""
+    condition, v = field("e.value") > 150, field("e.value")
+    for i in range(1, 6):
+        condition = condition | ((v >= 10 * i) & (rate(field("e.user_id"), "4h") == i))
+    return rules.run(Rule("o", "o", (Source("e", "view"),), where=(condition,)), events(spark, sf_dir)).select("e.event_id")
+
+
+#: Names for the test events: a process's where they have none of their own.
+_NAMES = Catalog(
+    envelope={"at": Entry("int", "ts_ms"), "who": Entry("int", "user_id"), "name": Entry("str", lambda e: F.element_at(F.array(*map(F.lit, ["bash", "curl", "nginx", "vim"])), (e["event_id"] % 4 + 1).cast("int")))},
+    families={"large": {"amount": Entry("float", "value")}, "small": {"amount": Entry("float", lambda e: e["value"] / 10)}},
+    family_of={"purchase": "large", "error": "small"},
+    attrs="attrs",
+)
+
+
+@add("SELECT event_id, event_type FROM ev WHERE k::BIGINT > 30 AND ((event_type = 'purchase' AND value > 20) OR (event_type = 'error' AND value / 10 > 20))")
+def rule_catalog_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One name for different fields of two families; an attribute that spells a number is one; a name that nothing binds is null."""
+    where = (field("amount") > 20, field("e.k") > 30, field("e.nothing") == None)  # noqa: E711
+    found = [rules.run(Rule("c", "c", (Source("e", kind),), where=where), events(spark, sf_dir), rules.Fields(catalog=_NAMES)) for kind in ("purchase", "error")]
+    return found[0].unionByName(found[1]).select("e.event_id", "e.event_type")
+
+
+@add(f"""WITH {EV}, f AS (SELECT *, ['bash', 'curl', 'nginx', 'vim'][event_id % 4 + 1] AS name FROM ev WHERE event_type = 'view')
+  SELECT event_id, (CASE WHEN name = 'bash' THEN 1 ELSE 0 END + CASE WHEN name IN ('bash', 'curl') THEN 2 ELSE 0 END)::INTEGER AS score FROM f""")
+def rule_standard_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = Rule("s", "s", (Source("e", "view"),), modifiers=((1, standard.is_shell("e")), (2, standard.living_off_the_land("e"))))
+    return rules.run(rule, events(spark, sf_dir), rules.Fields(catalog=_NAMES)).select("e.event_id", "score")
+
+
+@add("""WITH o AS (SELECT o_custkey AS event_id, list(o_totalprice ORDER BY o_orderkey) AS prices, list(o_orderstatus ORDER BY o_orderkey) AS kinds FROM orders GROUP BY 1)
+  SELECT event_id, list_max(prices) AS max, list_min(prices) AS min, round(list_sum(prices), 2) AS sum, round(list_avg(prices), 8) AS avg, len(prices)::BIGINT AS count, len(list_distinct(kinds))::BIGINT AS kinds, strlen(kinds[1])::BIGINT AS len FROM o""")
+def callables_over_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """max, min, sum, avg, count, len and distinct, over the orders of a customer taken as one event."""
+    by_key = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", c))), lambda x: x[c])
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("event_id")).agg(by_key("o_totalprice").alias("prices"), by_key("o_orderstatus").alias("kinds"))
+    rows = rows.select("*", F.lit("o").alias("event_type"), F.lit(0).alias("ts_ms"), F.lit(1).alias("user_id"), F.lit(1).alias("tenant_id"))
+    prices, kinds = field("e.prices"), field("e.kinds")
+    let = [(n, call(n, prices)) for n in ("max", "min", "sum", "avg", "count")] + [("kinds", call("len", call("distinct", kinds))), ("len", call("len", kinds.apply(lambda c: F.get(c, 0), "first")))]
+    rule = Rule("l", "l", (Source("e", "o"),), let=tuple(let))
+    return rules.scored(rule, rules.correlated(rule, rows)).select("e.event_id", "max", "min", F.round("sum", 2).alias("sum"), F.round("avg", 8).alias("avg"), "count", "kinds", "len")
+
+
+@add(f"""WITH {EV}, base AS (SELECT user_id, list(DISTINCT k) AS known FROM ev WHERE ts < TIMESTAMP '2024-01-08' AND user_id % 4 <> 0 GROUP BY user_id),
+  f AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, k ORDER BY ts_ms, event_id) <= 3 AS rare, row_number() OVER (PARTITION BY tenant_id, user_id, k ORDER BY ts_ms, event_id) = 1 AS fresh,
+    count(*) OVER (PARTITION BY tenant_id, k ORDER BY ts_ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW) AS n FROM ev WHERE event_type = 'error')
+  SELECT event_id, (CASE WHEN rare THEN 1 ELSE 0 END + CASE WHEN fresh THEN 2 ELSE 0 END + CASE WHEN n > 1 THEN 4 ELSE 0 END + CASE WHEN k IN ('1', '2', '30') THEN 8 ELSE 0 END
+    + CASE WHEN coalesce(list_contains(known, k), false) THEN 16 ELSE 0 END + CASE WHEN tenant_id = 1 AND k IN ('4', '5', '6') THEN 32 ELSE 0 END)::INTEGER AS score FROM f LEFT JOIN base USING (user_id)""")
+def callables_with_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rare, unusual_for, rate, intel.domains, user and baseline.workload by name."""
+    rows, k = events(spark, sf_dir), attribute("e.attrs", "k")
+    first_week = rows.filter((F.col("ts") < F.lit("2024-01-08").cast("timestamp")) & (F.col("user_id") % 4 != 0))
+    users = first_week.groupBy(F.col("user_id").cast("string").alias("entity")).agg(F.collect_set(source.attribute(F.col("attrs"), "k")).alias("values"))
+    workloads = spark.createDataFrame([("1/error", ["4", "5", "6"])], "entity string, values array<string>")
+    feed = spark.createDataFrame([("1",), ("2",), ("30",)], "entry string")
+    conditions = (
+        call("rare", k), call("unusual_for", k, field("e.user_id")), call("rate", k, "1d") > 1, k.is_in(call("intel.domains", "watched")), k.is_in(call("user", field("e.user_id"))["hosts"]),
+        k.is_in(call("baseline.workload", field("e.tenant_id"), field("e.event_type"))["allowed_processes"]),
+    )
+    rule = Rule("m", "m", (Source("e", "error"),), modifiers=tuple((1 << i, c) for i, c in enumerate(conditions)))
+    found = rules.run(rule, rows, sets={"org.threat_intel.watched": feed}, baselines={"user.hosts": users, "baseline.workload.allowed_processes": workloads})
+    return found.select("e.event_id", "score")

@@ -235,3 +235,21 @@ def test_answers_of_the_agent_dialect(rows):
     rule = Rule("r", "r", (Source("e", "x"),), dialect="agent", base=1, modifiers=((10, field("e.s") < 6),), respond=(Branch(field("e.s") < 0, (("alert", "low"),)), Branch(None, (("alert", "high"),))))
     got = {r[0]: (r[1], r[2]) for r in rules.run(rule, rows).select("e.event_id", "score", "severity").collect()}
     assert got == {0: (11, "high"), 1: (1, "high"), 2: (1, "high"), 3: (11, "low"), 4: (1, "high")}
+
+
+def test_callables_check_names_and_arguments(rows):
+    from tallgrass.operators.callables import SIGNATURES, call
+
+    assert len(SIGNATURES) == 16
+    with pytest.raises(ValueError, match="no callable"):
+        call("median", field("e.l"))
+    with pytest.raises(ValueError, match="2 arguments"):
+        call("rate", field("e.s"))
+    e = lambda n: field(f"e.{n}")
+    # central takes any value as text, the agent texts only
+    assert found(rows, call("rare", e("n"))) == [0, 1, 2, 3, 4] and found(rows, call("rare", e("n")), dialect="agent") == []
+    assert found(rows, call("UnusualFor", e("s"), e("ip")), dialect="agent") == [0, 1, 3, 4]
+    assert found(rows, call("len", e("l")) == 2) == [3] and found(rows, call("len", e("n")) == 0) == [0, 1, 2, 3, 4] and found(rows, call("len", e("n")) == None, dialect="agent") == [0, 1, 2, 3, 4]  # noqa: E711
+    assert found(rows, call("max", e("l")) == 5) == [0] and found(rows, call("sum", e("s")) == None) == [0, 1, 2, 3, 4]  # noqa: E711
+    # an entity that no baseline knows, and a feed that is not there, hold nothing
+    assert found(rows, e("s").is_in(call("host", e("s"))["domains"])) == [] and found(rows, e("s").is_in(call("intel.domains", "none"))) == []

@@ -141,14 +141,18 @@ def _running(check: np.ndarray) -> np.ndarray:
 
 
 def _runs(doc: np.ndarray, key: np.ndarray, place: np.ndarray, check: np.ndarray, hit: np.ndarray, string: np.ndarray) -> pa.Table:
-    """Hit windows as runs of neighbours from one string: doc, key, first, n, check (a sum over the windows)."""
+    """Hit windows as runs of neighbours from one string: doc, key, first, n, check (a sum over the windows). Strings of equal rows, with one id
+    and text, give the same runs: each once."""
     at = np.flatnonzero(hit)
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) > 1) | (string[at[1:]] != string[at[:-1]])
     head = np.flatnonzero(new)
     n = np.diff(np.append(head, len(at)))
     at, running = at[head], _running(check)
-    return pa.table({"doc": pa.array(doc[at]), "key": pa.array(key[at]), "first": pa.array(place[at]), "n": pa.array(n), "check": pa.array((running[at + n] - running[at]).view(np.int64))})
+    found = np.stack((doc[at], key[at], place[at], n, (running[at + n] - running[at]).view(np.int64)))
+    found = found[:, np.lexsort(found)]
+    found = found[:, np.concatenate((np.ones(min(1, len(at)), bool), (found[:, 1:] != found[:, :-1]).any(axis=0)))]
+    return pa.table([pa.array(c) for c in found], names=["doc", "key", "first", "n", "check"])
 
 
 _HITS = "doc long, key long, first long, n long, check long"
@@ -223,7 +227,7 @@ def hits(docs: DataFrame, k: int = K, m: int = M, bucket_chars: int = BUCKET_CHA
         sums = windows.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).filter(F.col("least") < F.col("most"))
         least = stored(sums.select(F.struct("one", "two").alias("window"), "least", "n"), "hot-least")
         again = join_counted(windows.withColumn("window", F.struct("one", "two")), least, "window", "n", windows.count()).filter(F.col("doc") > F.col("least"))
-        found = found.unionByName(again.select("doc", "key", "first", F.lit(1).cast("long").alias("n"), "check"))
+        found = found.unionByName(again.select("doc", "key", "first", F.lit(1).cast("long").alias("n"), "check").distinct())
     return found
 
 
@@ -273,8 +277,7 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, bucket_chars: int = BUCKET_CH
     """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and, with_text, kept_text (kept words joined by one blank; else text goes too)."""
     rows, restore = shielded(docs, ["doc_id", "text"])
     found = hits(rows, k, m, bucket_chars, hot_strings, hot_windows)
-    # rows with the same id and text find the same: each find once
-    mine = found.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "n", "check")).alias("hits"))
+    mine = found.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "n", "check")).alias("hits"))
     keyed = rows.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "key": _key()})
     joined = keyed.join(mine, ["doc", "key"], "left").select(*rows.columns, "hits")
     fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema if with_text or f.name != "text"]

@@ -88,6 +88,8 @@ class Context:
     sources: tuple[tuple[str, str], ...] = ()
     catalog: Catalog | None = None
     dialect: str = "central"
+    #: What adds the calls' columns, if not `with_calls` itself.
+    calls: Callable[[DataFrame, Expression, Context], DataFrame] | None = None
 
     def names(self, rows: DataFrame) -> Names:
         return Names(rows, self.sources, self.catalog, self.dialect)
@@ -427,12 +429,14 @@ def has_fact(name: str, target: Expression) -> Condition:
         named = ctx.facts.filter(F.col("fact") == name)
         return joins.marked_with_fact(rows, named, ctx.tenant, target.column(n), ctx.now_ms, out)
 
-    return _called(f"has_fact({name}, {target})", add, (target,))
+    return _called(f"has_fact({name}, {target})", add, (target,), spec=("has_fact", (target,), name))
 
 
 def with_calls(rows: DataFrame, expression: Expression, context: Context) -> DataFrame:
     """rows with a column for each call of the expression that they do not have yet. Behind a gate the state of a call knows two groups of
-    rows, those that the gate lets through and the others, whose answer nobody asks for."""
+    rows, those that the gate lets through and the others, whose answer nobody asks for. A stream has its own way (context.calls)."""
+    if context.calls is not None:
+        return context.calls(rows, expression, context)
     for call in expression.calls:
         if call.name in rows.columns:
             continue

@@ -7,7 +7,7 @@ streaming.pipelines.rule_stream.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -154,6 +154,7 @@ def correlated(rule: Rule, events: DataFrame, fields: Fields = Fields(), include
         if s.filter is None:
             return own
         context = context_of(Rule(rule.rule_id, rule.name, (s,), dialect=rule.dialect), fields, *((lookups.sets, lookups.baselines, lookups.facts) if lookups else ()))
+        context = replace(context, calls=lookups.calls if lookups else None)
         own = with_calls(own, s.filter, context)
         return own.filter(_truth(s.filter, context.names(own))).select(s.alias)
 
@@ -268,10 +269,9 @@ def facts(rule: Rule, rows: DataFrame, fields: Fields = Fields(), keep: tuple[st
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-def run(rule: Rule, events: DataFrame, fields: Fields = Fields(), include_self: bool = False, sets: dict[str, DataFrame] | None = None, baselines: dict[str, DataFrame] | None = None, facts: DataFrame | None = None) -> DataFrame:
-    """The rule's alerts: alert_id, rule_id, tenant_id, score, severity, actions, flags, message, let values and the matched events."""
-    context = context_of(rule, fields, sets, baselines, facts)
-    rows = scored(rule, correlated(rule, events, fields, include_self, context), context)
+def alerts_of(rule: Rule, rows: DataFrame, context: Context, fields: Fields = Fields()) -> DataFrame:
+    """The alerts of tuples that have passed the rule's join, see run."""
+    rows = scored(rule, rows, context)
     for b in rule.respond:
         rows = rows if b.condition is None else with_calls(rows, b.condition, context)
     rows = answered(rule, rows, context)
@@ -280,6 +280,12 @@ def run(rule: Rule, events: DataFrame, fields: Fields = Fields(), include_self:
     return rows.withColumns({"rule_id": F.lit(rule.rule_id), "tenant_id": context.tenant, "alert_id": alert_id(rule.rule_id, context.tenant, identities), "message": message})
 
 
+def run(rule: Rule, events: DataFrame, fields: Fields = Fields(), include_self: bool = False, sets: dict[str, DataFrame] | None = None, baselines: dict[str, DataFrame] | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """The rule's alerts: alert_id, rule_id, tenant_id, score, severity, actions, flags, message, let values and the matched events."""
+    context = context_of(rule, fields, sets, baselines, facts)
+    return alerts_of(rule, correlated(rule, events, fields, include_self, context), context, fields)
+
+
 def run_all(rules: list[Rule], events: DataFrame, fields: Fields = Fields(), sets: dict[str, DataFrame] | None = None, baselines: dict[str, DataFrame] | None = None, facts_before: DataFrame | None = None) -> DataFrame:
     """Alerts of several rules, in their order, with the matched events as JSON. A rule sees the facts that are given and those that the
     rules before it emit."""

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.operators.conditions import field
-from tallgrass.operators.rules import Rule, Source
-from tallgrass.plans.common import EV, Registry
-from tallgrass.streaming import pipelines
+from tallgrass.operators.conditions import field, first_seen, has_fact, rare, rate
+from tallgrass.operators.rules import Fact, Rule, Source
+from tallgrass.plans.common import EV, Registry, events
+from tallgrass.streaming import facts, pipelines
+from tallgrass.streaming.calls import STATE_STORE
 
 registry = Registry()
 add = registry.add
@@ -20,9 +22,12 @@ _own: list[str] = []
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one, spark.checkpoint.dir; where that is unset, in a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder in the shared one, spark.checkpoint.dir; where that is unset, in a temporary folder, on a single machine only."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not shared:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='tallgrass-streams-')}")
         shared = _own[0]
@@ -127,3 +132,52 @@ def stream_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = pipelines.session_states(rows, "user_id", "want", "ts_ms", 3_600_000)
     changed = _finished(sf_dir, states, "update")
     return changed.groupBy("user_id").agg(F.max_by("state", "batch").alias("state"), F.max("changes").alias("changes"))
+
+
+@contextmanager
+def _on_disk(spark: SparkSession):
+    """Queries that start meanwhile keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@add(f"""WITH {EV}, f AS (SELECT *, count(*) OVER (PARTITION BY tenant_id, user_id ORDER BY ts_ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW) AS n FROM ev WHERE event_type = 'click' AND value > 20),
+  g AS (SELECT *, value <= 60 AND row_number() OVER (PARTITION BY tenant_id, event_id % 50, value > 60 ORDER BY ts_ms, event_id) <= 3 AS x FROM f WHERE n >= 2), h AS (SELECT * FROM g WHERE value > 60 OR x)
+  SELECT event_id, n::BIGINT AS n, (30 + CASE WHEN row_number() OVER (PARTITION BY tenant_id, user_id ORDER BY ts_ms, event_id) = 1 THEN 25 ELSE 0 END)::INTEGER AS score FROM h""")
+def stream_rule_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rate, rare and first_seen of a rule over a stream, each over the rows that the rule has come to."""
+    v, user = field("e.value"), field("e.user_id")
+    n = rate(user, "6h")
+    rule = Rule("calls", "Calls", (Source("e", "click"),), where=((v > 20) & (n >= 2), (v > 60) | rare(field("e.event_id") % 50)), let=(("n", n),), base=30, modifiers=((25, first_seen(user)),))
+    with _on_disk(spark):
+        return _finished(sf_dir, pipelines.rule_stream(rule, _events(spark, sf_dir), lateness="60 days").select("e.event_id", "n", "score"))
+
+
+#: The ends of the four parts of the events' time that come as one trigger each.
+_PARTS = ("2024-01-09", "2024-01-16", "2024-01-23")
+
+
+@add(f"""WITH {EV}, p AS (SELECT *, (ts >= '2024-01-09')::INT + (ts >= '2024-01-16')::INT + (ts >= '2024-01-23')::INT AS part FROM ev),
+  last AS (SELECT b.part, f.tenant_id, f.user_id, max(f.ts_ms) AS t0 FROM (VALUES (1), (2), (3)) b(part) JOIN p f ON f.part < b.part WHERE f.event_type = 'error' AND f.value > 20 GROUP BY ALL)
+  SELECT event_id, 70 AS score FROM p JOIN last USING (part, tenant_id, user_id) WHERE event_type = 'purchase' AND value > 5 AND t0 <= ts_ms AND t0 + 259200000 > ts_ms""")
+def stream_facts_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule emits facts into the store, another asks for them from the next trigger on; emitted again, a fact lasts longer."""
+    folder, user = _folder(spark), field("e.user_id")
+    store = facts.FactStore(spark, f"{folder}/facts")
+    first = Rule("marks", "Marks", (Source("e", "error"),), where=(field("e.value") > 20,), emit=(Fact("user.failed", (user,), "3d"),))
+    then = Rule("uses", "Uses", (Source("e", "purchase"),), where=((field("e.value") > 5) & has_fact("user.failed", user),), base=70)
+    rows = events(spark, sf_dir).drop("attrs")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*")
+    ends = [F.lit(t).cast("timestamp") for t in _PARTS]
+    for n in range(len(ends) + 1):
+        part = rows.filter((F.col("ts") >= ends[n - 1]) if n else F.lit(True)).filter((F.col("ts") < ends[n]) if n < len(ends) else F.lit(True))
+        part.write.parquet(f"{folder}/in/{n}")
+        for rule in (then, first):
+            deliver = lambda alerts, at, rule=rule: alerts.select("e.event_id", "score").write.mode("overwrite").parquet(f"{folder}/{rule.rule_id}/{at}")
+            facts.run_stream(rule, stream, store, f"{folder}/at-{rule.rule_id}", deliver).awaitTermination()
+    return spark.read.schema("event_id long, score int").parquet(f"{folder}/uses/*")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -14,8 +16,9 @@ from tallgrass.functions.numeric import duration_ms
 from tallgrass.operators import aggregates
 from tallgrass.operators.joins import within_of_last
 from tallgrass.operators.conditions import Names
-from tallgrass.operators.rules import DEFAULT_WINDOW_MS, Fields, Rule, Source, answered, context_of, correlated, join_key, residue_at, scored, terms_between
+from tallgrass.operators.rules import DEFAULT_WINDOW_MS, Fields, Rule, Source, alerts_of, context_of, correlated, join_key, residue_at, terms_between
 from tallgrass.sources.events import BATCH_SCHEMA
+from tallgrass.streaming.calls import SLICE_WINDOWS, STATE_STORE, with_stream_calls
 
 #: How late an event may be: the width of the band in which its own time is trusted.
 LATENESS = "24 hours"
@@ -96,16 +99,21 @@ def _correlated_streams(rule: Rule, events: DataFrame, fields: Fields, time: str
     return rows
 
 
-def rule_stream(rule: Rule, events: DataFrame, fields: Fields = Fields(), time: str = "ts", lateness: str = LATENESS) -> DataFrame:
-    """A rule over a stream, of one source or of several that are joined as they come. Calls need the rows before them, which a stream has
-    not: give such a rule the columns that novelty, rates or with_live_facts add."""
-    filters = (s.filter for s in rule.sources if s.filter is not None)
-    answers = (b.condition for b in rule.respond if b.condition is not None)
-    if any(c.calls for c in (*filters, *rule.where, *(e for _, e in rule.let), *(c for _, c in rule.modifiers), *rule.require, *answers)):
-        raise ValueError("a rule over a stream cannot call rate, rare, first_seen, sets, baselines or facts")
-    rows = correlated(rule, events, fields) if len(rule.sources) == 1 else _correlated_streams(rule, events, fields, time, lateness)
-    context = context_of(rule, fields)
-    return answered(rule, scored(rule, rows, context), context)
+def rule_stream(rule: Rule, events: DataFrame, fields: Fields = Fields(), time: str = "ts", lateness: str = LATENESS, sets: dict[str, DataFrame] | None = None, baselines: dict[str, DataFrame] | None = None, remember_ms: int | None = None) -> DataFrame:
+    """A rule over a stream, of one source or of several that are joined as they come, with the calls that `calls` keeps state for; sets and
+    baselines are tables. Rules on facts of other rules run in `facts.run_batches`."""
+    parts = [*(s.filter for s in rule.sources if s.filter is not None), *rule.where, *(e for _, e in rule.let), *(c for _, c in rule.modifiers), *rule.require]
+    parts += [b.condition for b in rule.respond if b.condition is not None]
+    context = replace(context_of(rule, fields, sets, baselines), calls=partial(with_stream_calls, remember_ms=remember_ms))
+    spark = events.sparkSession
+    if any(c.spec for p in parts for c in p.calls):
+        if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != STATE_STORE:
+            raise ValueError(f"a rule that remembers needs spark.sql.streaming.stateStore.providerClass = {STATE_STORE}")
+        events = events.withWatermark(time, lateness) if len(rule.sources) == 1 else events
+    if len(rule.sources) > 1 and any(s.filter is not None and s.filter.calls for s in rule.sources):
+        raise ValueError("a source's filter cannot call where streams are joined: put the call into `where`")
+    rows = correlated(rule, events, fields, lookups=context) if len(rule.sources) == 1 else _correlated_streams(rule, events, fields, time, lateness)
+    return alerts_of(rule, rows, context, fields)
 
 
 def with_live_facts(events: DataFrame, facts: DataFrame, target: Column, ts: str, longest: str, lateness: str = LATENESS) -> DataFrame:
@@ -151,9 +159,6 @@ def novelty(events: DataFrame, keys: list[str], time: str, remember: str | None
     return events.dropDuplicates(keys) if remember is None else events.withWatermark(time, remember).dropDuplicatesWithinWatermark(keys)
 
 
-#: Windows in one time slice of the state of `rates`.
-SLICE_WINDOWS = 24
-
 #: Session states from free to closed; a session only moves up by itself: fixed values.
 STATES = ("ACTIVE", "CHALLENGED", "RESTRICTED", "TERMINATED")
 

@@ -60,3 +60,24 @@ def histogram(rows: DataFrame, value: str, bounds: list[float]) -> DataFrame:
 def rate_percent(part: Column, whole: Column) -> Column:
     """part of whole in percent, rounded; 100 if there is nothing."""
     return F.when(whole > 0, F.round(100 * part / whole)).otherwise(F.lit(100.0))
+
+
+#: Size of a digest: the rank of a quantile is off by about 1.7 / K of all values, 1.3 % here, whatever their number.
+DIGEST_K = 200
+
+
+def digests(rows: DataFrame, keys: list[str | Column], value: str, k: int = DIGEST_K) -> DataFrame:
+    """A row a key: n, min, max and digest, a binary sketch of the values' distribution. Digests can be kept and merged. Null is no value."""
+    x = F.col(value).cast("double")
+    return rows.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.kll_sketch_agg_double(x, k).alias("digest"))
+
+
+def merged_digests(digests: DataFrame, keys: list[str | Column], k: int = DIGEST_K) -> DataFrame:
+    """Digests of finer keys as digests of coarser ones: seconds to hours, hosts to a fleet."""
+    return digests.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_double("digest", k).alias("digest"))
+
+
+def digest_quantiles(digests: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """digests with a column a share: p95=0.95 is a value that about 95 % of all values do not exceed, null where there are none."""
+    at = {name: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("digest", F.lit(share))) for name, share in shares.items()}
+    return digests.withColumns(at).drop("digest")

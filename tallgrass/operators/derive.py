@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.operators.graph import checkpointed, placed
+
 #: Kinds of an agent's event: fixed values.
 KINDS = {1: "process_exec", 2: "file", 3: "net", 4: "sql", 5: "ssl", 6: "dns", 7: "tc"}
 #: The family of the wire's row that each kind becomes: fixed values.
@@ -66,15 +70,32 @@ def console_severity(kind: Column, rule: Column, risk: Column, path: Column, ope
     return F.when(F.coalesce(rule, F.lit("")) != "", by_rule).otherwise(by_kind)
 
 
-def console_description(kind: Column, rule: Column, pid: Column, comm: Column, operation: Column, target: Column) -> Column:
-    """One line: who did what to what; what is unknown has a stand-in, trailing blanks go."""
+def endpoint_target(address: Column, port: Column) -> Column:
+    """address:port, without the port where it is unknown or 0; null without an address."""
+    known = F.coalesce(port != 0, F.lit(False))
+    return F.when(address != "", F.concat(address, F.when(known, F.concat(F.lit(":"), port.cast("string"))).otherwise(F.lit(""))))
+
+
+def database_target(engine: Column, database: Column, tables: Column) -> Column:
+    """engine/database on table, table; without any of these "db"."""
+    some = lambda c: F.when(c != "", c)
+    name = F.concat_ws("/", some(engine), some(database))
+    of = F.when(F.size(tables) > 0, F.concat(F.lit(" on "), F.array_join(tables, ", ")))
+    return F.concat(F.when(name != "", name).otherwise(F.lit("db")), F.coalesce(of, F.lit("")))
+
+
+def console_description(kind: Column, rule: Column, pid: Column, comm: Column, operation: Column, target: Column, read: Column | None = None, dropped: Column | None = None) -> Column:
+    """One line: who did what to what; what is unknown has a stand-in, trailing blanks go. The words are fixed values. target: see
+    endpoint_target and database_target, else a path; read and dropped: the counts of a heartbeat."""
     or_else = lambda c, x: F.coalesce(F.when(c != "", c), F.lit(x))
+    count = lambda c: F.coalesce(F.lit(0) if c is None else c, F.lit(0)).cast("long").cast("string")
+    heartbeat = F.concat(F.lit("heartbeat read="), count(read), F.lit(" dropped="), count(dropped))
     who = or_else(comm, "proc")
     named = F.concat(F.lit("rule "), rule, F.lit(" matched (pid="), F.coalesce(pid.cast("string"), F.lit("n/a")), F.lit(")"))
     line = lambda what, default: F.rtrim(F.concat(who, F.lit(" "), what, F.lit(" "), or_else(target, default)))
     by_kind = (
         F.when(kind == "net", line(or_else(operation, "net"), "unknown-dst")).when(kind == "file", line(or_else(operation, "file_op"), ""))
-        .when(kind == "db_query", line(or_else(operation, "query"), "db")).when(kind == "process_exec", line(F.lit("exec"), "")).otherwise("heartbeat")
+        .when(kind == "db_query", line(or_else(operation, "query"), "db")).when(kind == "process_exec", line(F.lit("exec"), "")).otherwise(heartbeat)
     )
     return F.when(F.coalesce(rule, F.lit("")) != "", named).otherwise(by_kind)
 
@@ -118,9 +139,37 @@ def session_faults(sessions: DataFrame, now_s: Column, grace_s: int) -> DataFram
     return sessions.withColumn("fault", fault)
 
 
-def failed_over(sessions: DataFrame, gateways: DataFrame) -> DataFrame:
-    """Live sessions(session_id, gateway_id, state, ...) of gateways that are not healthy, with the healthy gateway that has the least load
-    (ties: the least id) as new_gateway. gateways(gateway_id, healthy, load)."""
-    best = gateways.filter("healthy").agg(F.min_by("gateway_id", F.struct("load", "gateway_id")).alias("new_gateway"))
-    bad = gateways.filter(~F.col("healthy")).select("gateway_id")
-    return sessions.filter(F.col("state") != "TERMINATED").join(bad, "gateway_id", "left_semi").join(F.broadcast(best))  # one row
+#: States in which a session holds its place: fixed values.
+LIVE = ("ACTIVE", "CHALLENGED", "RESTRICTED")
+
+
+def failed_over(sessions: DataFrame, gateways: DataFrame, live: tuple[str, ...] = LIVE) -> DataFrame:
+    """The live sessions of gateways that are not healthy, with new_gateway: where each moves to, null where it stays because nothing is free.
+
+    sessions(session_id, tenant_id, region, gateway_id, state); gateways(gateway_id, tenant_id, region, capacity, healthy), tenant_id null for
+    those that all tenants share. No gateway gets more live sessions than its capacity. Sessions go to their region first, there to their
+    tenant's own gateways, then to shared ones; what is left goes the same way to any region. In each of these four rounds a pool's free
+    places stand in order of (load / capacity, gateway_id), as if one session after the other took the least loaded gateway, and meet the
+    pool's sessions by number.
+    """
+    held = sessions.filter(F.col("state").isin(*live)).select("session_id", "tenant_id", "region", "gateway_id")
+    load = held.groupBy("gateway_id").agg(F.count(F.lit(1)).alias("load"))
+    # as many rows as there are gateways; a gateway has as many places as its capacity
+    free = gateways.filter("healthy").join(load, "gateway_id", "left").withColumn("load", F.coalesce("load", F.lit(0)))
+    places = free.filter("capacity > load").select(F.col("gateway_id").alias("new_gateway"), F.col("tenant_id").alias("owner"), F.col("region").alias("at"), "capacity", F.explode(F.sequence(F.col("load"), F.col("capacity") - 1)).alias("taken"))
+    todo = held.join(gateways.filter(~F.col("healthy")).select("gateway_id"), "gateway_id", "left_semi")
+    done = []
+    own, near = F.col("owner").isNotNull(), F.lit(None).cast("string")
+    for of_session, of_place, wanted in (
+        (F.concat_ws("\x1f", "tenant_id", "region"), F.concat_ws("\x1f", "owner", "at"), own), (F.col("region"), F.col("at"), ~own),
+        (F.col("tenant_id").cast("string"), F.col("owner").cast("string"), own), (F.lit("all"), F.lit("all"), ~own),
+    ):
+        asking = placed(todo.withColumn("__pool", F.coalesce(of_session.cast("string"), near)).filter("__pool IS NOT NULL"), "__pool", "session_id", "__place")
+        order = Window.partitionBy("__pool").orderBy(F.col("taken") / F.col("capacity"), "new_gateway")
+        offered = places.filter(wanted).withColumn("__pool", of_place.cast("string")).filter("__pool IS NOT NULL").withColumn("__place", (F.row_number().over(order) - 1).cast("long"))
+        met = checkpointed(asking.join(offered.select("__pool", "__place", "new_gateway", "taken"), ["__pool", "__place"]).select(*held.columns, "new_gateway", "taken"))
+        done.append(met.drop("taken"))
+        todo = checkpointed(todo.join(met.select("session_id"), "session_id", "left_anti"))
+        places = places.join(met.select("new_gateway", "taken"), ["new_gateway", "taken"], "left_anti")
+    stranded = todo.withColumn("new_gateway", F.lit(None).cast(gateways.schema["gateway_id"].dataType))
+    return reduce(lambda a, b: a.unionByName(b), [*done, stranded])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.network import is_internal
@@ -97,3 +97,87 @@ def external_neighbors(edges: DataFrame, vertices: DataFrame, sources: DataFrame
     """Neighbours that are external endpoints: vertices(id, label, is_internal)."""
     outside = vertices.filter((F.col("label") == "endpoint") & ~F.col("is_internal")).select(F.col("id").alias("dst"))
     return neighbors(edges, sources).join(outside, "dst", "left_semi")
+
+
+def motif(edges: DataFrame, pattern: list[tuple[str, str | None, str]], apart: bool = True) -> DataFrame:
+    """One column a variable: the vertices for which every edge of the pattern is there.
+
+    pattern: (variable, kind, variable), kind None for any. Edges are joined one after the other, the rarest kind first, then always the
+    rarest of those that share a variable with what is bound; an edge whose ends are both bound is a semi join, which never adds rows. Parallel edges count
+    once. apart: different variables are different vertices. Each edge first keeps only vertices that the other edges of its variables
+    have, so what a hub multiplies are rows that still can match; what is left of a hub's skew is split by adaptive execution.
+    """
+    counts = {r["kind"]: r["n"] for r in edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # a few kinds
+    size = lambda step: sum(counts.values()) if step[1] is None else counts.get(step[1], 0)
+
+    def plain(step: tuple[str, str | None, str]) -> DataFrame:
+        a, kind, b = step
+        rows = edges if kind is None else edges.filter(F.col("kind") == kind)
+        if a == b:
+            return rows.filter("src = dst").select(F.col("src").alias(a)).distinct()
+        return rows.select(F.col("src").alias(a), F.col("dst").alias(b)).distinct()
+
+    def reduced(i: int) -> DataFrame:
+        rows = plain(pattern[i])
+        for j, other in enumerate(pattern):
+            for v in sorted({pattern[i][0], pattern[i][2]} & {other[0], other[2]}):
+                if j != i and size(other) <= size(pattern[i]):
+                    rows = rows.join(plain(other).select(v).distinct(), v, "left_semi")
+        return rows
+
+    left = sorted(range(len(pattern)), key=lambda i: (size(pattern[i]), i))
+    rows, bound = None, set()
+    while left:
+        near = [i for i in left if {pattern[i][0], pattern[i][2]} & bound]
+        if bound and not near:
+            raise ValueError("the pattern falls apart: every edge shares a variable with another")
+        i = (near or left)[0]
+        left.remove(i)
+        ends = {pattern[i][0], pattern[i][2]}
+        if rows is None:
+            rows = reduced(i)
+        elif ends <= bound:
+            rows = rows.join(plain(pattern[i]), sorted(ends), "left_semi")
+        else:
+            rows = rows.join(reduced(i), sorted(ends & bound))
+        for new in sorted(ends - bound) if apart else ():
+            for old in sorted(bound):
+                rows = rows.filter(F.col(new) != F.col(old))
+        if apart and not bound and len(ends) == 2:
+            rows = rows.filter(F.col(pattern[i][0]) != F.col(pattern[i][2]))
+        bound |= ends
+    return rows.select(*sorted(bound))
+
+
+#: Rows that one task numbers, about.
+NUMBER_ROWS = 1_000_000
+
+
+def placed(rows: DataFrame, label: str, id: str, name: str = "number", each: int = NUMBER_ROWS) -> DataFrame:
+    """rows with a number from 0 on, without gaps, within each label, in an order that depends on the ids only. The ids are distinct.
+
+    Ids are dealt into buckets by hash; a bucket's rows are numbered where they are, from the number of rows in the buckets before it on. So
+    a label that all rows have is numbered by many tasks.
+    """
+    buckets = max(1, -(-rows.count() // each))
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.col(id)), F.lit(buckets)))
+    counts = dealt.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    # as many rows a label as there are buckets
+    before = Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(label).alias("__label"), F.col("__bucket").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy(label, "__bucket").orderBy(id)) - 1
+    met = dealt.withColumn("__within", within).join(starts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__bucket") == F.col("__of")))
+    return met.withColumn(name, (F.col("__start") + F.col("__within")).cast("long")).select(*rows.columns, name)
+
+
+def dense_ids(vertices: DataFrame, known: DataFrame | None = None, each: int = NUMBER_ROWS) -> DataFrame:
+    """label, id, number: numbers 0 to n - 1 within each label. known(label, id, number), what an earlier call gave, stays as it is; vertices
+    that it lacks get the numbers after."""
+    found = vertices.select("label", "id").distinct()
+    if known is None:
+        return placed(found, "label", "id", each=each)
+    both = (F.col("label").eqNullSafe(F.col("__l"))) & (F.col("id") == F.col("__i"))
+    new = placed(found.join(known.select(F.col("label").alias("__l"), F.col("id").alias("__i")), both, "left_anti"), "label", "id", each=each)
+    sizes = known.groupBy(F.col("label").alias("__l")).agg((F.max("number") + 1).alias("__size"))
+    moved = new.join(sizes, F.col("label").eqNullSafe(F.col("__l")), "left").withColumn("number", F.col("number") + F.coalesce("__size", F.lit(0)))
+    return known.select("label", "id", "number").unionByName(moved.select("label", "id", "number"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import clock, network, numeric, text
-from tallgrass.operators import aggregates, derive, graph, selection, tables
+from tallgrass.operators import aggregates, console, derive, graph, selection, tables
 from tallgrass.plans.common import EV, Registry, events, table
 from tallgrass.sources import events as source
 
@@ -496,3 +496,165 @@ def sql_unpack_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(f"SELECT p_partkey, (list_reduce(list_prepend(5381::HUGEINT, {_BYTES}::HUGEINT[]), lambda h, b: (h * 33 + b) % 18446744073709551616) % 32)::INTEGER AS shard FROM (SELECT p_partkey, p_name || 'é' || p_type AS t FROM part)")
 def djb2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.djb2_shard(F.concat("p_name", F.lit("é"), "p_type")).alias("shard"))
+
+
+# --- motifs, dense ids, digests, failover, the console's filter -----------------------------------------------------------
+
+_KINDS = f"{_LINKS}, k AS (SELECT src, dst, ['calls', 'reads', 'writes'][(src + dst) % 3 + 1] AS kind FROM l)"
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = F.array(*map(F.lit, ("calls", "reads", "writes")))
+    return _links(spark, sf_dir).select("src", "dst", F.element_at(of, ((F.col("src") + F.col("dst")) % 3 + 1).cast("int")).alias("kind"))
+
+
+@add(f"WITH {EV}, {_KINDS} SELECT a.src AS x, a.dst AS y, b.dst AS z FROM k a JOIN k b ON a.dst = b.src WHERE a.kind = 'calls' AND b.kind = 'reads' AND a.src <> a.dst AND b.dst NOT IN (a.src, a.dst)")
+def motif_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.motif(_kinds(spark, sf_dir), [("x", "calls", "y"), ("y", "reads", "z")])
+
+
+@add(f"""WITH {EV}, {_KINDS} SELECT a.src AS x, a.dst AS y, b.dst AS z FROM k a JOIN k b ON a.dst = b.src JOIN k c ON c.src = b.dst AND c.dst = a.src
+  WHERE a.kind = 'calls' AND b.kind = 'reads' AND c.kind = 'writes' AND a.src <> a.dst AND b.dst NOT IN (a.src, a.dst)""")
+def motif_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.motif(_kinds(spark, sf_dir), [("x", "calls", "y"), ("y", "reads", "z"), ("z", "writes", "x")])
+
+
+@add("""SELECT event_type AS label, count(DISTINCT user_id) AS n, 0::BIGINT AS least, count(DISTINCT user_id) - 1 AS most, count(DISTINCT user_id) AS numbers, count(DISTINCT user_id) FILTER (ts < TIMESTAMP '2024-01-08') AS unchanged FROM ev GROUP BY 1""")
+def dense_vertex_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the users of each kind of event: those of the first week keep theirs when the rest comes."""
+    rows = events(spark, sf_dir)
+    vertices = lambda r: r.select(F.col("event_type").alias("label"), F.col("user_id").alias("id")).distinct()
+    first = graph.dense_ids(vertices(rows.filter(F.col("ts") < F.lit("2024-01-08").cast("timestamp"))), each=100)
+    now = graph.dense_ids(vertices(rows), first, each=100)
+    same = now.join(first.withColumnRenamed("number", "before"), ["label", "id"], "left").withColumn("same", (F.col("number") == F.col("before")).cast("long"))
+    facts = same.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("least"), F.max("number").alias("most"), F.countDistinct("number").alias("numbers"), F.coalesce(F.sum("same"), F.lit(0)).alias("unchanged"))
+    return facts
+
+
+@add("SELECT event_type, count(value) AS n, min(value) AS min, max(value) AS max, true AS p50_close, true AS p95_close FROM ev GROUP BY 1")
+def digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of an hour merge to digests of a day and these to one of all: quantiles lie within 3 % of their rank."""
+    rows = events(spark, sf_dir)
+    hours = aggregates.digests(rows, ["event_type", F.date_trunc("hour", "ts").alias("hour")], "value")
+    days = aggregates.merged_digests(hours, ["event_type", F.date_trunc("day", "hour").alias("day")])
+    found = aggregates.digest_quantiles(aggregates.merged_digests(days, ["event_type"]), {"p50": 0.5, "p95": 0.95})
+    below = lambda q: F.avg((F.col("value") <= F.col(q)).cast("double"))
+    exact = rows.join(F.broadcast(found), "event_type").groupBy("event_type").agg(*((F.abs(below(q) - x) <= 0.03).alias(f"{q}_close") for q, x in (("p50", 0.5), ("p95", 0.95))))
+    return found.join(exact, "event_type").select("event_type", "n", "min", "max", "p50_close", "p95_close")
+
+
+_SESSIONS = """s AS MATERIALIZED (SELECT o_orderkey AS session_id, o_custkey % 7 AS tenant_id, 'r' || (o_orderkey % 3) AS region, o_custkey % 40 AS gateway_id FROM orders WHERE o_orderstatus <> 'F'),
+  g AS MATERIALIZED (SELECT x AS gateway_id, CASE WHEN x % 4 = 0 THEN x % 7 END AS tenant_id, 'r' || (x % 3) AS region, (SELECT count(*) FROM s) // 45 + x AS capacity, x % 5 <> 0 AS healthy FROM range(40) r(x)),
+  free AS MATERIALIZED (SELECT gateway_id, tenant_id AS owner, region AS area, capacity, taken FROM (SELECT g.*, (SELECT count(*) FROM s WHERE s.gateway_id = g.gateway_id) AS load FROM g WHERE healthy) f, unnest(range(load, capacity)) u(taken) WHERE load < capacity),
+  t0 AS MATERIALIZED (SELECT * FROM s WHERE gateway_id IN (SELECT gateway_id FROM g WHERE NOT healthy))"""
+_ROUNDS = [("tenant_id || '/' || region", "owner || '/' || area", "owner IS NOT NULL"), ("region", "area", "owner IS NULL"), ("tenant_id::VARCHAR", "owner::VARCHAR", "owner IS NOT NULL"), ("'all'", "'all'", "owner IS NULL")]
+
+
+def _failover_sql() -> str:
+    steps, places = "", "free"
+    for n, (of_session, of_place, wanted) in enumerate(_ROUNDS):
+        steps += f""", m{n} AS MATERIALIZED (SELECT session_id, p.gateway_id AS new_gateway, taken FROM (SELECT session_id, {of_session} AS pool, row_number() OVER (PARTITION BY {of_session} ORDER BY session_id) AS i FROM t{n}) a
+  JOIN (SELECT *, {of_place} AS pool, row_number() OVER (PARTITION BY {of_place} ORDER BY taken::DOUBLE / capacity, gateway_id) AS i FROM {places} WHERE {wanted}) p USING (pool, i)),
+  t{n + 1} AS MATERIALIZED (SELECT * FROM t{n} WHERE session_id NOT IN (SELECT session_id FROM m{n})),
+  p{n + 1} AS MATERIALIZED (SELECT * FROM {places} f WHERE NOT EXISTS (SELECT 1 FROM m{n} m WHERE m.new_gateway = f.gateway_id AND m.taken = f.taken))"""
+        places = f"p{n + 1}"
+    moved = " UNION ALL ".join(f"SELECT new_gateway FROM m{n}" for n in range(4))
+    return f"WITH {_SESSIONS}{steps} SELECT new_gateway, count(*) AS sessions FROM ({moved} UNION ALL SELECT NULL FROM t4) GROUP BY 1"
+
+
+@add(_failover_sql())
+def session_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sessions each healthy gateway takes over, and (null) how many stay because nothing is free."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'")
+    sessions = orders.select(F.col("o_orderkey").alias("session_id"), (F.col("o_custkey") % 7).alias("tenant_id"), F.concat(F.lit("r"), F.col("o_orderkey") % 3).alias("region"), (F.col("o_custkey") % 40).alias("gateway_id"), F.lit("ACTIVE").alias("state"))
+    x, each = F.col("id"), orders.count() // 45
+    gateways = spark.range(40).select(x.alias("gateway_id"), F.when(x % 4 == 0, x % 7).alias("tenant_id"), F.concat(F.lit("r"), x % 3).alias("region"), (F.lit(each) + x).alias("capacity"), (x % 5 != 0).alias("healthy"))
+    return derive.failed_over(sessions, gateways).groupBy("new_gateway").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+#: Filter lines, and what they say in SQL over the rows as `_console_rows` has them.
+_LINES = {
+    "eq": ("comm == 'BASH'", "comm = 'bash'"), "ne": ("event.comm != bash", "comm <> 'bash'"), "gt": ("port > 50", "port > 50"), "ge": ("net.dst_port >= 50", "port >= 50"), "lt": ("k < 7.5", "k::DOUBLE < 7.5"),
+    "le": ("attrs.k <= 7", "k::DOUBLE <= 7"), "part": ("kind ~ LIC", "event_type = 'click'"), "all_of": ("name ~ ur and k > 10 AND port < 90", "comm = 'curl' AND k::DOUBLE > 10 AND port < 90"),
+    "free": ("curl and purchase", "comm = 'curl' AND event_type = 'purchase'"), "no_field": ("nothing != x", "false"), "no_number": ("comm > 5", "false"), "empty": ("  ", "true"),
+}
+
+
+@add(f"SELECT event_id, {', '.join(f'coalesce({sql}, false) AS {n}' for n, (_, sql) in _LINES.items())} FROM (SELECT *, ['bash', 'curl', NULL, 'vim'][event_id % 4 + 1] AS comm, CASE WHEN event_id % 3 = 0 THEN (user_id % 100) END AS port FROM ev)")
+def console_filter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven operators, several clauses, free text and names by their short form."""
+    i = F.col("event_id")
+    comm = F.element_at(F.array(F.lit("bash"), F.lit("curl"), F.lit(None), F.lit("vim")), (i % 4 + 1).cast("int"))
+    rows = events(spark, sf_dir).select("event_id", F.col("event_type").alias("event_kind"), F.struct(comm.alias("comm"), F.when(i % 3 == 0, F.col("user_id") % 100).alias("dst_port"), "attrs").alias("event"))
+    return rows.select("event_id", *(console.condition(rows, line).alias(n) for n, (line, _) in _LINES.items()))
+
+
+@add("""SELECT event_id, CASE event_type WHEN 'click' THEN 'curl net ' || CASE WHEN u % 3 = 0 THEN 'unknown-dst' WHEN u % 3 = 1 THEN '10.0.0.' || u ELSE '10.0.0.' || u || ':' || i END
+    WHEN 'view' THEN 'curl query ' || CASE WHEN u % 2 = 0 THEN 'pg/shop' ELSE 'db' END || CASE WHEN i % 3 = 0 THEN '' ELSE ' on a, b' END WHEN 'error' THEN 'heartbeat read=' || i || ' dropped=0' ELSE 'curl exec /x' END AS description
+  FROM (SELECT event_id, event_type, user_id AS u, event_id % 1000 + 1 AS i FROM ev)""")
+def console_lines_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with ports, engine and database with their tables, a heartbeat's counts."""
+    t, u, i = F.col("event_type"), F.col("user_id"), F.col("event_id") % 1000 + 1
+    kind = F.when(t == "click", "net").when(t == "view", "db_query").when(t == "error", "agent_heartbeat").otherwise("process_exec")
+    address = derive.endpoint_target(F.when(u % 3 != 0, F.concat(F.lit("10.0.0."), u.cast("string"))), F.when(u % 3 == 2, i).otherwise(0))
+    tables = F.when(i % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b")))
+    of_base = lambda x: F.when(u % 2 == 0, x).otherwise("")
+    target = F.when(kind == "net", address).when(kind == "db_query", derive.database_target(of_base("pg"), of_base("shop"), tables)).otherwise("/x")
+    nothing = F.lit(None).cast("string")
+    return events(spark, sf_dir).select("event_id", derive.console_description(kind, nothing, u, F.lit("curl"), nothing, target, read=i).alias("description"))
+
+
+# --- sessions, inventories and lookups beside events -----------------------------------------------------------------------
+
+
+@add("SELECT e.event_id, o.o_orderkey AS session_id FROM ev e JOIN orders o ON o.o_custkey % 3 = e.tenant_id AND o.o_custkey = e.user_id WHERE e.event_type = 'error' AND o.o_orderstatus <> 'F'")
+def alerts_with_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("o_orderstatus") == "F", "TERMINATED").otherwise("ACTIVE")
+    sessions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), (F.col("o_custkey") % 3).alias("tenant_id"), F.col("o_custkey").alias("host_id"), state.alias("state"))
+    alerts = events(spark, sf_dir).filter("event_type = 'error'").select("event_id", "tenant_id", F.col("user_id").alias("host_id"))
+    return derive.alerts_of_sessions(alerts, sessions).select("event_id", "session_id")
+
+
+@add("SELECT o_orderkey AS session_id, CASE WHEN o_orderkey % 500 <= 200 - 60 THEN 'expired' WHEN 200 - o_custkey % 300 > 60 THEN 'stale' END AS fault FROM orders")
+def session_fault_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), (F.col("o_orderkey") % 500).alias("expires_s"), (F.col("o_custkey") % 300).alias("heartbeat_s"))
+    return derive.session_faults(sessions, F.lit(200), 60).select("session_id", "fault")
+
+
+@add("SELECT c_custkey AS id, coalesce(s_nationkey < 5, false) AS is_canary FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def canary_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") < 5).alias("is_canary"))
+    return graph.canaries(vertices, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+
+
+@add("SELECT event_id FROM ev WHERE tenant_id = 1 AND event_type = 'error' AND k LIKE '%7%'")
+def alerts_by_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    message = F.concat(F.lit("K="), F.regexp_replace(source.attribute(F.col("attrs"), "k"), "7", "seven"))
+    alerts = events(spark, sf_dir).select("event_id", "tenant_id", F.lit("high").alias("severity"), F.col("event_type").alias("rule_id"), message.alias("message"))
+    return tables.filtered_alerts(alerts, tenant=1, severity="high", rule="error", text="SEVEN").select("event_id")
+
+
+@add(f"WITH {_EDGES}, m AS (SELECT src, dst, kind, ts, seq FROM e WHERE seq % 2 = 0 UNION ALL SELECT src, dst, 'new', ts, seq FROM e WHERE seq % 2 = 1) SELECT src, dst, kind, ts, seq FROM m QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY ts DESC, seq DESC) = 1")
+def graph_delta_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)
+    vertices = spark.createDataFrame([], "id long, label string, risk double, last_seen long, is_canary boolean")
+    old, new = edges.filter("seq % 2 = 0"), edges.filter("seq % 2 = 1").withColumn("kind", F.lit("new"))
+    return graph.merged(old, new, vertices, vertices, spark.createDataFrame([], "id long, risk double, at long"), ["ts", "seq"])[0]
+
+
+@add("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN lpad(user_id::VARCHAR, 64, '0') END AS container_id, CASE WHEN user_id % 3 = 1 THEN lpad(user_id::VARCHAR, 8, '0') || '-0000-0000-0000-00000000000a' END AS pod_uid FROM ev""")
+def cgroup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, text_of = F.col("user_id"), F.col("user_id").cast("string")
+    path = F.when(u % 3 == 0, F.concat(F.lit("/docker/"), F.lpad(text_of, 64, "0"))).when(u % 3 == 1, F.concat(F.lit("/kubepods/pod"), F.lpad(text_of, 8, "0"), F.lit("_0000_0000_0000_00000000000a"))).otherwise(F.lit("/user.slice"))
+    rows = events(spark, sf_dir).select("event_id", u.alias("cgroup_id"))
+    cgroups = events(spark, sf_dir).filter(u % 3 != 2).select(u.alias("cgroup_id"), path.alias("path"))
+    return derive.with_cgroups(rows, cgroups).select("event_id", "container_id", "pod_uid")
+
+
+@add("SELECT row_number() OVER (ORDER BY p_size > 25 DESC, p_retailprice DESC, p_partkey)::INTEGER AS place, p_partkey AS id, (SELECT sum(p_size) FROM part)::BIGINT AS bytes FROM part QUALIFY place <= 20")
+def program_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty programs of the inventory, and the memory of all."""
+    programs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") > 25).alias("attributed"), F.col("p_retailprice").alias("run_count"), F.col("p_size").alias("bytes_memlock"))
+    rows, total = derive.inventory(programs)
+    first = rows.limit(20).withColumn("place", F.row_number().over(Window.orderBy(F.desc("attributed"), F.desc("run_count"), "id")).cast("int"))
+    return first.select("place", "id").join(F.broadcast(total.select(F.col("bytes").cast("long").alias("bytes"))))

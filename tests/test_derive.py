@@ -19,8 +19,6 @@ def test_sessions(spark):
     sessions = spark.createDataFrame([(1, 1, 10, "ACTIVE", 100, 190), (2, 1, 11, "TERMINATED", 500, 500), (3, 2, 11, "ACTIVE", 500, 100), (4, 2, 12, "RESTRICTED", 500, 195)], "session_id long, tenant_id long, gateway_id long, state string, expires_s long, heartbeat_s long").withColumn("host_id", F.lit("h"))
     faults = {r.session_id: r.fault for r in derive.session_faults(sessions, F.lit(200), 60).collect()}
     assert faults == {1: "expired", 2: None, 3: "stale", 4: None}
-    gateways = spark.createDataFrame([(10, True, 5.0), (11, False, 0.0), (12, True, 5.0), (13, True, 7.0)], "gateway_id long, healthy boolean, load double")
-    assert [(r.session_id, r.new_gateway) for r in derive.failed_over(sessions, gateways).collect()] == [(3, 10)]
     alerts = spark.createDataFrame([("a", 1, "h"), ("b", 2, "x")], "alert_id string, tenant_id long, host_id string")
     assert [(r.alert_id, r.session_id) for r in derive.alerts_of_sessions(alerts, sessions).collect()] == [("a", 1)]
 

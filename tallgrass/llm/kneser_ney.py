@@ -41,7 +41,7 @@ from tallgrass.llm.shared import delete, discard, file_of, new_folder, save, shi
 from tallgrass.llm.words import BLANK_SPLIT_FOLDED, Words, chunked, mixed
 
 ORDER = 3
-#: Text that a task counts before it writes what it has.
+#: Text that a task counts before it writes what it has, or scores at once.
 COUNT_BYTES = 8 << 20
 #: Tokens for each shard of k-grams, and distinct tokens for each shard of the vocabulary, about.
 SHARD_TOKENS = 2_000_000
@@ -126,19 +126,10 @@ def _hash(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pieces(grams: np.ndarray, vocabulary: Vocabulary, part: int) -> np.ndarray:
-    """Over how many shards the context of each k-gram is spread: one for each `part` times that its rarest token occurs, about."""
-    least = None
-    for column in grams[:-1]:
-        kinds, place = np.unique(column, return_inverse=True)
-        n = vocabulary.counts(kinds)[place]
-        least = n if least is None else np.minimum(least, n)
-    return least // part + 1
-
-
-def _shards(grams: np.ndarray, vocabulary: Vocabulary, part: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shard, hash of the context, and whether that is split, of each k-gram."""
-    context, pieces = _hash(grams[:-1]), _pieces(grams, vocabulary, part)
+def _shards(grams: np.ndarray, often: np.ndarray, part: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shard, hash of the context, and whether that is split, of each k-gram; often: how often each of its tokens occurs. A context is spread
+    over one shard for each `part` times that its rarest token occurs, about."""
+    context, pieces = _hash(grams[:-1]), often[:-1].min(axis=0) // part + 1
     own = np.where(pieces > 1, mixed(grams[-1].astype(np.uint64)) % pieces.astype(np.uint64), 0).astype(np.uint64)
     return ((context + own * _STEP) % np.uint64(shards)).astype(np.int64), context, pieces > 1
 
@@ -151,27 +142,70 @@ def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def _grams(h: np.ndarray, n: np.ndarray, vocabulary: Vocabulary, order: int) -> np.ndarray:
-    """The k-gram that ends at every place, as order x places numbers."""
-    kinds, place = np.unique(h, return_inverse=True)
-    number = vocabulary.numbers(kinds)[place]
-    at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-    out = np.full((order, len(h)), _START, np.int64)
-    out[-1] = number
+def _shifted(last: np.ndarray, at: np.ndarray, order: int, start: int) -> np.ndarray:
+    """order x places: the values of the places up to each place of a text, `start` before its first."""
+    out = np.full((order, len(last)), start, np.int64)
+    out[-1] = last
     for back in range(1, order):
-        out[-1 - back, back:] = np.where(at[back:] >= back, number[:-back], _START)
+        out[-1 - back, back:] = np.where(at[back:] >= back, last[:-back], start)
     return out
 
 
-def _merged(grams: np.ndarray, counts: np.ndarray, lead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Distinct k-grams in order (after `lead`, which depends on the k-gram), with the sums of their counts."""
-    order = np.lexsort((*grams[::-1], lead) if lead is not None else grams[::-1])
+def _grams(h: np.ndarray, n: np.ndarray, vocabulary: Vocabulary, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k-gram that ends at every place, as order x places numbers; the number of each distinct token, and which of these each place has."""
+    kinds, place = np.unique(h, return_inverse=True)
+    number = vocabulary.numbers(kinds)
+    at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    return _shifted(number[place], at, order, _START), number, place
+
+
+def _keys(grams: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """The columns of numbers from 0 on in as few 64-bit keys as hold them, the first ones first, with the same order; and the bits of a number."""
+    width = max(1, int(grams.max(initial=0)).bit_length())
+    each, keys = max(1, 63 // width), []
+    for i in range(0, len(grams), each):
+        key = np.zeros(grams.shape[1], np.uint64)
+        for column in grams[i : i + each]:
+            key = key << np.uint64(width) | column.astype(np.uint64)
+        keys.append(key)
+    return keys, width
+
+
+def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-grams in order, and how often each is there."""
+    keys, width = _keys(grams)
+    if len(keys) > 1:
+        return _merged(grams, np.ones(grams.shape[1], np.int64))
+    key = np.sort(keys[0])
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    count, key, mask = np.diff(np.append(head, len(key))), key[head], np.uint64((1 << width) - 1)
+    return np.stack([(key >> np.uint64(width * i) & mask).astype(np.int64) for i in reversed(range(len(grams)))]), count
+
+
+def _merged(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-grams in order, with the sums of their counts."""
+    keys, _ = _keys(grams)
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     grams = grams[:, order]
     new = np.ones(grams.shape[1], bool)
     new[1:] = (grams[:, 1:] != grams[:, :-1]).any(axis=0)
     head = np.flatnonzero(new)
-    total = np.add.reduceat(counts[order], head) if len(head) else counts[:0]
-    return grams[:, head], total, None if lead is None else lead[order][head]
+    return grams[:, head], np.add.reduceat(counts[order], head) if len(head) else counts[:0]
+
+
+def _by_shard(grams: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same by shard, within a shard in the order they had."""
+    order = np.argsort(shard.astype(np.min_scalar_type(int(shard.max(initial=0)))), kind="stable")
+    return grams[:, order], counts[order], shard[order]
+
+
+def _often(grams: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """How often each token of the k-grams occurs."""
+    out = np.empty_like(grams)
+    for i, column in enumerate(grams):
+        kinds, place = np.unique(column, return_inverse=True)
+        out[i] = vocabulary.counts(kinds)[place]
+    return out
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -239,9 +273,11 @@ def _count_grams(order: int, part: int, shards: int, *vocabulary_of):
         vocabulary = Vocabulary(*vocabulary_of)
         for batch in batches:
             for words in chunked(batch.column(0), BLANK_SPLIT_FOLDED, COUNT_BYTES):
-                grams = _grams(*_tokens(words), vocabulary, order)
-                shard, _, _ = _shards(grams, vocabulary, part, shards)
-                yield from _packed_parts(*_merged(grams, np.ones(grams.shape[1], np.int64), shard)).to_batches()
+                grams, number, _ = _grams(*_tokens(words), vocabulary, order)
+                grams, count = _distinct(grams)
+                known = np.sort(np.append(number, _START))
+                often = vocabulary.counts(known)[np.searchsorted(known, grams)]
+                yield from _packed_parts(*_by_shard(grams, count, _shards(grams, often, part, shards)[0])).to_batches()
 
     return run
 
@@ -253,12 +289,13 @@ def _write_grams(k: int, part: int, shards: int, *vocabulary_of):
     def run(table: pa.Table) -> pa.Table:
         vocabulary, name = Vocabulary(*vocabulary_of), table.column("shard")[0].as_py()
         both = np.concatenate([_unpacked(x, k + 1) for x in table.column("grams").to_pylist()], axis=1)
-        grams, count, _ = _merged(both[:-1], both[-1])
+        grams, count = _merged(both[:-1], both[-1])
+        often = _often(grams, vocabulary)
         h = _hash(grams)
         order = np.argsort(h)
         _save(folder, f"gram{k}-{name}", h[order])
         _save(folder, f"count{k}-{name}", _small(count[order]))
-        _, context, split = _shards(grams, vocabulary, part, shards)
+        _, context, split = _shards(grams, often, part, shards)
         head = np.flatnonzero((np.diff(grams[:-1], prepend=-2, axis=1) != 0).any(axis=0))
         sums = np.stack([np.add.reduceat(x.astype(np.int64), head) for x in (count, count == 1, count == 2, count >= 3)])
         context, split = context[head], split[head]
@@ -268,9 +305,9 @@ def _write_grams(k: int, part: int, shards: int, *vocabulary_of):
         _save(folder, f"sums{k}-{name}", _small(sums[:, own]))
         out = [_part(_SPLIT, int(split.sum()), h=context[split].view(np.int64), **dict(zip("abcd", sums[:, split], strict=True)))]
         out.append(_part(_CLASSES, 1, **{x: [int((count == i).sum())] for i, x in enumerate("abcd", 1)}))
-        shorter = grams[1:]
-        shard = _shards(shorter, vocabulary, part, shards)[0] if k > 2 else vocabulary.shard_of(shorter[0])
-        out.append(_packed_parts(*_merged(shorter, np.ones(shorter.shape[1], np.int64), shard)))
+        shorter, before = _distinct(grams[1:])
+        shard = _shards(shorter, _often(shorter, vocabulary), part, shards)[0] if k > 2 else vocabulary.shard_of(shorter[0])
+        out.append(_packed_parts(*_by_shard(shorter, before, shard)))
         return pa.concat_tables(out)
 
     return run
@@ -374,10 +411,11 @@ class _Arrays:
     def look_up(self, keys: str, values: str, h: np.ndarray, shard: np.ndarray, rows: int) -> np.ndarray:
         """rows x hashes; 0 where a hash is not known."""
         out = np.zeros((rows, len(h)), np.int64)
-        order = np.lexsort((h, shard))
+        order = np.argsort(shard.astype(np.min_scalar_type(int(shard.max(initial=0)))), kind="stable")
         cut = np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist()
         for a, b in zip(cut, [*cut, len(h)][1:], strict=True):
             mine, s = order[a:b], int(shard[order[a]])
+            mine = mine[np.argsort(h[mine])]  # neighbours are searched one after the other
             if len(self.files) > 2 * MOST_MAPPED:
                 self.files.clear()
             if (keys, s) not in self.files:
@@ -389,13 +427,13 @@ class _Arrays:
         return out
 
 
-def _probabilities(model: Model, grams: np.ndarray, vocabulary: Vocabulary, arrays: _Arrays, low: np.ndarray) -> np.ndarray:
-    """p of the last token of each k-gram, from its p without a context."""
+def _probabilities(model: Model, grams: np.ndarray, often: np.ndarray, arrays: _Arrays, low: np.ndarray) -> np.ndarray:
+    """p of the last token of each k-gram, from its p without a context; often: how often each token of the k-grams occurs."""
     p = low
     for k in range(2, model.order + 1):
         use = np.flatnonzero((grams[-k:-1] != _UNKNOWN).all(axis=0))
         mine = grams[-k:, use]
-        shard, context, split = _shards(mine, vocabulary, model.part, model.shards)
+        shard, context, split = _shards(mine, often[-k:, use], model.part, model.shards)
         known = mine[-1] != _UNKNOWN
         count = np.zeros(len(use), np.int64)
         count[known] = arrays.look_up(f"gram{k}", f"count{k}", _hash(mine[:, known]), shard[known], 1)[0]
@@ -420,15 +458,16 @@ def _score(model: Model, at: int):
         left = sum(d * n for d, n in zip(model.low_discount, model.low_counts, strict=True))
         for batch in batches:
             results = [[], [], [], []]
-            for words in chunked(batch.column(at), BLANK_SPLIT_FOLDED):
+            for words in chunked(batch.column(at), BLANK_SPLIT_FOLDED, COUNT_BYTES):
                 h, n = _tokens(words)
-                grams = _grams(h, n, vocabulary, model.order)
                 # by distinct token first: each is looked up once
-                kinds, place = np.unique(grams[-1], return_inverse=True)
+                grams, kinds, place = _grams(h, n, vocabulary, model.order)
                 count, after = vocabulary.value("count", kinds), vocabulary.value("after", kinds)
+                at_text = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                often = _shifted(count[place], at_text, model.order, model.texts)
                 low = (np.maximum(after - _pick(after, model.low_discount), 0) + left * uniform) / model.pairs if model.pairs else np.full(len(kinds), uniform)
                 base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
-                p = _probabilities(model, grams, vocabulary, arrays, low[place])
+                p = _probabilities(model, grams, often, arrays, low[place])
                 results[0].append(n)
                 results[1].append(_sum_by_text((count > 0).astype(np.int64)[place], n))
                 results[2].append(_sum_by_text(base[place], n))

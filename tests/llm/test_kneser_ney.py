@@ -98,7 +98,7 @@ def test_numbers_and_counts_of_more_than_32_bits():
     both = np.concatenate((grams, [[1 << 36, 3, 9, 1 << 50]]))
     assert (kneser_ney._unpacked(kneser_ney._packed(both), 3) == both).all()
     assert len(set(kneser_ney._hash(grams).tolist())) == 4
-    merged, count, _ = kneser_ney._merged(np.concatenate((grams, grams), axis=1), np.concatenate((both[2], both[2])))
+    merged, count = kneser_ney._merged(np.concatenate((grams, grams), axis=1), np.concatenate((both[2], both[2])))
     assert (merged == grams).all() and (count == 2 * both[2]).all()
     assert kneser_ney._small(count).dtype == np.uint64 and (kneser_ney._small(count) == count).all()
 
@@ -125,3 +125,16 @@ def test_awkward_with_clashing_columns(docs):
 
 def test_empty(docs, nothing):
     assert kneser_ney.score(nothing, kneser_ney.train(docs)).count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 1 << 20, 1 << 25, 1 << 40, (1 << 62)])
+def test_distinct_grams_however_wide_their_numbers(most):
+    """Numbers that share a key, and those that need one each."""
+    r = np.random.default_rng(most % 97)
+    grams = r.integers(0, min(most, 6), (3, 500)) * max(1, most // 6)
+    found, count = kneser_ney._distinct(grams)
+    want = Counter(map(tuple, grams.T.tolist()))
+    assert list(map(tuple, found.T.tolist())) == sorted(want) and count.tolist() == [want[g] for g in sorted(want)]
+    again, total = kneser_ney._merged(grams, np.arange(500))
+    assert (again == found).all() and total.sum() == 499 * 250
+    assert kneser_ney._distinct(grams[:, :0])[0].shape == (3, 0)

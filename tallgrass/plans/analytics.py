@@ -94,9 +94,12 @@ def metric_digest_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.metric_summary(events(spark, sf_dir), "ts", "1 day", ["event_type"], "value")
 
 
-@add()
+@add(f"""WITH {EV}, s AS (SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS day, min(value) AS least, max(value) AS most, avg(value) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM ev GROUP BY 1, 2),
+  x AS (SELECT event_type, unnest([least, mean, p50, p95, p99, most]) AS x FROM s) SELECT event_type, count(*) AS samples, min(x) AS least, max(x) AS most, round(avg(x), 6) AS mean FROM x GROUP BY 1""")
 def metric_fleet_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.fleet_summary(aggregates.metric_summary(events(spark, sf_dir), "ts", "1 day", ["event_type"], "value"), ["event_type"])
+    """Percentiles of fewer than 10,000 values a window are exact, as the sketch then holds them all."""
+    rolled = aggregates.fleet_summary(aggregates.metric_summary(events(spark, sf_dir), "ts", "1 day", ["event_type"], "value"), ["event_type"])
+    return rolled.withColumn("mean", F.round("mean", 6))
 
 
 @add("""WITH r AS (SELECT l_suppkey, l_extendedprice AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
@@ -544,7 +547,7 @@ def digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SESSIONS = """s AS MATERIALIZED (SELECT o_orderkey AS session_id, o_custkey % 7 AS tenant_id, 'r' || (o_orderkey % 3) AS region, o_custkey % 40 AS gateway_id FROM orders WHERE o_orderstatus <> 'F'),
-  g AS MATERIALIZED (SELECT x AS gateway_id, CASE WHEN x % 4 = 0 THEN x % 7 END AS tenant_id, 'r' || (x % 3) AS region, (SELECT count(*) FROM s) // 45 + x AS capacity, x % 5 <> 0 AS healthy FROM range(40) r(x)),
+  g AS MATERIALIZED (SELECT x AS gateway_id, CASE WHEN x % 4 = 0 THEN x % 7 END AS tenant_id, 'r' || (x % 3) AS region, (SELECT count(*) FROM s) // 45 * (20 + x) // 30 AS capacity, x % 5 <> 0 AS healthy FROM range(40) r(x)),
   free AS MATERIALIZED (SELECT gateway_id, tenant_id AS owner, region AS area, capacity, taken FROM (SELECT g.*, (SELECT count(*) FROM s WHERE s.gateway_id = g.gateway_id) AS load FROM g WHERE healthy) f, unnest(range(load, capacity)) u(taken) WHERE load < capacity),
   t0 AS MATERIALIZED (SELECT * FROM s WHERE gateway_id IN (SELECT gateway_id FROM g WHERE NOT healthy))"""
 _ROUNDS = [("tenant_id || '/' || region", "owner || '/' || area", "owner IS NOT NULL"), ("region", "area", "owner IS NULL"), ("tenant_id::VARCHAR", "owner::VARCHAR", "owner IS NOT NULL"), ("'all'", "'all'", "owner IS NULL")]
@@ -568,7 +571,7 @@ def session_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'")
     sessions = orders.select(F.col("o_orderkey").alias("session_id"), (F.col("o_custkey") % 7).alias("tenant_id"), F.concat(F.lit("r"), F.col("o_orderkey") % 3).alias("region"), (F.col("o_custkey") % 40).alias("gateway_id"), F.lit("ACTIVE").alias("state"))
     x, each = F.col("id"), orders.count() // 45
-    gateways = spark.range(40).select(x.alias("gateway_id"), F.when(x % 4 == 0, x % 7).alias("tenant_id"), F.concat(F.lit("r"), x % 3).alias("region"), (F.lit(each) + x).alias("capacity"), (x % 5 != 0).alias("healthy"))
+    gateways = spark.range(40).select(x.alias("gateway_id"), F.when(x % 4 == 0, x % 7).alias("tenant_id"), F.concat(F.lit("r"), x % 3).alias("region"), F.floor(F.lit(each) * (x + 20) / 30).alias("capacity"), (x % 5 != 0).alias("healthy"))
     return derive.failed_over(sessions, gateways).groupBy("new_gateway").agg(F.count(F.lit(1)).alias("sessions"))
 
 

@@ -189,32 +189,47 @@ def session_states(events: DataFrame, session: str, rank: str, time_ms: str, coo
     return events.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, state string, changes long", "now int, since long, changes long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def rates(events: DataFrame, key: str, time: str, time_ms: str, window_ms: int, lateness: str = LATENESS) -> DataFrame:
+#: Groups that the keys of `rates` are dealt into: each is one row of state and one call for many keys.
+KEY_GROUPS = 64
+
+
+def rates(events: DataFrame, key: str, time: str, time_ms: str, window_ms: int, lateness: str = LATENESS, groups: int = KEY_GROUPS) -> DataFrame:
     """Each event with the number of events of its key that have come so far in the window up to its time, across micro-batches.
 
-    State holds a key's times, sorted, from a window before the watermark on, so an event that is late counts what its own window holds;
-    later ones are dropped. A key is forgotten once the watermark has passed its last window. A hot key's state is split by time slices of
-    `SLICE_WINDOWS` windows: an event is counted in its own slice and only remembered in the next.
+    State holds the keys' times from a window before the watermark on, so an event that is late counts what its own window holds; later ones
+    are dropped. A time is forgotten once the watermark has passed its window. Keys share a group's state by their hash, and a hot key's
+    state is split by time slices of `SLICE_WINDOWS` windows: an event is counted in its own slice and, if the next one's first windows
+    reach it, remembered there.
     """
     width = window_ms * SLICE_WINDOWS
     own = F.floor(F.col(time_ms) / width)
-    spread = events.withWatermark(time, lateness).select(key, time, time_ms, F.explode(F.array(F.struct(own.alias("slice"), F.lit(True).alias("own")), F.struct((own + 1).alias("slice"), F.lit(False).alias("own")))).alias("__s"))
-    spread = spread.select(key, time, time_ms, F.col("__s.slice").alias("__slice"), F.col("__s.own").alias("__own"))
+    text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")).alias("__key")
+    spread = events.withWatermark(time, lateness).select(time, key, text, F.col(time_ms).cast("long").alias("__ms"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("__group"), own.alias("__own_slice"))
+    here, next_one = F.struct(F.lit(True).alias("own"), F.col("__own_slice").alias("slice")), F.struct(F.lit(False).alias("own"), (F.col("__own_slice") + 1).alias("slice"))
+    reaches = F.col("__ms") >= (F.col("__own_slice") + 1) * F.lit(width) - F.lit(window_ms)
+    spread = spread.withColumn("__s", F.explode(F.when(reaches, F.array(here, next_one)).otherwise(F.array(here)))).select(time, key, "__key", "__ms", "__group", F.col("__s.own").alias("__own"), F.col("__s.slice").alias("__slice"))
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(time_ms)
-        at = rows[time_ms].to_numpy(np.int64)
-        before = np.array(state.get[0] if state.exists else [], np.int64)
-        times = np.sort(np.concatenate((before, at)))
-        count = np.searchsorted(times, at, "right") - np.searchsorted(times, at - window_ms, "left")
-        keep = times[times >= max(state.getCurrentWatermarkMs() - window_ms, name[1] * width - window_ms)]
-        state.update((keep.tolist(),))
-        state.setTimeoutTimestamp(max(int(times[-1]) + window_ms, state.getCurrentWatermarkMs()) + 1)
-        mine = rows["__own"].to_numpy(bool)
-        yield pd.DataFrame({key: name[0], time_ms: at[mine], "rate": count[mine]})
+        rows = pd.concat(list(batches), ignore_index=True)
+        at = rows["__ms"].to_numpy(np.int64)
+        keys, times = state.get if state.exists else ([], [])
+        code, kinds = pd.factorize(np.concatenate((np.array(keys, object), rows["__key"].to_numpy(object))))
+        times = np.concatenate((np.array(times, np.int64), at))
+        # every key has a stretch of its own on one line, a window apart from the next
+        low = int(times.min()) - window_ms
+        step_of = int(times.max()) - low + window_ms + 1
+        line = code.astype(np.int64) * step_of + (times - low)
+        order = np.argsort(line, kind="stable")
+        mine = line[len(keys) :]
+        count = np.searchsorted(line[order], mine, "right") - np.searchsorted(line[order], mine - window_ms, "left")
+        keep = order[times[order] >= max(state.getCurrentWatermarkMs() - window_ms, name[1] * width - window_ms)]
+        state.update((kinds[code[keep]].tolist(), times[keep].tolist()))
+        state.setTimeoutTimestamp(max(int(times.max()) + window_ms, state.getCurrentWatermarkMs()) + 1)
+        here = rows["__own"].to_numpy(bool)
+        yield pd.DataFrame({key: rows[key][here], time_ms: at[here], "rate": count[here]})
 
     kind = events.schema[key].dataType.simpleString()
-    return spread.groupBy(key, "__slice").applyInPandasWithState(step, f"{key} {kind}, {time_ms} long, rate long", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return spread.groupBy("__group", "__slice").applyInPandasWithState(step, f"{key} {kind}, {time_ms} long, rate long", "keys array<string>, times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

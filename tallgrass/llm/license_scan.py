@@ -5,9 +5,12 @@ Templates of LONG_WORDS or more have runs of GRAM words, winnowed (Schleimer, Wi
 the least is kept, and a text looks up all of its own runs, so any shared passage of GRAM + SPAN - 1 words is found. Shorter ones
 have all their pairs of words: a text that repeats the wanted share of a template keeps a number of its pairs (each changed word breaks
 two), so only places where that many stand at about the same offset are looked at. Words of template and region are then aligned
-(edits within BAND words of the diagonal), which gives the words of the template that the text repeats. Reported are alignments that
+(edits within BAND words of the diagonal), which gives the words of the template that the text repeats. Where a text has words put into
+a long template, its parts stand at different offsets: regions up to INSERTED words apart are also aligned as one, so insertions of that
+many words in all are bridged; a longer one leaves two parts, which are found if one of them covers enough. Reported are alignments that
 cover enough of their template and hold all the words that it must have (such as the version), with matched words, coverage and
-span in the text. Of overlapping alignments with one template the one that covers most is reported.
+span in the text; a short notice is not reported where a negation stands before or within it. Of overlapping alignments with one template
+the one that covers most is reported.
 
 Templates come as a table, are dealt to parts of PART_WORDS words, each indexed in a task of its own and written to the shared folder.
 A worker gathers texts and takes them through the parts, one part in memory at a time; nothing passes through the driver.
@@ -38,6 +41,8 @@ SPAN = 3
 BAND = 6
 #: Templates of this many words or more are indexed by winnowed runs, shorter ones by all pairs of words.
 LONG_WORDS = 64
+#: Words that may be put into a long template, in all.
+INSERTED = 120
 MIN_COVERAGE = 0.7
 #: Words of the templates of one part, about.
 PART_WORDS = 500_000
@@ -73,6 +78,12 @@ def _gnu_header(kind: str, version: str) -> str:
     )
 
 
+#: Identifiers that files name their licence by: fixed values.
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "CC0-1.0", "Unlicense", "Zlib", "BSL-1.0")
+#: Words before or within a short notice, and not its own, that take back what it says; looked for from NEGATED_WITHIN words before it on.
+NEGATIONS = "not never neither nor isn wasn aren cannot"
+NEGATED_WITHIN = 3
+
 #: Licences in full where they are short, the notices that their publishers ask for where they are long, and usual one-line notices, as
 #: publicly worded: fixed texts. The third entry lists words that tell a licence apart from others of nearly the same wording.
 NOTICES = [
@@ -100,6 +111,18 @@ NOTICES = [
     *((f"CC-{short}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.", f"{name.lower().replace('-', ' ')} 4") for short, name in (
         ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))),
     *((f"CC-{short}-4.0", f"Licensed under CC {short} 4.0.", f"cc {short.lower().replace('-', ' ')} 4") for short in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")),
+    *((f"CC-{short}-3.0", f"Licensed under CC {short} 3.0.", f"cc {short.lower().replace('-', ' ')} 3") for short in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")),
+    *((f"{id}-notice", f"SPDX-License-Identifier: {id}", f"spdx {id.lower().replace('-', ' ').replace('.', ' ')}") for id in SPDX),
+    *((f"{id}-notice", f"License: {id}", f"license {id.lower().replace('-', ' ').replace('.', ' ')}") for id in SPDX),
+    # the heads of the long ones' own texts
+    ("Apache-2.0-text", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "apache january 2"),
+    ("GPL-2.0-text", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.", "general 2 1991"),
+    ("GPL-3.0-text", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.", "general 3 29"),
+    ("LGPL-2.1-text", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc.", "lesser 1 1999"),
+    ("LGPL-3.0-text", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.", "lesser 3 29"),
+    ("AGPL-3.0-text", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc.", "affero 3 19"),
+    ("MPL-2.0-text", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity", "mozilla definitions"),
+    ("EPL-2.0-text", "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE", "eclipse 2 accompanying"),
     ("All-rights-reserved", "All rights reserved.", ""),
 ]
 
@@ -126,6 +149,7 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str, str]], min_coverage: float = MIN_COVERAGE) -> None:
         self.names, self.words, self.must, self.band, self.least, self.min_coverage = [], [], [], [], [], min_coverage
+        self.negations = set(_word_lists([NEGATIONS])[0].tolist())
         places: dict[int, dict[int, list[tuple[int, int]]]] = {1: defaultdict(list), 2: defaultdict(list), GRAM: defaultdict(list)}
         for (name, _, _), h, must in zip(templates, _word_lists([t for _, t, _ in templates]), _word_lists([m for _, _, m in templates]), strict=True):
             n = len(h)
@@ -154,6 +178,10 @@ class Index:
             out[gram] = np.flatnonzero(keys[at] == runs)
         return out
 
+    def negated(self, t: int, h: np.ndarray) -> bool:
+        """Whether a negation that is not the template's own stands among the words."""
+        return bool((self.negations & set(h.tolist())) - set(self.words[t].tolist()))
+
     def regions(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """template, first and one past last word of each region worth aligning."""
         by: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -165,7 +193,7 @@ class Index:
         for t, found in by.items():
             found.sort()
             n, band, least, last = len(self.words[t]), self.band[t], self.least[t], None
-            end = 0
+            end, starts = 0, []
             for i, (offset, _) in enumerate(found):
                 if last is not None and offset <= last + band:
                     continue
@@ -174,6 +202,14 @@ class Index:
                 if end - i >= least and len({there for _, there in found[i:end]}) >= least:
                     yield t, max(0, offset - band), min(len(h), offset + n + 2 * band)
                     last = offset
+                    starts.append(offset)
+            if n >= LONG_WORDS:
+                done = None
+                for i, offset in enumerate(starts):
+                    far = starts[int(np.searchsorted(starts, offset + INSERTED, "right")) - 1]
+                    if far > offset and far != done:
+                        yield t, max(0, offset - band), min(len(h), far + n + 2 * band)
+                        done = far
 
 
 def align(a: np.ndarray, b: np.ndarray, band: int = BAND) -> tuple[int, int, int]:
@@ -205,7 +241,9 @@ def _matches(h: np.ndarray, index: Index) -> list[tuple[int, int, int, int, floa
     for t, lo, hi in index.regions(h):
         matched, a, b = align(index.words[t], h[lo:hi], index.band[t])
         share = matched / len(index.words[t])
-        if share >= index.min_coverage and index.must[t] <= set(h[lo + a : lo + b].tolist()):
+        if share < index.min_coverage or not index.must[t] <= set(h[lo + a : lo + b].tolist()):
+            continue
+        if len(index.words[t]) >= LONG_WORDS or not index.negated(t, h[max(0, lo + a - NEGATED_WITHIN) : lo + b]):
             tried.append((t, matched, a + lo, b + lo, share))
     out, taken = [], defaultdict(list)
     for m in sorted(tried, key=lambda m: (-m[4], -m[1], m[3] - m[2], m[2])):

@@ -99,6 +99,33 @@ def test_edited_notices(spark):
     assert not [m for m in found[1] if m.name == "GPL-3.0"] and found[2] == []
 
 
+@pytest.mark.parametrize("put_in", [10, 30, 60, 110])
+def test_words_put_into_long_notices(spark, put_in):
+    """Whole notices with words put in at one or two places, by the longest common subsequence all of their words."""
+    own = [(n, t.split()) for n, t, _ in ls.NOTICES if len(ALNUM.findall(lower(t))) >= ls.LONG_WORDS]
+    texts = []
+    for k, (_, words) in enumerate(own):
+        more, half = prose(k, put_in).split(), len(words) // 2
+        texts.append(" ".join(words[:half] + more + words[half:]))
+        texts.append(" ".join(words[: half // 2] + more[: put_in // 2] + words[half // 2 : half + half // 2] + more[put_in // 2 :] + words[half + half // 2 :]))
+    found = matches(spark, [f"{prose(90, 50)} {t} {prose(91, 50)}" for t in texts])
+    caught = [any(m.name == own[i // 2][0] and m.coverage > 0.95 for m in ms) for i, ms in found.items()]
+    assert sum(caught) >= 0.9 * len(caught)
+
+
+def test_negations(spark):
+    says = ["Licensed under the MIT License.", "We do not forget to say it: released under the MIT License.", "It is licensed under CC BY 3.0.", "SPDX-License-Identifier: GPL-3.0", "License: MIT", "No fees. Licensed under the MIT License."]
+    denies = ["Not licensed under the MIT License.", "This is not released under the MIT License.", "never licensed under CC BY 4.0", "Licensed not under the MIT License."]
+    found = matches(spark, says + denies)
+    assert [bool(found[i]) for i in range(len(says))] == [True] * 6
+    assert not any(found[len(says) + i] for i in range(len(denies)))
+
+
+def test_heads_of_long_texts(spark):
+    found = matches(spark, ["Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc. <http://fsf.org/>"])
+    assert found[0][0].name == "Apache-2.0-text" and found[1][0].name == "LGPL-3.0-text"
+
+
 def test_short_templates_and_repeats(spark):
     templates = spark.createDataFrame([("short", "All rights reserved"), ("none", ""), ("null", None)], "name string, text string")
     found = matches(spark, ["x all rights reserved y. ALL RIGHTS RESERVED!", "all rights", ""], templates=templates)

@@ -19,6 +19,8 @@ registry = Registry()
 add = registry.add
 
 _own: list[str] = []
+#: Of the last query that ran to its end: input rows, rows a second, seconds of its slowest micro-batch, rows of state.
+last_run: dict[str, float] = {}
 
 
 def _folder(spark: SparkSession) -> str:
@@ -59,7 +61,11 @@ def _finished(sf_dir: str, rows: DataFrame, mode: str = "append") -> DataFrame:
     else:
         query = writer.foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).start()
     query.awaitTermination()
-    met = any(s["endOffset"] and "logOffset" in str(s["endOffset"]) for p in query.recentProgress for s in p["sources"])  # a file at least
+    progress = query.recentProgress
+    rows_in, took = sum(p["numInputRows"] for p in progress), [p["durationMs"].get("triggerExecution", 0) / 1000 for p in progress]
+    state = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress]
+    last_run.update(rows=rows_in, rows_per_second=round(rows_in / max(sum(took), 0.001)), slowest_batch=max(took, default=0.0), state_rows=max(state, default=0))
+    met = any(s["endOffset"] and "logOffset" in str(s["endOffset"]) for p in progress for s in p["sources"])  # a file at least
     if not met and not spark.read.parquet(f"{sf_dir}/events.parquet").isEmpty():
         raise ValueError(f"the stream read none of the rows of {sf_dir}/events.parquet")
     schema = rows.schema if mode == "append" else None

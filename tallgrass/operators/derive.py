@@ -133,6 +133,18 @@ def alerts_of_sessions(alerts: DataFrame, sessions: DataFrame, live: tuple[str,
     return alerts.join(sessions.filter(F.col("state").isin(*live)).select("session_id", "tenant_id", "host_id", "state"), ["tenant_id", "host_id"])
 
 
+def peers(sessions: DataFrame, keys: DataFrame, live: tuple[str, ...] = ("ACTIVE", "CHALLENGED", "RESTRICTED")) -> DataFrame:
+    """The live sessions with each of their keys that is not revoked: what a gateway configures. sessions(session_id, tenant_id, gateway_id,
+    state, ...); keys(session_id, revoked_at, ...)."""
+    return sessions.filter(F.col("state").isin(*live)).join(keys.filter("revoked_at IS NULL"), "session_id")
+
+
+def active_keys(sessions: DataFrame, keys: DataFrame) -> DataFrame:
+    """tenant_id, active_keys: the keys of a tenant's sessions, whatever their state, that are not revoked; 0 where there are none."""
+    counts = keys.groupBy("session_id").agg(F.count_if(F.col("revoked_at").isNull()).alias("n"))
+    return sessions.join(counts, "session_id", "left").groupBy("tenant_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("active_keys"))
+
+
 def session_faults(sessions: DataFrame, now_s: Column, grace_s: int) -> DataFrame:
     """sessions(session_id, expires_s, heartbeat_s, ...) with fault: expired, stale, or null."""
     fault = F.when(F.col("expires_s") <= now_s - grace_s, "expired").when(now_s - F.col("heartbeat_s") > grace_s, "stale")

@@ -55,6 +55,24 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
 
 
+def dump(vertices: DataFrame, edges: DataFrame, recent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges for display. vertices(id, label, risk, is_internal, is_canary); edges(src, dst, kind, risk, ts); recent(src, dst, parent,
+    event_type, comm, risk, ts): the last events, which are shown as edges beside the graph's.
+
+    Nodes are the vertices that an edge or a recent event names, with out_degree in the graph, and for a process the name that its latest event
+    gives it.
+    """
+    own = edges.select("src", "dst", "kind", F.lit("graph").alias("origin"), F.col("risk").cast("double").alias("risk"), "ts")
+    shown = recent.select("src", "dst", F.concat(F.lit("event."), "event_type").alias("kind"), F.lit("event").alias("origin"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("risk").cast("double"))).alias("risk"), "ts")
+    named = own.select(F.explode(F.array("src", "dst")).alias("id")).unionByName(recent.select(F.explode(F.array("src", "dst", "parent")).alias("id"))).filter("id IS NOT NULL").distinct()
+    comm = recent.filter("comm <> ''").groupBy(F.col("src").alias("id")).agg(F.max_by("comm", "ts").alias("comm"))
+    nodes = vertices.join(named, "id", "left_semi").join(degrees(edges).withColumnRenamed("src", "id"), "id", "left").join(comm, "id", "left")
+    number = F.concat(F.lit("#"), F.col("id").cast("string"))
+    process = F.concat(F.lit("Process "), F.when(F.col("comm").isNotNull(), F.concat("comm", F.lit(" ("), number, F.lit(")"))).otherwise(number))
+    label = F.when(F.lower("label") == "process", process).otherwise(F.concat_ws(" ", "label", number))
+    return nodes.select("id", label.alias("display_label"), F.col("label").alias("kind"), "risk", "is_internal", "is_canary", F.coalesce("out_degree", F.lit(0)).alias("out_degree")), own.unionByName(shown)
+
+
 def neighbors(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return edges.join(sources.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst").distinct()
 

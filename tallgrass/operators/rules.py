@@ -35,10 +35,10 @@ class Source:
 
 @dataclass(frozen=True)
 class Branch:
-    """actions that apply if the condition holds; an action is a name and its argument."""
+    """actions that apply if the condition holds; an action is a name, its argument and, if it has one, a message."""
 
     condition: Condition | None
-    actions: tuple[tuple[str, str], ...]
+    actions: tuple[tuple[str, ...], ...]
 
 
 @dataclass(frozen=True)
@@ -229,22 +229,24 @@ def severity_of(score: Column) -> Column:
     return out
 
 
-_ACTION = "array<struct<action:string,argument:string>>"
+_ACTION = "array<struct<action:string,argument:string,message:string>>"
 
 
 def answered(rule: Rule, rows: DataFrame, context: Context | None = None) -> DataFrame:
     """actions of the first branch that applies; severity is the one of its first alert, high if it has none, by score if no branch applies;
+    message is that of its first alert with a message, else the rule's name;
     block_egress and block_query tell whether these are among the actions."""
     none, names = F.array().cast(_ACTION), (context or context_of(rule)).names(rows)
     actions = none
     for b in reversed(rule.respond):
-        own = F.array(*(F.struct(F.lit(a).alias("action"), F.lit(x).alias("argument")) for a, x in b.actions)).cast(_ACTION) if b.actions else none
+        own = F.array(*(F.struct(*(F.lit(x).cast("string").alias(n) for x, n in zip((*a, None)[:3], ("action", "argument", "message"), strict=True))) for a in b.actions)) if b.actions else none
         actions = F.when(F.lit(True) if b.condition is None else _truth(b.condition, names), own).otherwise(actions)
     rows = rows.withColumn("actions", actions)
     alert = F.get(F.filter("actions", lambda a: a["action"] == "alert"), 0)["argument"]
+    message = F.get(F.filter("actions", lambda a: (a["action"] == "alert") & a["message"].isNotNull()), 0)["message"]
     severity = F.when(F.size("actions") == 0, severity_of(F.col("score"))).otherwise(F.coalesce(alert, F.lit("high")))
     has = lambda name: F.exists("actions", lambda a: a["action"] == name)
-    return rows.withColumns({"severity": severity, "block_egress": has("block_egress"), "block_query": has("block_query")})
+    return rows.withColumns({"severity": severity, "message": F.coalesce(message, F.lit(rule.name)), "block_egress": has("block_egress"), "block_query": has("block_query")})
 
 
 def alert_id(rule_id: str, tenant: Column, identities: list[Column]) -> Column:
@@ -276,8 +278,7 @@ def alerts_of(rule: Rule, rows: DataFrame, context: Context, fields: Fields = Fi
         rows = rows if b.condition is None else with_calls(rows, b.condition, context)
     rows = answered(rule, rows, context)
     identities = [F.col(f"{s.alias}.{fields.arrival}").cast("string") for s in rule.sources]
-    message = F.concat(F.lit(f"{rule.name}: score "), F.col("score").cast("string"))
-    return rows.withColumns({"rule_id": F.lit(rule.rule_id), "tenant_id": context.tenant, "alert_id": alert_id(rule.rule_id, context.tenant, identities), "message": message})
+    return rows.withColumns({"rule_id": F.lit(rule.rule_id), "tenant_id": context.tenant, "alert_id": alert_id(rule.rule_id, context.tenant, identities)})
 
 
 def run(rule: Rule, events: DataFrame, fields: Fields = Fields(), include_self: bool = False, sets: dict[str, DataFrame] | None = None, baselines: dict[str, DataFrame] | None = None, facts: DataFrame | None = None) -> DataFrame:
@@ -300,6 +301,30 @@ def run_all(rules: list[Rule], events: DataFrame, fields: Fields = Fields(), set
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def counters(rules: list[Rule], events: DataFrame, fields: Fields = Fields(), fallback: str | None = None, facts_before: DataFrame | None = None, **lookups) -> DataFrame:
+    """One row: rules_active, events_evaluated, events_ts_fallback (those for which the column `fallback` is true), matches_total (tuples that a
+    rule joins), alerts_emitted and facts_active, the facts that have not expired at the last event."""
+    late = F.count_if(F.col(fallback)) if fallback else F.lit(0).cast("long")
+    seen = events.agg(F.lit(len(rules)).cast("long").alias("rules_active"), F.count(F.lit(1)).alias("events_evaluated"), late.alias("events_ts_fallback"), F.max(fields.time_ms).alias("__now"))
+    one = lambda rows, name: rows.select(F.lit(name).alias("what"))
+    parts, known = [], facts_before
+    for rule in rules:
+        context = context_of(rule, fields, facts=known, **lookups)
+        joined = correlated(rule, events, fields, lookups=context)
+        alerts = alerts_of(rule, joined, context, fields)
+        parts += [one(joined, "matches_total"), one(alerts, "alerts_emitted")]
+        if rule.emit:
+            emitted = facts(rule, alerts, fields)
+            known = emitted if known is None else known.unionByName(emitted)
+    counted = reduce(lambda a, b: a.unionByName(b), parts).agg(*(F.count_if(F.col("what") == n).alias(n) for n in ("matches_total", "alerts_emitted")))
+    row = seen.join(counted)  # one row each
+    if known is None:
+        return row.withColumn("facts_active", F.lit(0).cast("long")).drop("__now")
+    last = known.groupBy("tenant_id", "fact", "args").agg(F.max_by("expires_ms", "emitted_ms").alias("until"), F.count_if(F.col("expires_ms").isNull()).alias("for_good"))
+    live = last.join(seen.select("__now")).agg(F.count_if((F.col("for_good") > 0) | (F.col("until") > F.col("__now"))).alias("facts_active"))
+    return row.join(live).drop("__now")
+
+
 def explain(rule: Rule) -> list[tuple[str, str]]:
     """The steps of the rule, in order; DataFrame.explain() shows what Spark makes of them."""
     steps = [("subscribe", f"{s.kind} as {s.alias}") for s in rule.sources]

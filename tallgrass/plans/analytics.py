@@ -661,3 +661,46 @@ def program_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, total = derive.inventory(programs)
     first = rows.limit(20).withColumn("place", F.row_number().over(Window.orderBy(F.desc("attributed"), F.desc("run_count"), "id")).cast("int"))
     return first.select("place", "id").join(F.broadcast(total.select(F.col("bytes").cast("long").alias("bytes"))))
+
+
+_KEYS = "t AS (SELECT o_orderkey AS session_id, o_custkey % 7 AS tenant_id, o_orderstatus AS state FROM orders), m AS (SELECT l_orderkey AS session_id, l_linenumber AS key_id, CASE WHEN l_returnflag = 'R' THEN 1 END AS revoked_at FROM lineitem)"
+
+
+def _session_keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    state = F.when(F.col("o_orderstatus") == "F", "TERMINATED").otherwise("ACTIVE")
+    sessions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), (F.col("o_custkey") % 7).alias("tenant_id"), state.alias("state"))
+    return sessions, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("key_id"), F.when(F.col("l_returnflag") == "R", 1).alias("revoked_at"))
+
+
+@add(f"WITH {_KEYS} SELECT session_id, key_id FROM t JOIN m USING (session_id) WHERE state <> 'F' AND revoked_at IS NULL")
+def session_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.peers(*_session_keys(spark, sf_dir)).select("session_id", "key_id")
+
+
+@add(f"WITH {_KEYS} SELECT tenant_id, count(key_id) FILTER (WHERE revoked_at IS NULL) AS active_keys FROM t LEFT JOIN m USING (session_id) GROUP BY 1")
+def session_active_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.active_keys(*_session_keys(spark, sf_dir))
+
+
+_DUMP = f"""WITH {_EDGES}, l AS (SELECT src, dst, count(*) AS n FROM e GROUP BY 1, 2), r AS (SELECT event_id AS src, user_id AS dst, event_id % 50 AS parent, 'c' || event_id AS comm FROM (WITH {EV} SELECT * FROM ev WHERE event_type = 'error' AND value > 150)),
+  v AS (SELECT c_custkey AS id, 'Process' AS label FROM customer UNION ALL SELECT 1000000 + s_suppkey, 'Endpoint' FROM supplier), named AS (SELECT src AS id FROM l UNION SELECT dst FROM l UNION SELECT src FROM r UNION SELECT dst FROM r UNION SELECT parent FROM r)"""
+
+
+def _dump(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    flags = [F.lit(0.5).alias("risk"), F.lit(True).alias("is_internal"), F.lit(False).alias("is_canary")]
+    vertices = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("Process").alias("label"), *flags)
+    vertices = vertices.unionByName(table(spark, sf_dir, "supplier").select((F.lit(1000000) + F.col("s_suppkey")).alias("id"), F.lit("Endpoint").alias("label"), *flags))
+    edges = _edges(spark, sf_dir).groupBy("src", "dst").agg(F.lit("link").alias("kind"), F.lit(1.0).alias("risk"), F.max("seq").alias("ts"))
+    i = F.col("event_id")
+    recent = events(spark, sf_dir).filter("event_type = 'error' AND value > 150").select(i.alias("src"), F.col("user_id").alias("dst"), (i % 50).alias("parent"), "event_type", F.concat(F.lit("c"), i.cast("string")).alias("comm"), F.lit(2.0).alias("risk"), F.col("ts_ms").alias("ts"))
+    return graph.dump(vertices, edges, recent)
+
+
+@add(f"{_DUMP} SELECT id, CASE WHEN label = 'Endpoint' THEN 'Endpoint #' || id WHEN comm IS NOT NULL THEN 'Process ' || comm || ' (#' || id || ')' ELSE 'Process #' || id END AS display_label, coalesce(o.n, 0) AS out_degree FROM v SEMI JOIN named USING (id) LEFT JOIN (SELECT src AS id, count(*) AS n FROM l GROUP BY 1) o USING (id) LEFT JOIN (SELECT src AS id, comm FROM r) c USING (id)")
+def graph_dump_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dump(spark, sf_dir)[0].select("id", "display_label", "out_degree")
+
+
+@add(f"{_DUMP} SELECT src, dst, 'link' AS kind, 'graph' AS origin FROM l UNION ALL SELECT src, dst, 'event.error', 'event' FROM r")
+def graph_dump_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dump(spark, sf_dir)[1].select("src", "dst", "kind", "origin")

@@ -572,3 +572,21 @@ def callables_with_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = Rule("m", "m", (Source("e", "error"),), modifiers=tuple((1 << i, c) for i, c in enumerate(conditions)))
     found = rules.run(rule, rows, sets={"org.threat_intel.watched": feed}, baselines={"user.hosts": users, "baseline.workload.allowed_processes": workloads})
     return found.select("e.event_id", "score")
+
+
+@add("""SELECT event_id, CASE WHEN value > 200 THEN 'Far too large' WHEN value > 100 THEN 'Branches' ELSE 'Small' END AS message, CASE WHEN value > 200 THEN 'critical' WHEN value > 100 THEN 'high' ELSE 'low' END AS severity FROM ev WHERE event_type = 'error'""")
+def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message of a branch's first alert that has one, else the rule's name; severity of its first alert, else high."""
+    branches = (
+        Branch(field("e.value") > 200, (("isolate", "host"), ("alert", "critical"), ("alert", "low", "Far too large"))), Branch(field("e.value") > 100, (("notify", "x", "not shown"),)), Branch(None, (("alert", "low", "Small"),)),
+    )
+    return rules.run(Rule("branches", "Branches", (Source("e", "error"),), respond=branches), events(spark, sf_dir)).select("e.event_id", "message", "severity")
+
+
+@add(f"""{_PAIRS.replace("WITH ", "WITH t AS (SELECT 0), ", 1)}, m AS (SELECT count(*) AS n FROM ev e JOIN ev p ON e.user_id = p.user_id AND abs(p.ts_ms - e.ts_ms) <= 3600000 WHERE e.event_type = 'error' AND p.event_type = 'purchase'),
+  f AS (SELECT tenant_id, user_id, max(greatest(e_ms, p_ms)) + 21600000 AS until FROM pairs GROUP BY 1, 2)
+  SELECT 2::BIGINT AS rules_active, (SELECT count(*) FROM ev) AS events_evaluated, (SELECT count(*) FROM ev WHERE value > 300) AS events_ts_fallback, (SELECT n FROM m) + (SELECT count(*) FROM ev WHERE event_type = 'error') AS matches_total,
+  (SELECT count(*) FROM pairs) + (SELECT count(*) FROM ev WHERE event_type = 'error' AND value > 100) AS alerts_emitted, (SELECT count(*) FROM f WHERE until > (SELECT max(ts_ms) FROM ev)) AS facts_active""")
+def engine_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).withColumn("late", F.col("value") > 300)
+    return rules.counters([FLAGSHIP, _SINGLE], rows, fallback="late")

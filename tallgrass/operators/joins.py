@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a reference table is broadcast; a larger one is joined by its key.
+#: Rows, and bytes of their texts and lists, up to which a reference table is broadcast; a larger one is joined by its key.
 REFERENCE_ROWS = 200_000
+REFERENCE_BYTES = 32 << 20
 
 
 def aliased(events: DataFrame, alias: str) -> DataFrame:
@@ -42,9 +43,10 @@ def within_of_last(sides: list[tuple[Column, Column]], within_ms: int) -> Column
     return _all([F.abs(ms - last["ms"]) <= within_ms for ms, _ in sides])
 
 
-def _reference(table: DataFrame, rows: int | None = None) -> DataFrame:
-    n = table.limit(REFERENCE_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(table) if n <= REFERENCE_ROWS else table
+def _reference(table: DataFrame) -> DataFrame:
+    size = F.sum(sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in table.columns), F.lit(0)))
+    rows, bytes_ = table.agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(table) if rows <= REFERENCE_ROWS and (bytes_ or 0) <= REFERENCE_BYTES else table
 
 
 def in_set(rows: DataFrame, item: Column, entries: DataFrame, negate: bool = False) -> DataFrame:
@@ -92,8 +94,12 @@ def first_policy(rows: DataFrame, policies: DataFrame, group: str, pid: str) ->
     out, found = rows, []
     # of a (group, pid) listed more than once the least verdict holds, so reruns agree
     known = _reference(policies.groupBy("group_id", "pid").agg(F.min("verdict").alias("verdict")))
-    for n, (g, p) in enumerate(((F.col(group), F.col(pid)), (F.lit(0), F.col(pid)), (F.col(group), F.lit(0)), (F.lit(0), F.lit(0)))):
-        table = known.select(F.col("group_id").alias(f"__g{n}"), F.col("pid").alias(f"__p{n}"), F.col("verdict").alias(f"__v{n}"))
-        out = out.join(table, (g == F.col(f"__g{n}")) & (p == F.col(f"__p{n}")), "left")
+    zero = {"group_id": F.col("group_id") == 0, "pid": F.col("pid") == 0}
+    for n, keys in enumerate((("group_id", "pid"), ("pid",), ("group_id",), ())):
+        # the fields that are no key are 0: with none left one row is left
+        table = known.filter(reduce(lambda a, b: a & b, (zero[k] for k in zero if k not in keys), F.lit(True)))
+        table = table.select(F.col("group_id").alias(f"__g{n}"), F.col("pid").alias(f"__p{n}"), F.col("verdict").alias(f"__v{n}"))
+        on = {"group_id": F.col(group) == F.col(f"__g{n}"), "pid": F.col(pid) == F.col(f"__p{n}")}
+        out = out.join(table, reduce(lambda a, b: a & b, (on[k] for k in keys), F.lit(True)), "left")
         found.append(F.col(f"__v{n}"))
     return out.select(*rows.columns, F.coalesce(*found).alias("verdict"))

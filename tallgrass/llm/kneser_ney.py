@@ -5,12 +5,12 @@ The model is a set of sorted arrays in files of the shared folder, which workers
 * vocabulary: 64-bit hashes of the training tokens, sorted, in shards by the hash's leading bits. A token's number is made of its place in
   its shard by falling count and of the shard, so frequent tokens have small numbers, which pack well. By number lie its count and, once
   the pairs are counted, how many distinct contexts it follows.
-* for each order k from 2: sorted 64-bit hashes of the k-grams, and their counts: how often they occur at the highest order, how many
-  distinct tokens stand before them at the others.
+* for each order k from 2: sorted hashes of the k-grams, 48 bits each, and their counts: how often they occur at the highest order, how
+  many distinct tokens stand before them at the others.
 * for each order: sorted hashes of the contexts, with the sum of their k-grams' counts and how many of these are 1, 2, or more.
 
-K-grams are counted as rows of 64-bit token numbers, so no bound on the vocabulary is built in; the files hold their hashes, where two that
-collide would count as one. A k-gram lies in the shard of its context; a context that, by its rarest token's count, may have very many
+K-grams are counted as rows of 64-bit token numbers, so no bound on the vocabulary is built in; the files hold their hashes, where an unknown
+k-gram is taken for a known one of its shard with a chance of SHARD_TOKENS / 2^48, one in 10^8, at most. A k-gram lies in the shard of its context; a context that, by its rarest token's count, may have very many
 followers is split over several, and its sums are added up afterwards.
 
 Every count covers all training texts; the model grows with the corpus. Each text is a sequence of tokens and one end token, preceded by
@@ -41,8 +41,9 @@ from tallgrass.llm.shared import delete, discard, file_of, new_folder, save, shi
 from tallgrass.llm.words import BLANK_SPLIT_FOLDED, Words, chunked, mixed
 
 ORDER = 3
-#: Text that a task counts before it writes what it has, or scores at once.
+#: Text that a task counts before it writes what it has, and that it scores at once.
 COUNT_BYTES = 8 << 20
+SCORE_BYTES = 4 << 20
 #: Tokens for each shard of k-grams, and distinct tokens for each shard of the vocabulary, about.
 SHARD_TOKENS = 2_000_000
 VOCABULARY_SHARD = 1 << 17
@@ -65,6 +66,12 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()))) if x.size else x.astype(np.uint8)
 
 
+def _save_keys(folder: str, name: str, h: np.ndarray) -> None:
+    """Sorted 64-bit hashes as their leading 32 bits and the 16 after these."""
+    _save(folder, f"{name}-high", (h >> np.uint64(32)).astype(np.uint32))
+    _save(folder, f"{name}-low", (h >> np.uint64(16)).astype(np.uint16))
+
+
 def _mapped(folder: str, name: str) -> np.ndarray | None:
     path = file_of(folder, f"{name}.npy")
     return None if path is None else np.load(path, mmap_mode="r")
@@ -293,7 +300,7 @@ def _write_grams(k: int, part: int, shards: int, *vocabulary_of):
         often = _often(grams, vocabulary)
         h = _hash(grams)
         order = np.argsort(h)
-        _save(folder, f"gram{k}-{name}", h[order])
+        _save_keys(folder, f"gram{k}-{name}", h[order])
         _save(folder, f"count{k}-{name}", _small(count[order]))
         _, context, split = _shards(grams, often, part, shards)
         head = np.flatnonzero((np.diff(grams[:-1], prepend=-2, axis=1) != 0).any(axis=0))
@@ -301,7 +308,7 @@ def _write_grams(k: int, part: int, shards: int, *vocabulary_of):
         context, split = context[head], split[head]
         own = np.flatnonzero(~split)
         own = own[np.argsort(context[own])]
-        _save(folder, f"context{k}-{name}", context[own])
+        _save_keys(folder, f"context{k}-{name}", context[own])
         _save(folder, f"sums{k}-{name}", _small(sums[:, own]))
         out = [_part(_SPLIT, int(split.sum()), h=context[split].view(np.int64), **dict(zip("abcd", sums[:, split], strict=True)))]
         out.append(_part(_CLASSES, 1, **{x: [int((count == i).sum())] for i, x in enumerate("abcd", 1)}))
@@ -318,7 +325,7 @@ def _write_split(folder: str):
         k, shard = table.column("k")[0].as_py(), table.column("shard")[0].as_py()
         h = table.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
-        _save(folder, f"split{k}-{shard}", h[order])
+        _save_keys(folder, f"split{k}-{shard}", h[order])
         _save(folder, f"splitsums{k}-{shard}", _small(np.stack([table.column(x).to_numpy() for x in "abcd"])[:, order]))
         return table.select(["shard"]).slice(0, 1)
 
@@ -419,11 +426,19 @@ class _Arrays:
             if len(self.files) > 2 * MOST_MAPPED:
                 self.files.clear()
             if (keys, s) not in self.files:
-                self.files[keys, s] = (_mapped(self.folder, f"{keys}-{s}"), _mapped(self.folder, f"{values}-{s}"))
-            known, found = self.files[keys, s]
-            if known is not None and len(known):
-                at = np.minimum(np.searchsorted(known, h[mine]), len(known) - 1)
-                out[:, mine] = np.where(known[at] == h[mine], np.atleast_2d(found)[:, at], 0)
+                self.files[keys, s] = tuple(_mapped(self.folder, x) for x in (f"{keys}-{s}-high", f"{keys}-{s}-low", f"{values}-{s}"))
+            high, low, found = self.files[keys, s]
+            if high is None or not len(high):
+                continue
+            want_high, want_low = (h[mine] >> np.uint64(32)).astype(np.uint32), (h[mine] >> np.uint64(16)).astype(np.uint16)
+            at = np.minimum(np.searchsorted(high, want_high), len(high) - 1)
+            # of equal leading bits, which are few, the place of the next ones
+            later = np.flatnonzero((high[at] == want_high) & (low[at] < want_low))
+            while len(later):
+                at[later] = np.minimum(at[later] + 1, len(high) - 1)
+                later = later[(high[at[later]] == want_high[later]) & (low[at[later]] < want_low[later]) & (at[later] < len(high) - 1)]
+            known = np.flatnonzero((high[at] == want_high) & (low[at] == want_low))
+            out[:, mine[known]] = np.atleast_2d(found)[:, at[known]]
         return out
 
 
@@ -438,7 +453,9 @@ def _probabilities(model: Model, grams: np.ndarray, often: np.ndarray, arrays: _
         count = np.zeros(len(use), np.int64)
         count[known] = arrays.look_up(f"gram{k}", f"count{k}", _hash(mine[:, known]), shard[known], 1)[0]
         # each context once
-        kinds, first, place = np.unique(context, return_index=True, return_inverse=True)
+        kinds, place = np.unique(context, return_inverse=True)
+        first = np.empty(len(kinds), np.int64)
+        first[place] = np.arange(len(place))
         sums, apart = np.zeros((4, len(kinds)), np.int64), split[first]
         sums[:, ~apart] = arrays.look_up(f"context{k}", f"sums{k}", kinds[~apart], shard[first][~apart], 4)
         sums[:, apart] = arrays.look_up(f"split{k}", f"splitsums{k}", kinds[apart], np.mod(kinds[apart].view(np.int64), model.shards), 4)
@@ -458,7 +475,7 @@ def _score(model: Model, at: int):
         left = sum(d * n for d, n in zip(model.low_discount, model.low_counts, strict=True))
         for batch in batches:
             results = [[], [], [], []]
-            for words in chunked(batch.column(at), BLANK_SPLIT_FOLDED, COUNT_BYTES):
+            for words in chunked(batch.column(at), BLANK_SPLIT_FOLDED, SCORE_BYTES):
                 h, n = _tokens(words)
                 # by distinct token first: each is looked up once
                 grams, kinds, place = _grams(h, n, vocabulary, model.order)

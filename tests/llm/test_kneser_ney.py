@@ -138,3 +138,16 @@ def test_distinct_grams_however_wide_their_numbers(most):
     again, total = kneser_ney._merged(grams, np.arange(500))
     assert (again == found).all() and total.sum() == 499 * 250
     assert kneser_ney._distinct(grams[:, :0])[0].shape == (3, 0)
+
+
+def test_hashes_that_share_their_leading_bits(tmp_path):
+    """Places among equal leading halves, at the ends of the arrays too; what differs in the last 16 bits only counts as equal."""
+    r = np.random.default_rng(3)
+    h = np.unique(np.concatenate((r.integers(0, 5, 60, np.uint64) << np.uint64(32) | r.integers(0, 40, 60, np.uint64) << np.uint64(16), np.array([0, (1 << 64) - (1 << 16)], np.uint64))))
+    kneser_ney._save_keys(str(tmp_path), "k-0", h)
+    kneser_ney._save(str(tmp_path), "v-0", np.arange(1, len(h) + 1))
+    asked = np.unique(np.concatenate((h, h + np.uint64(1 << 16), r.integers(0, 1 << 63, 50, np.uint64) >> np.uint64(16) << np.uint64(16))))
+    asked = r.permutation(asked)
+    found = kneser_ney._Arrays(str(tmp_path)).look_up("k", "v", asked, np.zeros(len(asked), np.int64), 1)[0]
+    assert found.tolist() == [int(np.searchsorted(h, x)) + 1 if x in h else 0 for x in asked]
+    assert kneser_ney._Arrays(str(tmp_path)).look_up("none", "v", asked, np.zeros(len(asked), np.int64), 1).sum() == 0

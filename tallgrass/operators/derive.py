@@ -16,7 +16,7 @@ WIRE_FAMILY = {"process_exec": "process_exec", "file": "file", "net": "net", "sq
 #: The engine behind a database port, and the operation of a statement kind: fixed values.
 ENGINE_BY_PORT = {3306: "mysql", 5432: "postgresql"}
 OPERATION = {1: "select", 2: "dml", 3: "ddl", 4: "admin"}
-#: Paths that a console marks.
+#: Paths that a console marks: a fixed value.
 _SENSITIVE = r"(?i)shadow|authorized_keys|id_rsa"
 
 
@@ -30,7 +30,7 @@ def kind_name(event_type: Column) -> Column:
 
 
 def base_risk(kind: Column, write: Column, statement_kind: Column, tls_bytes: Column, domain: Column, denied: Column) -> Column:
-    """The risk that an event starts with, by kind; null details count as the harmless case."""
+    """The risk that an event starts with, by kind: fixed values. Null details count as the harmless case."""
     sure = lambda c: F.coalesce(c, F.lit(False))
     sql = F.when(statement_kind == 3, 0.85).when(statement_kind == 4, 0.9).otherwise(0.4)
     return (
@@ -61,7 +61,7 @@ def operation_of(statement_kind: Column) -> Column:
 
 
 def console_severity(kind: Column, rule: Column, risk: Column, path: Column, operation: Column) -> Column:
-    """A matched rule by its risk, else by kind and what is touched."""
+    """A matched rule by its risk, else by kind and what is touched; words and bounds are fixed values."""
     by_rule = F.when(risk >= 0.8, "crit").when(risk >= 0.4, "high").otherwise("med")
     by_kind = (
         F.when(kind == "net", "med").when(kind == "file", F.when(F.coalesce(path.rlike(_SENSITIVE), F.lit(False)), "high").otherwise("low"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions import numeric
 from tallgrass.functions.numeric import duration_ms
 from tallgrass.functions.text import fnv1a64
+from tallgrass.operators import graph
 from tallgrass.operators.conditions import Condition, Context, Expression, Field, Names, equal_terms, fields_of, with_calls
 from tallgrass.operators.joins import aliased, interval_join, within_of_last
 from tallgrass.sources.catalog import Catalog
@@ -58,6 +59,8 @@ class Rule:
     on: tuple[tuple[str, str], ...] | Condition = ()
     within: str | None = None
     ordered: bool = False
+    #: A pattern of edges between the sources, which are then vertices: (alias, kind of edge or None, alias). See graph_alerts.
+    graph: tuple[tuple[str, str | None, str], ...] = ()
     where: tuple[Condition, ...] = ()
     let: tuple[tuple[str, Expression], ...] = ()
     base: int = 0
@@ -287,6 +290,23 @@ def run(rule: Rule, events: DataFrame, fields: Fields = Fields(), include_self:
     return alerts_of(rule, correlated(rule, events, fields, include_self, context), context, fields)
 
 
+def graph_alerts(rule: Rule, vertices: DataFrame, edges: DataFrame, fields: Fields = Fields(kind="label", time_ms="last_seen", arrival="id"), **lookups) -> DataFrame:
+    """The alerts of a rule over a graph: one for each way its pattern lies in edges(src, dst, kind). Its sources are vertices(id, label,
+    last_seen, tenant_id, ...), a source's kind is their label, its filter speaks of its alias; different sources are different vertices,
+    of one tenant."""
+    context = context_of(rule, fields, **lookups)
+    rows = graph.motif(edges, list(rule.graph)).withColumnsRenamed({s.alias: f"__v_{s.alias}" for s in rule.sources})
+    first = rule.sources[0].alias
+    for s in rule.sources:
+        own = aliased(vertices.filter(F.col(fields.kind) == s.kind), s.alias)
+        if s.filter is not None:
+            own = own.filter(_truth(s.filter, Names(own, ((s.alias, s.kind),), fields.catalog, rule.dialect)))
+        rows = rows.join(own, F.col(f"__v_{s.alias}") == F.col(f"{s.alias}.id")).drop(f"__v_{s.alias}")
+        if s.alias != first:
+            rows = rows.filter(F.col(f"{first}.{fields.tenant}").eqNullSafe(F.col(f"{s.alias}.{fields.tenant}")))
+    return alerts_of(rule, rows, context, fields)
+
+
 def run_all(rules: list[Rule], events: DataFrame, fields: Fields = Fields(), sets: dict[str, DataFrame] | None = None, baselines: dict[str, DataFrame] | None = None, facts_before: DataFrame | None = None) -> DataFrame:
     """Alerts of several rules, in their order, with the matched events as JSON. A rule sees the facts that are given and those that the
     rules before it emit."""
@@ -328,7 +348,8 @@ def counters(rules: list[Rule], events: DataFrame, fields: Fields = Fields(), fa
 def explain(rule: Rule) -> list[tuple[str, str]]:
     """The steps of the rule, in order; DataFrame.explain() shows what Spark makes of them."""
     steps = [("subscribe", f"{s.kind} as {s.alias}") for s in rule.sources]
-    steps += [("correlate", " and ".join([f"{a} = {b}" for a, b in terms_of(rule)[0]] + [str(c) for c in terms_of(rule)[1]]) or "same entity"), ("window", rule.within or f"{DEFAULT_WINDOW_MS} ms")] if len(rule.sources) > 1 else []
+    steps += [("graph", f"{a} -{kind or 'any'}-> {b}") for a, kind, b in rule.graph]
+    steps += [("correlate", " and ".join([f"{a} = {b}" for a, b in terms_of(rule)[0]] + [str(c) for c in terms_of(rule)[1]]) or "same entity"), ("window", rule.within or f"{DEFAULT_WINDOW_MS} ms")] if len(rule.sources) > 1 and not rule.graph else []
     steps += [("filter", str(w)) for w in rule.where] + [("let", f"{n} = {e}") for n, e in rule.let]
     steps += [("score", f"{rule.base}" + "".join(f" {d:+d} if {c}" for d, c in rule.modifiers))] + [("require", str(r)) for r in rule.require]
     steps += [("emit", f"{f.name}({', '.join(map(str, f.args))})") for f in rule.emit] + [("verify", v) for v in rule.verify]

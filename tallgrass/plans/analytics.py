@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import clock, network, numeric, text
-from tallgrass.operators import aggregates, console, derive, graph, selection, tables
+from tallgrass.operators import aggregates, console, derive, graph, rules, selection, tables
+from tallgrass.operators.conditions import field
+from tallgrass.operators.rules import Rule, Source
 from tallgrass.plans.common import EV, Registry, events, table
 from tallgrass.sources import events as source
 
@@ -704,3 +706,15 @@ def graph_dump_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(f"{_DUMP} SELECT src, dst, 'link' AS kind, 'graph' AS origin FROM l UNION ALL SELECT src, dst, 'event.error', 'event' FROM r")
 def graph_dump_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dump(spark, sf_dir)[1].select("src", "dst", "kind", "origin")
+
+
+@add(f"""WITH {EV}, {_KINDS}, v AS (SELECT user_id AS id, user_id % 3 AS tenant_id, max(value) AS risk FROM ev GROUP BY 1)
+  SELECT x.id AS x, y.id AS y, z.id AS z, (40 + CASE WHEN y.risk > x.risk THEN 20 ELSE 0 END)::INTEGER AS score FROM k a JOIN k b ON a.dst = b.src JOIN v x ON x.id = a.src JOIN v y ON y.id = a.dst JOIN v z ON z.id = b.dst
+  WHERE a.kind = 'calls' AND b.kind = 'calls' AND a.src <> a.dst AND b.dst NOT IN (a.src, a.dst) AND x.tenant_id = y.tenant_id AND x.tenant_id = z.tenant_id AND x.risk > 100 AND z.risk > 120""")
+def rule_over_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule whose sources are vertices and whose graph clause is a path of two edges."""
+    u = F.col("user_id")
+    vertices = events(spark, sf_dir).groupBy(u.alias("id"), (u % 3).alias("tenant_id")).agg(F.lit("user").alias("label"), F.max("value").alias("risk"), F.max("ts_ms").alias("last_seen"))
+    risk = lambda alias: field(f"{alias}.risk")
+    rule = Rule("path", "Path", (Source("x", "user", risk("x") > 100), Source("y", "user"), Source("z", "user")), graph=(("x", "calls", "y"), ("y", "calls", "z")), where=(risk("z") > 120,), base=40, modifiers=((20, risk("y") > risk("x")),))
+    return rules.graph_alerts(rule, vertices, _kinds(spark, sf_dir)).select("x.id", F.col("y.id").alias("y"), F.col("z.id").alias("z"), "score").withColumnRenamed("id", "x")

@@ -103,5 +103,5 @@ def test_rule_of_three_sources_as_on_a_table(spark, tmp_path):
     ids = lambda df: df.select(*(F.col(f"{k}.event_id").alias(k) for k in kinds))
     expected = ids(rules.run(rule, spark.createDataFrame(rows, schema))).collect()
     assert expected and sorted(map(tuple, finished(ids(pipelines.rule_stream(rule, stream)), tmp_path))) == sorted(map(tuple, expected))
-    with pytest.raises(ValueError, match="cannot call"):
+    with pytest.raises(ValueError, match="a rule that remembers needs"):
         pipelines.rule_stream(Rule("r", "r", (Source("a", "a"),), where=(rate(field("a.user_id"), "1m") > 1,)), stream)

@@ -101,7 +101,7 @@ def split(rule: Rule) -> tuple[Rule, Rule]:
     micro-batch. Calls with memory belong before facts."""
     where = [c for w in rule.where for c in conjuncts(w)]
     n = next((i for i, c in enumerate(where) if _asks_for_facts(c)), len(where))
-    first = Rule(rule.rule_id, rule.name, rule.sources, rule.on, rule.within, rule.ordered, tuple(where[:n]), dialect=rule.dialect)
+    first = Rule(rule.rule_id, rule.name, rule.sources, on=rule.on, within=rule.within, ordered=rule.ordered, where=tuple(where[:n]), dialect=rule.dialect)
     rest = replace(rule, where=tuple(where[n:]))
     later = [*rest.where, *(e for _, e in rest.let), *(c for _, c in rest.modifiers), *rest.require, *(b.condition for b in rest.respond if b.condition is not None)]
     if any(c.spec and c.spec[0] != "has_fact" for x in later for c in x.calls):

@@ -154,9 +154,9 @@ def test_tables(spark, statement, tables):
 
 
 def test_packed_tables(spark):
-    names = F.array(*(F.lit(f"db.table_number_{i:02d}") for i in range(9)))
+    names = F.array(*(F.lit(f"ops.storage_bay_{i:02d}") for i in range(9)))
     packed = one(spark, text.pack_tables(names))
-    assert len(packed) <= 64 and packed.split(",")[-1].startswith("storage_shelf_")
+    assert len(packed) <= 64 and packed.split(",")[-1].startswith("storage_bay_")
     assert one(spark, text.database_of(names)) == "ops"
     assert one(spark, text.database_of(F.array(F.lit("a.x"), F.lit("y")))) is None
 

@@ -74,7 +74,7 @@ def _save_keys(folder: str, name: str, h: np.ndarray) -> None:
 
 def _mapped(folder: str, name: str) -> np.ndarray | None:
     path = file_of(folder, f"{name}.npy")
-    return None if path is None else np.load(path, mmap_mode="r")
+    return None if path is None else np.asarray(np.load(path, mmap_mode="r"))
 
 
 def _leading(h: np.ndarray, bits: int) -> np.ndarray:
@@ -446,12 +446,13 @@ def _probabilities(model: Model, grams: np.ndarray, often: np.ndarray, arrays: _
     """p of the last token of each k-gram, from its p without a context; often: how often each token of the k-grams occurs."""
     p = low
     for k in range(2, model.order + 1):
-        use = np.flatnonzero((grams[-k:-1] != _UNKNOWN).all(axis=0))
-        mine = grams[-k:, use]
+        seen = (grams[-k:-1] != _UNKNOWN).all(axis=0)
+        use = slice(None) if seen.all() else np.flatnonzero(seen)
+        mine, lower = grams[-k:, use], p[use]
         shard, context, split = _shards(mine, often[-k:, use], model.part, model.shards)
-        known = mine[-1] != _UNKNOWN
-        count = np.zeros(len(use), np.int64)
-        count[known] = arrays.look_up(f"gram{k}", f"count{k}", _hash(mine[:, known]), shard[known], 1)[0]
+        known = np.flatnonzero(mine[-1] != _UNKNOWN)
+        count = np.zeros(len(lower), np.int64)
+        count[known] = arrays.look_up(f"gram{k}", f"count{k}", _hash(mine)[known], shard[known], 1)[0]
         # each context once
         kinds, place = np.unique(context, return_inverse=True)
         first = np.empty(len(kinds), np.int64)
@@ -459,12 +460,12 @@ def _probabilities(model: Model, grams: np.ndarray, often: np.ndarray, arrays: _
         sums, apart = np.zeros((4, len(kinds)), np.int64), split[first]
         sums[:, ~apart] = arrays.look_up(f"context{k}", f"sums{k}", kinds[~apart], shard[first][~apart], 4)
         sums[:, apart] = arrays.look_up(f"split{k}", f"splitsums{k}", kinds[apart], np.mod(kinds[apart].view(np.int64), model.shards), 4)
-        total, *classes = sums[:, place]
         d = model.discounts[k - 2]
-        mass = sum(x * n for x, n in zip(d, classes, strict=True))
-        seen = total > 0
+        mass = sum(x * n for x, n in zip(d, sums[1:], strict=True))[place]
+        total = sums[0][place]
+        found = np.where(total > 0, (count - _pick(count, d) + mass * lower) / np.maximum(total, 1), lower)
         p = p.copy()
-        p[use[seen]] = (count[seen] - _pick(count[seen], d) + mass[seen] * p[use[seen]]) / total[seen]
+        p[use] = found
     return p
 
 

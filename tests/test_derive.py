@@ -1,6 +1,7 @@
 """Derived values, sessions, alerts, selection and deltas on hand-made rows."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,43 @@ def test_every_window_is_solved_whole(items):
     assert {r.item for r in found if r.w == 3} == {r.item for r in selection.greedy(items.filter("w = 3"), "w", "item", BUDGET).collect()}
 
 
+def test_exact_takes_the_first_of_equal_sets(spark):
+    """Against trying every set in depth-first order, also where many sets are equal, and where items are worth nothing."""
+    r, rows = random.Random(3), []
+    for w in range(60):
+        for i in range(1 + w % 10):
+            rows.append((w, i, r.choice([-0.5, 0.0, 0.25, 0.5, 0.5, 1.0]) if w % 2 else r.random(), *(r.randrange(1, 9) / 8 for _ in selection.RESOURCES)))
+    items = spark.createDataFrame(rows, f"w long, item long, relevance double, {', '.join(f'{c} double' for c in selection.RESOURCES)}")
+    found = sorted((x.w, x.item) for x in selection.exact(items, "w", "item", dict.fromkeys(selection.RESOURCES, 1.5)).collect())
+    want = []
+    for w in range(60):
+        own, best = sorted((x for x in rows if x[0] == w and x[2] > 0), key=lambda x: (-x[2], x[1])), (0.0, ())
+
+        def go(i, taken):
+            nonlocal best
+            if sum(x[2] for x in taken) > best[0] + 1e-12:
+                best = (sum(x[2] for x in taken), taken)
+            if i < len(own):
+                if all(sum(x[3 + c] for x in (*taken, own[i])) <= 1.5 + 1e-9 for c in range(5)):
+                    go(i + 1, (*taken, own[i]))
+                go(i + 1, taken)
+
+        go(0, ())
+        want += [(w, x[1]) for x in best[1]]
+    assert found == sorted(want)
+
+
+def test_exact_takes_full_windows_of_copies(spark):
+    """64 items of one relevance: without bounds on value and number the search would try billions of sets."""
+    cost = lambda i, m: F.round((F.col("item") * m % 17 + 1) / 20, 2)
+    items = spark.range(128).select((F.col("id") % 2).alias("w"), F.col("id").alias("item"), F.lit(0.3).alias("relevance"))
+    items = items.select("*", *(cost("item", m).alias(r) for m, r in zip((3, 5, 7, 11, 13), selection.RESOURCES, strict=True)))
+    budget = dict(zip(selection.RESOURCES, (3.0, 4.0, 3.0, 2.5, 3.0), strict=True))
+    exact = selection.exact(items, "w", "item", budget).groupBy("w").agg(F.count(F.lit(1)).alias("n"), *(F.sum(r).alias(r) for r in selection.RESOURCES)).collect()
+    greedy = {r.w: r.n for r in selection.greedy(items, "w", "item", budget).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(exact) == 2 and all(r.n >= greedy[r.w] and all(r[c] <= budget[c] + 1e-6 for c in selection.RESOURCES) for r in exact)
+
+
 def test_relaxation(items):
     """Against the same steps over plain lists."""
     found = selection.relaxed(items, "w", "item", BUDGET).collect()

@@ -44,10 +44,24 @@ def metric_summary(rows: DataFrame, time: str, width: str, keys: list[str], valu
     return out.select(F.col("w.start").alias("window_start"), *keys, "n", "least", "most", "mean", *parts)
 
 
+def exact_metric_summary(rows: DataFrame, time: str, width: str, keys: list[str], value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """As metric_summary, for tables only, with exact percentiles p50, p95 ...: the value at place ceil(n * percent / 100), at least 1, in
+    ascending order. Places come from counts of distinct values, so equal values are combined before the shuffle and windows may be of any size."""
+    counted = rows.groupBy(F.window(time, width).alias("w"), *keys, value).agg(F.count(value).alias("__n"))
+    of = ["window_start", *keys]
+    all_of = Window.partitionBy(*of)
+    ranked = counted.withColumn("window_start", F.col("w.start")).drop("w").withColumn("__to", F.sum("__n").over(all_of.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(all_of))
+    # in whole numbers: 0.95 * n may lie beside the place
+    place = lambda p: F.greatest(F.lit(1).cast("long"), F.col("__all") - F.expr(f"__all * {100 - p} div 100"))
+    at = [F.min(F.when(F.col("__to") >= place(p), F.col(value))).alias(f"p{p}") for p in percents]
+    mean = F.sum(F.col(value) * F.col("__n")) / F.nullif(F.sum("__n"), F.lit(0))
+    return ranked.groupBy(*of).agg(F.sum("__n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), mean.alias("mean"), *at)
+
+
 def fleet_summary(summaries: DataFrame, keys: list[str]) -> DataFrame:
-    """A summary of summaries: each gives its least, mean, percentiles and most as six samples."""
+    """A summary of summaries: each gives its least, mean, percentiles and most as six samples, null if it has no value."""
     samples = summaries.select(*keys, F.explode(F.array("least", "mean", "p50", "p95", "p99", "most")).alias("x"))
-    return samples.groupBy(*keys).agg(F.count("x").alias("samples"), F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean"))
+    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean"))
 
 
 def histogram(rows: DataFrame, value: str, bounds: list[float]) -> DataFrame:

@@ -36,3 +36,11 @@ def test_query(spark, con, name):
         assert plain(found) == plain(con.sql(all_sql()[name]).df())
     else:
         assert len(found)
+
+
+def test_fleet_rollup_of_large_windows(spark, con, tmp_path):
+    """Windows of tens of thousands of values, beyond what a sketch holds whole; and one without any."""
+    con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i % 3) DAY AS ts, i % 50 AS user_id, 'e' || i % 2 AS event_type, CASE WHEN i % 6 = 0 THEN NULL ELSE (i * 7919 % 1000003) / 1000 END AS value, NULL::VARCHAR AS props
+      FROM range(180001) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    sql = all_sql()["metric_fleet_rollup"].replace("FROM events", f"FROM read_parquet('{tmp_path}/events.parquet')")
+    assert plain(all_queries()["metric_fleet_rollup"](spark, str(tmp_path)).toPandas()) == plain(con.sql(sql).df())

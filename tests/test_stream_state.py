@@ -11,7 +11,7 @@ from tallgrass.operators import rules
 from tallgrass.operators.conditions import field, first_seen, has_fact, rare, rate
 from tallgrass.operators.rules import Fact, Rule, Source
 from tallgrass.sources import reference
-from tallgrass.streaming import facts, pipelines
+from tallgrass.streaming import calls, facts, pipelines
 from tallgrass.streaming.calls import STATE_STORE
 from test_streams import files, finished
 
@@ -43,6 +43,24 @@ def test_calls_over_three_batches_as_over_a_table(spark, tmp_path, rocks):
     assert want and sorted(map(tuple, got)) == want
 
 
+def test_keys_share_the_state_of_a_group(spark, tmp_path, rocks, monkeypatch):
+    """As over a table over two micro-batches, with few rows of state for many keys."""
+    monkeypatch.setattr(calls, "KEY_GROUPS", {"rate": 2, "rare": 3})
+    rows = [(i, i * 50, i * 7919 % 200, i % 2, "x", "k", float(i % 20)) for i in range(1200)]
+    v, user = field("e.value"), field("e.user_id")
+    rule = Rule("r", "r", (Source("e", "x"),), where=((v > 3) & (rate(user, "20s") >= 2), (v > 15) | rare(user, 4)), base=5, modifiers=((7, first_seen(user)),))
+    columns = ("e.event_id", "score")
+    want = sorted(map(tuple, rules.run(rule, spark.createDataFrame(rows, SCHEMA)).select(*columns).collect()))
+    stream = timed(files(spark, tmp_path / "in", [rows[:600], rows[600:]], SCHEMA))
+    found = pipelines.rule_stream(rule, stream, lateness="1 minute").select(*columns)
+    query = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect()
+    assert len(want) > 100 and sorted(map(tuple, got)) == want
+    # a group is a row of state and, for the rate, a timer in two tables; with a key each there were hundreds
+    assert all(o["numRowsTotal"] <= 20 for p in query.recentProgress for o in p["stateOperators"])
+
+
 def test_calls_after_a_join_of_streams(spark, tmp_path, rocks):
     rows = [(i, i // 2 * 1000, 1, 1, "ab"[i % 2], "k", float(i)) for i in range(24)]
     rule = Rule("r", "r", (Source("a", "a"), Source("b", "b")), within="500ms", where=(rare(field("a.k"), 5),))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallgrass.llm.shared import NO_ID, discard, freed, join_counted, stored
+from tallgrass.llm.shared import BROADCAST_ROWS, NO_ID, discard, freed, join_counted, stored
 from tallgrass.llm.words import BLANK_SPLIT_FOLDED, Words, chunked, mixed, run_hashes
 
 SHINGLE = 5
@@ -218,8 +218,8 @@ def sets_of(docs: DataFrame, alive: DataFrame, shingle: int) -> DataFrame:
     """node, size and, for each block, how many shingles it has and which, of the documents alive and of few more: those whose ids share
     a bit with theirs."""
     n = alive.count()
-    bits = 1 << max(23, (12 * n).bit_length())
-    if bits <= MOST_BITS:
+    bits = min(1 << max(23, (48 * n).bit_length()), MOST_BITS)
+    if 12 * n < bits:
         sent = docs.sparkSession.sparkContext.broadcast(_bitmap(alive, "doc", bits))
         rows = docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(bits)).alias("at"))
     else:
@@ -228,6 +228,20 @@ def sets_of(docs: DataFrame, alive: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(_sets(shingle, sent), ", ".join(["node long, size long", *(f"n{b} long" for b in blocks), *(f"shingles{b} array<long>" for b in blocks)]))
 
 
+def one_row_each(sets: DataFrame) -> DataFrame:
+    """sets(node, ...) with one row a node, stored. Rows repeated, and copies of a document alive that share a bit with one, would
+    otherwise multiply each pair of their set, in every block of the product."""
+    sets = stored(sets.withColumn("place", F.monotonically_increasing_id()), "sets")
+    first = sets.groupBy("node").agg(F.min("place").alias("place"))
+    more = stored(sets.select("place").join(first.select("place"), "place", "left_anti"), "further-rows")
+    n = more.count()
+    if n <= BROADCAST_ROWS:
+        return (sets.join(F.broadcast(more), "place", "left_anti") if n else sets).drop("place")
+    out = stored(sets.join(more.hint("merge"), "place", "left_anti").drop("place"), "sets")
+    discard(sets, more)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root of all nodes of links(a, b): root is the smallest node of the component. Large-star and small-star rounds until nothing
     changes."""
@@ -294,7 +308,7 @@ def survey(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bloc
 
 def links(docs: DataFrame, alive: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """a, b, overlap: links that join the same sets as all links do. docs(doc, text); alive(doc, one)."""
-    sets = stored(sets_of(docs, alive, shingle), "sets")
+    sets = one_row_each(sets_of(docs, alive, shingle))
     entries = sets.select("node", "size", F.explode(F.concat(*(f"shingles{b}" for b in range(PRODUCT_BLOCKS)))).alias("shingle"))
     often = stored(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequencies")
     n = sets.agg(F.sum("size")).first()[0] or 0

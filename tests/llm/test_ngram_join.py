@@ -70,6 +70,28 @@ def test_overlaps_add_up_by_blocks(spark):
     assert {(x.a, x.b): x.overlap for x in found.collect()} == {p: n for p, n in both.items() if 100 * n >= 25 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
 
 
+def test_a_set_has_one_row(spark):
+    # copies whose ids share a bit of the bitmap, and rows repeated
+    at = spark.range(60_000).selectExpr("id", f"pmod(xxhash64(id), {1 << 23}) AS at")
+    ids = at.groupBy("at").agg({"id": "collect_list"}).filter("size(`collect_list(id)`) > 1").first()[1]
+    text = prose(5, 200)
+    near = text.replace(text.split()[100], "other", 1)
+    rows = [(i, text) for i in ids] + [(70_000, near)] * 3
+    docs = spark.createDataFrame(rows, "doc long, text string").coalesce(1)
+    alive = ngram_join.survey(docs)[1]
+    sets = ngram_join.one_row_each(ngram_join.sets_of(docs, alive, 5))
+    assert sorted(r.node for r in sets.collect()) == sorted(r.one for r in alive.collect())
+    assert ngram_join.links(docs, alive).count() == 1
+    assert run(spark, rows) == brute(rows)
+
+
+def test_further_rows_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    text = prose(6, 200)
+    rows = [(1, text)] * 3 + [(2, text + " end")] * 3
+    assert run(spark, rows) == brute(rows)
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i * 7919 % 3000, (i + 1) * 7919 % 3000) for i in range(2999)]
     assert {r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {0}

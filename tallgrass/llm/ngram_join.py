@@ -43,6 +43,9 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles of one block of columns, about.
 BLOCK_SHINGLES = 100_000
+#: More blocks than these only once each holds ten times BLOCK_SHINGLES: every batch sends a piece to each block, so the pieces of small
+#: blocks would shrink, and their number grow with the square of the rows.
+MANY_BLOCKS = 512
 #: Blocks of columns in which overlaps add up.
 PRODUCT_BLOCKS = 3
 PACK_BYTES = 8 << 20
@@ -63,8 +66,12 @@ def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
             on = size[short] > j
             rest[on] = mixed(rest[on] * np.uint64(0x9E3779B97F4A7C15) + w.hash[w.lo[short][on] + j])
         h, owner = np.concatenate((h, mixed(rest + size[short].astype(np.uint64)))), np.concatenate((owner, short))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
+        order = np.argsort(owner, kind="stable")
+        h, owner = h[order], owner[order]
+    # text by text, in place: many times faster than a sort by both
+    head = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
+    for a, b in zip(head, [*head, len(h)][1:], strict=True):
+        h[a:b].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     return owner[new], h[new]
@@ -118,40 +125,40 @@ def _survey(n: int, percent: int, blocks: int):
                 times = np.diff(np.append(head, len(h)))
                 known = np.repeat(times > 1, times)  # two sets of this chunk list it
                 count = np.bincount(owner[known], minlength=texts)
-                yield _survey_rows(doc, size, one, two, count, first)
+                # the chunk's documents, under a number below 0 that no block has
+                seen = np.stack([doc, size, one.view(np.int64), two.view(np.int64), count, first])
+                out = [(-1 - int(one[0] % np.uint64(blocks)), seen.astype(np.int64).tobytes(), b"", b"")]
                 h, owner, many = h[head], owner[head], times > 1
                 block = (mixed(h) % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 # 32 bits tell apart the about BLOCK_SHINGLES of a block; one mistaken for another only keeps a set for step 3
                 h, owner, many, block = (h[order] >> np.uint64(32)).astype(np.uint32), owner[order], many[order], block[order]
                 at = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
-                out = []
                 for a, b in zip(at, [*at, len(block)][1:], strict=True):
                     near, place = np.unique(owner[a:b], return_inverse=True)
                     sets = np.concatenate((doc[near], one[near].view(np.int64)))
                     out.append((int(block[a]), squeeze(sets.tobytes()), h[a:b].tobytes(), squeeze(np.where(many[a:b], -1, place).astype(np.int32).tobytes())))
-                if out:
-                    yield _block_rows(*zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _SENT.values(), strict=True)], names=list(_SENT))
 
     return run
 
 
-_SURVEY = "doc long, size long, one long, two long, count long, first boolean, block long, sets binary, hashes binary, places binary"
+_SENT = {"block": pa.int64(), "sets": pa.binary(), "hashes": pa.binary(), "places": pa.binary()}
+_SURVEY = {"doc": pa.int64(), "size": pa.int64(), "one": pa.int64(), "two": pa.int64(), "count": pa.int64(), "first": pa.bool_(), "n": pa.int64()}
 
 
-def _survey_rows(doc, size, one, two, count, first) -> pa.RecordBatch:
-    n = len(doc)
-    columns = [pa.array(doc), pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(first), pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.binary()) for _ in range(3))]
-    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SURVEY.split(", ")])
-
-
-def _block_rows(block, sets, hashes, places) -> pa.RecordBatch:
-    n = len(block)
-    columns = [*(pa.nulls(n, pa.int64()) for _ in range(5)), pa.nulls(n, pa.bool_()), pa.array(block, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, hashes, places))]
-    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SURVEY.split(", ")])
+def _settled(table: pa.Table) -> pa.Table:
+    """Of a number below 0 the documents of its chunks (without n), of a block its counts (doc, one, n only)."""
+    if table.column("block")[0].as_py() >= 0:
+        found = _count_block(table)
+    else:
+        seen = np.concatenate([np.frombuffer(x, np.int64).reshape(6, -1) for x in table.column("sets").to_pylist()], axis=1)
+        found = {k: pa.array(x).cast(_SURVEY[k]) for k, x in zip(_SURVEY, seen, strict=False)}
+    rows = len(found["doc"])
+    return pa.table([pa.array(found[k], t) if k in found else pa.nulls(rows, t) for k, t in _SURVEY.items()], names=list(_SURVEY))
 
 
-def _count_block(table: pa.Table) -> pa.Table:
+def _count_block(table: pa.Table) -> dict[str, np.ndarray]:
     """For each set of a block, how many of the shingles it sent another set lists too."""
     grow = zstandard.ZstdDecompressor().decompress
     docs, ones, hashes, sets, base = [], [], [], [], 0
@@ -171,7 +178,7 @@ def _count_block(table: pa.Table) -> pa.Table:
     several = np.logical_or.reduceat(owner < 0, head) | (np.minimum.reduceat(kind, head) != np.maximum.reduceat(kind, head))
     found = owner[np.repeat(several, times) & (owner >= 0)]
     near, n = np.unique(found, return_counts=True)
-    return pa.table({"doc": doc[near], "one": one[near], "n": n.astype(np.int64)})
+    return {"doc": doc[near], "one": one[near], "n": n.astype(np.int64)}
 
 
 def _sets(n: int, bitmap):
@@ -290,14 +297,20 @@ def _can_link() -> Column:
     return (F.col("size_a") <= F.col("reach_b")) & (F.col("size_b") <= F.col("reach_a")) & (F.col("a") != F.col("b"))
 
 
+def blocks_for(listed: int, block_shingles: int = BLOCK_SHINGLES) -> int:
+    """Blocks for so many listed shingles."""
+    return int(max(min(listed // block_shingles, MANY_BLOCKS), listed // (10 * block_shingles))) + 1
+
+
 def survey(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """All documents (doc, size, one, two); and of the sets that may have a partner one document each (doc, one)."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = int(chars // (20 * block_shingles)) + 1  # about a listed shingle for 20 characters
-    seen = docs.mapInArrow(_survey(shingle, percent, blocks), _SURVEY)  # two passes over the texts: cheaper than a copy of all lists
-    rows = stored(seen.filter(F.col("block").isNull()).select("doc", "size", "one", "two", "count", "first"), "survey")
-    sent = seen.filter(F.col("block").isNotNull()).select("block", "sets", "hashes", "places")
-    counts = sent.groupBy("block").applyInArrow(_count_block, "doc long, one long, n long").groupBy("doc", "one").agg(F.sum("n").alias("n"))
+    blocks = blocks_for(chars // 20, block_shingles)  # about a listed shingle for 20 characters
+    sent = docs.mapInArrow(_survey(shingle, percent, blocks), "block long, sets binary, hashes binary, places binary")
+    # the documents travel with the blocks, so one pass over the texts and no copy of the lists will do
+    seen = stored(sent.groupBy("block").applyInArrow(_settled, "doc long, size long, one long, two long, count long, first boolean, n long"), "survey")
+    rows = seen.filter(F.col("first").isNotNull()).drop("n")
+    counts = seen.filter(F.col("n").isNotNull()).groupBy("doc", "one").agg(F.sum("n").alias("n"))
     size = F.col("size")
     up = lambda x, by: F.floor((x + (by - 1)) / by)
     needed = up(up(percent * size, 100), 10)

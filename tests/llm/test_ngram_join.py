@@ -92,6 +92,14 @@ def test_further_rows_beyond_a_broadcast(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_many_blocks(spark, monkeypatch):
+    listed = [10**5, 10**7, 5 * 10**8, 10**10]
+    assert [ngram_join.blocks_for(n) for n in listed] == [2, 101, 513, 10_001]
+    monkeypatch.setattr(ngram_join, "MANY_BLOCKS", 4)
+    rows = [(i, edited(prose(i % 7, 80, 60), i % 5, f"many {i}")) for i in range(60)]
+    assert run(spark, rows, block_shingles=5) == brute(rows)
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i * 7919 % 3000, (i + 1) * 7919 % 3000) for i in range(2999)]
     assert {r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {0}

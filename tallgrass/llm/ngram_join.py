@@ -303,20 +303,22 @@ def blocks_for(listed: int, block_shingles: int = BLOCK_SHINGLES) -> int:
 
 
 def survey(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """All documents (doc, size, one, two); and of the sets that may have a partner one document each (doc, one)."""
+    """All documents (doc, size, one, two); and of the sets that may have a partner one document each (doc, one). Both are stored."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = blocks_for(chars // 20, block_shingles)  # about a listed shingle for 20 characters
     sent = docs.mapInArrow(_survey(shingle, percent, blocks), "block long, sets binary, hashes binary, places binary")
     # the documents travel with the blocks, so one pass over the texts and no copy of the lists will do
     seen = stored(sent.groupBy("block").applyInArrow(_settled, "doc long, size long, one long, two long, count long, first boolean, n long"), "survey")
-    rows = seen.filter(F.col("first").isNotNull()).drop("n")
+    rows = stored(seen.filter(F.col("first").isNotNull()).drop("n"), "documents")
     counts = seen.filter(F.col("n").isNotNull()).groupBy("doc", "one").agg(F.sum("n").alias("n"))
     size = F.col("size")
     up = lambda x, by: F.floor((x + (by - 1)) / by)
     needed = up(up(percent * size, 100), 10)
     led = rows.filter(F.col("first") & (size > 0))
     alive = led.join(counts, ["doc", "one"], "left").filter(F.col("count") + F.coalesce("n", F.lit(0)) >= needed)
-    return rows.select("doc", "size", "one", "two"), alive.groupBy("one").agg(F.min("doc").alias("doc"))
+    alive = stored(alive.groupBy("one").agg(F.min("doc").alias("doc")), "alive")
+    discard(seen)
+    return rows.select("doc", "size", "one", "two"), alive
 
 
 def links(docs: DataFrame, alive: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -384,7 +386,6 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, blo
     components apart even if they hold null ids only (rows of size 0, each its own component, excepted)."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     seen, alive = survey(rows, shingle, percent, block_shingles)
-    alive = stored(alive, "alive")
     roots = components(stored(links(rows, alive, shingle, percent), "all-links"))
     # a class is one set: its smallest document; its component: the smallest document of all sets of the same root
     classes = seen.filter("size > 0").groupBy("one", "two").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"))
